@@ -6,12 +6,11 @@ own output.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import GroupState, GroupStateTimeout, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from millrace.operators.joins import lookup
 from millrace.operators.route import route, to_dead_letter
@@ -126,29 +125,11 @@ def split_late(df: DataFrame, ts: str, delay: str, on_time: str, late: str, chec
 def monitor(df: DataFrame, key: str, ts: str, seconds: int, watermark: str) -> DataFrame:
     """Alert (key, silent_since, alert_at) when a key has had no record for ``seconds`` of event time.
 
-    State per key is one number; a batch of a key arrives in pieces and only its times are looked at.
+    A session with that gap closes exactly when the silence has lasted long enough, so the alert is a closed session.
     """
-    limit = seconds * 1000
-
-    def watch(k: tuple, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        if state.hasTimedOut:
-            state.remove()
-            at = pd.to_datetime([last, last + limit], unit="ms")
-            yield pd.DataFrame({key: [k[0]], "silent_since": [at[0]], "alert_at": [at[1]]})
-            return
-        newest = max((int(p["__ms"].max()) for p in pieces if len(p)), default=None)
-        if newest is not None:
-            last = newest if last is None else max(last, newest)
-            state.update((last,))
-            state.setTimeoutTimestamp(max(last + limit, state.getCurrentWatermarkMs() + 1))
-
-    kind = df.schema[key].dataType.simpleString()
-    # only the newest time per key and minute leaves the map side
-    narrow = df.withWatermark(ts, watermark).select(key, ts, F.unix_millis(F.col(ts)).alias("__ms"))
-    return narrow.groupBy(key).applyInPandasWithState(
-        watch, f"{key} {kind}, silent_since timestamp, alert_at timestamp", "last bigint", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    closed = sessions(df, key, ts, f"{seconds} seconds", watermark)
+    since = F.col("session_end") - F.expr(f"INTERVAL {seconds} SECONDS")
+    return closed.select(key, since.alias("silent_since"), F.col("session_end").alias("alert_at"))
 
 
 def gate(df: DataFrame, signals: DataFrame, key: str, signal: str, target: int) -> DataFrame:

@@ -49,6 +49,11 @@ def math(expression: str, column: str) -> Attr:
     return Attr(F.expr(re.sub(r"\bvalue\b", f"try_cast(`{column}` as double)", expression)))
 
 
+def one_line_base64(data: Column) -> Column:
+    """base64 without the line breaks Spark puts after every 76 characters."""
+    return F.replace(F.base64(data), F.lit("\r\n"), F.lit(""))
+
+
 class Attr:
     """One attribute value; every method returns a new Attr."""
 
@@ -293,7 +298,7 @@ class Attr:
         return Attr(F.try_url_decode(F.replace(self._s, F.lit("+"), F.lit("%2B"))))
 
     def base64_encode(self):
-        return Attr(F.base64(F.encode(self._s, "UTF-8")))
+        return Attr(one_line_base64(F.encode(self._s, "UTF-8")))
 
     def base64_decode(self):
         return Attr(F.unbase64(self._s).cast("string"))

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.attr import one_line_base64
 from millrace.spec import NOT_NULL_DEFAULTS, ColumnSpec, spark_type
 
 
@@ -94,7 +95,7 @@ def hash_columns(df: DataFrame, cols: list[str], algorithm: str = "SHA-256", suf
 def encrypt_columns(df: DataFrame, key: Column, cols: list[str] | None = None) -> DataFrame:
     """AES-GCM to base64; by default every column but those named like an id, key or timestamp."""
     chosen = cols or [c for c in df.columns if c.lower() not in ("id", "key", "timestamp")]
-    return df.withColumns({c: F.base64(F.aes_encrypt(F.col(c).cast("string"), key, F.lit("GCM"))) for c in chosen})
+    return df.withColumns({c: one_line_base64(F.aes_encrypt(F.col(c).cast("string"), key, F.lit("GCM"))) for c in chosen})
 
 
 def decrypt_columns(df: DataFrame, key: Column, cols: list[str]) -> DataFrame:
@@ -105,7 +106,7 @@ def decrypt_columns(df: DataFrame, key: Column, cols: list[str]) -> DataFrame:
 
 
 def base64_column(df: DataFrame, col: str, decode: bool = False) -> DataFrame:
-    value = F.unbase64(F.col(col)).cast("string") if decode else F.base64(F.encode(F.col(col), "UTF-8"))
+    value = F.unbase64(F.col(col)).cast("string") if decode else one_line_base64(F.encode(F.col(col), "UTF-8"))
     return df.withColumn(col, value)
 
 

@@ -296,9 +296,9 @@ def sql_lineage(df: DataFrame, id_col: str, sql_col: str) -> DataFrame:
 def sql_columns(df: DataFrame, id_col: str, sql_col: str) -> DataFrame:
     """Columns named in the select list of each statement, lower case, aliases preferred."""
     listed = F.regexp_extract(sql_col, r"(?is)SELECT\s+(.*?)\s+FROM", 1)
-    item = F.explode(F.split(listed, ","))
-    out = df.select(id_col, F.trim(item).alias("__c"))
-    name = F.regexp_replace(F.regexp_replace(F.regexp_replace("__c", r"(?i)^.*\s+AS\s+", ""), r"^.*\.", ""), r"[()]", "")
+    out = df.select(id_col, F.explode(F.split(listed, ",")).alias("__c"))
+    alias = F.regexp_replace(F.trim("__c"), r"(?i)^.*\s+AS\s+", "")
+    name = F.regexp_replace(F.regexp_replace(alias, r"^.*\.", ""), r"[()]", "")
     return out.select(id_col, F.lower(F.trim(name)).alias("column_name")).filter("column_name not in ('', '*')").distinct()
 
 
@@ -314,11 +314,9 @@ RESOURCE_PATTERNS = {
 
 def find_resources(df: DataFrame, id_col: str, text_col: str, kinds: list[str] | None = None) -> DataFrame:
     """(id, kind, resource): every reference found, from one scan of the texts."""
-    found = [
-        F.transform(
-            F.array_distinct(F.regexp_extract_all(text_col, F.lit(RESOURCE_PATTERNS[k]), F.lit(0))),
-            lambda r, k=k: F.struct(F.lit(k).alias("kind"), r.alias("resource")),
-        )
-        for k in (kinds or RESOURCE_PATTERNS)
-    ]
-    return df.select(id_col, F.explode(F.concat(*found)).alias("__r")).select(id_col, "__r.kind", "__r.resource")
+    def found(kind: str) -> Column:
+        hits = F.array_distinct(F.regexp_extract_all(text_col, F.lit(RESOURCE_PATTERNS[kind]), F.lit(0)))
+        return F.transform(hits, lambda r: F.struct(F.lit(kind).alias("kind"), r.alias("resource")))
+
+    every = F.concat(*[found(k) for k in (kinds or RESOURCE_PATTERNS)])
+    return df.select(id_col, F.explode(every).alias("__r")).select(id_col, "__r.kind", "__r.resource")

@@ -61,7 +61,7 @@ def assemble(profiles: DataFrame, relationships: DataFrame, blueprint_id: str, s
     stats = F.struct(
         "distinct_count", "null_ratio", F.col("min_value").alias("min"), F.col("max_value").alias("max"), "mean", "stddev",
         "min_length", "max_length", "pattern", "top_values",
-        F.create_map(*[x for p in ("p25", "p50", "p75", "p95", "p99") for x in (F.lit(p), F.col(p))]).alias("percentiles"),
+        F.struct("p25", "p50", "p75", "p95", "p99").alias("percentiles"),
     )
     column = F.struct(
         "position", F.col("column_name").alias("name"), "data_type", (F.col("null_ratio") > 0).alias("nullable"),

@@ -16,26 +16,31 @@ from millrace.plans.quality import Rule
 from millrace.spec import DEFAULTS, Blueprint, ColumnSpec, Settings, TableSpec, spark_type
 
 
-def compare_schema(df: DataFrame, spec: list[ColumnSpec]) -> DataFrame:
-    """(column_name, expected_type, actual_type, status) with status match, missing, extra or type_mismatch.
-
-    Types are compared in their canonical Spark form; columns starting with an underscore are not compared.
-    """
-    spark = df.sparkSession
-    want = [(c.name, spark_type(c.data_type)) for c in spec if not c.name.startswith("_")]
-    have = [(f.name, f.dataType.simpleString()) for f in df.schema.fields if not f.name.startswith("_")]
-    expected = spark.createDataFrame(want, "column_name string, expected_type string")
-    actual = spark.createDataFrame(have, "column_name string, actual_type string")
+def compare_columns(expected: DataFrame, actual: DataFrame, keys: tuple[str, ...] = ("column_name",)) -> DataFrame:
+    """Full outer join of two column lists (keys, data_type) with status match, missing, extra or type_mismatch; columns
+    starting with an underscore are not compared."""
+    named = ~F.startswith("column_name", F.lit("_"))
+    want = expected.filter(named).select(*keys, F.col("data_type").alias("expected_type"))
+    have = actual.filter(named).select(*keys, F.col("data_type").alias("actual_type"))
     status = (
         F.when(F.col("actual_type").isNull(), "missing").when(F.col("expected_type").isNull(), "extra")
         .when(F.col("actual_type") != F.col("expected_type"), "type_mismatch").otherwise("match")
     )
-    return expected.join(actual, "column_name", "full_outer").withColumn("status", status)
+    return want.join(have, list(keys), "full_outer").withColumn("status", status)
+
+
+def compare_schema(df: DataFrame, spec: list[ColumnSpec]) -> DataFrame:
+    """Compare a table with its specification; types in their canonical Spark form."""
+    spark = df.sparkSession
+    want = [(c.name, spark_type(c.data_type)) for c in spec]
+    have = [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
+    kind = "column_name string, data_type string"
+    return compare_columns(spark.createDataFrame(want, kind), spark.createDataFrame(have, kind))
 
 
-def schema_score(comparison: DataFrame) -> DataFrame:
-    """Matched columns over expected ones; 1 if nothing is expected."""
-    counts = comparison.agg(
+def schema_score(comparison: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Matched columns over expected ones, overall or per table; 1 if nothing is expected."""
+    counts = comparison.groupBy(*by).agg(
         F.count_if(F.col("status") == "match").alias("matched"),
         F.count_if(F.col("status") == "missing").alias("missing"),
         F.count_if(F.col("status") == "extra").alias("extra"),

@@ -1,3 +1,48 @@
+"""The flagship chain: profile two tables, generate both with a foreign key, conform them with rules, compare, score."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.operators.joins import orphan_ratio
+from millrace.plans import blueprint as B
+from millrace.plans import generate as G
+from millrace.plans import layers as L
+from millrace.plans import profile as P
+from millrace.plans import quality as Q
+from millrace.plans import validate as V
 from millrace.queries.base import Registry
+from millrace.runtime import load
+from millrace.spec import Blueprint, ForeignKey
 
 R = Registry()
+
+KEYS = {"customer": "c_custkey", "orders": "o_orderkey"}
+SEED = 42
+
+
+def blueprint(spark: SparkSession, folder: str) -> Blueprint:
+    """Specifications of customers and orders, with the measured orphan ratio of their key."""
+    tables = {t: load(spark, folder, t) for t in KEYS}
+    lost = orphan_ratio(tables["orders"], tables["customer"], "o_custkey", "c_custkey").first()["orphan_ratio"]
+    fks = {"customer": [], "orders": [ForeignKey("o_custkey", "customer", "c_custkey", lost)]}
+    return Blueprint("shop", [B.to_table_spec(t, P.profile(df), (KEYS[t],), fks[t]) for t, df in tables.items()], "files")
+
+
+@R.add("readiness_slice")
+def readiness(spark: SparkSession, folder: str) -> DataFrame:
+    """Score table of the synthetic copies: (table_name, overall_score, level, recommendations)."""
+    bp = blueprint(spark, folder)
+    made = G.generate_all(spark, bp, 1.0, SEED, cap=None)
+    dims = []
+    for name, df in made.items():
+        spec = bp.table(name)
+        silver, _ = L.to_silver(L.to_bronze(df, bp.source, "1"), spec)
+        found = Q.violations(silver, Q.rules_for(spec), name).agg(F.count_if(F.col("violating_rows") > 0).alias("n")).scalar()
+        one = V.validate_table(spark, silver.drop("_processed_at"), spec)
+        dims.append(one.withColumn("violations", found))
+    scores = V.score_tables(reduce(DataFrame.unionByName, dims))
+    return scores.withColumn("recommendations", F.array_join("recommendations", "; "))

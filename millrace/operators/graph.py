@@ -7,6 +7,7 @@ lost executors cost one round. Each loop ends after at most ``max_rounds`` round
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,41 +41,43 @@ def node_report(
     )
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _search(seeds: DataFrame, edges: DataFrame, first_hop: int, max_rounds: int) -> DataFrame:
+    """Breadth-first rounds from (start, node). Every round is stored once; what was seen is the union of the rounds, so
+    no round is written again."""
+    walk = edges.select(F.col("src").alias("node"), F.col("dst").alias("__to"))
+    parts = [cut_lineage(seeds.withColumn("hops", F.lit(first_hop)))]
+    for hop in range(first_hop + 1, first_hop + max_rounds + 1):
+        step = parts[-1].join(walk, "node").select("start", F.col("__to").alias("node")).distinct()
+        fresh = step.join(_union(parts), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop))
+        fresh = cut_lineage(fresh)
+        if fresh.isEmpty():
+            return _union(parts)
+        parts.append(fresh)
+    step = parts[-1].join(walk, "node").select("start", F.col("__to").alias("node"))
+    if step.join(_union(parts), ["start", "node"], "left_anti").isEmpty():
+        return _union(parts)
+    raise NotConverged(f"nodes left to visit after {max_rounds} rounds")
+
+
 def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int = 100, admit: Column | None = None) -> DataFrame:
     """(start, node, hops): fewest hops from each start; the start itself has 0.
 
     ``seeds`` has (start, node). ``admit`` filters the edges that may be walked.
     """
-    walk = _pairs(edges) if admit is None else edges.filter(admit).select("src", "dst").distinct()
-    seen = cut_lineage(seeds.select("start", "node").distinct().withColumn("hops", F.lit(0)))
-    frontier = seen
-    for hop in range(1, max_rounds + 1):
-        step = frontier.join(walk, frontier["node"] == walk["src"]).select("start", F.col("dst").alias("node")).distinct()
-        fresh = cut_lineage(step.join(seen, ["start", "node"], "left_anti").withColumn("hops", F.lit(hop)))
-        if fresh.isEmpty():
-            return seen
-        seen = cut_lineage(seen.unionByName(fresh))
-        frontier = fresh
-    if frontier.join(walk, frontier["node"] == walk["src"]).select("start", F.col("dst").alias("node")).join(seen, ["start", "node"], "left_anti").isEmpty():
-        return seen
-    raise NotConverged(f"nodes left to visit after {max_rounds} rounds")
+    walk = _pairs(edges) if admit is None else _pairs(edges.filter(admit))
+    return _search(seeds.select("start", "node").distinct(), walk, 0, max_rounds)
 
 
 def closure(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(src, dst, hops) for every pair connected by a path of at least one edge."""
-    first = _pairs(edges)
-    # start from the direct successors, so that a node on a cycle reaches itself
-    seen = cut_lineage(first.withColumn("hops", F.lit(1)))
-    frontier = seen
-    for hop in range(2, max_rounds + 2):
-        nxt = first.select(F.col("src").alias("dst"), F.col("dst").alias("__to"))
-        step = frontier.join(nxt, "dst").select("src", F.col("__to").alias("dst")).distinct()
-        fresh = cut_lineage(step.join(seen, ["src", "dst"], "left_anti").withColumn("hops", F.lit(hop)))
-        if fresh.isEmpty():
-            return seen
-        seen = cut_lineage(seen.unionByName(fresh))
-        frontier = fresh
-    raise NotConverged(f"paths left after {max_rounds} rounds")
+    """(src, dst, hops) for every pair connected by a path of at least one edge; a node on a cycle reaches itself."""
+    direct = _pairs(edges)
+    seeds = direct.select(F.col("src").alias("start"), F.col("dst").alias("node"))
+    found = _search(seeds, direct, 1, max_rounds)
+    return found.select(F.col("start").alias("src"), F.col("node").alias("dst"), "hops")
 
 
 def shortest_hops(edges: DataFrame, start, max_rounds: int = 100) -> DataFrame:
@@ -118,21 +121,20 @@ def levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFr
     """
     rest_e = cut_lineage(_pairs(edges))
     rest_n = cut_lineage(nodes.select("id").distinct())
-    done = None
+    done = []
     for level in range(max_rounds):
         blocked = rest_e.select(F.col("dst").alias("id")).distinct()
         free = cut_lineage(rest_n.join(blocked, "id", "left_anti").withColumn("level", F.lit(level)))
         if free.isEmpty():
             break
-        done = free if done is None else cut_lineage(done.unionByName(free))
+        done.append(free)
         rest_n = cut_lineage(rest_n.join(free, "id", "left_anti"))
-        rest_e = cut_lineage(rest_e.join(free.select(F.col("id").alias("src")), "src", "left_anti").select("src", "dst"))
         if rest_n.isEmpty():
             break
+        rest_e = cut_lineage(rest_e.join(free.select(F.col("id").alias("src")), "src", "left_anti").select("src", "dst"))
     else:
         raise NotConverged(f"nodes left after {max_rounds} levels")
-    left = rest_n.withColumn("level", F.lit(None).cast("int"))
-    return left if done is None else done.unionByName(left)
+    return _union([*done, rest_n.withColumn("level", F.lit(None).cast("int"))])
 
 
 # Order of roles among nodes that are free at the same time.
@@ -156,14 +158,13 @@ def propagate(nodes: DataFrame, edges: DataFrame, seed: Column, barrier: Column,
 
 def iterate(df: DataFrame, step: Callable[[DataFrame], DataFrame], max_rounds: int = 100) -> DataFrame:
     """Apply ``step`` to its own result until it is empty; all rows produced, with their round."""
-    current = cut_lineage(df)
-    parts = current.withColumn("round", F.lit(0))
+    parts = [cut_lineage(df.withColumn("round", F.lit(0)))]
     for i in range(1, max_rounds + 1):
-        current = cut_lineage(step(current))
+        current = cut_lineage(step(parts[-1].drop("round")).withColumn("round", F.lit(i)))
         if current.isEmpty():
-            return parts
-        parts = cut_lineage(parts.unionByName(current.withColumn("round", F.lit(i))))
-    return parts
+            break
+        parts.append(current)
+    return _union(parts)
 
 
 def lineage(edges: DataFrame, limit: int | None = None) -> DataFrame:

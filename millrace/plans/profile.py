@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.operators.ordered import with_running_sum
 from millrace.spec import DEFAULTS, is_numeric, is_temporal
 
 PERCENTILES = (0.25, 0.5, 0.75, 0.95, 0.99)
@@ -107,9 +108,12 @@ def exact_percentiles(df: DataFrame, cols: list[str], probs: tuple[float, ...] =
         F.array(*[F.when(x[c].between(lo, hi), F.struct(F.lit(k).alias("k"), x[c].alias("v"))) for k, (c, _, lo, hi, _) in enumerate(spots)])
     )
     counts = df.select(F.explode(inside).alias("s")).groupBy("s.k", "s.v").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    lows, highs = F.array(*[F.lit(float(s[2])) for s in spots]), F.array(*[F.lit(float(s[3])) for s in spots])
+    lo, hi = F.get(lows, F.col("k")), F.get(highs, F.col("k"))
+    chunk = F.coalesce(F.floor(F.try_divide(F.col("v") - lo, hi - lo) * 1024), F.lit(0))
     need = F.array(*[F.lit(rank - below[f"b{k}"]) for k, (_, _, _, _, rank) in enumerate(spots)])
-    reached = counts.withColumn("c", F.sum("n").over(w)).filter(F.col("c") >= F.get(need, F.col("k")))
+    running = with_running_sum(counts, ["k"], "v", chunk, {"c": "n"})
+    reached = running.filter(F.col("c") >= F.get(need, F.col("k")))
     names, shares = F.array(*[F.lit(s[0]) for s in spots]), F.array(*[F.lit(float(s[1])) for s in spots])
     found = reached.groupBy("k").agg(F.min("v").alias("value"))
     return found.select(F.get(names, F.col("k")).alias("column_name"), F.get(shares, F.col("k")).alias("probability"), "value")
@@ -135,8 +139,16 @@ def top_values(df: DataFrame, k: int = DEFAULTS.top_values, cols: list[str] | No
 
 
 def exact_distinct(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """(column_name, distinct_count), exact; counted per task and merged."""
-    return value_counts(df, cols).groupBy("column_name").agg(F.count("value").alias("distinct_count"))
+    """(column_name, distinct_count), exact; counted per task and merged. Long texts are shuffled as their SHA-256."""
+    cols = cols or profiled_columns(df)
+
+    def short(c: str) -> Column:
+        if not isinstance(df.schema[c].dataType, T.StringType):
+            return _q(c).cast("string")
+        return F.when(F.length(_q(c)) > 64, F.sha2(_q(c), 256)).otherwise(_q(c))
+
+    keys = df.select(*[short(c).alias(c) for c in cols])
+    return value_counts(keys, cols).groupBy("column_name").agg(F.count("value").alias("distinct_count"))
 
 
 def profile(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace.operators.ordered import chunk_of, cut_points, with_running_sum
 from millrace.plans.generate import generate_all, rows_of
 from millrace.plans.layers import LayerResult, run_layers
-from millrace.plans.profile import profile
+from millrace.plans.profile import statistics
 from millrace.plans.quality import Rule
 from millrace.spec import DEFAULTS, Blueprint, ColumnSpec, Settings, TableSpec, spark_type
 
@@ -58,7 +58,7 @@ def fidelity_columns(expected: DataFrame, actual: DataFrame, scale: float = 1.0,
         F.col("min_number").alias("e_min"), F.col("max_number").alias("e_max"), F.col("mean").alias("e_mean"),
     )
     a = actual.select(
-        "column_name", F.lit(True).alias("present"), F.col("null_ratio").alias("a_nulls"), F.col("distinct_count").alias("a_distinct"),
+        "column_name", F.lit(True).alias("present"), F.col("row_count").alias("actual_rows"), F.col("null_ratio").alias("a_nulls"), F.col("distinct_count").alias("a_distinct"),
         F.col("min_number").alias("a_min"), F.col("max_number").alias("a_max"), F.col("mean").alias("a_mean"),
     )
     grown = F.when(F.col("e_distinct") >= F.col("e_rows") * 0.99, F.col("e_distinct") * F.lit(float(scale))).otherwise(F.col("e_distinct"))
@@ -76,17 +76,14 @@ def fidelity_columns(expected: DataFrame, actual: DataFrame, scale: float = 1.0,
     passed = reduce(Column.__add__, [F.coalesce(F.col(c), F.lit(False)).cast("int") for c in checks])
     asked = reduce(Column.__add__, [F.col(c).isNotNull().cast("int") for c in checks])
     score = F.when(F.col("present").isNull(), 0.0).when(asked == 0, 1.0).otherwise(passed / asked)
-    return out.select("column_name", *checks, score.alias("score"))
+    return out.select("column_name", *checks, score.alias("score"), "actual_rows")
 
 
-def fidelity_table(
-    columns: DataFrame, expected_rows: int | Column, actual_rows: Column, settings: Settings = DEFAULTS
-) -> DataFrame:
+def fidelity_table(columns: DataFrame, expected_rows: int | Column, settings: Settings = DEFAULTS) -> DataFrame:
     """0.2 for the row count (half of it when it is off) and 0.8 for the mean column score."""
     want = F.lit(expected_rows) if isinstance(expected_rows, int) else expected_rows
-    out = columns.agg(F.coalesce(F.avg("score"), F.lit(1.0)).alias("column_score")).withColumns(
-        {"expected_rows": want, "actual_rows": actual_rows}
-    )
+    rows = F.coalesce(F.max("actual_rows"), F.lit(0).cast("bigint")).alias("actual_rows")
+    out = columns.agg(F.coalesce(F.avg("score"), F.lit(1.0)).alias("column_score"), rows).withColumn("expected_rows", want)
     off = F.abs(F.col("actual_rows") - F.col("expected_rows")) / F.greatest("expected_rows", F.lit(1))
     out = out.withColumn("row_count_match", off <= settings.row_count_tolerance)
     score = F.when(F.col("row_count_match"), 1.0).otherwise(0.5) * 0.2 + F.col("column_score") * 0.8
@@ -186,10 +183,9 @@ def validate_table(
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
     """One row with the inputs of the confidence score of a table."""
-    actual = profile(df, k=1)
+    actual = statistics(df, accuracy=0)
     columns = fidelity_columns(spec_profile(spark, spec), actual, scale, settings)
-    rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    table = fidelity_table(columns, rows_of(spec, scale, None), rows, settings)
+    table = fidelity_table(columns, rows_of(spec, scale, None), settings)
     schema = schema_score(compare_schema(df, spec.columns)).select("score").scalar()
     return table.select(
         F.lit(spec.name).alias("table_name"), schema.alias("schema_score"), F.col("overall_score").alias("fidelity_score"),

@@ -207,6 +207,20 @@ def gold_copy(spark, d):
     return L.to_gold(L.to_silver(_bronze(spark, d), SPEC, SILVER_RULES)[0]).drop("_published_at")
 
 
+@R.add(
+    "gold_summary",
+    f"""WITH s AS ({SILVER_SQL}) SELECT 'o_totalprice' AS column_name, count(o_totalprice) AS non_null_count, count(*) - count(o_totalprice) AS null_count, round(min(o_totalprice)::DOUBLE, 4) AS min,
+    round(max(o_totalprice)::DOUBLE, 4) AS max, round(avg(o_totalprice::DOUBLE), 4) AS mean, NULL::BIGINT AS distinct_values, NULL::VARCHAR AS top_values FROM s
+    UNION ALL SELECT 'o_orderstatus', count(o_orderstatus), count(*) - count(o_orderstatus), NULL, NULL, NULL, count(DISTINCT o_orderstatus),
+    (SELECT string_agg(v || '(' || n || ')', ', ' ORDER BY n DESC, v) FROM (SELECT o_orderstatus AS v, count(*) AS n FROM s GROUP BY 1)) FROM s""",
+)
+def gold_summary(spark, d):
+    from millrace.plans.profile import column_summary
+
+    silver = L.to_silver(_bronze(spark, d), SPEC, SILVER_RULES)[0]
+    return column_summary(silver.select("o_totalprice", "o_orderstatus")).drop("stddev")
+
+
 @R.add(
     "silver_clean_stats",
     """SELECT count(*) AS rows_in, count(*) FILTER (o_orderkey % 50 = 0) AS rows_dropped,

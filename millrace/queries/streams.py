@@ -176,6 +176,10 @@ def stream_static_join(spark, d):
     return S.collect_stream(out.select("event_id", "c_mktsegment", "matched"), "static-join")
 
 
+R.queries["stream_static_lookup"] = stream_static_join
+R.sql["stream_static_lookup"] = R.sql["stream_static_join"]
+
+
 @R.add("stream_cdc_apply", CDC_SQL)
 def stream_cdc_apply(spark, d):
     target = load(spark, d, "orders").filter("o_orderkey % 2 = 0").selectExpr("o_orderkey", "cast(null as double) AS quantity", "o_totalprice AS price")
@@ -184,8 +188,8 @@ def stream_cdc_apply(spark, d):
         "l_returnflag AS flag", *SEQ,
     )
     sink, checkpoint = _paths(spark, "cdc")
-    S.apply_changes_stream(feed, target, ["o_orderkey"], [*SEQ, "flag"], "op", sink, checkpoint)
-    return S.newest_version(spark, sink)
+    S.apply_changes_stream(feed, ["o_orderkey"], [*SEQ, "flag"], sink, checkpoint)
+    return S.current_table(target, sink, ["o_orderkey"], [*SEQ, "flag"], "op")
 
 
 @R.add("stream_route_sinks", "SELECT event_id, 'big' AS route FROM events WHERE value > 50 UNION ALL SELECT event_id, 'sale' FROM events WHERE event_type = 'purchase' UNION ALL SELECT event_id, 'unmatched' FROM events WHERE NOT value > 50 AND event_type <> 'purchase'")

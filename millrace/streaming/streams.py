@@ -18,7 +18,7 @@ from millrace.operators.windows import rate_limit
 from millrace.plans.layers import silver_rows, to_bronze
 from millrace.plans.quality import Rule, keep, quarantine
 from millrace.runtime import scratch_path
-from millrace.sources.changes import apply_changes
+from millrace.sources.changes import apply_changes, latest_changes
 from millrace.spec import TableSpec
 
 TRIGGER = "10 seconds"
@@ -88,7 +88,11 @@ def collect_stream(df: DataFrame, label: str, mode: str = "append") -> DataFrame
 
 
 def sessions(df: DataFrame, key: str, ts: str, gap: str, watermark: str | None = None) -> DataFrame:
-    """Activity sessions per key: start, end (last event plus gap), events."""
+    """Activity sessions per key: start, end (last event plus gap), events.
+
+    Sessions are merged inside each task before they are shuffled, so a hot key ships its sessions, not its events.
+    """
+    df.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     if watermark:
         df = df.withWatermark(ts, watermark)
     out = df.groupBy(F.session_window(ts, gap), key).agg(F.count(F.lit(1)).alias("events"))
@@ -161,22 +165,20 @@ def lookup_stream(df: DataFrame, dim: DataFrame, keys: list[str], cols: list[str
     return lookup(df, dim, keys, cols)
 
 
-def apply_changes_stream(
-    df: DataFrame, target: DataFrame, keys: list[str], seq: list[str], op: str, sink: str, checkpoint: str
-) -> StreamingQuery:
-    """Apply a change stream batch by batch; each batch writes the next version of the table under ``sink``."""
+def apply_changes_stream(df: DataFrame, keys: list[str], seq: list[str], sink: str, checkpoint: str) -> StreamingQuery:
+    """Store the last change per key of each batch under ``sink``. The work of a batch depends on the batch only; the
+    table is merged when it is read, see :func:`current_table`."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        before = target if batch_id == 0 else batch.sparkSession.read.schema(target.schema).parquet(batch_folder(sink, batch_id - 1))
-        apply_changes(before, batch, keys, seq, op).write.mode("overwrite").parquet(batch_folder(sink, batch_id))
+        latest_changes(batch, keys, seq).write.mode("overwrite").parquet(batch_folder(sink, batch_id))
 
     return for_each_batch(df, run, checkpoint)
 
 
-def newest_version(spark: SparkSession, sink: str) -> DataFrame:
-    """The table after the last applied batch."""
-    out = spark.read.parquet(sink)
-    return out.filter(F.col("batch_id") == out.agg(F.max("batch_id").alias("b")).scalar()).drop("batch_id")
+def current_table(target: DataFrame, sink: str, keys: list[str], seq: list[str], op: str) -> DataFrame:
+    """The base table with all stored changes applied; write it out as a new base to fold the changes in."""
+    stored = target.sparkSession.read.parquet(sink).drop("batch_id")
+    return apply_changes(target, stored, keys, seq, op)
 
 
 def route_sinks(df: DataFrame, routes: dict[str, Column | str], sink: str, checkpoint: str) -> StreamingQuery:

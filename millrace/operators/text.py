@@ -11,6 +11,11 @@ from pyspark.sql import types as T
 from millrace.functions.grok import PATTERNS, grok
 
 
+def _bind(value: Column, use) -> Column:
+    """Evaluate ``value`` once and use it several times inside lambda functions."""
+    return F.transform(F.array(value), use)[0]
+
+
 # --- JSON ---
 def json_paths(df: DataFrame, col: str, paths: dict[str, str]) -> DataFrame:
     """One text column per JSON path. Three or more top-level fields are read with a single parse."""
@@ -148,7 +153,9 @@ def parse_hl7(df: DataFrame, col: str, name: str = "hl7") -> DataFrame:
         return F.struct((F.lit(key) if isinstance(key, str) else key).alias("k"), value.alias("v"))
 
     def entries(segment: Column) -> Column:
-        f = F.split(segment, r"\|")
+        return _bind(F.split(segment, r"\|"), fields_of)
+
+    def fields_of(f: Column) -> Column:
         kind, n = f[0], F.size(f)
         msh = F.array(
             entry("msh_sending_app", field(f, 2)), entry("msh_message_type", field(f, 8)), entry("msh_version", field(f, 11))
@@ -167,8 +174,10 @@ def parse_hl7(df: DataFrame, col: str, name: str = "hl7") -> DataFrame:
     segments = F.filter(F.split(F.col(col), "\r\n|\r|\n"), lambda s: s != "")
     flat = F.flatten(F.transform(segments, entries))
     # a repeated key keeps its last value
-    last = F.filter(flat, lambda e, i: ~F.exists(F.slice(flat, i + 2, F.size(flat)), lambda o: o["k"] == e["k"]))
-    return df.withColumn(name, F.map_from_entries(last))
+    def last(all_: Column) -> Column:
+        return F.filter(all_, lambda e, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda o: o["k"] == e["k"]))
+
+    return df.withColumn(name, F.map_from_entries(_bind(flat, last)))
 
 
 def mail_headers(df: DataFrame, col: str, name: str = "headers") -> DataFrame:
@@ -182,8 +191,11 @@ def mail_headers(df: DataFrame, col: str, name: str = "headers") -> DataFrame:
             F.trim(F.substring(x, F.locate(":", x) + 1, F.length(x))).alias("v"),
         ),
     )
-    first = F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, F.lit(1), i), lambda o: o["k"] == e["k"]))
-    return df.withColumn(name, F.map_from_entries(first))
+
+    def first(all_: Column) -> Column:
+        return F.filter(all_, lambda e, i: ~F.exists(F.slice(all_, F.lit(1), i), lambda o: o["k"] == e["k"]))
+
+    return df.withColumn(name, F.map_from_entries(_bind(pairs, first)))
 
 
 # --- XML and HTML ---

@@ -143,7 +143,7 @@ def infer_keys(tables: dict[str, DataFrame], pk_only: bool = False) -> DataFrame
     """
     spark = next(iter(tables.values())).sparkSession
     usable = ("tinyint", "smallint", "int", "bigint", "string")
-    stats = {t: {r["column_name"]: r for r in statistics(df, accuracy=0).collect()} for t, df in tables.items()}
+    stats = {t: {r["column_name"]: r for r in statistics(df, accuracy=0, text_range=True).collect()} for t, df in tables.items()}
     found, keys = [], []
     for t, cols in stats.items():
         near = [

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,16 +14,22 @@ from millrace.spec import DEFAULTS, is_numeric, is_temporal
 
 PERCENTILES = (0.25, 0.5, 0.75, 0.95, 0.99)
 
-# Text patterns tried in this order.
+# Text patterns tried in this order, with the lengths a matching text can have.
 PATTERNS = [
-    (r"^\d{3}-\d{2}-\d{4}$", r"\d{3}-\d{2}-\d{4}"),
-    (r"^\d{5}(-\d{4})?$", r"\d{5}(-\d{4})?"),
-    (r"^[A-Z]{2}\d+$", r"[A-Z]{2}\d+"),
-    (r"^\d{4}-\d{2}-\d{2}$", r"\d{4}-\d{2}-\d{2}"),
-    (r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+$", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+"),
+    (r"^\d{3}-\d{2}-\d{4}$", r"\d{3}-\d{2}-\d{4}", "BETWEEN 11 AND 12"),
+    (r"^\d{5}(-\d{4})?$", r"\d{5}(-\d{4})?", "BETWEEN 5 AND 11"),
+    (r"^[A-Z]{2}\d+$", r"[A-Z]{2}\d+", ">= 3"),
+    (r"^\d{4}-\d{2}-\d{2}$", r"\d{4}-\d{2}-\d{2}", "BETWEEN 10 AND 11"),
+    (r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+$", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+", ">= 3"),
 ]
 
 
+def _all_match(name: str, pattern: str, lengths: str) -> Column:
+    """Do all values match? The regular expression is only tried on values of a possible length."""
+    value = _q(name)
+    return F.bool_and(F.when(value.isNotNull(), F.expr(f"length(`{name}`) {lengths}") & value.rlike(pattern)))
+
+
 def profiled_columns(df: DataFrame) -> list[str]:
     """Columns with a text form that can be grouped: nested ones are left out."""
     nested = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
@@ -33,9 +40,14 @@ def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def statistics(df: DataFrame, cols: list[str] | None = None, accuracy: int = 10000, distinct: bool = True) -> DataFrame:
+def statistics(
+    df: DataFrame, cols: list[str] | None = None, accuracy: int = 10000, distinct: bool = True, text_range: bool = False
+) -> DataFrame:
     """One row per column from a single aggregate: counts, estimated distinct values, range, mean, deviation,
-    percentiles, text lengths and the pattern all values share."""
+    percentiles, text lengths and the pattern all values share.
+
+    ``text_range`` adds the smallest and largest text; text buffers make Spark aggregate without code generation.
+    """
     cols = cols or profiled_columns(df)
     types = {f.name: f.dataType for f in df.schema.fields}
     aggs, rows = [F.count(F.lit(1)).alias("n")], []
@@ -43,7 +55,9 @@ def statistics(df: DataFrame, cols: list[str] | None = None, accuracy: int = 100
         kind, v = types[c], _q(c)
         numeric, temporal, text = is_numeric(kind), is_temporal(kind), isinstance(kind, T.StringType)
         aggs.append(F.count(v).alias(f"c{i}"))
-        aggs += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+        ranged = text_range or not text
+        if ranged:
+            aggs += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
         if distinct:
             aggs.append(F.approx_count_distinct(v).alias(f"d{i}"))
         if numeric:
@@ -53,10 +67,10 @@ def statistics(df: DataFrame, cols: list[str] | None = None, accuracy: int = 100
                 aggs.append(F.percentile_approx(x, list(PERCENTILES), accuracy).alias(f"p{i}"))
         if text:
             aggs += [F.min(F.length(v)).alias(f"l{i}"), F.max(F.length(v)).alias(f"len{i}")]
-            aggs += [F.bool_and(v.rlike(p)).alias(f"r{i}_{j}") for j, (p, _) in enumerate(PATTERNS)]
+            aggs += [_all_match(c, p, n).alias(f"r{i}_{j}") for j, (p, _, n) in enumerate(PATTERNS)]
         none_d, none_s = F.lit(None).cast("double"), F.lit(None).cast("string")
         has_p = numeric and accuracy
-        pattern = F.coalesce(*[F.when(F.col(f"r{i}_{j}"), F.lit(p)) for j, (_, p) in enumerate(PATTERNS)]) if text else none_s
+        pattern = F.coalesce(*[F.when(F.col(f"r{i}_{j}"), F.lit(p)) for j, (_, p, _) in enumerate(PATTERNS)]) if text else none_s
         rows.append(
             F.struct(
                 F.lit(i).alias("position"),
@@ -67,8 +81,8 @@ def statistics(df: DataFrame, cols: list[str] | None = None, accuracy: int = 100
                 (F.col("n") - F.col(f"c{i}")).alias("null_count"),
                 F.coalesce((F.col("n") - F.col(f"c{i}")) / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0)).alias("null_ratio"),
                 (F.col(f"d{i}") if distinct else F.lit(None).cast("bigint")).alias("distinct_count"),
-                F.col(f"lo{i}").cast("string").alias("min_value"),
-                F.col(f"hi{i}").cast("string").alias("max_value"),
+                (F.col(f"lo{i}").cast("string") if ranged else none_s).alias("min_value"),
+                (F.col(f"hi{i}").cast("string") if ranged else none_s).alias("max_value"),
                 (F.col(f"lo{i}").cast("double") if numeric else none_d).alias("min_number"),
                 (F.col(f"hi{i}").cast("double") if numeric else none_d).alias("max_number"),
                 (F.col(f"m{i}") if numeric else none_d).alias("mean"),
@@ -107,7 +121,8 @@ def exact_percentiles(df: DataFrame, cols: list[str], probs: tuple[float, ...] =
     inside = F.array_compact(
         F.array(*[F.when(x[c].between(lo, hi), F.struct(F.lit(k).alias("k"), x[c].alias("v"))) for k, (c, _, lo, hi, _) in enumerate(spots)])
     )
-    counts = df.select(F.explode(inside).alias("s")).groupBy("s.k", "s.v").agg(F.count(F.lit(1)).alias("n"))
+    near = reduce(Column.__or__, [x[c].between(lo, hi) for c, _, lo, hi, _ in spots])
+    counts = df.filter(near).select(F.explode(inside).alias("s")).groupBy("s.k", "s.v").agg(F.count(F.lit(1)).alias("n"))
     lows, highs = F.array(*[F.lit(float(s[2])) for s in spots]), F.array(*[F.lit(float(s[3])) for s in spots])
     lo, hi = F.get(lows, F.col("k")), F.get(highs, F.col("k"))
     chunk = F.coalesce(F.floor(F.try_divide(F.col("v") - lo, hi - lo) * 1024), F.lit(0))
@@ -119,11 +134,21 @@ def exact_percentiles(df: DataFrame, cols: list[str], probs: tuple[float, ...] =
     return found.select(F.get(names, F.col("k")).alias("column_name"), F.get(shares, F.col("k")).alias("probability"), "value")
 
 
-def value_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """(column_name, value, n) over all columns: one scan, values counted before they are shuffled."""
+def value_counts(df: DataFrame, cols: list[str] | None = None, one_pass: bool = False) -> DataFrame:
+    """(column_name, value, n) over all columns.
+
+    Each column is counted by itself in its own type: a columnar source then reads every column once, and no row is
+    multiplied. ``one_pass`` unpivots instead, for an input that is costly to compute and not stored.
+    """
     cols = cols or profiled_columns(df)
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), _q(c).cast("string").alias("value")) for c in cols]))
-    return df.select(cells.alias("c")).select("c.*").groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    if one_pass:
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), _q(c).cast("string").alias("value")) for c in cols]))
+        return df.select(cells.alias("c")).select("c.*").groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    parts = [
+        df.groupBy(_q(c).alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(c).alias("column_name"), F.col("value").cast("string"), "n")
+        for c in cols
+    ]
+    return reduce(DataFrame.unionAll, parts)
 
 
 def top_of(counts: DataFrame, k: int) -> DataFrame:
@@ -144,11 +169,11 @@ def exact_distinct(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
     def short(c: str) -> Column:
         if not isinstance(df.schema[c].dataType, T.StringType):
-            return _q(c).cast("string")
+            return _q(c)
         return F.when(F.length(_q(c)) > 64, F.sha2(_q(c), 256)).otherwise(_q(c))
 
-    keys = df.select(*[short(c).alias(c) for c in cols])
-    return value_counts(keys, cols).groupBy("column_name").agg(F.count("value").alias("distinct_count"))
+    counts = value_counts(df.select(*[short(c).alias(c) for c in cols]), cols)
+    return counts.groupBy("column_name").agg(F.count("value").alias("distinct_count"))
 
 
 def profile(

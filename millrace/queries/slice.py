@@ -15,7 +15,7 @@ from millrace.plans import profile as P
 from millrace.plans import quality as Q
 from millrace.plans import validate as V
 from millrace.queries.base import Registry
-from millrace.runtime import load
+from millrace.runtime import load, scratch_path
 from millrace.spec import Blueprint, ForeignKey
 
 R = Registry()
@@ -37,12 +37,12 @@ def readiness(spark: SparkSession, folder: str) -> DataFrame:
     """Score table of the synthetic copies: (table_name, overall_score, level, recommendations)."""
     bp = blueprint(spark, folder)
     made = G.generate_all(spark, bp, 1.0, SEED, cap=None)
+    root = scratch_path(spark, "readiness")
+    rules = [r for spec in bp.tables for r in Q.rules_for(spec)]
+    run = L.run_layers(spark, made, bp, root, rules)
     dims = []
-    for name, df in made.items():
-        spec = bp.table(name)
-        silver, _ = L.to_silver(L.to_bronze(df, bp.source, "1"), spec)
-        found = Q.violations(silver, Q.rules_for(spec), name).agg(F.count_if(F.col("violating_rows") > 0).alias("n")).scalar()
-        one = V.validate_table(spark, silver.drop("_processed_at"), spec)
-        dims.append(one.withColumn("violations", found))
+    for name in made:
+        gold = spark.read.parquet(f"{root}/gold/{name}").drop("_published_at")
+        dims.append(V.validate_table(spark, gold, bp.table(name), 1.0, len(run.violations[name]), name not in run.failed))
     scores = V.score_tables(reduce(DataFrame.unionByName, dims))
     return scores.withColumn("recommendations", F.array_join("recommendations", "; "))

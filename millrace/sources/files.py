@@ -69,10 +69,10 @@ def read_permissive(spark: SparkSession, path: str, schema: str, fmt: str = "csv
     if fmt == "csv":
         reader = reader.option("header", "true")
     rows = reader.options(**options).format(fmt).load(path)
-    good = rows.filter(F.col(corrupt).isNull()).drop(corrupt)
-    # Spark refuses scans of the corrupt column alone, so the test reads another column with it
-    other = F.coalesce(F.col(rows.columns[0]).cast("string"), F.lit(""))
-    bad = rows.filter(F.concat(F.col(corrupt), other).isNotNull())
+    # readers parse only the columns a query uses, and a bad value elsewhere would go unseen: use them all
+    other = F.concat_ws("", *[F.col(c).cast("string") for c in rows.columns if c != corrupt])
+    broken = F.concat(F.col(corrupt), other)
+    good, bad = rows.filter(broken.isNull()).drop(corrupt), rows.filter(broken.isNotNull())
     return good, bad
 
 

@@ -91,9 +91,11 @@ def trim(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     rest = cut_lineage(_pairs(edges))
     size = rest.count()
     for _ in range(max_rounds):
-        starts = rest.select(F.col("dst").alias("src")).distinct()
-        ends = rest.select(F.col("src").alias("dst")).distinct()
-        rest = cut_lineage(rest.join(starts, "src", "left_semi").join(ends, "dst", "left_semi"))
+        for _ in range(HOPS_PER_ROUND // 2):
+            starts = rest.select(F.col("dst").alias("src")).distinct()
+            ends = rest.select(F.col("src").alias("dst")).distinct()
+            rest = rest.join(starts, "src", "left_semi").join(ends, "dst", "left_semi")
+        rest = cut_lineage(rest)
         left = rest.count()
         if left == size:
             break
@@ -101,17 +103,56 @@ def trim(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     return rest.select("src", "dst")
 
 
-def cycles(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+# steps taken between two writes to storage
+HOPS_PER_ROUND = 4
+
+
+def _spread_min(edges: DataFrame, max_rounds: int) -> DataFrame:
+    """(id, color): the smallest (hash, id) among the nodes that reach a node, itself included. Only nodes whose color
+    improved pass it on."""
+    ids = edges.select(F.col("src").alias("id")).unionAll(edges.select(F.col("dst").alias("id"))).distinct()
+    parts = [cut_lineage(ids.withColumn("color", F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id"))))]
+    for _ in range(max_rounds):
+        current = _union(parts).groupBy("id").agg(F.min("color").alias("old"))
+        offered = parts[-1]
+        for _ in range(HOPS_PER_ROUND):
+            onward = offered.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), "color")
+            offered = offered.unionAll(onward).groupBy("id").agg(F.min("color").alias("color"))
+        fresh = cut_lineage(offered.join(current, "id").filter("color < old").select("id", "color"))
+        if fresh.isEmpty():
+            return cut_lineage(_union(parts).groupBy("id").agg(F.min("color").alias("color")))
+        parts.append(fresh)
+    raise NotConverged(f"colors still spread after {max_rounds} rounds")
+
+
+def cycles(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(node, component): nodes on a cycle of at least two nodes, component = smallest node of the strongly connected part.
 
-    Trees hanging off the cycles are trimmed first, so the closure is taken of the cyclic core only.
+    No pairs of nodes are formed: every node takes the smallest color that reaches it, and what reaches the owner of a
+    color from inside that color is one component. Colors are ordered by a hash, so few sweeps suffice.
     """
-    paths = closure(trim(edges, max_rounds), max_rounds).select("src", "dst").filter("src <> dst")
-    back = paths.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = paths.join(back, ["src", "dst"], "left_semi")
-    return mutual.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select(
-        "node", F.least("node", "m").alias("component")
-    )
+    rest = trim(edges, max_rounds)
+    members = []
+    for _ in range(max_rounds):
+        if rest.isEmpty():
+            break
+        color = _spread_min(rest, max_rounds)
+        a = color.select(F.col("id").alias("src"), F.col("color").alias("__a"))
+        b = color.select(F.col("id").alias("dst"), F.col("color").alias("__b"))
+        inside = cut_lineage(rest.join(a, "src").join(b, "dst").filter("__a = __b").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        owners = color.filter("color.id = id").select(F.col("id").alias("start"), F.col("id").alias("node"))
+        part = cut_lineage(_search(owners, inside, 0, max_rounds).select("start", "node"))
+        members.append(part)
+        gone = part.select(F.col("node").alias("src"))
+        left = rest.join(gone, "src", "left_anti").join(gone.select(F.col("src").alias("dst")), "dst", "left_anti")
+        rest = trim(left, max_rounds)
+    else:
+        raise NotConverged(f"components left after {max_rounds} sweeps")
+    if not members:
+        return rest.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    everyone = _union(members)
+    parts = everyone.groupBy("start").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("component")).filter("n > 1")
+    return everyone.join(parts, "start").select("node", "component")
 
 
 def levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:

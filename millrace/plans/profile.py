@@ -113,25 +113,40 @@ def exact_percentiles(df: DataFrame, cols: list[str], probs: tuple[float, ...] =
         *[F.percentile_approx(x[c], asked, accuracy).alias(f"q{i}") for i, c in enumerate(cols)],
         *[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(cols)],
     ).first()
-    spots = [
-        (c, p, sketch[f"q{i}"][2 * j], sketch[f"q{i}"][2 * j + 1], max(1, math.ceil(round(p * sketch[f"n{i}"], 6))))
-        for i, c in enumerate(cols) if sketch[f"n{i}"] for j, p in enumerate(probs)
-    ]
-    below = df.agg(*[F.count_if(x[c] < lo).alias(f"b{k}") for k, (c, _, lo, _, _) in enumerate(spots)]).first()
-    inside = F.array_compact(
-        F.array(*[F.when(x[c].between(lo, hi), F.struct(F.lit(k).alias("k"), x[c].alias("v"))) for k, (c, _, lo, hi, _) in enumerate(spots)])
+    done, open_ = [], []
+    for i, c in enumerate(cols):
+        for j, p in enumerate(probs):
+            n, q = sketch[f"n{i}"], sketch[f"q{i}"]
+            if n and q[2 * j] == q[2 * j + 1]:
+                done.append((c, float(p), q[2 * j]))
+            elif n:
+                open_.append((c, float(p), q[2 * j], q[2 * j + 1], max(1, math.ceil(round(p * n, 6)))))
+    result = "column_name string, probability double, value double"
+    known = df.sparkSession.createDataFrame(done, result)
+    if not open_:
+        return known
+    below = df.agg(*[F.count_if(x[c] < lo).alias(f"b{k}") for k, (c, _, lo, _, _) in enumerate(open_)]).first()
+
+    def inside(c: str) -> DataFrame:
+        """(k, v, n): values of one column inside its brackets, with their counts."""
+        v = F.col("v")
+        mine = [(k, lo, hi) for k, (name, _, lo, hi, _) in enumerate(open_) if name == c]
+        hits = F.array_compact(F.array(*[F.when(v.between(lo, hi), F.lit(k)) for k, lo, hi in mine]))
+        near = reduce(Column.__or__, [v.between(lo, hi) for _, lo, hi in mine])
+        counts = df.select(x[c].alias("v")).filter(near).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        return counts.select(F.explode(hits).alias("k"), "v", "n")
+
+    counts = reduce(DataFrame.unionAll, [inside(c) for c in dict.fromkeys(s[0] for s in open_)])
+    spots = df.sparkSession.createDataFrame(
+        [(k, c, p, lo, hi, rank - below[f"b{k}"]) for k, (c, p, lo, hi, rank) in enumerate(open_)],
+        "k int, column_name string, probability double, lo double, hi double, need bigint",
     )
-    near = reduce(Column.__or__, [x[c].between(lo, hi) for c, _, lo, hi, _ in spots])
-    counts = df.filter(near).select(F.explode(inside).alias("s")).groupBy("s.k", "s.v").agg(F.count(F.lit(1)).alias("n"))
-    lows, highs = F.array(*[F.lit(float(s[2])) for s in spots]), F.array(*[F.lit(float(s[3])) for s in spots])
-    lo, hi = F.get(lows, F.col("k")), F.get(highs, F.col("k"))
-    chunk = F.coalesce(F.floor(F.try_divide(F.col("v") - lo, hi - lo) * 1024), F.lit(0))
-    need = F.array(*[F.lit(rank - below[f"b{k}"]) for k, (_, _, _, _, rank) in enumerate(spots)])
-    running = with_running_sum(counts, ["k"], "v", chunk, {"c": "n"})
-    reached = running.filter(F.col("c") >= F.get(need, F.col("k")))
-    names, shares = F.array(*[F.lit(s[0]) for s in spots]), F.array(*[F.lit(float(s[1])) for s in spots])
-    found = reached.groupBy("k").agg(F.min("v").alias("value"))
-    return found.select(F.get(names, F.col("k")).alias("column_name"), F.get(shares, F.col("k")).alias("probability"), "value")
+    # one row per asked percentile
+    placed = counts.join(F.broadcast(spots), "k")
+    chunk = F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 1024)
+    running = with_running_sum(placed, ["k"], "v", chunk, {"c": "n"}).filter("c >= need")
+    found = running.groupBy("k", "column_name", "probability").agg(F.min("v").alias("value"))
+    return known.unionByName(found.drop("k"))
 
 
 def value_counts(df: DataFrame, cols: list[str] | None = None, one_pass: bool = False) -> DataFrame:

@@ -51,6 +51,18 @@ def _hashable(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
 
 
+def _keyed(df: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
+    """Add the key as one struct and the chunk. A struct with NULL fields equals itself, so windows and joins agree on
+    NULL keys, and a plain equality keeps the partitioning of the window for the join."""
+    return df.withColumn("__key", F.struct(*(keys or [F.lit(0).alias("all")]))).withColumn("__chunk", chunk)
+
+
+def _carried(rows: DataFrame, side: DataFrame) -> DataFrame:
+    """Join the one row per (key, chunk) of ``side`` to rows already partitioned that way."""
+    side = side.withColumnsRenamed({"__key": "__r_key", "__chunk": "__r_chunk"})
+    return rows.join(side, (F.col("__key") == F.col("__r_key")) & (F.col("__chunk") == F.col("__r_chunk")), "left")
+
+
 def with_previous(
     df: DataFrame, keys: list[str], order: list[str], chunk: Column, columns: dict[str, str]
 ) -> DataFrame:
@@ -59,17 +71,15 @@ def with_previous(
     ``chunk`` must not decrease along ``order`` (for example the hour of the first order column).
     """
     picked = F.struct(*[F.col(src).alias(new) for new, src in columns.items()])
-    cut = df.withColumn("__chunk", chunk)
-    inside = Window.partitionBy(*keys, "__chunk").orderBy(*order)
+    cut = _keyed(df, keys, chunk)
+    inside = Window.partitionBy("__key", "__chunk").orderBy(*order)
     rows = cut.withColumn("__prev", F.lag(picked).over(inside))
-    last = cut.groupBy(*keys, "__chunk").agg(F.max_by(picked, F.struct(*order)).alias("__last"))
-    across = Window.partitionBy(*keys).orderBy("__chunk")
-    carry = last.select(*keys, "__chunk", F.lag("__last").over(across).alias("__carry"))
-    out = join_on(rows, carry, [*keys, "__chunk"])
+    last = cut.groupBy("__key", "__chunk").agg(F.max_by(picked, F.struct(*order)).alias("__last"))
+    across = Window.partitionBy("__key").orderBy("__chunk")
+    carry = last.select("__key", "__chunk", F.lag("__last").over(across).alias("__carry"))
+    out = _carried(rows, carry)
     previous = F.coalesce(F.col("__prev"), F.col("__carry"))
-    for new in columns:
-        out = out.withColumn(new, previous.getField(new))
-    return out.drop("__chunk", "__prev", "__carry")
+    return out.select(*df.columns, *[previous.getField(new).alias(new) for new in columns])
 
 
 def cut_points(df: DataFrame, value: str, n: int = 256) -> list:
@@ -94,19 +104,16 @@ def with_running_sum(
     df: DataFrame, keys: list[str], order: str, chunk: Column, sums: dict[str, str]
 ) -> DataFrame:
     """Inclusive running sums along ``order`` within ``keys``; ``order`` values must be unique per key."""
-    cut = df.withColumn("__chunk", chunk)
-    inside = Window.partitionBy(*keys, "__chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    cut = _keyed(df, keys, chunk)
+    inside = Window.partitionBy("__key", "__chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     rows = cut.withColumns({f"__in_{n}": F.sum(src).over(inside) for n, src in sums.items()})
-    totals = cut.groupBy(*keys, "__chunk").agg(*[F.sum(src).alias(f"__t_{n}") for n, src in sums.items()])
-    # one row per chunk: at most 257 rows per key
-    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "__chunk", *[F.sum(f"__t_{n}").over(before).alias(f"__o_{n}") for n in sums])
-    out = join_on(rows, offsets, [*keys, "__chunk"])
-    out = out.withColumns({n: F.col(f"__in_{n}") + F.coalesce(F.col(f"__o_{n}"), F.lit(0)) for n in sums})
-    return out.drop("__chunk", *[f"__in_{n}" for n in sums], *[f"__o_{n}" for n in sums])
-
-
-HASH_CHUNKS = 4096
+    totals = cut.groupBy("__key", "__chunk").agg(*[F.sum(src).alias(f"__t_{n}") for n, src in sums.items()])
+    # one row per chunk of a key
+    before = Window.partitionBy("__key").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__key", "__chunk", *[F.sum(f"__t_{n}").over(before).alias(f"__o_{n}") for n in sums])
+    out = _carried(rows, offsets)
+    total = [(F.col(f"__in_{n}") + F.coalesce(F.col(f"__o_{n}"), F.lit(0))).alias(n) for n in sums]
+    return out.select(*df.columns, *total)
 
 
 def dense_index(df: DataFrame, key: str, name: str = "idx") -> DataFrame:

@@ -82,7 +82,7 @@ def closure(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 
 def shortest_hops(edges: DataFrame, start, max_rounds: int = 100) -> DataFrame:
     """(node, hops) from one start node."""
-    seeds = edges.select(F.lit(start).alias("start"), F.lit(start).alias("node")).limit(1)
+    seeds = edges.sparkSession.range(1).select(F.lit(start).alias("start"), F.lit(start).alias("node"))
     return reach(edges, seeds, max_rounds).select("node", "hops")
 
 

@@ -1,7 +1,7 @@
 """Order-dependent computations that do not put a whole key into one task.
 
-A key may hold a third of all rows. Rows of a key are therefore cut into chunks of their order value; each (key, chunk)
-is a window partition of its own and a small table of chunk totals carries values across the cuts. Results are exact.
+A key may hold a third of all rows. Rows of such a key are therefore cut into chunks of their order value; each (key,
+chunk) is a window partition of its own and a small table of chunk values carries over the cuts. Results are exact.
 """
 
 from __future__ import annotations
@@ -64,17 +64,22 @@ def _carried(rows: DataFrame, side: DataFrame) -> DataFrame:
 
 
 def with_previous(
-    df: DataFrame, keys: list[str], order: list[str], chunk: Column, columns: dict[str, str]
+    df: DataFrame, keys: list[str], order: list[str], chunk: Column, columns: dict[str, str], share: float = 0.001
 ) -> DataFrame:
     """Add, for every row, values of the preceding row of its key. ``columns`` maps new name to source column.
 
-    ``chunk`` must not decrease along ``order`` (for example the hour of the first order column).
+    Only keys with at least ``share`` of the rows are cut, by ``chunk``, which must not decrease along ``order`` (for
+    example the hour of the first order column). The last row of each of their chunks is carried into the next one.
     """
     picked = F.struct(*[F.col(src).alias(new) for new, src in columns.items()])
-    cut = _keyed(df, keys, chunk)
+    keyed = _keyed(df, keys, chunk)
+    hot = hot_keys(keyed, ["__key"], share).select(F.col("__key").alias("__h_key"), F.lit(True).alias("__hot"))
+    # at most 1/share keys
+    cut = keyed.join(F.broadcast(hot), F.col("__key") == F.col("__h_key"), "left")
+    cut = cut.withColumn("__chunk", F.when(F.col("__hot"), F.col("__chunk")))
     inside = Window.partitionBy("__key", "__chunk").orderBy(*order)
     rows = cut.withColumn("__prev", F.lag(picked).over(inside))
-    last = cut.groupBy("__key", "__chunk").agg(F.max_by(picked, F.struct(*order)).alias("__last"))
+    last = cut.filter("__hot").groupBy("__key", "__chunk").agg(F.max_by(picked, F.struct(*order)).alias("__last"))
     across = Window.partitionBy("__key").orderBy("__chunk")
     carry = last.select("__key", "__chunk", F.lag("__last").over(across).alias("__carry"))
     out = _carried(rows, carry)

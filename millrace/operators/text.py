@@ -54,6 +54,11 @@ def fork(df: DataFrame, array_col: str, name: str = "record", outer: bool = True
     return df.select(*rest, explode(array_col).alias("pos", name))
 
 
+def split_records(df: DataFrame, array_col: str) -> DataFrame:
+    """One row per record of an array of records, its fields as columns."""
+    return df.select(F.explode(array_col).alias("__item")).select("__item.*")
+
+
 def valid_json(df: DataFrame, col: str, schema: str | None = None, name: str = "is_valid") -> DataFrame:
     """Does the text parse, as any JSON or with the fields of ``schema``?"""
     if schema is None:

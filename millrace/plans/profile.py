@@ -149,18 +149,34 @@ def exact_percentiles(df: DataFrame, cols: list[str], probs: tuple[float, ...] =
     return known.unionByName(found.drop("k"))
 
 
+LONG_TEXT = 256
+
+
 def value_counts(df: DataFrame, cols: list[str] | None = None, one_pass: bool = False) -> DataFrame:
-    """(column_name, value, n) over all columns.
+    """(column_name, value, is_long, n) over all columns; a text of more than 256 characters is counted, and shuffled, as
+    its SHA-256 (see :func:`restore`).
 
     Each column is counted by itself in its own type: a columnar source then reads every column once, and no row is
     multiplied. ``one_pass`` unpivots instead, for an input that is costly to compute and not stored.
     """
     cols = cols or profiled_columns(df)
+    text = {c: isinstance(df.schema[c].dataType, T.StringType) for c in cols}
+    n = F.count(F.lit(1)).alias("n")
+
+    def long(c: str) -> Column:
+        return F.coalesce(F.length(_q(c)) > LONG_TEXT, F.lit(False)) if text[c] else F.lit(False)
+
+    def key(c: str) -> Column:
+        return F.when(long(c), F.sha2(_q(c), 256)).otherwise(_q(c)) if text[c] else _q(c)
+
     if one_pass:
-        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), _q(c).cast("string").alias("value")) for c in cols]))
-        return df.select(cells.alias("c")).select("c.*").groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+        cells = [
+            F.struct(F.lit(c).alias("column_name"), key(c).cast("string").alias("value"), long(c).alias("is_long")) for c in cols
+        ]
+        return df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").groupBy("column_name", "value", "is_long").agg(n)
     parts = [
-        df.groupBy(_q(c).alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(c).alias("column_name"), F.col("value").cast("string"), "n")
+        df.select(key(c).alias("value"), long(c).alias("is_long")).groupBy("value", "is_long").agg(n)
+        .select(F.lit(c).alias("column_name"), F.col("value").cast("string"), "is_long", "n")
         for c in cols
     ]
     return reduce(DataFrame.unionAll, parts)
@@ -172,23 +188,32 @@ def top_of(counts: DataFrame, k: int) -> DataFrame:
     return counts.filter("value is not null").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def restore(tops: DataFrame, df: DataFrame, cols: list[str]) -> DataFrame:
+    """Put the texts back where ``tops`` has digests. There are at most k per column; without any, adaptive execution
+    drops the scan."""
+    texts = [c for c in cols if isinstance(df.schema[c].dataType, T.StringType)]
+    if not texts:
+        return tops.drop("is_long")
+    wanted = tops.filter("is_long").select(F.col("column_name").alias("__c"), F.col("value").alias("__d"))
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), _q(c).alias("v")) for c in texts])).alias("s")
+    long = df.select(cells).filter(F.length("s.v") > LONG_TEXT).select("s.c", "s.v", F.sha2("s.v", 256).alias("d"))
+    hits = long.join(F.broadcast(wanted), (F.col("c") == F.col("__c")) & (F.col("d") == F.col("__d")), "left_semi")
+    found = hits.groupBy("c", "d").agg(F.any_value("v").alias("__text"))
+    out = tops.join(found, (F.col("column_name") == F.col("c")) & (F.col("value") == F.col("d")), "left")
+    return out.withColumn("value", F.coalesce("__text", "value")).drop("c", "d", "__text", "is_long")
+
+
 def top_values(df: DataFrame, k: int = DEFAULTS.top_values, cols: list[str] | None = None) -> DataFrame:
     """(column_name, rank, value, n, frequency); frequency is the share of all rows, NULLs included."""
+    cols = cols or profiled_columns(df)
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return top_of(value_counts(df, cols), k).withColumn("frequency", F.col("n") / total)
+    tops = restore(top_of(value_counts(df, cols), k), df, cols)
+    return tops.select("column_name", "rank", "value", "n").withColumn("frequency", F.col("n") / total)
 
 
 def exact_distinct(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """(column_name, distinct_count), exact; counted per task and merged. Long texts are shuffled as their SHA-256."""
-    cols = cols or profiled_columns(df)
-
-    def short(c: str) -> Column:
-        if not isinstance(df.schema[c].dataType, T.StringType):
-            return _q(c)
-        return F.when(F.length(_q(c)) > 64, F.sha2(_q(c), 256)).otherwise(_q(c))
-
-    counts = value_counts(df.select(*[short(c).alias(c) for c in cols]), cols)
-    return counts.groupBy("column_name").agg(F.count("value").alias("distinct_count"))
+    """(column_name, distinct_count), exact; counted per task and merged."""
+    return value_counts(df, cols).groupBy("column_name").agg(F.count("value").alias("distinct_count"))
 
 
 def profile(
@@ -199,10 +224,11 @@ def profile(
     rows read for a quick look."""
     if sample:
         df = df.limit(sample)
+    cols = cols or profiled_columns(df)
     base = statistics(df, cols, accuracy, distinct=not exact)
     counts = value_counts(df, cols)
     entry = F.struct("rank", "value", "n")
-    tops = top_of(counts, k).groupBy("column_name").agg(F.array_sort(F.collect_list(entry)).alias("__top"))
+    tops = restore(top_of(counts, k), df, cols).groupBy("column_name").agg(F.array_sort(F.collect_list(entry)).alias("__top"))
     if exact:
         distinct = counts.groupBy("column_name").agg(F.count("value").alias("distinct_count"))
         base = base.drop("distinct_count").join(distinct, "column_name", "left")
@@ -232,7 +258,8 @@ def column_summary(df: DataFrame, k: int = 5) -> DataFrame:
     base = df.agg(*aggs).select(F.inline(F.array(*rows)))
     counts = value_counts(df, cols)
     distinct = counts.groupBy("column_name").agg(F.count("value").alias("distinct_values"))
-    tops = top_of(counts, k).groupBy("column_name").agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("t"))
+    tops = restore(top_of(counts, k), df, cols).groupBy("column_name")
+    tops = tops.agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("t"))
     shown = F.array_join(F.transform("t", lambda t: F.format_string("%s(%d)", t["value"], t["n"])), ", ")
     out = base.join(distinct, "column_name", "left").join(tops, "column_name", "left")
     return out.withColumns(

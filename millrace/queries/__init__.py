@@ -6,7 +6,7 @@ from importlib import import_module
 
 FAMILIES = (
     "slice", "scans", "routing", "joining", "aggregating", "ordering", "attributes", "texts", "profiling", "synthesis", "rules",
-    "scoring", "private", "lineage", "streams", "code",
+    "scoring", "private", "lineage", "streams", "code", "flows",
 )
 
 

@@ -102,6 +102,16 @@ def top_values(spark, d):
     return P.top_values(load(spark, d, "lineitem"), 20, TOP_COLS).withColumn("frequency", F.round("frequency", 8))
 
 
+@R.add(
+    "top_long_values",
+    """SELECT rank::INT AS rank, n, copies_of, is_text FROM (SELECT row_number() OVER (ORDER BY n DESC, v) AS rank, n, md5(t) AS copies_of, length(t) > 256 AS is_text
+    FROM (SELECT CASE WHEN length(text) > 256 THEN sha256(text) ELSE text END AS v, any_value(text) AS t, count(*) AS n FROM documents GROUP BY 1)) WHERE rank <= 20""",
+)
+def top_long_values(spark, d):
+    out = P.top_values(load(spark, d, "documents"), 20, ["text"])
+    return out.select("rank", "n", F.md5("value").alias("copies_of"), (F.length("value") > 256).alias("is_text"))
+
+
 @R.add(
     "pattern_detect",
     r"""WITH t AS (SELECT lpad((c_custkey % 1000)::VARCHAR, 3, '0') || '-' || lpad((c_nationkey)::VARCHAR, 2, '0') || '-' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') AS tax_no,

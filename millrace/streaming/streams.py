@@ -142,6 +142,11 @@ def gate(df: DataFrame, signals: DataFrame, key: str, signal: str, target: int)
     return df.join(ready, F.col(key) == F.col("__s"), "left_semi")
 
 
+def notify(signals: DataFrame, path: str) -> None:
+    """Give signals: append rows to the signal table a gate reads."""
+    signals.write.mode("append").parquet(path)
+
+
 def gate_stream(df: DataFrame, signals: str, key: str, signal: str, target: int, sink: str, checkpoint: str) -> StreamingQuery:
     """Release and hold: rows of open gates go to ``sink``; rows still waiting are kept in ``sink``-waiting and tried
     again with every batch."""

@@ -23,10 +23,11 @@ def same(a, b):
     assert left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
 
 
-def test_previous_equals_lag(skewed):
+@pytest.mark.parametrize("share", [0.0, 0.1, 1.0])
+def test_previous_equals_lag(skewed, share):
     w = Window.partitionBy("k").orderBy("ts", "id")
     want = skewed.withColumn("before", F.lag("id").over(w))
-    got = O.with_previous(skewed, ["k"], ["ts", "id"], F.date_trunc("hour", "ts"), {"before": "id"})
+    got = O.with_previous(skewed, ["k"], ["ts", "id"], F.date_trunc("hour", "ts"), {"before": "id"}, share=share)
     same(got, want)
 
 

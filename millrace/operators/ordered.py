@@ -105,6 +105,19 @@ def chunk_of(value: Column, points: list) -> Column:
     return search(0, len(points))
 
 
+def with_fine_chunk(df: DataFrame, value: str, name: str, points: list, lo, hi, parts: int = 256) -> DataFrame:
+    """Add a chunk number: each part between two cut points is divided again into ``parts`` of equal width. ``lo`` and
+    ``hi`` are the extremes of the values; the number does not decrease with the value."""
+    if lo is None or not points:
+        return df.withColumn(name, F.lit(0))
+    bounds = F.array(*[F.lit(float(b)) for b in (lo, *points, hi)])
+    coarse = df.withColumn("__coarse", chunk_of(F.col(value), points))
+    left, right = F.get(bounds, F.col("__coarse")), F.get(bounds, F.col("__coarse") + 1)
+    share = F.coalesce(F.try_divide(F.col(value).cast("double") - left, right - left), F.lit(0.0))
+    fine = F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor(share * parts)))
+    return coarse.withColumn(name, F.col("__coarse") * parts + fine).drop("__coarse")
+
+
 def with_running_sum(
     df: DataFrame, keys: list[str], order: str, chunk: Column, sums: dict[str, str]
 ) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.ordered import chunk_of, with_running_sum
+from millrace.operators.ordered import with_fine_chunk, with_running_sum
 from millrace.plans.generate import generate_all, rows_of
 from millrace.plans.layers import LayerResult, run_layers
 from millrace.plans.profile import statistics
@@ -93,21 +93,23 @@ def fidelity_table(columns: DataFrame, expected_rows: int | Column, settings: Se
 def ks_distance(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance, exact on distinct values.
 
-    Values are counted per side first; the running shares are built in parallel over 256 parts of the value range,
-    cut by a sketch so that they hold about equally many rows.
+    Values are counted per side first; the running shares are built in parallel over 64 parts of the value range, cut by
+    a sketch so that they hold about equally many rows, and each divided again by 256.
     """
     both = (
         a.select(F.col(value).alias("v"), F.lit(1).alias("na"), F.lit(0).alias("nb"))
         .unionByName(b.select(F.col(value).alias("v"), F.lit(0).alias("na"), F.lit(1).alias("nb")))
         .filter("v is not null")
     )
-    n = 256
+    n = 64
     sketch = both.agg(
-        F.percentile_approx("v", [i / n for i in range(1, n)], 10000).alias("p"), F.sum("na").alias("na"), F.sum("nb").alias("nb")
+        F.percentile_approx("v", [i / n for i in range(1, n)], 10000).alias("p"), F.sum("na").alias("na"), F.sum("nb").alias("nb"),
+        F.min("v").alias("lo"), F.max("v").alias("hi"),
     ).first()
     counts = both.groupBy("v").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
-    chunk = chunk_of(F.col("v"), sorted(set(sketch["p"] or [])))
-    running = with_running_sum(counts, [], "v", chunk, {"ca": "na", "cb": "nb"})
+    points = sorted(set(sketch["p"] or []))
+    counts = with_fine_chunk(counts, "v", "__part", points, sketch["lo"], sketch["hi"])
+    running = with_running_sum(counts, [], "v", F.col("__part"), {"ca": "na", "cb": "nb"})
     gap = F.max(F.abs(F.col("ca") / F.lit(sketch["na"]) - F.col("cb") / F.lit(sketch["nb"])))
     return running.agg(gap.alias("ks"), F.max("ca").alias("n_a"), F.max("cb").alias("n_b"))
 

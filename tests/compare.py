@@ -91,7 +91,7 @@ def main() -> int:
     wanted = []
     for a in args:
         wanted += list(import_module(f"millrace.queries.{a}").R.queries) if a in queries.FAMILIES else [a]
-    spark = session("compare", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g")
+    spark = session("compare", "local[8]", spark__sql__shuffle__partitions=os.environ.get("SHUFFLE", "8"), spark__driver__memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     bad = 0

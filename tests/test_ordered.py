@@ -77,3 +77,12 @@ def test_duplicates_mark_counts_hot_group(skewed):
     marked = W.duplicates(skewed.select("id", "k"), ["k"], "mark")
     counts = {r["k"]: r["copies"] for r in marked.select("k", "copies").distinct().collect()}
     assert counts["hot"] == 2000 and marked.count() == 6000
+
+
+def test_fine_chunks_increase_with_the_value(spark):
+    df = spark.range(3000).select((F.col("id") * F.col("id") % 977 / 3.0).alias("v"))
+    points = O.cut_points(df, "v", 8)
+    lo, hi = df.agg(F.min("v"), F.max("v")).first()
+    out = O.with_fine_chunk(df, "v", "c", points, lo, hi, 16).distinct().orderBy("v").collect()
+    chunks = [r["c"] for r in out]
+    assert chunks == sorted(chunks) and len(set(chunks)) > 50

@@ -11,13 +11,21 @@ import socket
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Variable names that hold configuration or secrets rather than record attributes.
-_CONFIG_WORDS = re.compile(r"password|secret|token|credential|passphrase|private|keytab|api[_-]?key", re.I)
+# Variable names that hold secrets or configuration rather than record attributes.
+_SECRET = re.compile(r"password|token|secret|credential|api[_.]?key|private[_.]?key|passphrase", re.I)
+_CONFIG_START = re.compile(r"^(s3|kafka|jdbc|aws|azure|gcp|http|ftp|smtp|ssl|sasl)\.", re.I)
+_CONFIG_END = re.compile(r"\.(url|host|port|path|bucket|region)$", re.I)
+
+
+def variable_context(name: str) -> str:
+    """``secret``, ``config`` or ``column``: what a variable name refers to."""
+    if _SECRET.search(name):
+        return "secret"
+    return "config" if _CONFIG_START.search(name) or _CONFIG_END.search(name) else "column"
 
 
 def is_column_name(name: str) -> bool:
-    """False for variables that look like secrets or configuration."""
-    return not _CONFIG_WORDS.search(name)
+    return variable_context(name) == "column"
 
 
 def attr(value: str | Column) -> Attr:

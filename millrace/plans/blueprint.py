@@ -243,14 +243,19 @@ def default_stats(columns: DataFrame, rows: int = 1000) -> DataFrame:
     )
 
 
-def guess_type(name: Column) -> Column:
-    """Type of a column known by name only (fixed values)."""
-    return (
-        F.when(name.rlike(r"(?i)(^|_)(id|count|qty|num|number)$"), "bigint")
-        .when(name.rlike(r"(?i)(date|_dt)$"), "date").when(name.rlike(r"(?i)(time|timestamp|_at|_ts)$"), "timestamp")
-        .when(name.rlike(r"(?i)(amount|price|total|cost|rate)$"), "decimal").when(name.rlike(r"(?i)^(is|has)_"), "boolean")
-        .otherwise("string")
-    )
+# Words in column names and the type they suggest, in this order.
+NAME_TYPES = [
+    ("timestamp", "date|time|timestamp|created|modified"),
+    ("int", "count|num|qty|amount|total|size"),
+    ("decimal", "price|cost|rate|pct|percent|ratio|score"),
+    ("boolean", "flag|is_|has_|enabled|active"),
+]
+
+
+def guess_types(df: DataFrame, col: str, name: str = "data_type") -> DataFrame:
+    """Types of columns known by name only, as when just a SQL text names them; varchar if nothing fits."""
+    guesses = [F.when(F.col(col).rlike(words), F.lit(kind)) for kind, words in NAME_TYPES]
+    return df.withColumn(name, F.coalesce(*guesses, F.lit("varchar")))
 
 
 def normalize_types(df: DataFrame, col: str, name: str = "canonical_type") -> DataFrame:

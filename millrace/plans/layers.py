@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.project import enforce
+from millrace.operators.windows import dedup
 from millrace.plans.quality import Rule, apply_rules, not_all_null, rules_sql
 from millrace.spec import NOT_NULL_DEFAULTS, Blueprint, ColumnSpec, TableSpec, spark_type
 
@@ -45,24 +46,28 @@ def to_gold(silver: DataFrame, keys: list[str] | None = None, aggs: dict[str, Co
     return rows.withColumn("_published_at", F.current_timestamp())
 
 
-def clean_stats(bronze: DataFrame, spec: list[ColumnSpec]) -> DataFrame:
-    """What cleaning does to a table: rows in, all-NULL rows dropped, NULLs filled in NOT NULL columns."""
+def clean_stats(bronze: DataFrame, spec: list[ColumnSpec], order: list[str] | None = None) -> DataFrame:
+    """What cleaning does to a table: rows in, rows dropped (all NULL, or a repeated primary key of which the first row
+    in ``order`` stays), NULLs filled in NOT NULL columns."""
     data = bronze.drop(*BRONZE_META)
-    empty = F.coalesce(*[F.col(f"`{c}`").cast("string") for c in data.columns]).isNull()
     have = set(data.columns)
+    total = data.agg(F.count(F.lit(1)).alias("n")).scalar()
+    kept = data.filter(not_all_null(data).expression)
+    keys = [c.name for c in spec if c.primary_key and c.name in have]
+    if keys:
+        kept = dedup(kept, keys, order or keys)
 
     def filled(c: ColumnSpec) -> Column:
         kind = spark_type(c.data_type)
         value = F.col(c.name).try_cast(kind) if c.name in have else F.lit(None)
-        return F.count_if(~empty & value.isNull()).cast("bigint")
+        return F.count_if(value.isNull()).cast("bigint")
 
     must = [c for c in spec if not c.nullable and spark_type(c.data_type).split("(")[0] in NOT_NULL_DEFAULTS]
-    total = F.lit(0).cast("bigint")
+    nulls = F.lit(0).cast("bigint")
     for c in must:
-        total = total + filled(c)
-    return data.agg(
-        F.count(F.lit(1)).alias("rows_in"), F.count_if(empty).alias("rows_dropped"), total.alias("nulls_filled")
-    )
+        nulls = nulls + filled(c)
+    counts = kept.agg(F.count(F.lit(1)).alias("kept"), nulls.alias("nulls_filled")).withColumn("rows_in", total)
+    return counts.select("rows_in", (F.col("rows_in") - F.col("kept")).alias("rows_dropped"), "nulls_filled")
 
 
 @dataclass

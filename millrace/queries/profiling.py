@@ -204,6 +204,18 @@ def type_normalize(spark, d):
     return B.normalize_types(load(spark, d, "orders").select("o_orderkey", raw.alias("raw_type")), "raw_type")
 
 
+NAME_CASES = {"created_at": "timestamp", "row_count": "int", "unit_price": "decimal", "is_open": "boolean", "label": "varchar", "hit_rate": "decimal"}
+
+
+@R.add(
+    "column_type_guess",
+    f"""SELECT o_orderkey, {list(NAME_CASES)}[o_orderkey % 6 + 1] || '_' || o_custkey AS column_name, {list(NAME_CASES.values())}[o_orderkey % 6 + 1] AS data_type FROM orders""",
+)
+def column_type_guess(spark, d):
+    name = F.element_at(F.array(*[F.lit(k) for k in NAME_CASES]), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return B.guess_types(load(spark, d, "orders").select("o_orderkey", F.concat_ws("_", name, "o_custkey").alias("column_name")), "column_name")
+
+
 @R.add(
     "mapping_to_blueprint",
     """SELECT 'T_' || n_name AS table_name, 'c' || c_custkey AS column_name, CASE WHEN c_custkey % 2 = 0 THEN 'varchar' ELSE 'number' END AS data_type,

@@ -223,11 +223,12 @@ def gold_summary(spark, d):
 
 @R.add(
     "silver_clean_stats",
-    """SELECT count(*) AS rows_in, count(*) FILTER (o_orderkey % 50 = 0) AS rows_dropped,
+    """SELECT count(*) + count(*) FILTER (o_orderkey % 10 = 3) AS rows_in, count(*) FILTER (o_orderkey % 50 = 0) + count(*) FILTER (o_orderkey % 10 = 3) AS rows_dropped,
     (count(*) FILTER (o_orderkey % 50 <> 0) + count(*) FILTER (o_orderkey % 50 <> 0 AND o_orderkey % 6 = 0))::BIGINT AS nulls_filled FROM orders""",
 )
 def silver_clean_stats(spark, d):
-    return L.clean_stats(_bronze(spark, d), SPEC.columns)
+    bronze = _bronze(spark, d)
+    return L.clean_stats(bronze.unionByName(bronze.filter("o_orderkey % 10 = 3")), SPEC.columns)
 
 
 @R.add(

@@ -52,6 +52,7 @@ def test_attribute_functions(spark, text, a, want):
 
 def test_config_names_are_not_columns():
     assert fn.is_column_name("filename") and not fn.is_column_name("db.password")
+    assert [fn.variable_context(n) for n in ("kafka.topic", "sink.path", "API_KEY", "uuid")] == ["config", "config", "secret", "column"]
 
 
 def test_grok_expansion():

@@ -37,16 +37,22 @@ def skew_join(
     """Join a table that may hold hot keys with a table holding each key once.
 
     Only the hot keys (at most 1/share, hence broadcast) are salted: their rows spread over ``salts`` tasks and their
-    one row of the other side is copied ``salts`` times.
+    one row of the other side is copied ``salts`` times. The salt depends on the row and on its input partition, so
+    identical copies spread too and a retried task gives the same salts.
     """
     hot = F.broadcast(hot_keys(big, keys, share).withColumn("__hot", F.lit(True)))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in _hashable(big)]), F.lit(salts)).cast("int")
+    spread = row_salt(big, salts)
     left = join_on(big, hot, keys).withColumn("__salt", F.when(F.col("__hot"), spread).otherwise(F.lit(0))).drop("__hot")
     copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     right = join_on(unique, hot, keys).withColumn("__salt", F.explode(copies)).drop("__hot")
     return join_on(left, right, [*keys, "__salt"], how).drop("__salt")
 
 
+def row_salt(df: DataFrame, salts: int) -> Column:
+    """A number below ``salts`` from the content and the input partition of a row."""
+    return F.pmod(F.xxhash64(*[F.col(c) for c in _hashable(df)]) + F.spark_partition_id(), F.lit(salts)).cast("int")
+
+
 def _hashable(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
 

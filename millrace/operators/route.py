@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.ordered import row_salt
+
 UNMATCHED = "unmatched"
 
 
@@ -62,16 +64,15 @@ def split_valid(df: DataFrame, rules: dict[str, Column | str]) -> tuple[DataFram
 
 
 def distribute(df: DataFrame, n: int, by: str | None = None, name: str = "bucket") -> DataFrame:
-    """Spread rows over ``n`` outputs: by a number column, else by the hash of the row."""
-    value = F.col(by) if by else F.xxhash64(*df.columns)
-    return df.withColumn(name, F.pmod(value, F.lit(n)).cast("int"))
+    """Spread rows over ``n`` outputs: by a number column, else by the content and input partition of the row."""
+    return df.withColumn(name, F.pmod(F.col(by), F.lit(n)).cast("int") if by else row_salt(df, n))
 
 
 def partition_by(df: DataFrame, field: str, salts: int = 1) -> DataFrame:
     """Bring records of one field value together; ``salts`` > 1 spreads each value over that many partitions."""
     if salts == 1:
         return df.repartition(F.col(field))
-    return df.repartition(F.col(field), F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    return df.withColumn("__salt", row_salt(df, salts)).repartition(F.col(field), F.col("__salt")).drop("__salt")
 
 
 def to_dead_letter(df: DataFrame, error: Column | str, source: str, stamped: bool = True) -> DataFrame:

@@ -337,3 +337,52 @@ def find_resources(df: DataFrame, id_col: str, text_col: str, kinds: list[str] |
 
     every = F.concat(*[found(k) for k in (kinds or RESOURCE_PATTERNS)])
     return df.select(id_col, F.explode(every).alias("__r")).select(id_col, "__r.kind", "__r.resource")
+
+
+# Systems named by the type of a step, as key and pattern.
+SYSTEM_PATTERNS = {
+    "kafka": "(?i)Kafka",
+    "oracle": "(?i)Oracle",
+    "mysql": "(?i)MySQL",
+    "postgresql": "(?i)Postgres",
+    "mongodb": "(?i)Mongo",
+    "elasticsearch": "(?i)Elastic",
+    "cassandra": "(?i)Cassandra",
+    "hbase": "(?i)HBase",
+    "kudu": "(?i)Kudu",
+    "hive": "(?i)Hive",
+    "hdfs": "(?i)HDFS|Hadoop",
+    "s3": "(?i)S3",
+    "azure_blob": "(?i)Azure.*Blob",
+    "azure_adls": "(?i)Azure.*Lake|ADLS",
+    "azure_eventhub": "(?i)Azure.*Event",
+    "gcs": "(?i)GCS|BigQuery",
+    "snowflake": "(?i)Snowflake",
+    "redis": "(?i)Redis",
+    "solr": "(?i)Solr",
+    "sftp": "(?i)SFTP|FTP",
+    "http": "(?i)HTTP|REST",
+    "jms": "(?i)JMS",
+    "amqp": "(?i)AMQP",
+    "mqtt": "(?i)MQTT",
+    "email": "(?i)Email|SMTP",
+    "syslog": "(?i)Syslog",
+    "slack": "(?i)Slack",
+    "splunk": "(?i)Splunk",
+    "influxdb": "(?i)InfluxDB",
+    "neo4j": "(?i)Neo4j",
+    "teradata": "(?i)Teradata",
+    "iceberg": "(?i)Iceberg",
+    "sql_jdbc": "(?i)SQL|Database|JDBC",
+}
+
+
+def external_systems(steps: DataFrame, id_col: str, type_col: str) -> DataFrame:
+    """(id, system, direction): external systems the steps of a flow talk to, judged by their type."""
+    kind = F.col(type_col)
+    direction = (
+        F.when(kind.rlike("(?i)^(Get|List|Consume|Listen|Fetch|Query|Scan|Select)"), "READ")
+        .when(kind.rlike("(?i)^(Put|Publish|Send|Post|Insert|Write|Delete)"), "WRITE").otherwise("READ/WRITE")
+    )
+    hits = F.array_compact(F.array(*[F.when(kind.rlike(p), F.lit(k)) for k, p in SYSTEM_PATTERNS.items()]))
+    return steps.select(id_col, F.explode(hits).alias("system"), direction.alias("direction"))

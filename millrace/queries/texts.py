@@ -325,3 +325,14 @@ RESOURCE_SQL = "\nUNION ALL\n".join(
 @R.add("resource_manifest", RESOURCE_SQL)
 def resource_manifest(spark, d):
     return X.find_resources(load(spark, d, "pages"), "page_id", "html")
+
+
+@R.add(
+    "external_systems",
+    """WITH t AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'ConsumeKafka' WHEN 'click' THEN 'PutDatabaseRecord' WHEN 'error' THEN 'ListSFTP' WHEN 'signup' THEN 'UpdateRecord' ELSE 'ExecuteMySQL' END AS kind FROM events)
+    SELECT event_id, s AS system, d AS direction FROM t JOIN (VALUES ('ConsumeKafka', 'kafka', 'READ'), ('PutDatabaseRecord', 'sql_jdbc', 'WRITE'), ('ListSFTP', 'sftp', 'READ'),
+      ('ExecuteMySQL', 'mysql', 'READ/WRITE'), ('ExecuteMySQL', 'sql_jdbc', 'READ/WRITE')) AS v(k, s, d) ON kind = k""",
+)
+def external_systems(spark, d):
+    kind = F.expr("CASE event_type WHEN 'view' THEN 'ConsumeKafka' WHEN 'click' THEN 'PutDatabaseRecord' WHEN 'error' THEN 'ListSFTP' WHEN 'signup' THEN 'UpdateRecord' ELSE 'ExecuteMySQL' END")
+    return X.external_systems(load(spark, d, "events").select("event_id", kind.alias("kind")), "event_id", "kind")

@@ -86,3 +86,9 @@ def test_fine_chunks_increase_with_the_value(spark):
     out = O.with_fine_chunk(df, "v", "c", points, lo, hi, 16).distinct().orderBy("v").collect()
     chunks = [r["c"] for r in out]
     assert chunks == sorted(chunks) and len(set(chunks)) > 50
+
+
+def test_copies_of_one_row_spread_over_salts(spark):
+    """A third of the rows may be the same row: its copies must not share one salt."""
+    copies = spark.range(0, 8000, 1, 8).select(F.lit("same").alias("k"))
+    assert copies.select(O.row_salt(copies, 8).alias("s")).distinct().count() == 8

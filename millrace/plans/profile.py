@@ -195,8 +195,8 @@ def restore(tops: DataFrame, df: DataFrame, cols: list[str]) -> DataFrame:
     if not texts:
         return tops.drop("is_long")
     wanted = tops.filter("is_long").select(F.col("column_name").alias("__c"), F.col("value").alias("__d"))
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), _q(c).alias("v")) for c in texts])).alias("s")
-    long = df.select(cells).filter(F.length("s.v") > LONG_TEXT).select("s.c", "s.v", F.sha2("s.v", 256).alias("d"))
+    parts = [df.select(F.lit(c).alias("c"), _q(c).alias("v")).filter(F.length("v") > LONG_TEXT) for c in texts]
+    long = reduce(DataFrame.unionAll, parts).withColumn("d", F.sha2("v", 256))
     hits = long.join(F.broadcast(wanted), (F.col("c") == F.col("__c")) & (F.col("d") == F.col("__d")), "left_semi")
     found = hits.groupBy("c", "d").agg(F.any_value("v").alias("__text"))
     out = tops.join(found, (F.col("column_name") == F.col("c")) & (F.col("value") == F.col("d")), "left")
@@ -216,6 +216,12 @@ def exact_distinct(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return value_counts(df, cols).groupBy("column_name").agg(F.count("value").alias("distinct_count"))
 
 
+def exact_statistics(df: DataFrame, cols: list[str] | None = None, accuracy: int = 0) -> DataFrame:
+    """:func:`statistics` with exact distinct counts, without top values."""
+    base = statistics(df, cols, accuracy, distinct=False).drop("distinct_count")
+    return base.join(exact_distinct(df, cols), "column_name")
+
+
 def profile(
     df: DataFrame, cols: list[str] | None = None, k: int = DEFAULTS.top_values, exact: bool = False,
     accuracy: int = 10000, sample: int | None = None,

@@ -31,8 +31,7 @@ def union_sql(template: str, names: list[str]) -> str:
     ),
 )
 def profile_basic(spark, d):
-    df = load(spark, d, "lineitem")
-    out = P.statistics(df, accuracy=0, distinct=False).drop("distinct_count").join(P.exact_distinct(df), "column_name")
+    out = P.exact_statistics(load(spark, d, "lineitem"))
     return out.select("column_name", "row_count", "non_null_count", "null_count", "null_ratio", "distinct_count")
 
 

@@ -68,7 +68,7 @@ def _fidelity(spark, d):
         "o_orderkey", "CASE WHEN o_orderkey % 9 > 0 THEN o_custkey END AS o_custkey", "o_totalprice * 1.5D AS o_totalprice", "o_orderstatus", "'x' AS o_orderpriority"
     )
     cols = list(CHECKED)
-    return V.fidelity_columns(P.profile(orders, cols, k=1, exact=True), P.profile(actual, cols, k=1, exact=True), 0.5), orders, actual
+    return V.fidelity_columns(P.exact_statistics(orders, cols), P.exact_statistics(actual, cols), 0.5), orders, actual
 
 
 @R.add("fidelity_columns", FIDELITY_SCORED)

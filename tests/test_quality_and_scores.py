@@ -186,3 +186,26 @@ def test_crawl_skips_broken_tables(spark):
     spark.range(3).write.mode("overwrite").saveAsTable("crawl_db.good")
     found, failed = B.crawl(spark, ["crawl_db", "sys"])
     assert [(r["table_name"], r["row_count"]) for r in found.collect()] == [("crawl_db.good", 3)] and failed == []
+
+
+def test_empty_tables(spark, people):
+    none = people.limit(0)
+    stats = {r["column_name"]: r for r in P.profile(none, exact=True).collect()}
+    assert stats["amount"]["row_count"] == 0 and stats["amount"]["null_ratio"] == 0.0 and stats["amount"]["mean"] is None
+    found = Q.violations(none, [Q.not_null("name"), Q.unique(["id"])]).collect()
+    assert [(r["violating_rows"], r["total_rows"], r["violation_ratio"]) for r in found] == [(0, 0, 0.0)] * 2
+    assert P.exact_percentiles(none, ["amount"]).isEmpty()
+    assert L.clean_stats(none, [ColumnSpec("id", "int", False, True)]).first()["rows_dropped"] == 0
+    assert V.ks_distance(none, none, "amount").first()["ks"] is None
+
+
+def test_all_null_column(spark):
+    df = spark.range(10).select("id", F.lit(None).cast("double").alias("x"), F.lit(None).cast("string").alias("s"))
+    rows = {r["column_name"]: r for r in P.profile(df, exact=True).collect()}
+    assert rows["x"]["null_ratio"] == 1.0 and rows["x"]["distinct_count"] == 0 and rows["s"]["pattern"] is None and rows["s"]["top_values"] is None
+
+
+def test_long_texts_come_back_whole(spark):
+    df = spark.range(6).select(F.when(F.col("id") < 4, F.repeat(F.lit("ab"), 400)).otherwise(F.lit("short")).alias("t"))
+    top = P.top_values(df, 2).orderBy("rank").collect()
+    assert [(r["value"], r["n"]) for r in top] == [("ab" * 400, 4), ("short", 2)]

@@ -11,6 +11,8 @@ import socket
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.grok import PATTERNS
+
 # Variable names that hold secrets or configuration rather than record attributes.
 _SECRET = re.compile(r"password|token|secret|credential|api[_.]?key|private[_.]?key|passphrase", re.I)
 _CONFIG_START = re.compile(r"^(s3|kafka|jdbc|aws|azure|gcp|http|ftp|smtp|ssl|sasl)\.", re.I)
@@ -166,6 +168,11 @@ class Attr:
     def replace_null(self, text):
         return Attr(F.coalesce(self.col, F.lit(text)))
 
+    def grok(self, name: str):
+        """The first match of a pattern of the library, empty text if there is none."""
+        pattern = PATTERNS.get(name) or PATTERNS.get(name.upper()) or name
+        return Attr(F.regexp_extract(self._s, pattern, 0))
+
     # comparison and logic
     def equals(self, other):
         return Attr(self._s.eqNullSafe(F.lit(str(other))))

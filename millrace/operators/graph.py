@@ -91,7 +91,7 @@ def trim(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     rest = cut_lineage(_pairs(edges))
     size = rest.count()
     for _ in range(max_rounds):
-        for _ in range(HOPS_PER_ROUND // 2):
+        for _ in range(HOPS_PER_ROUND):
             starts = rest.select(F.col("dst").alias("src")).distinct()
             ends = rest.select(F.col("src").alias("dst")).distinct()
             rest = rest.join(starts, "src", "left_semi").join(ends, "dst", "left_semi")
@@ -104,7 +104,7 @@ def trim(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 
 
 # steps taken between two writes to storage
-HOPS_PER_ROUND = 4
+HOPS_PER_ROUND = 2
 
 
 def _spread_min(edges: DataFrame, max_rounds: int) -> DataFrame:
@@ -114,10 +114,11 @@ def _spread_min(edges: DataFrame, max_rounds: int) -> DataFrame:
     parts = [cut_lineage(ids.withColumn("color", F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id"))))]
     for _ in range(max_rounds):
         current = _union(parts).groupBy("id").agg(F.min("color").alias("old"))
-        offered = parts[-1]
+        hops = [parts[-1]]
         for _ in range(HOPS_PER_ROUND):
-            onward = offered.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), "color")
-            offered = offered.unionAll(onward).groupBy("id").agg(F.min("color").alias("color"))
+            onward = hops[-1].join(edges, F.col("id") == F.col("src"))
+            hops.append(onward.groupBy(F.col("dst").alias("id")).agg(F.min("color").alias("color")))
+        offered = _union(hops[1:]).groupBy("id").agg(F.min("color").alias("color"))
         fresh = cut_lineage(offered.join(current, "id").filter("color < old").select("id", "color"))
         if fresh.isEmpty():
             return cut_lineage(_union(parts).groupBy("id").agg(F.min("color").alias("color")))

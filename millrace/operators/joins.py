@@ -16,11 +16,12 @@ def lookup(
     df: DataFrame, dim: DataFrame, keys: list[str], cols: list[str], on_miss: dict | None = None,
     check_unique: bool = True, salted: bool = False,
 ) -> DataFrame:
-    """Left join with a lookup table; adds ``matched``. A key that repeats in ``dim`` fails the query.
+    """Left join with a lookup table; adds ``matched``. A key that repeats in ``dim`` fails the query; a NULL key matches
+    nothing.
 
     ``salted`` spreads hot keys of ``df`` explicitly, for a lookup table too large to broadcast.
     """
-    side = dim.select(*keys, *cols)
+    side = dim.select(*keys, *cols).dropna(subset=keys)
     if check_unique:
         first = [F.first(c).alias(c) for c in cols]
         side = side.groupBy(*keys).agg(*first, F.count(F.lit(1)).alias("__n"))

@@ -231,6 +231,7 @@ def run_workstreams(
     """
 
     def one(stream: dict) -> tuple[str, dict]:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", stream["name"])
         scale = stream.get("scale", 1.0)
         made = generate_all(spark, blueprint, scale, stream.get("seed", 42), stream.get("tables"))
         folder = f"{root}/{stream['name']}"

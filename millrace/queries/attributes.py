@@ -174,6 +174,19 @@ def fn_codecs(spark, d):
     return out.withColumns({c: F.md5(c) for c in ("b", "b_back", "u_back")})
 
 
+@R.add(
+    "fn_grok",
+    """SELECT event_id, '10.0.3.' || (user_id % 250) AS ip, '-' || user_id || '.5' AS num, event_type AS word, '' AS no_time FROM events""",
+)
+def fn_grok(spark, d):
+    u = F.col("user_id")
+    df = load(spark, d, "events").select(
+        "event_id", F.concat(F.lit("from 10.0.3."), u % 250, F.lit(" end")).alias("a"), F.concat(F.lit("x: -"), u, F.lit(".5;")).alias("b"),
+        F.concat(F.lit("  "), "event_type", F.lit("!")).alias("c"),
+    )
+    return _select(df, "event_id", ip=attr("a").grok("IP"), num=attr("b").grok("NUMBER"), word=attr("c").grok("word"), no_time=attr("a").grok("TIMESTAMP_ISO8601"))
+
+
 @R.add("fn_generators", "SELECT event_id, 'x' AS literal, true AS has_uuid, true AS has_time, true AS has_int, true AS has_host FROM events")
 def fn_generators(spark, d):
     made = _select(

@@ -92,3 +92,11 @@ def test_copies_of_one_row_spread_over_salts(spark):
     """A third of the rows may be the same row: its copies must not share one salt."""
     copies = spark.range(0, 8000, 1, 8).select(F.lit("same").alias("k"))
     assert copies.select(O.row_salt(copies, 8).alias("s")).distinct().count() == 8
+
+
+def test_salted_lookup_equals_lookup(skewed, spark):
+    from millrace.operators import joins as J
+
+    dim = spark.createDataFrame([("hot", 1), ("k3", 2), (None, 9)], "k string, w int")
+    same(J.lookup(skewed, dim, ["k"], ["w"], {"w": -1}, salted=True), J.lookup(skewed, dim, ["k"], ["w"], {"w": -1}))
+    assert J.lookup(skewed, dim, ["k"], ["w"], salted=True).filter("k is null and matched").isEmpty()

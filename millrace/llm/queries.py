@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from public_tokenizers import path as tokenizer
+
 from millrace.queries.base import Registry
 from millrace.runtime import load
 
@@ -15,8 +17,36 @@ def op1_quality(spark, folder):
     return op1(spark, load(spark, folder, "documents"), load(spark, folder, "labels"))
 
 
+@R.add("op2_bpe")
+def op2_bpe(spark, folder):
+    from .bpe import op2
+
+    return op2(spark, load(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+@R.add("op6_packing")
+def op6_packing(spark, folder):
+    from .packing import op6
+
+    return op6(spark, load(spark, folder, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 @R.add("op7_toxicity")
 def op7_toxicity(spark, folder):
     from .toxicity import op7
 
     return op7(spark, load(spark, folder, "documents"), load(spark, folder, "labels"))
+
+
+@R.add("op5_winnow")
+def op5_winnow(spark, folder):
+    from .winnow import op5
+
+    return op5(spark, load(spark, folder, "documents"))
+
+
+@R.add("op10_warc")
+def op10_warc(spark, folder):
+    from .warc import op10
+
+    return op10(spark, load(spark, folder, "pages"))

@@ -7,6 +7,8 @@ from public_tokenizers import path as tokenizer
 from millrace.queries.base import Registry
 from millrace.runtime import load
 
+from . import sharding
+
 R = Registry()
 
 
@@ -50,3 +52,15 @@ def op10_warc(spark, folder):
     from .warc import op10
 
     return op10(spark, load(spark, folder, "pages"))
+
+
+@R.add("op9_ann")
+def op9_ann(spark, folder):
+    from .ann import op9
+
+    return op9(spark, load(spark, folder, "embeddings"))
+
+
+@R.add("op8_sharding", sharding.SQL)
+def op8_sharding(spark, folder):
+    return sharding.op8(spark, load(spark, folder, "documents"))

@@ -64,3 +64,10 @@ def op9_ann(spark, folder):
 @R.add("op8_sharding", sharding.SQL)
 def op8_sharding(spark, folder):
     return sharding.op8(spark, load(spark, folder, "documents"))
+
+
+@R.add("op3_lm")
+def op3_lm(spark, folder):
+    from .lm import op3
+
+    return op3(spark, load(spark, folder, "documents"))

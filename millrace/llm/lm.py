@@ -29,8 +29,8 @@ WORDS = 960
 CLASSES = 64
 OUT = WORDS + CLASSES
 LOCAL = 200_000
-NOISE = 32
-BATCH = 2048
+NOISE = 24
+BATCH = 1024
 ROUNDS = 1
 #: Distinct words that a task counts before it passes the counts on.
 HELD = 300_000
@@ -135,7 +135,7 @@ class Trainer:
         self.rng = np.random.default_rng(seed)
         self.tokens = 0
 
-    def step(self, w: np.ndarray, one: np.ndarray, two: np.ndarray, rate: float = 0.05) -> None:
+    def step(self, w: np.ndarray, one: np.ndarray, two: np.ndarray, rate: float = 0.2) -> None:
         p, m = self.p, len(w)
         r1, r2 = p["R"][one], p["R"][two]
         q = p["c"][0] * r1 + p["c"][1] * r2

@@ -71,3 +71,10 @@ def op3_lm(spark, folder):
     from .lm import op3
 
     return op3(spark, load(spark, folder, "documents"))
+
+
+@R.add("op4_jaccard")
+def op4_jaccard(spark, folder):
+    from .jaccard import op4
+
+    return op4(spark, load(spark, folder, "documents"))

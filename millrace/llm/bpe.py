@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import heapq
 import json
-import re
+import sys
 import unicodedata
 from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,15 +27,12 @@ from .common import id_type, map_slices, quoted, texts_of
 #: The word patterns of the two tokenizer files (the first is that of the library's byte-level splitter).
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: White space and the word after it: the word pattern never matches across the end of a word, so these are cut independently.
-WORD_RUN = re.compile(r"\s*\S+|\s+")
-#: Separators that one of the pattern libraries takes for white space and the other does not; such texts are not cut beforehand.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
+SPACE_BEFORE = regex.compile(r"[\s\x1c-\x1f] ")
 #: Entries of each of a memory's two generations, and the longest key kept.
-REMEMBERED = 180_000
+REMEMBERED = 400_000
 REMEMBERED_CHARS = 48
-#: Fragments up to this length find the next merge by looking at all neighbours, longer ones with a heap; the order is the same.
-SHORT = 24
+#: Fragments up to this length find the next merge in a list of the neighbours' ranks, longer ones with a heap; the order is the same.
+SHORT = 256
 
 
 def byte_symbols() -> list[str]:
@@ -72,7 +70,9 @@ class Codec:
     """Text <-> packed ids (little-endian unsigned 32 bit)."""
 
     def __init__(self, spec: str):
-        self.runs, self.pieces = Memory(self.run), Memory(self.piece)
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are packed as little-endian 32-bit numbers of the machine")
+        self.runs = Memory(self.run)
         spec = json.loads(spec)
         model = spec["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
@@ -93,56 +93,50 @@ class Codec:
                 self.bytes[i] = b"".join(back[c] for c in token[: len(token) - len(end)]) + (b" " if end else b"")
         for token, i in special.items():
             self.bytes[i] = token.encode()
-        self.merge = {}
+        self.merge, self.made = {}, []
         for rank, m in enumerate(model["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
-            self.merge[vocab[a], vocab[b]] = (rank, vocab[a + b])
-        side = np.zeros((256, 256), dtype=bool)
-        for token, i in vocab.items():
-            t = self.bytes[i]
-            if token not in special and len(t) > 1:
-                v = np.frombuffer(t, dtype=np.uint8)
-                side[v[:-1], v[1:]] = True
-        #: side[a, b]: byte b follows byte a within some token. False marks a certain cut.
-        self.side = side
+            self.merge[vocab[a], vocab[b]] = rank
+            self.made.append(vocab[a + b])
+        #: Pairs of bytes that are neighbours within some token. Any other pair marks a certain cut.
+        self.side = {p for token, i in vocab.items() if token not in special for p in zip(self.bytes[i], self.bytes[i][1:])}
 
     def fragments(self, raw: bytes) -> list[bytes]:
-        v = np.frombuffer(raw, dtype=np.uint8)
-        cuts = (np.flatnonzero(~self.side[v[:-1], v[1:]]) + 1).tolist()
-        return [raw[a:b] for a, b in zip([0, *cuts], [*cuts, len(raw)])]
+        side = self.side
+        cuts = [k for k, pair in enumerate(zip(raw, raw[1:]), 1) if pair not in side]
+        return [raw[a:b] for a, b in zip([0, *cuts], [*cuts, len(raw)])] if cuts else [raw]
 
     def merged(self, ids: list[int]) -> list[int]:
         """Apply the merges of lowest rank first, the leftmost first among equals; n log n in the fragment's length."""
-        n, merge = len(ids), self.merge
+        n, merge, made = len(ids), self.merge, self.made
         if n <= SHORT:
-            while n > 1:
-                best, at = None, -1
-                for k in range(n - 1):
-                    got = merge.get((ids[k], ids[k + 1]))
-                    if got is not None and (best is None or got[0] < best[0]):
-                        best, at = got, k
-                if best is None:
-                    break
-                ids[at : at + 2] = [best[1]]
-                n -= 1
+            get, never = merge.get, len(made)
+            ranks = [get(p, never) for p in zip(ids, ids[1:])]
+            while ranks and (rank := min(ranks)) < never:
+                k = ranks.index(rank)
+                ids[k : k + 2] = [made[rank]]
+                del ranks[k]
+                if k:
+                    ranks[k - 1] = get((ids[k - 1], ids[k]), never)
+                if k < len(ranks):
+                    ranks[k] = get((ids[k], ids[k + 1]), never)
             return ids
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*merge[p], k) for k, p in enumerate(zip(ids, ids[1:])) if p in merge]
-        heap = [(rank, k, new) for rank, new, k in heap]
+        heap = [(merge[p], k) for k, p in enumerate(zip(ids, ids[1:])) if p in merge]
         heapq.heapify(heap)
         while heap:
-            rank, k, new = heapq.heappop(heap)
-            if ids[k] < 0 or after[k] >= n or merge.get((ids[k], ids[after[k]])) != (rank, new):
+            rank, k = heapq.heappop(heap)
+            if ids[k] < 0 or after[k] >= n or merge.get((ids[k], ids[after[k]])) != rank:
                 continue
             gone = after[k]
-            ids[k], ids[gone] = new, -1
+            ids[k], ids[gone] = made[rank], -1
             after[k] = after[gone]
             if after[k] < n:
                 before[after[k]] = k
-                if (got := merge.get((new, ids[after[k]]))) is not None:
-                    heapq.heappush(heap, (got[0], k, got[1]))
-            if before[k] >= 0 and (got := merge.get((ids[before[k]], new))) is not None:
-                heapq.heappush(heap, (got[0], before[k], got[1]))
+                if (got := merge.get((ids[k], ids[after[k]]))) is not None:
+                    heapq.heappush(heap, (got, k))
+            if before[k] >= 0 and (got := merge.get((ids[before[k]], ids[k]))) is not None:
+                heapq.heappush(heap, (got, before[k]))
         return [i for i in ids if i >= 0]
 
     def piece(self, piece: str) -> bytes:
@@ -154,24 +148,51 @@ class Codec:
         return np.array(ids, dtype="<u4").tobytes()
 
     def run(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
+        """Ids of a word run: of its only piece, or of its pieces (remembered like runs; a piece alone matches as itself)."""
+        if text.isalpha() or (not self.words and text[0:1] == " " and text[1:].isalpha()):
+            return self.piece(text)
+        found = self.pattern.findall(text)
+        return self.piece(text) if len(found) == 1 and len(found[0]) == len(text) else b"".join(map(self.runs.__getitem__, found))
 
-    def plain(self, text: str) -> bytes:
+    def normal(self, text: str) -> str:
         if self.words:
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # capital sigma has one small form here, wherever it stands
-        if ODD_SPACE.search(text):
-            return self.run(text)
-        return b"".join(map(self.runs.__getitem__, text.split() if self.words else WORD_RUN.findall(text)))
-
-    def encode(self, text: str) -> bytes:
-        if self.cut is None or not any(k in text for k in self.special):
-            return self.plain(text)
-        return b"".join(self.special.get(part) or self.plain(part) for part in self.cut.split(text) if part)
-
-    def decode(self, packed: bytes) -> str:
-        ids = array("I")
-        ids.frombytes(packed)
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
+            return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # capital sigma has one small form here, wherever it stands
+        return text
+
+    def alone(self, text: str) -> bytes:
+        """Ids of one text by the definition: special tokens, then pieces."""
+        parts = self.cut.split(text) if self.cut else [text]
+        return b"".join(self.special.get(part) or b"".join(map(self.runs.__getitem__, self.pattern.findall(self.normal(part)))) for part in parts if part)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text's begin (one more at the end).
+
+        Texts are cut into word runs, equal runs are looked up once, and the ids are gathered for all places at once. A cut
+        is made at white space (words) or before a single space (bytes): no piece reaches over it. Texts with special tokens,
+        with the mark used for cutting or, for bytes, with white space before a space go the plain way.
+        """
+        odd = [k for k, t in enumerate(texts) if "\x01" in t or any(x in t for x in self.special) or (not self.words and SPACE_BEFORE.search(t))]
+        own = {k: np.frombuffer(self.alone(texts[k]), dtype="<u4") for k in odd}
+        rest = [None if k in own else self.normal(t) if self.words else t.replace(" ", "\x01 ") for k, t in enumerate(texts)]
+        lists = pc.ascii_split_whitespace(pa.array(rest, pa.string())) if self.words else pc.split_pattern(pa.array(rest, pa.string()), "\x01")
+        runs = lists.flatten().dictionary_encode()
+        packed = [self.runs[r] for r in runs.dictionary.to_pylist()]
+        size = np.array([len(x) // 4 for x in packed] or [0], dtype=np.int64)
+        pool = np.frombuffer(b"".join(packed), dtype="<u4")
+        first = np.concatenate([[0], np.cumsum(size)])[:-1]
+        at = runs.indices.to_numpy(zero_copy_only=False)
+        many = size[at] if len(at) else np.zeros(0, dtype=np.int64)
+        ends = np.concatenate([[0], np.cumsum(many)])
+        flat = pool[np.repeat(first[at] - ends[:-1], many) + np.arange(ends[-1])] if len(at) else pool[:0]
+        count = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = ends[np.concatenate([[0], np.cumsum(count)])]
+        if not own:
+            return flat, starts
+        parts = [own.get(k, flat[starts[k] : starts[k + 1]]) for k in range(len(texts))]
+        return np.concatenate(parts).astype("<u4"), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+    def decode(self, ids: np.ndarray) -> str:
+        return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -186,6 +207,11 @@ def spec_of(spark, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
+def packed(flat: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Ids of each text as one binary value."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer((4 * starts).astype(np.int64).tobytes()), pa.py_buffer(flat.astype("<u4").tobytes())]).cast(pa.binary())
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids): packed ids of every whole text; NULL reads as empty (0 tokens). Repeated rows stay repeated."""
     spec = spec_of(docs.sparkSession, path)
@@ -194,8 +220,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         c = codec(spec.value)
 
         def run(part):
-            got = [c.encode(t) for t in texts_of(part, text_col)]
-            return pa.RecordBatch.from_arrays([part.column(id_col), pa.array([len(g) // 4 for g in got], pa.int64()), pa.array(got, pa.binary())], [id_col, "n_tokens", "ids"])
+            flat, starts = c.encode(texts_of(part, text_col))
+            return pa.RecordBatch.from_arrays([part.column(id_col), pa.array(np.diff(starts)), packed(flat, starts)], [id_col, "n_tokens", "ids"])
 
         return run
 
@@ -210,7 +236,8 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
         c = codec(spec.value)
 
         def run(part):
-            return pa.RecordBatch.from_arrays([part.column(id_col), pa.array([c.decode(x or b"") for x in part.column("ids").to_pylist()], pa.string())], [id_col, "text"])
+            ids = [np.frombuffer(x or b"", dtype="<u4") for x in part.column("ids").to_pylist()]
+            return pa.RecordBatch.from_arrays([part.column(id_col), pa.array(map(c.decode, ids), pa.string())], [id_col, "text"])
 
         return run
 
@@ -225,8 +252,9 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         c = codec(spec.value)
 
         def run(part):
-            got = [c.encode(t) for t in texts_of(part, text_col)]
-            return pa.RecordBatch.from_arrays([part.column(id_col), pa.array([len(g) // 4 for g in got], pa.int64()), pa.array(got, pa.binary()), pa.array([c.decode(g) for g in got], pa.string())], [id_col, "n_tokens", "ids", "decoded"])
+            flat, starts = c.encode(texts_of(part, text_col))
+            texts = [c.decode(flat[a:b]) for a, b in zip(starts[:-1], starts[1:])]
+            return pa.RecordBatch.from_arrays([part.column(id_col), pa.array(np.diff(starts)), packed(flat, starts), pa.array(texts, pa.string())], [id_col, "n_tokens", "ids", "decoded"])
 
         return run
 

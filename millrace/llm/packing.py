@@ -81,15 +81,16 @@ def pieces(docs: DataFrame, path: str, tokens: int = 2048, end_id: int = 0, id_c
 
         def run(part):
             row, piece, start, length, crc = [], [], [], [], []
-            for k, text in enumerate(texts_of(part, text_col)):
-                packed = c.encode(text) + end
-                for j, at in enumerate(range(0, len(packed), 4 * tokens)):
-                    ids = packed[at : at + 4 * tokens]
+            flat, starts = c.encode(texts_of(part, text_col))
+            for k, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())):
+                ids = memoryview(flat[a:b].tobytes() + end)
+                for j, at in enumerate(range(0, len(ids), 4 * tokens)):
+                    own = ids[at : at + 4 * tokens]
                     row.append(k)
                     piece.append(j)
                     start.append(at // 4)
-                    length.append(len(ids) // 4)
-                    crc.append(zlib.crc32(ids))
+                    length.append(len(own) // 4)
+                    crc.append(zlib.crc32(own))
             return pa.RecordBatch.from_arrays([part.column(id_col).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], [id_col, "piece", "start", "length", "ids_crc32"])
 
         return run

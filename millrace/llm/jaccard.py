@@ -342,13 +342,9 @@ def listed_pairs(listed: DataFrame, family: DataFrame) -> DataFrame:
     return met.where("least(pa, pb) + least(na - pa, nb - pb) >= (4 * (na + nb) + 8) div 9").select("a", "b", "na", "nb").distinct()
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row: set size, and the smallest id of its connected class.
-
-    NULL and empty texts, and texts without a word, have an empty set, link with nothing and are their own class, repeated or
-    not. A row with a NULL id has its set's size and no class (NULL), and joins nothing. Rows that repeat an id and a text stay
-    repeated; rows of one id with different texts are different sets and may fall into different classes.
-    """
+def classified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int]:
+    """The table of documents (id, n, node), the nodes with their class (node, doc, class: the least id reached), and the salt
+    of the nodes' names."""
     rows = docs.select(F.col(quoted(id_col)).cast("long").alias(id_col), quoted(text_col))
     spark, salt = docs.sparkSession, 0
     while True:
@@ -391,11 +387,48 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # 3. classes
     label = components(links.unionByName(across))
     least = label.join(nodes.select("node", "doc"), "node").groupBy("label").agg(F.min("doc").alias("_least"))
-    found = nodes.select("node", "doc").join(label.join(least, "label").select("node", "_least"), "node", "left").select("node", F.coalesce("_least", "doc").alias("_class"))
-    out = table.where("n is not null").select(quoted(id_col), "n", "node").join(found, "node", "left")
+    found = nodes.select("node", "doc").join(label.join(least, "label").select("node", "_least"), "node", "left").select("node", F.coalesce("_least", "doc").alias("_class"), "doc")
+    return table.where("n is not null").select(quoted(id_col), "n", "node"), found, salt
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) of every row: set size, and the smallest id of its connected class.
+
+    NULL and empty texts, and texts without a word, have an empty set, link with nothing and are their own class, repeated or
+    not. A row with a NULL id has its set's size and no class (NULL), and joins nothing. Rows that repeat an id and a text stay
+    repeated; rows of one id with different texts are different sets and may fall into different classes.
+    """
+    table, found, _ = classified(docs, id_col, text_col)
     own = F.col(quoted(id_col))
+    out = table.join(found, "node", "left")
     return out.select(own, F.col("n").alias("n_shingles"), F.when(own.isNotNull(), F.coalesce("_class", own)).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that stay: of every class the document with the smallest id, once.
+
+    Rows without a class (empty sets, NULL ids) all stay. Of rows that repeat the id and the text that stays, one stays.
+    """
+    table, found, salt = classified(docs, id_col, text_col)
+    kept = written(found.groupBy("_class").agg(F.min(F.struct("doc", "node")).alias("_k")).select(F.col("_k.doc").alias("_doc"), F.col("_k.node").alias("_node")), "jaccard-kept")
+    again = table.where("node is not null").groupBy(F.col(quoted(id_col)).alias("_doc"), F.col("node").alias("_node")).count().where("count > 1").drop("count")
+    again = written(again.join(kept, ["_doc", "_node"], "left_semi"), "jaccard-again")
+    fields = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, text_col):
+                node = [_node(s, salt)[0] if len(s) else None for s in shingle_sets(texts_of(part, text_col))]
+                yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(part.columns, part.schema.names), part.column(id_col).cast(pa.int64()), pa.array(node, pa.int64())], ["_row", "_doc", "_node"])
+
+    rows = docs.mapInArrow(run, f"_row struct<{fields.replace('` ', '`: ')}>, _doc long, _node long")
+    free = rows.where("_doc is null or _node is null")
+    own = rows.where("_doc is not null and _node is not null").join(kept, ["_doc", "_node"], "left_semi")
+    if not again.isEmpty():
+        twice = own.join(again, ["_doc", "_node"], "left_semi").dropDuplicates(["_doc", "_node"])
+        own = own.join(again, ["_doc", "_node"], "left_anti").unionByName(twice)
+    return free.unionByName(own).select("_row.*")
+
+
 def op4(spark, docs: DataFrame) -> DataFrame:
     return classes(docs)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import quoted, written
+from .common import picked, quoted, written
 
 #: Bounds of the fitting sample: vectors, and numbers in all.
 SAMPLE = 20_000
@@ -153,7 +153,7 @@ def clean(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding")
     """(_id, _v): vectors that take part. NULL ids, NULL or zero vectors, vectors with NULL or non-finite components, and
     vectors whose length is not the most frequent one (the longest among equals) take none."""
     v = F.col(quoted(vec_col)).cast("array<float>")
-    rows = table.select(F.col(quoted(id_col)).cast("long").alias("_id"), v.alias("_v")).where("_id is not null and _v is not null")
+    rows = picked(table, id_col, vec_col).select(F.col(quoted(id_col)).cast("long").alias("_id"), v.alias("_v")).where("_id is not null and _v is not null")
     bad = F.exists("_v", lambda x: F.coalesce(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(True)))
     rows = rows.where(~bad & F.exists("_v", lambda x: x != 0))
     sizes = rows.groupBy(F.size("_v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()

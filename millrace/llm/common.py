@@ -25,6 +25,12 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def picked(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns, by exact name: other columns may have any name, also one that differs only in case."""
+    at = [df.columns.index(n) for n in names]
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).select(*[F.col(f"c{k}").alias(n) for k, n in zip(at, names)])
+
+
 def id_type(df: DataFrame, id_col: str) -> str:
     return df.schema[id_col].dataType.simpleString()
 

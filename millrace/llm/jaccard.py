@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_view, id_type, quoted, slices, texts_of, written
+from .common import byte_view, id_type, picked, quoted, slices, texts_of, written
 
 SHINGLE = 5
 #: Bands and min-hashes of a band (they only choose who is compared first), and the overlap that makes a family.
@@ -162,7 +162,7 @@ def described(docs: DataFrame, id_col: str, text_col: str, salt: int) -> DataFra
         if held:
             yield from frequent()
 
-    return docs.select(quoted(id_col), quoted(text_col)).mapInArrow(run, schema)
+    return picked(docs, id_col, text_col).mapInArrow(run, schema)
 
 
 def entries(docs: DataFrame, text_col: str, hot, salt: int) -> DataFrame:
@@ -195,7 +195,7 @@ def entries(docs: DataFrame, text_col: str, hot, salt: int) -> DataFrame:
                 if shingle:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([v.view(np.int64) for v in shingle], node, n, pos)], ["shingle", "node", "n", "pos"])
 
-    return docs.select(quoted(text_col)).mapInArrow(run, "shingle long, node long, n int, pos int")
+    return picked(docs, text_col).mapInArrow(run, "shingle long, node long, n int, pos int")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, salt: int) -> DataFrame:
@@ -345,7 +345,7 @@ def listed_pairs(listed: DataFrame, family: DataFrame) -> DataFrame:
 def classified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int]:
     """The table of documents (id, n, node), the nodes with their class (node, doc, class: the least id reached), and the salt
     of the nodes' names."""
-    rows = docs.select(F.col(quoted(id_col)).cast("long").alias(id_col), quoted(text_col))
+    rows = picked(docs, id_col, text_col).withColumn(id_col, F.col(quoted(id_col)).cast("long"))
     spark, salt = docs.sparkSession, 0
     while True:
         table = written(described(rows, id_col, text_col, salt), "jaccard-documents")

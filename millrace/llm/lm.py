@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Memory
-from .common import fold, id_type, quoted, slices, texts_of, written
+from .common import fold, id_type, picked, quoted, slices, texts_of, written
 
 ORDER = 2
 DIM = 32
@@ -69,7 +69,7 @@ def counts(train: DataFrame, text_col: str) -> DataFrame:
                     yield from out()
         yield from out()
 
-    return train.select(quoted(text_col)).mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("c"))
+    return picked(train, text_col).mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("c"))
 
 
 class Vocabulary:
@@ -183,7 +183,7 @@ def train(docs: DataFrame, vocabulary, unigram: np.ndarray, text_col: str, round
             flat = np.concatenate([t.p[name].ravel() for name in names]).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * t.tokens), pa.array(np.full(len(flat), float(t.tokens)))], ["i", "v", "n"])
 
-        sums = docs.select(quoted(text_col)).mapInArrow(run, "i int, v double, n double").groupBy("i").agg((F.sum("v") / F.nullif(F.sum("n"), F.lit(0.0))).alias("v")).where("v is not null")
+        sums = picked(docs, text_col).mapInArrow(run, "i int, v double, n double").groupBy("i").agg((F.sum("v") / F.nullif(F.sum("n"), F.lit(0.0))).alias("v")).where("v is not null")
         got = sums.toArrow()
         if not got.num_rows:
             return p
@@ -232,7 +232,7 @@ def score(docs: DataFrame, keep, id_col: str = "doc_id", text_col: str = "text")
     stay repeated. Without any training row all counts are 0 and the network keeps its start.
     """
     spark = docs.sparkSession
-    rows = docs.select(quoted(id_col), quoted(text_col))
+    rows = picked(docs, id_col, text_col)
     training = rows.where(keep)
     table = written(counts(training, text_col), "lm-counts")
     total = table.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()

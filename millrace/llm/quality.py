@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_view, fold, id_type, map_slices, quoted, texts_of, written
+from .common import byte_view, fold, id_type, map_slices, picked, quoted, texts_of, written
 
 PASSAGE = 512
 HIDDEN = 24
@@ -121,7 +121,7 @@ def label_sample(labels: DataFrame, label: str, id_col: str, keep, limit: int) -
 
     Labels of a repeated id are averaged; NULL ids and NULL labels are left out. The result is bounded by ``limit`` rows.
     """
-    one = labels.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(label)).cast("double").alias("_y")).where("_id is not null and _y is not null")
+    one = picked(labels, id_col, label).toDF("_id", "_y").withColumn("_y", F.col("_y").cast("double")).where("_id is not null and _y is not null")
     one = one.where(keep("_id")).groupBy("_id").agg(F.avg("_y").alias("_y"))
     return one.orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(limit)
 
@@ -133,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep, label: str = "quality", id_col
     same hash order, when ``sample_passages`` passages are reached. None if there is no labelled document.
     """
     ids = label_sample(labels, label, id_col, keep, sample_docs)
-    rows = docs.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(text_col)).alias("_t")).join(F.broadcast(ids), "_id")
+    rows = picked(docs, id_col, text_col).toDF("_id", "_t").join(F.broadcast(ids), "_id")
     rows = rows.where(F.octet_length(F.coalesce("_t", F.lit(""))) <= sample_passages * PASSAGE).select("_id", "_y", "_t")
 
     def make():
@@ -179,7 +179,7 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
 
         return scored
 
-    return map_slices(docs.select(quoted(id_col), quoted(text_col)), text_col, schema, make)
+    return map_slices(picked(docs, id_col, text_col), text_col, schema, make)
 
 
 def keep_rows(docs: DataFrame, model: dict | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import quoted, written
+from .common import picked, quoted, written
 
 LIMIT = 8 << 20
 HASH_BITS = 60
@@ -24,7 +24,7 @@ def _hash(id_col: str):
 
 def keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, _h, _bytes): hash and UTF-8 size of each row; a NULL text has no bytes, a NULL id hashes as empty text."""
-    return docs.select(F.col(quoted(id_col)).alias("_id"), _hash(id_col).alias("_h"), F.coalesce(F.octet_length(F.col(quoted(text_col))), F.lit(0)).cast("long").alias("_bytes"))
+    return picked(docs, id_col, text_col).select(F.col(quoted(id_col)).alias("_id"), _hash(id_col).alias("_h"), F.coalesce(F.octet_length(F.col(quoted(text_col))), F.lit(0)).cast("long").alias("_bytes"))
 
 
 def directory(rows: DataFrame, limit: int = LIMIT) -> list[DataFrame]:
@@ -93,6 +93,9 @@ def write(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id"
     Rows of an overflowing hash (a repeated id over the limit) lie in its shard's folder in several files.
     """
     rows = written(keys(docs, id_col, text_col), "shard-keys")
+    name = "shard"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = "_" + name
     left, found = docs.select(F.struct("*").alias("_row"), _hash(id_col).alias("_h")), None
     for step, ended in enumerate(directory(rows, limit)):
         at = left.withColumn("_cell", F.shiftright("_h", HASH_BITS - (step + 1) * BITS))
@@ -100,7 +103,7 @@ def write(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id"
         found = hit if found is None else found.unionByName(hit)
         left = at.join(ended, "_cell", "left_anti").drop("_cell")
     prefix = F.when(F.col("_depth") == 0, F.lit("all")).otherwise(F.expr(f"lpad(bin(shiftright(_h, {HASH_BITS} - _depth)), _depth, '0')"))
-    found.withColumn("_shard", prefix).withColumn("_file", F.hash("_row") % 4).repartition("_shard", "_file").select("_shard", "_row.*").write.partitionBy("_shard").parquet(path)
+    found.withColumn("_shard", prefix).withColumn("_file", F.hash("_row") % 4).repartition("_shard", "_file").select(F.col("_shard").alias(name), "_row.*").write.partitionBy(name).parquet(path)
 
 
 SQL = f"""

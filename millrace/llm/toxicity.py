@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, id_type, map_slices, quoted, slices, texts_of, written
+from .common import fold, id_type, map_slices, picked, quoted, slices, texts_of, written
 from .quality import label_sample
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -65,7 +65,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep, label: str = "toxic", id_col:
     the driver, in the order of a hash of the id. Empty if there is nothing to learn from.
     """
     ids = label_sample(labels, label, id_col, keep, sample_docs)
-    rows = docs.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(text_col)).alias("_t")).join(F.broadcast(ids), "_id").select("_id", "_y", "_t")
+    rows = picked(docs, id_col, text_col).toDF("_id", "_t").join(F.broadcast(ids), "_id").select("_id", "_y", "_t")
 
     def make():
         def counted(part):
@@ -151,7 +151,7 @@ def score(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", te
 
         return scored
 
-    return map_slices(docs.select(quoted(id_col), quoted(text_col)), text_col, schema, make)
+    return map_slices(picked(docs, id_col, text_col), text_col, schema, make)
 
 
 def keep_rows(docs: DataFrame, weights: dict[str, float], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

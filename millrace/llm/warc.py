@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from millrace.runtime import scratch_path
 
-from .common import quoted, written
+from .common import picked, quoted, written
 
 LEAST = 1000
 BROADCAST_ROWS = 100_000
@@ -31,7 +31,7 @@ def headers(pages: DataFrame, id_col: str = "page_id", body_col: str = "html", u
     """(_id, _url, _body, _bytes, _digest); a NULL payload reads as empty."""
     body = F.coalesce(F.col(quoted(body_col)), F.lit(""))
     url = F.coalesce(F.col(quoted(url_col)), F.lit("")) if url_col else F.lit("")
-    rows = pages.select(F.col(quoted(id_col)).cast("long").alias("_id"), url.alias("_url"), body.alias("_body"))
+    rows = picked(pages, id_col, body_col, *([url_col] if url_col else [])).select(F.col(quoted(id_col)).cast("long").alias("_id"), url.alias("_url"), body.alias("_body"))
     return rows.withColumn("_bytes", F.octet_length("_body").cast("long")).withColumn("_digest", F.sha1(F.encode("_body", "UTF-8")))
 
 

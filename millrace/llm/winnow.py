@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .common import quoted, written
+from .common import picked, written
 
 K = 3
 W = 8
@@ -101,7 +101,7 @@ def next_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, W
     they grow and the window spills); rows that share one id stay together. The texts go through one shuffle.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("_id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("_t"))
+    rows = picked(docs, id_col, text_col).toDF("_id", "_t").select(F.col("_id").cast("long").alias("_id"), F.coalesce("_t", F.lit("")).alias("_t"))
     pieces = max(1, min(STRETCHES, -(-docs.count() // STRETCH)))
     ids = rows.select(F.col("_id").cast("double"))
     cuts = sorted(set(ids.approxQuantile("_id", [k / pieces for k in range(1, pieces)], 0.1 / pieces))) if pieces > 1 else []

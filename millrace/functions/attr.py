@@ -196,10 +196,11 @@ class Attr:
         return Attr(F.coalesce(self._s == "", F.lit(True)))
 
     def is_null(self):
-        return Attr(self.col.isNull())
+        """An empty text counts as no value."""
+        return Attr(F.coalesce(self._s == "", F.lit(True)))
 
     def not_null(self):
-        return Attr(self.col.isNotNull())
+        return Attr(F.coalesce(self._s != "", F.lit(False)))
 
     def not_(self):
         return Attr(~self.col.cast("boolean"))
@@ -264,12 +265,13 @@ class Attr:
         return Attr(F.get_json_object(self._s, path))
 
     def _json_map(self) -> Column:
-        return F.from_json(self._s, "map<string,string>")
+        """Fields of a JSON object; numbers, truth values and nested objects stay what they are."""
+        return F.from_json(self._s, "map<string,variant>")
 
-    def json_path_set(self, field: str, value: str):
-        """Set a top-level field of a JSON object (also adds it)."""
+    def json_path_set(self, field: str, value):
+        """Set a top-level field of a JSON object (also adds it) to a text, number or truth value."""
         others = F.map_filter(self._json_map(), lambda k, _: k != field)
-        return Attr(F.to_json(F.map_concat(others, F.create_map(F.lit(field), F.lit(value)))))
+        return Attr(F.to_json(F.map_concat(others, F.create_map(F.lit(field), F.lit(value).cast("variant")))))
 
     json_path_put = json_path_set
     json_path_add = json_path_set

@@ -29,7 +29,7 @@ def string_agg(
     """Texts of a group joined in order, as GROUP_CONCAT / STRING_AGG do; the result is one text per group."""
     if distinct:
         df = df.select(*keys, col).distinct()
-    text = sep.replace("'", "\\'")
+    text = sep.replace("\\", "\\\\").replace("'", "\\'")
     return df.groupBy(*keys).agg(F.expr(f"listagg(`{col}`, '{text}') within group (order by `{order or col}`)").alias(name))
 
 

@@ -199,14 +199,17 @@ def propagate(nodes: DataFrame, edges: DataFrame, seed: Column, barrier: Column,
 
 
 def iterate(df: DataFrame, step: Callable[[DataFrame], DataFrame], max_rounds: int = 100) -> DataFrame:
-    """Apply ``step`` to its own result until it is empty; all rows produced, with their round."""
+    """Apply ``step`` to its own result until it is empty; all rows produced, with their round. Rows left after
+    ``max_rounds`` are an error."""
     parts = [cut_lineage(df.withColumn("round", F.lit(0)))]
     for i in range(1, max_rounds + 1):
         current = cut_lineage(step(parts[-1].drop("round")).withColumn("round", F.lit(i)))
         if current.isEmpty():
-            break
+            return _union(parts)
         parts.append(current)
-    return _union(parts)
+    if step(parts[-1].drop("round")).isEmpty():
+        return _union(parts)
+    raise NotConverged(f"rows left after {max_rounds} rounds")
 
 
 def lineage(edges: DataFrame, limit: int | None = None) -> DataFrame:

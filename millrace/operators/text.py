@@ -214,6 +214,10 @@ def valid_xml(df: DataFrame, col: str, schema: str, name: str = "is_valid") -> D
     return df.withColumn(name, F.col(col).isNotNull() & parsed["__corrupt"].isNull())
 
 
+#: The target of an anchor: in double or single quotes, or bare up to white space or the tag's end.
+LINK = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
 def html_fields(df: DataFrame, col: str) -> DataFrame:
     """Title, link targets and visible text of a page."""
     body = F.regexp_replace(col, r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<head\b.*?</head>", " ")
@@ -221,7 +225,7 @@ def html_fields(df: DataFrame, col: str) -> DataFrame:
     return df.withColumns(
         {
             "title": F.regexp_extract(col, r"(?is)<title[^>]*>(.*?)</title>", 1),
-            "links": F.regexp_extract_all(col, F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), F.lit(1)),
+            "links": F.transform(F.regexp_extract_all(col, F.lit(LINK), F.lit(1)), lambda v: F.regexp_replace(v, r"""^(["'])(.*)\1$""", "$2")),
             "visible_text": text,
         }
     )
@@ -298,25 +302,120 @@ def fuzzy_groups(df: DataFrame, id_col: str, col: str) -> DataFrame:
 
 
 # --- SQL texts and resources ---
-SQL_REF = r"(?i)\b(FROM|JOIN|INTO|TABLE|UPDATE)\s+([\w.]+|\$\{[^}]+\})"
+#: Names (with dots, quotes and ${variables}), separators and operators of a statement without comments and literals.
+SQL_TOKEN = r"""(?:[A-Za-z_][\w$]*|"[^"]+"|`[^`]+`|\$\{[^}]+\})(?:\.(?:[A-Za-z_][\w$]*|"[^"]+"|`[^`]+`|\$\{[^}]+\}|\*))*|[(),;]|[-+*/|<>=!%]+"""
+SQL_NOISE = r"(?s)--[^\n]*|/\*.*?\*/|'(?:[^']++|'')*+'"
+WITH_FROM_INSIDE = ("EXTRACT", "TRIM", "SUBSTRING", "OVERLAY", "POSITION")
+KEPT_BEFORE_NAME = ("IF", "NOT", "EXISTS", "ONLY", "RECURSIVE")
+MADE_OR_CHANGED = ("CREATE", "REPLACE", "TEMPORARY", "TEMP", "EXTERNAL", "UNLOGGED", "MATERIALIZED", "ALTER", "DROP", "TRUNCATE")
+CLAUSES = ("SELECT", "WHERE", "GROUP", "ORDER", "HAVING", "SET", "VALUES", "LIMIT", "UNION", "EXCEPT", "INTERSECT", "WINDOW", "QUALIFY", "WHEN", "RETURNING", "PARTITION")
+WORDS_IN_EXPRESSIONS = (
+    "AND", "OR", "NOT", "IN", "IS", "NULL", "LIKE", "ILIKE", "RLIKE", "BETWEEN", "EXISTS", "TRUE", "FALSE", "CASE", "WHEN", "THEN", "ELSE", "END", "ON", "BY", "ASC",
+    "DESC", "ANY", "ALL", "DISTINCT", "OVER", "INTERVAL", "CAST", "DATE", "TIMESTAMP", "ESCAPE",
+)
+
+
+def _tokens(sql_col: str) -> Column:
+    return F.regexp_extract_all(F.regexp_replace(sql_col, SQL_NOISE, " "), F.lit(SQL_TOKEN), F.lit(0))
+
+
+def _plain_name(name: Column) -> Column:
+    return F.regexp_replace(name, r"""["`]""", "")
+
+
+class _Scan:
+    """A left-to-right pass over a statement's tokens, as one fold: a clause for each open parenthesis, what the next name would
+    be, the token before, and what was found."""
+
+    def __init__(self, state: Column, token: Column):
+        self.s, self.t, self.u = state, token, F.upper(token)
+        self.stack, self.want, self.last, self.out = (state[k] for k in ("stack", "want", "last", "out"))
+        self.top = F.element_at(self.stack, -1)
+        self.inner = F.slice(self.stack, 1, F.greatest(F.size(self.stack) - 1, F.lit(1)))
+        self.is_name = token.rlike(r"""^[A-Za-z_"`$]""")
+
+    def clause(self, name) -> Column:
+        return F.concat(F.slice(self.stack, 1, F.size(self.stack) - 1), F.array(F.lit(name) if isinstance(name, str) else name))
+
+    def to(self, stack=None, want="", out=None) -> Column:
+        want = F.lit(want) if isinstance(want, str) else want
+        return F.struct((self.stack if stack is None else stack).alias("stack"), want.alias("want"), self.u.alias("last"), (self.out if out is None else out).alias("out"))
+
+    def found(self, kind: Column, name: Column) -> Column:
+        return F.concat(self.out, F.array(F.struct(kind.alias("kind"), name.alias("name"))))
+
+    def without_last(self, kind: str) -> Column:
+        """A name right before a parenthesis is a function."""
+        call = (F.size(self.out) > 0) & (F.element_at(self.out, -1)["kind"] == kind) & (F.upper(F.element_at(self.out, -1)["name"]) == self.last)
+        return F.when(call, F.slice(self.out, 1, F.greatest(F.size(self.out) - 1, F.lit(0)))).otherwise(self.out)
+
+
+def _folded(sql_col: str, step) -> Column:
+    start = F.struct(F.array(F.lit("")).alias("stack"), F.lit("").alias("want"), F.lit("").alias("last"), F.array().cast("array<struct<kind:string,name:string>>").alias("out"))
+    return F.aggregate(_tokens(sql_col), start, lambda s, t: step(_Scan(s, t)), lambda s: s["out"])
+
+
+def _table_step(x: _Scan) -> Column:
+    u, last, want, top = x.u, x.last, x.want, x.top
+    return (
+        F.when(u == "(", x.to(F.concat(x.stack, F.array(F.when(last.isin(*WITH_FROM_INSIDE), "FN").otherwise("("))), out=x.without_last("read")))
+        .when(u == ")", x.to(x.inner))
+        .when(u == ",", x.to(want=F.when(top == "FROM", "read").when(top == "WITH", "cte").otherwise("")))
+        .when(u == ";", x.to(F.array(F.lit(""))))
+        .when((u == "FROM") & (top == "FN"), x.to())
+        .when(u == "FROM", x.to(x.clause("FROM"), F.when(last == "DELETE", "write").otherwise("read")))
+        .when(u == "JOIN", x.to(x.clause("FROM"), "read"))
+        .when(u == "USING", x.to(x.clause("FROM"), F.when(top == "MERGE", "read").otherwise("")))
+        .when(u == "INTO", x.to(x.clause(F.when(last == "MERGE", "MERGE").otherwise("INTO")), "write"))
+        .when((u == "UPDATE") & ~last.isin("DO", "FOR", "THEN"), x.to(x.clause("UPDATE"), "write"))
+        .when(u == "OVERWRITE", x.to(x.clause("INTO"), "write"))
+        .when(u.isin("TABLE", "VIEW"), x.to(x.clause("TABLE"), F.when((want == "write") | last.isin(*MADE_OR_CHANGED), "write").otherwise("")))
+        .when(u == "WITH", x.to(x.clause("WITH"), "cte"))
+        .when(u.isin(*CLAUSES), x.to(x.clause(u)))
+        .when(u.isin(*KEPT_BEFORE_NAME), x.to(want=want))
+        .when(u.isin("AS", "ON", "LATERAL", "UNNEST", "TABLESAMPLE", "DIRECTORY", "UPDATE") | ~x.is_name | (want == ""), x.to())
+        .otherwise(x.to(out=x.found(want, x.t)))
+    )
 
 
 def sql_lineage(df: DataFrame, id_col: str, sql_col: str) -> DataFrame:
-    """(statement, table, role): tables after INTO or UPDATE are written, the others read."""
-    hits = F.explode(F.regexp_extract_all(sql_col, F.lit(SQL_REF), F.lit(0)))
-    refs = df.select(id_col, hits.alias("__ref"))
-    table = F.regexp_extract("__ref", r"\s(\S+)$", 1)
-    role = F.when(F.col("__ref").rlike(r"(?i)^(INTO|UPDATE)"), "write").otherwise("read")
-    return refs.select(id_col, table.alias("table_name"), role.alias("role")).distinct()
+    """(statement, table, role): tables that a statement writes (INSERT INTO or OVERWRITE, UPDATE, MERGE, DELETE, CREATE and the
+    like) and those it reads, in joins, comma lists and subqueries. Names of WITH queries and table functions are no tables."""
+    found = df.select(id_col, _folded(sql_col, _table_step).alias("__f"))
+    ctes = F.transform(F.filter("__f", lambda r: r["kind"] == "cte"), lambda r: F.lower(_plain_name(r["name"])))
+    refs = found.select(id_col, ctes.alias("__c"), F.explode("__f").alias("__r")).select(id_col, "__c", _plain_name(F.col("__r.name")).alias("table_name"), F.col("__r.kind").alias("role"))
+    own = F.array_contains("__c", F.lower("table_name")) & (F.col("role") == "read")
+    return refs.filter((F.col("role") != "cte") & ~own).select(id_col, "table_name", "role").distinct()
+
+
+def _column_step(x: _Scan) -> Column:
+    u, last, want, top = x.u, x.last, x.want, x.top
+    name = F.element_at(F.split(x.t, r"\."), -1)
+    after_name = last.rlike(r"""^["`A-Z_$]""") & ~last.isin("SELECT", "AS", *WORDS_IN_EXPRESSIONS)
+    named = last.isin("SELECT", ",", "DISTINCT", "ALL", "AS", ")", "END") | after_name
+    ended = F.when(want != "", x.found(F.lit("select"), want)).otherwise(x.out)
+    filters = ("WHERE", "HAVING", "(WHERE")
+    return (
+        # ``want`` holds the name that the current item of a select list would have
+        F.when(u == "(", x.to(F.concat(x.stack, F.array(F.when(((top == "INTO") & after_name) | (last == "INSERT"), "COLUMNS").when(top.isin(*filters), "(WHERE").otherwise("("))), out=x.without_last("where")))
+        .when(u == ")", x.to(x.inner, out=F.when(top == "SELECT", ended).otherwise(x.out)))
+        .when(u == ";", x.to(F.array(F.lit("")), out=F.when(top == "SELECT", ended).otherwise(x.out)))
+        .when(u == "SELECT", x.to(x.clause("SELECT")))
+        .when((top == "SELECT") & ((u == ",") | u.isin("FROM", "INTO", ";", "UNION", "EXCEPT", "INTERSECT", "WHERE")), x.to(F.when(u == ",", x.stack).otherwise(x.clause(u)), out=ended))
+        .when(u.isin("FROM", "INTO", "OVERWRITE", "UPDATE", *CLAUSES), x.to(x.clause(F.when(u == "OVERWRITE", "INTO").otherwise(u))))
+        .when(top == "SELECT", x.to(want=F.when(u == "AS", want).when(x.is_name & ~u.isin(*WORDS_IN_EXPRESSIONS) & named & (name != "*"), name).otherwise("")))
+        .when((top == "COLUMNS") & x.is_name, x.to(out=x.found(F.lit("insert"), name)))
+        .when(top.isin(*filters) & x.is_name & ~u.isin(*WORDS_IN_EXPRESSIONS), x.to(out=x.found(F.lit("where"), name)))
+        .otherwise(x.to())
+    )
 
 
-def sql_columns(df: DataFrame, id_col: str, sql_col: str) -> DataFrame:
-    """Columns named in the select list of each statement, lower case, aliases preferred."""
-    listed = F.regexp_extract(sql_col, r"(?is)SELECT\s+(.*?)\s+FROM", 1)
-    out = df.select(id_col, F.explode(F.split(listed, ",")).alias("__c"))
-    alias = F.regexp_replace(F.trim("__c"), r"(?i)^.*\s+AS\s+", "")
-    name = F.regexp_replace(F.regexp_replace(alias, r"^.*\.", ""), r"[()]", "")
-    return out.select(id_col, F.lower(F.trim(name)).alias("column_name")).filter("column_name not in ('', '*')").distinct()
+def sql_columns(df: DataFrame, id_col: str, sql_col: str, places: tuple[str, ...] = ("select",)) -> DataFrame:
+    """(statement, column) in lower case: names that the select lists give (aliases, or the column itself; an expression without
+    an alias gives none), and, if asked for in ``places``, columns of INSERT lists and of conditions."""
+    ended = F.concat(sql_col, F.lit(" ;"))
+    found = df.withColumn("__s", ended).select(id_col, F.explode(_folded("__s", _column_step)).alias("__r"))
+    return found.filter(F.col("__r.kind").isin(*places)).select(id_col, F.lower(_plain_name(F.col("__r.name"))).alias("column_name")).distinct()
 
 
 # Resource references in texts.
@@ -377,12 +476,17 @@ SYSTEM_PATTERNS = {
 }
 
 
+# What a step does with a system, by the first word of its type.
+DIRECTIONS = {
+    "get": "READ", "list": "READ", "consume": "READ", "listen": "READ", "fetch": "READ", "query": "READ", "scan": "READ", "select": "READ",
+    "put": "WRITE", "publish": "WRITE", "send": "WRITE", "post": "WRITE", "insert": "WRITE", "write": "WRITE", "delete": "WRITE",
+}
+
+
 def external_systems(steps: DataFrame, id_col: str, type_col: str) -> DataFrame:
-    """(id, system, direction): external systems the steps of a flow talk to, judged by their type."""
-    kind = F.col(type_col)
-    direction = (
-        F.when(kind.rlike("(?i)^(Get|List|Consume|Listen|Fetch|Query|Scan|Select)"), "READ")
-        .when(kind.rlike("(?i)^(Put|Publish|Send|Post|Insert|Write|Delete)"), "WRITE").otherwise("READ/WRITE")
-    )
-    hits = F.array_compact(F.array(*[F.when(kind.rlike(p), F.lit(k)) for k, p in SYSTEM_PATTERNS.items()]))
-    return steps.select(id_col, F.explode(hits).alias("system"), direction.alias("direction"))
+    """(id, system, direction): external systems that the steps of a flow talk to, judged by their type (CamelCase words)."""
+    verbs = F.create_map(*[F.lit(x) for pair in DIRECTIONS.items() for x in pair])
+    verb = F.lower(F.regexp_extract(type_col, "^([A-Z]?[a-z]+)", 1))
+    found = F.map_filter(F.create_map(*[F.lit(x) for pair in SYSTEM_PATTERNS.items() for x in pair]), lambda _, pattern: F.rlike(F.col(type_col), pattern))
+    direction = F.coalesce(F.try_element_at(verbs, verb), F.lit("READ/WRITE"))
+    return steps.select(id_col, F.explode(F.map_keys(found)).alias("system"), direction.alias("direction"))

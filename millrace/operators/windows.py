@@ -27,7 +27,8 @@ def tumbling(
 def rolling(
     df: DataFrame, keys: list[str], ts: str, seconds: int, aggs: dict[str, Column], chunk_seconds: int = 3600
 ) -> DataFrame:
-    """For each row, aggregates over the rows of its key in the last ``seconds`` (both ends included).
+    """For each row, aggregates over the rows of its key in the last ``seconds`` (both ends included). Rows without a time are
+    each other's peers, as in a RANGE frame: they get the aggregates over all such rows of their key.
 
     A key is cut into time chunks, and rows that reach into the next chunk are copied there for looking back only, so
     a window partition is one (key, chunk) and not the whole key.
@@ -36,10 +37,12 @@ def rolling(
     t = df.withColumn("__t", micros(F.col(ts)))
     own = F.floor(F.col("__t") / F.lit(size))
     reach = F.floor((F.col("__t") + F.lit(seconds * MICROS)) / F.lit(size))
-    spread = t.withColumn("__own", own).withColumn("__chunk", F.explode(F.sequence(own, reach)))
+    timeless = df.filter(F.col(ts).isNull())
+    peers = skew_join(timeless, timeless.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()]), keys)
+    spread = t.filter("__t is not null").withColumn("__own", own).withColumn("__chunk", F.explode(F.sequence(own, reach)))
     w = Window.partitionBy(*keys, "__chunk").orderBy("__t").rangeBetween(-seconds * MICROS, 0)
     out = spread.withColumns({n: c.over(w) for n, c in aggs.items()})
-    return out.filter(F.col("__own") == F.col("__chunk")).drop("__t", "__own", "__chunk")
+    return out.filter(F.col("__own") == F.col("__chunk")).drop("__t", "__own", "__chunk").unionByName(peers)
 
 
 def dedup(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -106,7 +109,7 @@ def sample_fraction(df: DataFrame, fraction: float = 0.1, key: str | None = None
 
 
 def sample_rows(df: DataFrame, n: int, key: str | None = None, seed: int = 42) -> DataFrame:
-    """``n`` rows: the smallest key hashes (repeatable, one top-n per task), else a plain limit."""
+    """``n`` rows: the smallest hashes of the key, else of the whole row (repeatable, one top-n per task)."""
     if key is None:
-        return df.limit(n)
+        return df.orderBy(F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")])).limit(n)
     return df.orderBy(_hash_unit(key, seed), key).limit(n)

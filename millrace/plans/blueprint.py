@@ -306,53 +306,67 @@ def mapping_to_schema(df: DataFrame, side: str = "target") -> DataFrame:
 
 
 _NAME = r"""[\w."`\[\]]+"""
+# text in parentheses, two levels deep; possessive, so that long lists need no deep recursion
+_INSIDE = r"(?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+"
+_ITEM = r"(?s)(?:[^,()]++|\((?:[^()]++|\([^()]*+\))*+\))++"
+_TYPE = r"double\s+precision|character\s+varying|\w+"
+_MARKS = r"""["`\[\]]"""
 
 
 def ddl_inventory(files: DataFrame, text: str = "value", file: str = "file") -> DataFrame:
-    """Columns declared by CREATE TABLE statements of many DDL texts, with keys, for whole files one per row."""
+    """Columns declared by the CREATE TABLE statements of many DDL texts, one file per row: type, length, precision, scale, default,
+    and the keys that the column, the table or an ALTER TABLE .. ADD statement gives."""
     clean = F.regexp_replace(F.regexp_replace(text, r"--[^\n]*", " "), r"(?s)/\*.*?\*/", " ")
-    create = rf"(?is)CREATE\s+(?:OR\s+REPLACE\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?{_NAME}\s*\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
-    statements = files.select(file, F.explode(F.regexp_extract_all(clean, F.lit(create), F.lit(0))).alias("s"))
-    table = F.regexp_replace(F.regexp_extract("s", rf"(?is)TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?({_NAME})\s*\(", 1), r"""["`\[\]]""", "")
-    body = F.regexp_extract("s", r"(?s)\((.*)\)$", 1)
-    items = statements.select(
-        file, table.alias("table_name"),
-        F.posexplode(F.regexp_extract_all(body, F.lit(r"(?s)(?:[^,()]|\((?:[^()]|\([^()]*\))*\))+"), F.lit(0))).alias("position", "item"),
-    ).withColumn("item", F.trim(F.regexp_replace("item", r"\s+", " ")))
-    constraint = F.col("item").rlike(r"(?i)^(CONSTRAINT|PRIMARY\s+KEY|FOREIGN\s+KEY|UNIQUE|CHECK|INDEX|KEY)\b")
-    column = items.filter(~constraint & (F.col("item") != ""))
-    strip = r"""["`\[\]]"""
-    refs = r"(?i)REFERENCES\s+([\w.]+)\s*\(\s*(\w+)"
-    cols = column.select(
-        file, "table_name", "position",
-        F.regexp_replace(F.regexp_extract("item", r"^(\S+)", 1), strip, "").alias("column_name"),
-        F.lower(F.regexp_extract("item", r"(?i)^\S+\s+(double precision|character varying|\w+)", 1)).alias("raw_type"),
-        F.regexp_extract("item", r"(?i)^\S+\s+(?:double precision|character varying|\w+)\s*\((\d+)", 1).try_cast("int").alias("max_len"),
-        (~F.col("item").rlike(r"(?i)\bNOT\s+NULL\b|\bPRIMARY\s+KEY\b")).alias("nullable"),
-        F.col("item").rlike(r"(?i)\bPRIMARY\s+KEY\b").alias("pk_inline"),
-        F.nullif(F.regexp_extract("item", refs, 1), F.lit("")).alias("fk_table"),
-        F.nullif(F.regexp_extract("item", refs, 2), F.lit("")).alias("fk_column"),
-        F.regexp_extract_all(F.regexp_extract("item", r"(?i)\bIN\s*\(([^()]*)\)", 1), F.lit(r"'([^']*)'"), F.lit(1)).alias("check_values"),
-    )
-    rule = items.filter(constraint)
-    pk_list = F.regexp_extract("item", r"(?i)PRIMARY\s+KEY\s*\(([^)]*)\)", 1)
-    pks = rule.select(file, "table_name", F.explode(F.split(F.regexp_replace(pk_list, strip + r"|\s", ""), ",")).alias("column_name"))
-    pks = pks.filter("column_name <> ''").distinct().withColumn("pk_rule", F.lit(True))
-    fk = r"(?i)FOREIGN\s+KEY\s*\(\s*(\w+)\s*\)\s*REFERENCES\s+([\w.]+)\s*\(\s*(\w+)"
-    fks = rule.filter(F.col("item").rlike(fk)).select(
-        file, "table_name", F.regexp_extract("item", fk, 1).alias("column_name"),
-        F.regexp_extract("item", fk, 2).alias("fk_t"), F.regexp_extract("item", fk, 3).alias("fk_c"),
+    texts = files.select(file, clean.alias("__t"))
+    head = rf"(?is)\bCREATE\s+(?:OR\s+REPLACE\s+)?(?:TEMP(?:ORARY)?\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?({_NAME})\s*"
+    made = texts.select(file, F.explode(F.regexp_extract_all("__t", F.lit(rf"{head}\({_INSIDE}\)"), F.lit(0))).alias("s"))
+    named = made.select(file, _bare(F.regexp_extract("s", head, 1)).alias("table_name"), F.regexp_extract("s", rf"(?s)\(({_INSIDE})\)$", 1).alias("body"))
+    items = named.select(file, "table_name", F.posexplode(F.regexp_extract_all("body", F.lit(_ITEM), F.lit(0))).alias("position", "item"))
+    items = items.withColumn("item", F.trim(F.regexp_replace("item", r"\s+", " "))).filter("item <> ''")
+    constraint = F.col("item").rlike(r"(?i)^(CONSTRAINT|PRIMARY KEY|FOREIGN KEY|UNIQUE|CHECK|INDEX|KEY)\b")
+    item = lambda pattern, group=1: F.nullif(F.regexp_extract("item", pattern, group), F.lit(""))
+    size = rf"(?i)^\S+ (?:{_TYPE}) ?\( ?(\d+)(?: ?, ?(\d+))?"
+    kind = F.lower(F.regexp_extract("item", rf"(?i)^\S+ ({_TYPE})", 1))
+    exact = kind.isin("number", "numeric", "decimal", "dec")
+    refs = rf"(?i)REFERENCES ({_NAME}) ?\( ?({_NAME})"
+    # SQL Server identities and the serial types of PostgreSQL number their rows: never NULL
+    numbered = F.col("item").rlike(r"(?i)\bIDENTITY\b|^\S+ \w*SERIAL\b")
+    cols = items.filter(~constraint).select(
+        file, "table_name", "position", _bare(F.regexp_extract("item", r"^(\S+)", 1)).alias("column_name"), kind.alias("raw_type"),
+        item(size).try_cast("int").alias("max_len"), F.when(exact, item(size).try_cast("int")).alias("num_precision"), F.when(exact, item(size, 2).try_cast("int")).alias("num_scale"),
+        item(r"(?i)\bDEFAULT ('(?:[^']++|'')*+'|[\w.+-]+(?:\([^()]*\))?|\([^()]*\))").alias("default_value"),
+        (~F.col("item").rlike(r"(?i)\bNOT NULL\b|\bPRIMARY KEY\b") & ~numbered).alias("nullable"), F.col("item").rlike(r"(?i)\bPRIMARY KEY\b").alias("pk_inline"),
+        F.col("item").rlike(r"(?i)\bUNIQUE\b").alias("uq_inline"), _bare(item(refs)).alias("fk_table"), _bare(item(refs, 2)).alias("fk_column"),
+        F.regexp_extract_all(F.regexp_extract("item", r"(?i)(?:\bIN|\bENUM) ?\(([^()]*)\)", 1), F.lit(r"'([^']*)'"), F.lit(1)).alias("check_values"),
     )
+    # ALTER TABLE name ADD <constraint>: the same constraint texts as in a table's body
+    alter = rf"(?is)\bALTER\s+TABLE\s+(?:ONLY\s+)?({_NAME})\s+(?:WITH\s+(?:NO)?CHECK\s+)?ADD\s+([^;]*+)"
+    altered = texts.select(file, F.explode(F.regexp_extract_all("__t", F.lit(alter), F.lit(0))).alias("s"))
+    altered = altered.select(file, _bare(F.regexp_extract("s", alter, 1)).alias("table_name"), F.trim(F.regexp_replace(F.regexp_extract("s", alter, 2), r"\s+", " ")).alias("item"))
+    rules = items.filter(constraint).select(file, "table_name", "item").unionByName(altered)
+
+    def listed(pattern: str, mark: str) -> DataFrame:
+        one = rules.select(file, "table_name", F.explode(F.split(F.regexp_extract("item", pattern, 1), ",")).alias("column_name"))
+        return one.withColumn("column_name", F.trim(_bare(F.col("column_name")))).filter("column_name <> ''").distinct().withColumn(mark, F.lit(True))
+
+    fk = rf"(?i)FOREIGN KEY ?\( ?({_NAME}) ?\) ?REFERENCES ({_NAME}) ?\( ?({_NAME})"
+    keyed = rules.select(file, "table_name", F.explode(F.regexp_extract_all("item", F.lit(fk), F.lit(0))).alias("k"))
+    part = lambda n: _bare(F.regexp_extract("k", fk, n))
+    fks = keyed.groupBy(file, "table_name", part(1).alias("column_name")).agg(F.min_by(F.struct(part(2).alias("t"), part(3).alias("c")), "k").alias("fk"))
     keys = [file, "table_name", "column_name"]
-    out = cols.join(pks, keys, "left").join(fks, keys, "left")
-    out = out.withColumn("is_primary_key", F.col("pk_inline") | F.coalesce("pk_rule", F.lit(False)))
+    out = cols.join(listed(r"(?i)PRIMARY KEY(?: CLUSTERED| NONCLUSTERED)? ?\(([^)]*)\)", "pk_rule"), keys, "left").join(listed(r"(?i)^(?:CONSTRAINT \S+ )?UNIQUE(?: KEY)? ?\(([^),]*)\)", "uq_rule"), keys, "left").join(fks, keys, "left")
+    key = F.col("pk_inline") | F.coalesce("pk_rule", F.lit(False))
     out = out.withColumns(
         {
-            "fk_table": F.coalesce("fk_table", "fk_t"), "fk_column": F.coalesce("fk_column", "fk_c"),
-            "nullable": F.col("nullable") & ~F.col("is_primary_key"),
+            "is_primary_key": key, "is_unique": F.col("uq_inline") | F.coalesce("uq_rule", F.lit(False)), "nullable": F.col("nullable") & ~key,
+            "fk_table": F.coalesce("fk_table", "fk.t"), "fk_column": F.coalesce("fk_column", "fk.c"),
         }
     )
-    return normalize_types(out, "raw_type", "data_type").drop("pk_inline", "pk_rule", "fk_t", "fk_c")
+    return normalize_types(out, "raw_type", "data_type").drop("pk_inline", "pk_rule", "uq_inline", "uq_rule", "fk")
+
+
+def _bare(name: Column) -> Column:
+    return F.regexp_replace(name, _MARKS, "")
 
 
 def read_ddl(spark: SparkSession, path: str) -> DataFrame:

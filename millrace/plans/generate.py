@@ -10,13 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.hashrand import normal_ppf, permuted, uniform
-from millrace.spec import DEFAULTS, Blueprint, ColumnSpec, ForeignKey, TableSpec, base_type, spark_type
+from millrace.spec import Blueprint, ColumnSpec, ForeignKey, TableSpec, base_type, spark_type
 
 ALPHANUMERIC = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 INTEGERS = ("int", "bigint", "smallint", "tinyint", "integer", "long")
 REALS = ("float", "double", "decimal", "numeric")
 CATEGORICAL_LIMIT = 100
-CATEGORY_COVERAGE = 0.95
 
 
 def _number(stats: dict, which: str, default: float) -> float:
@@ -156,10 +155,10 @@ def _shift(seed: int, table: str, column: str) -> int:
 
 
 def is_categorical(stats: dict) -> bool:
-    """Few values, and the known ones cover nearly all rows."""
+    """Few values, all of them known: the frequencies add up to the share of rows that are not NULL."""
     tops = stats.get("top_values") or []
-    covered = sum(t["frequency"] for t in tops) >= CATEGORY_COVERAGE * (1 - (stats.get("null_ratio") or 0.0))
-    return bool(tops) and covered and (stats.get("distinct_count") or len(tops)) <= CATEGORICAL_LIMIT
+    covered = sum(t["frequency"] for t in tops) >= (1 - (stats.get("null_ratio") or 0.0)) * (1 - 1e-6)
+    return 0 < len(tops) <= CATEGORICAL_LIMIT and covered
 
 
 def first_key(spec: ColumnSpec) -> int:
@@ -210,10 +209,16 @@ def fk_value(fk: ForeignKey, child: str, row_id: Column, parent: TableSpec, pare
     return F.when(uniform(seed, child, fk.column + "#orphan", row_id) < F.lit(fk.orphan_ratio), outside).otherwise(chosen)
 
 
-def rows_of(spec: TableSpec, scale: float, cap: int | None = DEFAULTS.max_rows_per_table) -> int:
-    """Rows to make: at least one, at most ``cap`` (None for no limit)."""
+class TooManyRows(ValueError):
+    """A specification asks for more rows than the given limit."""
+
+
+def rows_of(spec: TableSpec, scale: float, cap: int | None = None) -> int:
+    """Rows to make, at least one. With ``cap``, asking for more is an error; rows are never cut off."""
     n = max(1, int(spec.row_count * scale))
-    return n if cap is None else min(n, cap)
+    if cap is not None and n > cap:
+        raise TooManyRows(f"{spec.name}: {n} rows asked, {cap} allowed")
+    return n
 
 
 def gen_rows(spark: SparkSession, n: int) -> DataFrame:
@@ -223,7 +228,7 @@ def gen_rows(spark: SparkSession, n: int) -> DataFrame:
 
 def generate(
     spark: SparkSession, spec: TableSpec, scale: float = 1.0, seed: int = 42, parents: Blueprint | None = None,
-    cap: int | None = DEFAULTS.max_rows_per_table, quantiles: bool = False,
+    cap: int | None = None, quantiles: bool = False,
 ) -> DataFrame:
     """One synthetic table. Foreign keys to tables of ``parents`` use the key formula of the parent."""
     n = rows_of(spec, scale, cap)
@@ -263,7 +268,7 @@ def generation_order(blueprint: Blueprint, subset: list[str] | None = None) -> l
 
 def generate_all(
     spark: SparkSession, blueprint: Blueprint, scale: float = 1.0, seed: int = 42, tables: list[str] | None = None,
-    cap: int | None = DEFAULTS.max_rows_per_table,
+    cap: int | None = None,
 ) -> dict[str, DataFrame]:
     """All tables, or a subset, in generation order."""
     return {n: generate(spark, blueprint.table(n), scale, seed, blueprint, cap) for n in generation_order(blueprint, tables)}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators.ordered import with_running_sum
+from millrace.operators.windows import sample_rows
 from millrace.spec import DEFAULTS, is_numeric, is_temporal
 
 PERCENTILES = (0.25, 0.5, 0.75, 0.95, 0.99)
@@ -30,10 +31,17 @@ def _all_match(name: str, pattern: str, lengths: str) -> Column:
     return F.bool_and(F.when(value.isNotNull(), F.expr(f"length(`{name}`) {lengths}") & value.rlike(pattern)))
 
 
+NESTED = (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType)
+
+
 def profiled_columns(df: DataFrame) -> list[str]:
-    """Columns with a text form that can be grouped: nested ones are left out."""
-    nested = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
-    return [f.name for f in df.schema.fields if not isinstance(f.dataType, nested)]
+    """All columns. Nested and binary ones have counts and their share of NULLs, but no values, range or pattern."""
+    return list(df.columns)
+
+
+def grouped_columns(df: DataFrame) -> list[str]:
+    """Columns whose values can be counted and shown as text."""
+    return [f.name for f in df.schema.fields if not isinstance(f.dataType, NESTED)]
 
 
 def _q(name: str) -> Column:
@@ -55,10 +63,11 @@ def statistics(
         kind, v = types[c], _q(c)
         numeric, temporal, text = is_numeric(kind), is_temporal(kind), isinstance(kind, T.StringType)
         aggs.append(F.count(v).alias(f"c{i}"))
-        ranged = text_range or not text
+        nested = isinstance(kind, NESTED)
+        ranged = (text_range or not text) and not nested
         if ranged:
             aggs += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
-        if distinct:
+        if distinct and not nested:
             aggs.append(F.approx_count_distinct(v).alias(f"d{i}"))
         if numeric:
             x = v.cast("double")
@@ -80,7 +89,7 @@ def statistics(
                 F.col(f"c{i}").alias("non_null_count"),
                 (F.col("n") - F.col(f"c{i}")).alias("null_count"),
                 F.coalesce((F.col("n") - F.col(f"c{i}")) / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0)).alias("null_ratio"),
-                (F.col(f"d{i}") if distinct else F.lit(None).cast("bigint")).alias("distinct_count"),
+                (F.col(f"d{i}") if distinct and not nested else F.lit(None).cast("bigint")).alias("distinct_count"),
                 (F.col(f"lo{i}").cast("string") if ranged else none_s).alias("min_value"),
                 (F.col(f"hi{i}").cast("string") if ranged else none_s).alias("max_value"),
                 (F.col(f"lo{i}").cast("double") if numeric else none_d).alias("min_number"),
@@ -159,7 +168,7 @@ def value_counts(df: DataFrame, cols: list[str] | None = None, one_pass: bool =
     Each column is counted by itself in its own type: a columnar source then reads every column once, and no row is
     multiplied. ``one_pass`` unpivots instead, for an input that is costly to compute and not stored.
     """
-    cols = cols or profiled_columns(df)
+    cols = cols or grouped_columns(df)
     text = {c: isinstance(df.schema[c].dataType, T.StringType) for c in cols}
     n = F.count(F.lit(1)).alias("n")
 
@@ -205,7 +214,7 @@ def restore(tops: DataFrame, df: DataFrame, cols: list[str]) -> DataFrame:
 
 def top_values(df: DataFrame, k: int = DEFAULTS.top_values, cols: list[str] | None = None) -> DataFrame:
     """(column_name, rank, value, n, frequency); frequency is the share of all rows, NULLs included."""
-    cols = cols or profiled_columns(df)
+    cols = cols or grouped_columns(df)
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     tops = restore(top_of(value_counts(df, cols), k), df, cols)
     return tops.select("column_name", "rank", "value", "n").withColumn("frequency", F.col("n") / total)
@@ -217,26 +226,39 @@ def exact_distinct(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def exact_statistics(df: DataFrame, cols: list[str] | None = None, accuracy: int = 0) -> DataFrame:
-    """:func:`statistics` with exact distinct counts, without top values."""
+    """:func:`statistics` with exact distinct counts (NULL for nested and binary columns), without top values."""
     base = statistics(df, cols, accuracy, distinct=False).drop("distinct_count")
-    return base.join(exact_distinct(df, cols), "column_name")
+    return base.join(exact_distinct(df, _countable(df, cols)), "column_name", "left")
+
+
+def _countable(df: DataFrame, cols: list[str] | None) -> list[str]:
+    able = grouped_columns(df)
+    return [c for c in able if cols is None or c in cols]
 
 
 def profile(
     df: DataFrame, cols: list[str] | None = None, k: int = DEFAULTS.top_values, exact: bool = False,
-    accuracy: int = 10000, sample: int | None = None,
+    accuracy: int = 10000, sample: int | None = None, domain: int = 0,
 ) -> DataFrame:
-    """Statistics and top values, one row per column. ``exact`` counts distinct values exactly; ``sample`` bounds the
-    rows read for a quick look."""
+    """Statistics and top values, one row per column. ``exact`` counts distinct values exactly; ``sample`` profiles that many
+    rows, chosen by a hash of the row. A column of at most ``domain`` values has all of them as top values."""
     if sample:
-        df = df.limit(sample)
-    cols = cols or profiled_columns(df)
+        df = sample_rows(df, sample)
     base = statistics(df, cols, accuracy, distinct=not exact)
-    counts = value_counts(df, cols)
     entry = F.struct("rank", "value", "n")
-    tops = restore(top_of(counts, k), df, cols).groupBy("column_name").agg(F.array_sort(F.collect_list(entry)).alias("__top"))
-    if exact:
+    able = _countable(df, cols)
+    if able:
+        counts = value_counts(df, able)
+        listed = top_of(counts, max(k, domain + 1 if domain else 0))
+        if domain:  # a few rows per column
+            whole = F.max("rank").over(Window.partitionBy("column_name")) <= domain
+            listed = listed.withColumn("__whole", whole).filter((F.col("rank") <= k) | F.col("__whole")).drop("__whole")
+        tops = restore(listed, df, able).groupBy("column_name").agg(F.array_sort(F.collect_list(entry)).alias("__top"))
         distinct = counts.groupBy("column_name").agg(F.count("value").alias("distinct_count"))
+    else:
+        tops = df.sparkSession.createDataFrame([], "column_name string, __top array<struct<rank:int,value:string,n:bigint>>")
+        distinct = df.sparkSession.createDataFrame([], "column_name string, distinct_count bigint")
+    if exact:
         base = base.drop("distinct_count").join(distinct, "column_name", "left")
     frequency = F.transform("__top", lambda t: F.struct(t["value"].alias("value"), (t["n"] / F.col("row_count")).alias("frequency")))
     return base.join(tops, "column_name", "left").withColumn("top_values", frequency).drop("__top")
@@ -245,7 +267,7 @@ def profile(
 def column_summary(df: DataFrame, k: int = 5) -> DataFrame:
     """Per column: counts, then number statistics if more than half the rows are numbers, else distinct values and the
     most frequent ones as text."""
-    cols = profiled_columns(df)
+    cols = grouped_columns(df)
     aggs, rows = [F.count(F.lit(1)).alias("n")], []
     for i, c in enumerate(cols):
         x = _q(c).try_cast("double") if not is_temporal(df.schema[c].dataType) else F.lit(None).cast("double")

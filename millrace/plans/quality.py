@@ -43,8 +43,12 @@ def in_range(col: str, lo=None, hi=None, action: str = "warn", table: str = "")
     return Rule(f"{table}_{col}_range" if table else f"{col}_range", " AND ".join(parts) or "true", action, table=table)
 
 
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def in_set(col: str, values: list, action: str = "warn", table: str = "") -> Rule:
-    listed = ", ".join("'" + v.replace("'", "\\'") + "'" if isinstance(v, str) else str(v) for v in values)
+    listed = ", ".join(_sql_text(v) if isinstance(v, str) else str(v) for v in values)
     return Rule(f"{table}_{col}_accepted" if table else f"{col}_accepted", f"`{col}` IN ({listed})", action, table=table)
 
 

@@ -134,14 +134,14 @@ def level(score: Column, settings: Settings = DEFAULTS) -> Column:
 def score_tables(dims: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Confidence per table from (table_name, schema_score, fidelity_score, violations, layers_ok).
 
-    A dimension that was not measured (NULL) counts as 1, except quality: then it has no weight.
+    A dimension that was not measured (NULL) counts as 1.
     """
     w = settings.weights
-    quality = F.greatest(F.lit(0.0), F.lit(1.0) - F.col("violations") * F.lit(0.1))
+    quality = F.when(F.col("violations").isNotNull(), F.greatest(F.lit(0.0), F.lit(1.0) - F.col("violations") * F.lit(0.1)))
     parts = (
         F.coalesce("schema_score", F.lit(1.0)) * w["schema"]
         + F.coalesce("fidelity_score", F.lit(1.0)) * w["data_fidelity"]
-        + F.coalesce(quality, F.lit(0.0)) * w["quality"]
+        + F.coalesce(quality, F.lit(1.0)) * w["quality"]
         + F.when(F.coalesce("layers_ok", F.lit(True)), 1.0).otherwise(0.0) * w["pipeline"]
     )
     advice = F.array_compact(
@@ -242,5 +242,5 @@ def run_workstreams(
         return stream["name"], {"run": run, "workspace": workspace.first().asDict()}
 
     ordered = sorted(streams, key=lambda s: s.get("priority", 0))
-    with ThreadPoolExecutor(max_workers=min(max_parallel, DEFAULTS.max_parallel)) as pool:
+    with ThreadPoolExecutor(max_workers=max_parallel) as pool:
         return dict(pool.map(one, ordered))

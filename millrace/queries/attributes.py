@@ -113,7 +113,7 @@ def fn_math(spark, d):
 
 @R.add(
     "fn_logic",
-    """SELECT event_id, e IS NULL OR e = '' AS empty, e IS NULL AS isnull, e IS NOT NULL AS notnull, NOT (value > 50) AS n, (value > 20 AND value < 60) AS band,
+    """SELECT event_id, e IS NULL OR e = '' AS empty, e IS NULL OR e = '' AS isnull, e <> '' AND e IS NOT NULL AS notnull, NOT (value > 50) AS n, (value > 20 AND value < 60) AS band,
     (value < 20 OR value > 60) AS outside, CASE WHEN value > 50 THEN 'hi' ELSE 'lo' END AS pick
     FROM (SELECT event_id, value, CASE event_type WHEN 'view' THEN NULL WHEN 'click' THEN '' ELSE event_type END AS e FROM events)""",
 )
@@ -140,13 +140,16 @@ def fn_dates(spark, d):
 
 @R.add(
     "fn_json",
-    """SELECT event_id, json_extract_string(props, '$.k') AS k, '{}' AS deleted, '{"k":"' || json_extract_string(props, '$.k') || '","src":"web"}' AS added, '{"k":"0"}' AS changed FROM events""",
+    """SELECT event_id, json_extract_string(props, '$.k') AS k, '{"o":{"a":[1,true]},"v":' || (value > 50)::VARCHAR || '}' AS deleted,
+    '{"k":' || json_extract_string(props, '$.k') || ',"o":{"a":[1,true]},"v":' || (value > 50)::VARCHAR || ',"src":"web"}' AS added,
+    '{"o":{"a":[1,true]},"v":' || (value > 50)::VARCHAR || ',"k":0}' AS changed FROM events""",
 )
 def fn_json(spark, d):
-    p = attr("props")
+    p = attr("doc")
+    more = F.concat(F.expr("rtrim('}', props)"), F.lit(',"o":{"a":[1,true]},"v":'), (F.col("value") > 50).cast("string"), F.lit("}"))
     return _select(
-        load(spark, d, "events"), "event_id", k=p.json_path("$.k"), deleted=p.json_path_delete("k"), added=p.json_path_add("src", "web"),
-        changed=p.json_path_set("k", "0"),
+        load(spark, d, "events").withColumn("doc", more), "event_id", k=p.json_path("$.k"), deleted=p.json_path_delete("k"), added=p.json_path_add("src", "web"),
+        changed=p.json_path_set("k", 0),
     )
 
 

@@ -75,15 +75,16 @@ def flow_sensor_stream(spark, d):
 @R.add(
     "flow_stage_and_release",
     """SELECT o_orderkey, o_orderpriority, 'plant' AS _source FROM orders JOIN (SELECT user_id FROM events WHERE event_type = 'signup' GROUP BY user_id HAVING count(*) >= 3) ON o_custkey = user_id
-    WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderstatus <> 'P'""",
+    WHERE o_orderdate >= TIMESTAMP '1996-01-01'""",
 )
 def flow_stage_and_release(spark, d):
-    """Files of two formats merged, limited to recent rows by SQL, staged, and released by users with three signals."""
+    """Files of three formats merged, limited to recent rows by SQL, staged, and released by users with three signals."""
     orders = load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
     root = scratch_path(spark, "plant")
-    for status, fmt in (("O", "json"), ("F", "orc")):
+    kinds = (("O", "json"), ("F", "orc"), ("P", "parquet"))
+    for status, fmt in kinds:
         files.convert(orders.filter(F.col("o_orderstatus") == status), f"{root}/{status}.{fmt}", fmt)
-    landed = U.union_all(*[files.read_any(spark, f"{root}/{s}.{f}", orders.schema) for s, f in (("O", "json"), ("F", "orc"))])
+    landed = U.union_all(*[files.read_any(spark, f"{root}/{s}.{f}", orders.schema) for s, f in kinds])
     recent = spark.sql("SELECT * FROM {rows} WHERE o_orderdate >= :since", args={"since": datetime(1996, 1, 1)}, rows=landed)
     P.stamp(recent, "plant").write.parquet(f"{root}/stage")
     S.notify(load(spark, d, "events").filter("event_type = 'signup'").select("user_id"), f"{root}/signals")

@@ -23,12 +23,13 @@ def tumbling_window_avg(spark, d):
 
 @R.add(
     "rolling_window_avg",
-    """SELECT event_id, round(sum(value) OVER w, 2) / count(*) OVER w AS rolling_avg, count(*) OVER w AS n FROM events
+    """SELECT event_id, round(sum(value) OVER w, 2) / count(*) OVER w AS rolling_avg, count(*) OVER w AS n FROM (SELECT * REPLACE (CASE WHEN event_id % 10 > 0 THEN ts END AS ts) FROM events)
     WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)""",
 )
 def rolling_window_avg(spark, d):
     # values have two decimals: the rounded sum is exact, and its quotient does not depend on how an engine rounds halves
-    out = W.rolling(load(spark, d, "events"), ["event_type"], "ts", 3600, {"total": F.sum("value"), "n": F.count(F.lit(1))})
+    events = load(spark, d, "events").withColumn("ts", F.when(F.col("event_id") % 10 > 0, F.col("ts")))  # some without a time
+    out = W.rolling(events, ["event_type"], "ts", 3600, {"total": F.sum("value"), "n": F.count(F.lit(1))})
     return out.select("event_id", (F.round("total", 2) / F.col("n")).alias("rolling_avg"), "n")
 
 

@@ -236,16 +236,21 @@ def mapping_to_blueprint(spark, d):
 
 @R.add(
     "ddl_inventory",
-    """SELECT c_custkey::VARCHAR AS file, 'app.t' || c_custkey AS table_name, position::INT AS position, column_name, data_type, max_len::INT AS max_len, nullable, is_primary_key,
-    CASE WHEN position = 2 THEN 'nation' END AS fk_table, CASE WHEN position = 2 THEN 'id' END AS fk_column, CASE WHEN position = 3 THEN 'A,' || c_mktsegment ELSE '' END AS accepted
-    FROM customer, (VALUES (0, 'id', 'decimal', 10, false, true), (1, 'label', 'varchar', 50, false, false), (2, 'nation_id', 'int', NULL, true, false), (3, 'state', 'char', 8, true, false))
-      AS t(position, column_name, data_type, max_len, nullable, is_primary_key)""",
+    """WITH t AS (
+      SELECT * FROM (VALUES (0, 'id', 'decimal', 10, 10, 2, NULL, false, true), (1, 'label', 'varchar', 50, NULL, NULL, '''n/a''', false, false), (2, 'nation_id', 'int', NULL, NULL, NULL, '7', true, false),
+        (3, 'state', 'char', 8, NULL, NULL, NULL, true, false)) AS v(position, column_name, data_type, max_len, num_precision, num_scale, default_value, nullable, is_primary_key)
+      UNION ALL SELECT 3 + i, 'wide_' || i, 'decimal', 12, 12, NULL, NULL, true, false FROM range(1, 501) r(i))
+    SELECT c_custkey::VARCHAR AS file, 'app.t' || c_custkey AS table_name, position::INT AS position, column_name, data_type, max_len::INT AS max_len, num_precision::INT AS num_precision,
+    num_scale::INT AS num_scale, default_value, nullable, is_primary_key, false AS is_unique, CASE WHEN position = 2 THEN 'nation' END AS fk_table, CASE WHEN position = 2 THEN 'id' END AS fk_column,
+    CASE WHEN position = 3 THEN 'A,' || c_mktsegment ELSE '' END AS accepted FROM customer, t""",
 )
 def ddl_inventory(spark, d):
     c = load(spark, d, "customer")
+    wide = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(500)), lambda i: F.concat(F.lit(",\n  wide_"), i, F.lit(" DECIMAL(12)"))), "")
     text = F.concat(
-        F.lit("-- script\nCREATE TABLE app.t"), "c_custkey", F.lit(" (\n  id NUMBER(10,0), -- key\n  label VARCHAR2(50) NOT NULL,\n  nation_id INT,\n  state CHAR(8) CHECK (state IN ('A', '"),
-        "c_mktsegment", F.lit("')),\n  CONSTRAINT pk PRIMARY KEY (id),\n  CONSTRAINT fk FOREIGN KEY (nation_id) REFERENCES nation (id)\n);\nCREATE INDEX i ON t (label);"),
+        F.lit("-- script\nCREATE TABLE app.t"), "c_custkey", F.lit(" (\n  id NUMBER(10,2), -- key\n  label VARCHAR2(50) DEFAULT 'n/a' NOT NULL,\n  nation_id INT DEFAULT 7,\n  state CHAR(8) CHECK (state IN ('A', '"),
+        "c_mktsegment", F.lit("'))"), wide, F.lit(",\n  CONSTRAINT pk PRIMARY KEY (id)\n);\nCREATE INDEX i ON t (label);\nALTER TABLE app.t"), "c_custkey",
+        F.lit(" ADD CONSTRAINT fk FOREIGN KEY (nation_id) REFERENCES nation (id);"),
     )
     out = B.ddl_inventory(c.select(F.col("c_custkey").cast("string").alias("file"), text.alias("value")))
     return out.withColumn("accepted", F.array_join("check_values", ",")).drop("check_values", "raw_type")

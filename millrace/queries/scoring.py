@@ -116,7 +116,7 @@ def category_distance(spark, d):
 DIMS = """(SELECT c_mktsegment || '-' || c_nationkey AS table_name, CASE WHEN c_nationkey % 4 > 0 THEN round(avg((c_acctbal > 0)::INT), 6) END AS schema_score,
   round(avg((c_custkey % 3 <> 0)::INT), 6) AS fidelity_score, CASE WHEN c_nationkey <> 7 THEN count(*) FILTER (c_acctbal < 500) END AS violations, c_nationkey % 5 > 0 AS layers_ok
   FROM customer GROUP BY c_mktsegment, c_nationkey)"""
-SCORES = f"""SELECT table_name, coalesce(schema_score, 1) * 0.25 + coalesce(fidelity_score, 1) * 0.35 + coalesce(greatest(0, 1 - violations * 0.1::DOUBLE), 0) * 0.2
+SCORES = f"""SELECT table_name, coalesce(schema_score, 1) * 0.25 + coalesce(fidelity_score, 1) * 0.35 + CASE WHEN violations IS NULL THEN 1 WHEN violations >= 10 THEN 0 ELSE 1 - violations * 0.1::DOUBLE END * 0.2
   + CASE WHEN layers_ok THEN 0.2::DOUBLE ELSE 0::DOUBLE END AS s, schema_score, fidelity_score, violations, layers_ok FROM {DIMS}"""
 LEVEL = "CASE WHEN {s} >= 0.9 THEN 'green' WHEN {s} >= 0.7 THEN 'amber' ELSE 'red' END"
 

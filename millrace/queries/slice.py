@@ -29,7 +29,7 @@ def blueprint(spark: SparkSession, folder: str) -> Blueprint:
     tables = {t: load(spark, folder, t) for t in KEYS}
     lost = orphan_ratio(tables["orders"], tables["customer"], "o_custkey", "c_custkey").first()["orphan_ratio"]
     fks = {"customer": [], "orders": [ForeignKey("o_custkey", "customer", "c_custkey", lost)]}
-    return Blueprint("shop", [B.to_table_spec(t, P.profile(df), (KEYS[t],), fks[t]) for t, df in tables.items()], "files")
+    return Blueprint("shop", [B.to_table_spec(t, P.profile(df, domain=G.CATEGORICAL_LIMIT), (KEYS[t],), fks[t]) for t, df in tables.items()], "files")
 
 
 @R.add("readiness_slice")

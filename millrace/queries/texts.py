@@ -211,7 +211,11 @@ def validate_xml(spark, d):
     md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<head\b.*?</head>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS body FROM pages""",
 )
 def html_extract(spark, d):
-    out = X.html_element(X.html_fields(load(spark, d, "pages"), "html"), "html", "h1", "h1")
+    # a third of the pages with single quotes, a third with bare targets: the links are those of the page as it was
+    quoted = F.regexp_replace("html", r'(?i)(<a\s[^>]*href=)"([^"]*)"', r"$1'$2'")
+    bare = F.regexp_replace("html", r'(?i)(<a\s[^>]*)href="([^"\s]+)"', r"$1HREF = $2 ")
+    pages = load(spark, d, "pages").withColumn("html", F.when(F.col("page_id") % 3 == 1, quoted).when(F.col("page_id") % 3 == 2, bare).otherwise(F.col("html")))
+    out = X.html_element(X.html_fields(pages, "html"), "html", "h1", "h1")
     return out.select("page_id", "title", F.size("links").alias("links"), F.array_join("links", " ").alias("link_text"), "h1", F.md5("visible_text").alias("body"))
 
 
@@ -292,22 +296,34 @@ def parse_flow_record(spark, d):
 
 
 def _statements(spark, d):
-    sql = _concat("INSERT INTO db.t_", "$event_type", " SELECT s.a, s.b AS total FROM s_", "$user_id", " s JOIN dim x ON s.a = x.a")
+    """Four kinds of statements over the events, by id."""
+    kinds = [
+        _concat("INSERT INTO db.t_", "$event_type", " (a, total) SELECT s.a, s.b AS total FROM s_", "$user_id", " s JOIN dim x ON s.a = x.a"),
+        _concat("INSERT OVERWRITE TABLE t_", "$event_type", " SELECT extract(year FROM d) AS y, coalesce(a, b) AS c, d FROM s_", "$user_id", " -- FROM nowhere"),
+        _concat("WITH c AS (SELECT a FROM s_", "$user_id", ") SELECT c.a, count(*) FROM c, dim WHERE c.a <> 'FROM lost' AND k IN (SELECT k FROM keys_", "$event_type", ")"),
+        _concat("MERGE INTO t_", "$event_type", " t USING s_", "$user_id", " s ON t.id = s.id WHEN MATCHED THEN UPDATE SET a = s.a WHEN NOT MATCHED THEN INSERT (id, a) VALUES (s.id, s.a)"),
+    ]
+    sql = F.get(F.array(*kinds), (F.col("event_id") % 4).cast("int"))
     return load(spark, d, "events").select("event_id", sql.alias("sql"))
 
 
 @R.add(
     "sql_table_lineage",
-    """SELECT event_id, 'db.t_' || event_type AS table_name, 'write' AS role FROM events UNION ALL SELECT event_id, 's_' || user_id, 'read' FROM events
-    UNION ALL SELECT event_id, 'dim', 'read' FROM events""",
+    """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'db.t_' ELSE 't_' END || event_type AS table_name, 'write' AS role FROM events WHERE event_id % 4 <> 2
+    UNION ALL SELECT event_id, 's_' || user_id, 'read' FROM events
+    UNION ALL SELECT event_id, 'dim', 'read' FROM events WHERE event_id % 4 IN (0, 2)
+    UNION ALL SELECT event_id, 'keys_' || event_type, 'read' FROM events WHERE event_id % 4 = 2""",
 )
 def sql_table_lineage(spark, d):
     return X.sql_lineage(_statements(spark, d), "event_id", "sql")
 
 
-@R.add("sql_columns", "SELECT event_id, unnest(['a', 'total']) AS column_name FROM events")
+@R.add(
+    "sql_columns",
+    """SELECT event_id, unnest(CASE event_id % 4 WHEN 0 THEN ['a', 'total'] WHEN 1 THEN ['y', 'c', 'd'] WHEN 2 THEN ['a', 'k'] ELSE ['id', 'a'] END) AS column_name FROM events""",
+)
 def sql_columns(spark, d):
-    return X.sql_columns(_statements(spark, d), "event_id", "sql")
+    return X.sql_columns(_statements(spark, d), "event_id", "sql", ("select", "insert"))
 
 
 RESOURCE_SQL = "\nUNION ALL\n".join(

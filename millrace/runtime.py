@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,10 +31,14 @@ def session(app: str = "millrace", master: str | None = None, **conf: str) -> Sp
 
 
 def storage_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only if it is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``. Without it, a temporary one for a local master (tests); a cluster
+    has no folder that all its machines see, so there it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.match(r"local(\[|$)", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to storage that driver and executors of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _fallback_roots:
         _fallback_roots[app] = tempfile.mkdtemp(prefix="millrace-")

@@ -28,8 +28,15 @@ def apply_changes(target: DataFrame, changes: DataFrame, keys: list[str], seq: l
     return kept.select(*keys, *_picked(target.columns, keys, found, "u")).select(*target.columns)
 
 
-def upsert(target: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
-    """Matched rows replaced by the update (its NULLs included), others inserted. ``updates`` has one row per key."""
+def upsert(target: DataFrame, updates: DataFrame, keys: list[str], seq: list[str] | None = None) -> DataFrame:
+    """Matched rows replaced by the update (its NULLs included), others inserted. Of several updates of a key the last by
+    ``seq`` holds; without ``seq`` a repeated key is an error."""
+    if seq:
+        updates = latest_changes(updates, keys, seq)
+    else:
+        twice = F.raise_error(F.concat(F.lit("several updates of one key: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])))
+        one = updates.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.any_value(F.struct(*updates.columns)).alias("__r"))
+        updates = one.select(F.when(F.col("__n") == 1, F.col("__r")).otherwise(twice).alias("__r")).select("__r.*")
     joined = target.alias("t").join(updates.withColumn("__u", F.lit(True)).alias("u"), keys, "full_outer")
     found = F.col("__u").isNotNull()
     return joined.select(*keys, *_picked(target.columns, keys, found, "u")).select(*target.columns)

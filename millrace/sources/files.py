@@ -22,28 +22,30 @@ FORMATS = {
 }
 
 
+class MixedFormats(ValueError):
+    """A folder holds files of several formats."""
+
+
 def detect_format(spark: SparkSession, path: str) -> str:
-    """Format by extension, else by the first bytes of one file, else csv."""
+    """Format by extension, else by the first bytes of the files without a known one, else csv. Every file is looked at: a
+    folder of several formats is an error, since one reader would misread a part of it."""
     known = FORMATS.get(os.path.splitext(path.rstrip("/*"))[1].lower())
     if known:
         return known
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    names = files.filter("length > 0").select("path").limit(1).collect()
-    if names:
-        by_name = FORMATS.get(os.path.splitext(names[0]["path"])[1].lower())
-        if by_name:
-            return by_name
-        head = spark.read.format("binaryFile").load(names[0]["path"]).select(F.substring("content", 1, 4).alias("h")).first()
-        start = bytes(head["h"])
-        if start == b"PAR1":
-            return "parquet"
-        if start[:3] == b"ORC":
-            return "orc"
-        if start.lstrip()[:1] in (b"{", b"["):
-            return "json"
-        if start.lstrip()[:1] == b"<":
-            return "xml"
-    return "csv"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter("length > 0")
+    by_name = F.try_element_at(F.create_map(*[F.lit(x) for pair in FORMATS.items() for x in pair]), F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)))
+    found = {r.fmt for r in files.select(by_name.alias("fmt")).distinct().collect()}
+    if None in found:
+        start = F.substring("content", 1, 64)
+        text = F.trim(F.regexp_replace(F.decode(start, "ISO-8859-1"), r"\s+", " "))
+        head = (
+            F.when(F.substring(start, 1, 4) == F.lit(b"PAR1"), "parquet").when(F.substring(start, 1, 3) == F.lit(b"ORC"), "orc")
+            .when(text.rlike(r"^[{\[]"), "json").when(text.startswith("<"), "xml").otherwise("csv")
+        )
+        found = (found - {None}) | {r.fmt for r in files.filter(by_name.isNull()).select(head.alias("fmt")).distinct().collect()}
+    if len(found) > 1:
+        raise MixedFormats(f"{path}: {', '.join(sorted(found))}")
+    return found.pop() if found else "csv"
 
 
 def read_any(spark: SparkSession, path: str, schema: str | T.StructType | None = None, fmt: str | None = None, **options) -> DataFrame:

@@ -109,7 +109,9 @@ def test_same_rows_on_any_partitioning(spark):
 def test_rows_scale_and_cap():
     spec = TableSpec("t", [], 1000)
     assert G.rows_of(spec, 0.5) == 500 and G.rows_of(spec, 0.0001) == 1
-    assert G.rows_of(spec, 1e6) == 10_000_000 and G.rows_of(spec, 1e6, None) == 10**9
+    assert G.rows_of(spec, 1e6) == 10**9 and G.rows_of(spec, 0.5, 500) == 500
+    with pytest.raises(G.TooManyRows):
+        G.rows_of(spec, 1.0, 999)
 
 
 @settings(max_examples=200, deadline=None)

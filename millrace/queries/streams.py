@@ -155,17 +155,29 @@ def signal_gate(spark, d):
 
 @R.add("stream_signal_gate", GATE_SQL)
 def stream_signal_gate(spark, d):
-    signals, sink = scratch_path(spark, "signals"), scratch_path(spark, "gate")
-    load(spark, d, "events").filter("event_type = 'purchase'").write.parquet(signals)
-    orders = S.stream_table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    S.gate_stream(orders, signals, "o_custkey", "user_id", 12, sink, scratch_path(spark, "gate-checkpoint"))
+    """Orders in three batches; half of the signals come when all orders are waiting or gone."""
+    signals, sink, landed, checkpoint = (scratch_path(spark, n) for n in ("signals", "gate", "gate-orders", "gate-checkpoint"))
+    given = load(spark, d, "events").filter("event_type = 'purchase'")
+    S.notify(given.filter("event_id % 2 = 0"), signals)
+    orders = load(spark, d, "orders").select("o_orderkey", "o_custkey")
+    for k in range(3):
+        orders.filter(F.col("o_orderkey") % 3 == k).coalesce(1).write.mode("append").parquet(landed)
+    for late in (False, True):
+        if late:
+            S.notify(given.filter("event_id % 2 = 1"), signals)
+        S.gate_stream(S.stream_files(spark, landed, orders.schema, max_files=1), signals, "o_custkey", "user_id", 12, sink, checkpoint)
     return spark.read.parquet(sink).select("o_orderkey")
 
 
 @R.add("stream_rate_control", "SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, time_bucket(INTERVAL 1 DAY, ts) ORDER BY ts, event_id) <= 2")
 def stream_rate_control(spark, d):
+    """Events in three batches that cut through days: the limit of a day holds over all of them."""
     sink, checkpoint = _paths(spark, "throttled")
-    S.throttled(S.stream_table(spark, d, "events"), ["user_id"], "ts", "1 day", 2, ["ts", "event_id"], sink, checkpoint)
+    landed, events = scratch_path(spark, "throttled-events"), load(spark, d, "events")
+    part = F.expr("CASE WHEN ts < TIMESTAMP_NTZ '2024-01-10 12:00:00' THEN 0 WHEN ts < TIMESTAMP_NTZ '2024-01-20 12:00:00' THEN 1 ELSE 2 END")
+    for k in range(3):
+        events.filter(part == k).coalesce(1).write.mode("append").parquet(landed)
+    S.throttled(S.stream_files(spark, landed, events.schema, max_files=1), ["user_id"], "ts", "1 day", 2, ["ts", "event_id"], sink, checkpoint)
     return spark.read.parquet(sink).select("event_id")
 
 

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.operators.joins import lookup
+from millrace.operators.ordered import join_on
 from millrace.operators.route import route, to_dead_letter
 from millrace.operators.windows import rate_limit
 from millrace.plans.layers import silver_rows, to_bronze
@@ -149,11 +151,14 @@ def notify(signals: DataFrame, path: str) -> None:
 
 def gate_stream(df: DataFrame, signals: str, key: str, signal: str, target: int, sink: str, checkpoint: str) -> StreamingQuery:
     """Release and hold: rows of open gates go to ``sink``; rows still waiting are kept in ``sink``-waiting and tried
-    again with every batch."""
+    again with every batch. The signal table is a stream too: new signals make a batch of their own, also without new rows."""
     waiting = f"{sink}-waiting"
+    given = stream_files(df.sparkSession, signals, df.sparkSession.read.parquet(signals).schema)
+    both = df.withColumn("__signal", F.lit(False)).unionByName(given.select(F.lit(True).alias("__signal")), allowMissingColumns=True)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        batch = batch.filter(~F.col("__signal")).drop("__signal")
         rows = batch
         if batch_id > 0:
             rows = spark.read.schema(batch.schema).parquet(batch_folder(waiting, batch_id - 1)).unionByName(batch)
@@ -162,7 +167,7 @@ def gate_stream(df: DataFrame, signals: str, key: str, signal: str, target: int,
         ready = given.groupBy(F.col(signal).alias("__s")).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= target)
         rows.join(ready, F.col(key) == F.col("__s"), "left_anti").write.mode("overwrite").parquet(batch_folder(waiting, batch_id))
 
-    return for_each_batch(df, run, checkpoint)
+    return for_each_batch(both, run, checkpoint)
 
 
 def lookup_stream(df: DataFrame, dim: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
@@ -211,10 +216,25 @@ def dead_letter_stream(df: DataFrame, rules: list[Rule], source: str, good: str,
 
 
 def throttled(df: DataFrame, keys: list[str], ts: str, interval: str, n: int, order: list, sink: str, checkpoint: str) -> StreamingQuery:
-    """At most ``n`` records per key and interval within each batch."""
+    """At most ``n`` records per key and interval over the whole stream, the first ones as they come.
+
+    Each batch stores how many records of a key and interval it let through; what earlier batches have used up is taken off.
+    """
+    used = f"{sink}-used"
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        rate_limit(batch, keys, ts, interval, n, order).write.mode("overwrite").parquet(batch_folder(sink, batch_id))
+        spark = batch.sparkSession
+        first = rate_limit(batch, keys, ts, interval, n, order).withColumn("__w", F.window(ts, interval)["start"].cast("timestamp"))
+        slot = [*keys, "__w"]
+        if batch_id > 0:
+            schema = T.StructType([*(batch.schema[k] for k in keys), T.StructField("__w", T.TimestampType()), T.StructField("__n", T.LongType()), T.StructField("batch_id", T.IntegerType())])
+            before = spark.read.schema(schema).parquet(used).filter(F.col("batch_id") < batch_id).groupBy(*slot).agg(F.sum("__n").alias("__used"))
+            rank = F.row_number().over(Window.partitionBy(*slot).orderBy(*order))  # n rows of a slot at most
+            first = join_on(first.withColumn("__rn", rank), before, slot).filter(F.col("__rn") + F.coalesce("__used", F.lit(0)) <= n).drop("__rn", "__used")
+        first.persist()
+        first.groupBy(*slot).agg(F.count(F.lit(1)).alias("__n")).write.mode("overwrite").parquet(batch_folder(used, batch_id))
+        first.drop("__w").write.mode("overwrite").parquet(batch_folder(sink, batch_id))
+        first.unpersist()
 
     return for_each_batch(df, run, checkpoint)
 

@@ -68,8 +68,9 @@ def distribute(df: DataFrame, n: int, by: str | None = None, name: str = "bucket
     return df.withColumn(name, F.pmod(F.col(by), F.lit(n)).cast("int") if by else row_salt(df, n))
 
 
-def partition_by(df: DataFrame, field: str, salts: int = 1) -> DataFrame:
-    """Bring records of one field value together; ``salts`` > 1 spreads each value over that many partitions."""
+def partition_by(df: DataFrame, field: str, salts: int = 16) -> DataFrame:
+    """Bring records of one field value together, in up to ``salts`` partitions, so that a frequent value is not one task;
+    ``salts`` 1 puts each value into one partition."""
     if salts == 1:
         return df.repartition(F.col(field))
     return df.withColumn("__salt", row_salt(df, salts)).repartition(F.col(field), F.col("__salt")).drop("__salt")

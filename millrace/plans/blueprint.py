@@ -142,34 +142,45 @@ def infer_keys(tables: dict[str, DataFrame], pk_only: bool = False) -> DataFrame
     maximum and size. Sketches choose the columns worth an exact check.
     """
     spark = next(iter(tables.values())).sparkSession
-    usable = ("tinyint", "smallint", "int", "bigint", "string")
+    integral = ("tinyint", "smallint", "int", "bigint")
     stats = {t: {r["column_name"]: r for r in statistics(df, accuracy=0, text_range=True).collect()} for t, df in tables.items()}
-    found, keys = [], []
-    for t, cols in stats.items():
-        near = [
-            c for c, s in cols.items()
-            if s["data_type"] in usable and s["row_count"] > 0 and s["null_count"] == 0 and s["distinct_count"] >= 0.8 * s["row_count"]
+    columns = [(t, c) for t, own in stats.items() for c, s in own.items() if s["data_type"] in (*integral, "string") and s["non_null_count"] > 0]
+
+    def kind(t: str, c: str) -> str:
+        return "n" if stats[t][c]["data_type"] in integral else "s"
+
+    def values(chosen: list[tuple[str, str]]) -> DataFrame:
+        """(tag, kind, v) of the given columns, one after another; a columnar source reads each once."""
+        parts = [
+            tables[t].select(F.lit(columns.index((t, c))).alias("tag"), F.lit(kind(t, c)).alias("kind"), F.col(f"`{c}`").cast("string").alias("v")).filter("v is not null")
+            for t, c in chosen
         ]
-        for c in near:
-            repeats = tables[t].groupBy(F.col(c)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-            if repeats.isEmpty():
-                keys.append((t, c))
-                found.append(("primary_key", t, c, None, None))
-    for t, cols in stats.items() if not pk_only else ():
-        for c, s in cols.items():
-            for pt, pc in keys:
-                p = stats[pt][pc]
-                numeric = {s["data_type"], p["data_type"]} <= set(usable[:4])
-                if pt == t or not (numeric or s["data_type"] == p["data_type"] == "string") or s["non_null_count"] == 0:
-                    continue
-                lo, hi = ("min_number", "max_number") if numeric else ("min_value", "max_value")
-                # the sketch errs by some 5 %: a column with clearly more values than the key has rows cannot be included
-                if s[lo] < p[lo] or s[hi] > p[hi] or s["distinct_count"] > 1.3 * p["row_count"]:
-                    continue
-                values = tables[t].select(F.col(c).alias("v")).filter("v is not null").distinct()
-                parents = tables[pt].select(F.col(pc).alias("v"))
-                if values.join(parents, "v", "left_anti").isEmpty():
-                    found.append(("foreign_key", t, c, pt, pc))
+        return reduce(DataFrame.unionAll, parts)
+
+    def whole(t: str, c: str) -> bool:
+        s = stats[t][c]
+        return s["null_count"] == 0 and s["distinct_count"] >= 0.8 * s["row_count"]
+
+    near = [x for x in columns if whole(*x)]
+    repeated = {r.tag for r in values(near).groupBy("tag", "v").count().filter("count > 1").select("tag").distinct().collect()} if near else set()
+    keys = [x for x in near if columns.index(x) not in repeated]
+    found = [("primary_key", t, c, None, None) for t, c in keys]
+    pairs = []
+    for t, c in columns if not pk_only else ():
+        for pt, pc in keys:
+            s, p = stats[t][c], stats[pt][pc]
+            lo, hi = ("min_number", "max_number") if kind(t, c) == "n" else ("min_value", "max_value")
+            # the sketch errs by some 5 %: a column with clearly more values than the key has rows cannot be included
+            if pt != t and kind(t, c) == kind(pt, pc) and s[lo] >= p[lo] and s[hi] <= p[hi] and s["distinct_count"] <= 1.3 * p["row_count"]:
+                pairs.append((columns.index((t, c)), columns.index((pt, pc))))
+    if pairs:
+        # every column's distinct values meet the keys once; a column is included where all its values met
+        child = values([columns[k] for k in sorted({a for a, _ in pairs})]).distinct()
+        parent = values([columns[k] for k in sorted({b for _, b in pairs})]).withColumnRenamed("tag", "key")
+        asked = F.broadcast(spark.createDataFrame(pairs, "tag int, key int"))
+        met = child.join(parent, ["kind", "v"]).join(asked, ["tag", "key"], "left_semi").groupBy("tag", "key").agg(F.count(F.lit(1)).alias("n"))
+        inside = met.join(child.groupBy("tag").agg(F.count(F.lit(1)).alias("all")), "tag").filter("n = all").select("tag", "key").collect()
+        found += [("foreign_key", *columns[r.tag], *columns[r.key]) for r in sorted(inside)]
     return spark.createDataFrame(
         found, "kind string, table_name string, column_name string, references_table string, references_column string"
     )

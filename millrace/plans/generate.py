@@ -106,10 +106,21 @@ def _letters(seed: int, table: str, column: str, row_id: Column, alphabets: list
 
 
 def gen_string(seed: int, table: str, column: str, row_id: Column, min_length: int, max_length: int) -> Column:
-    """Random letters and digits with a uniform length."""
+    """Random letters and digits with a uniform length. The expression has the same size for any length: digests of sixteen
+    bytes, as many as the row's length asks for, and a letter for each byte."""
     size = F.lit(min_length) + F.floor(uniform(seed, table, column + "#len", row_id) * F.lit(float(max_length - min_length + 1)))
-    text = F.concat(*_letters(seed, table, column, row_id, [ALPHANUMERIC] * max_length)) if max_length else F.lit("")
-    return F.substring(text, F.lit(1), size.cast("int"))
+    size = size.cast("int")
+    digests = F.transform(
+        F.sequence(F.lit(0), F.floor((F.greatest(size, F.lit(1)) - 1) / 16).cast("int")),
+        lambda d: F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(table), F.concat(F.lit(f"{column}#"), d.cast("string")), row_id.cast("string"))),
+    )
+
+    def letter(digest: Column, i: Column) -> Column:
+        byte = F.conv(F.substring(digest, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
+        return F.substring(F.lit(ALPHANUMERIC), F.floor(byte * len(ALPHANUMERIC) / 256.0).cast("int") + 1, F.lit(1))
+
+    letters = F.flatten(F.transform(digests, lambda digest: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: letter(digest, i))))
+    return F.array_join(F.slice(letters, F.lit(1), size), "")
 
 
 def pattern_alphabets(pattern: str) -> list[str]:

@@ -12,16 +12,17 @@ text goes through a join with the table of all counts. Normalisers are batched m
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Memory
-from .common import fold, id_type, picked, quoted, slices, texts_of, written
+from .common import fold, id_type, picked, quoted, slices, written
 
 ORDER = 2
 DIM = 32
@@ -34,37 +35,66 @@ BATCH = 1024
 ROUNDS = 1
 #: Distinct words that a task counts before it passes the counts on.
 HELD = 300_000
-LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: Texts of one step of a task, in bytes.
+PART = 4 << 20
 
 
-def words(text: str) -> list[bytes]:
-    """Lower-cased (A-Z) words between the six ASCII white-space characters; the end token is not among them."""
-    return text.encode("utf-8", "replace").translate(LOWER).split()
+def tokenised(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of the texts (lower-cased A-Z, between the six ASCII white-space characters), the word at each place, and
+    each text's number of words; the end tokens are not among them. NULL reads as empty."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    flat, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    if not full.all():
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[full], minlength=len(sizes))
+        flat = flat.filter(pa.array(full))
+    found = flat.dictionary_encode()
+    return found.dictionary, found.indices.to_numpy(zero_copy_only=False).astype(np.int64), sizes
 
 
-def class_of(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % CLASSES
+def _crc_table() -> np.ndarray:
+    """The step table of the reflected CRC-32 polynomial."""
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = np.where(t & 1, (t >> np.uint32(1)) ^ np.uint32(0xEDB88320), t >> np.uint32(1))
+    return t
+
+
+_TABLE = _crc_table()
+
+
+def classes_of(words: pa.Array) -> np.ndarray:
+    """crc32 of the last three bytes of each word (fewer, if it has fewer) modulo ``CLASSES``."""
+    words = pa.concat_arrays([words.cast(pa.large_string())])  # offsets from 0
+    ends = np.frombuffer(words.buffers()[1], dtype=np.int64)[: len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)
+    crc = np.full(len(words), 0xFFFFFFFF, dtype=np.uint32)
+    for back in (3, 2, 1):
+        at = ends[1:] - back
+        own = at >= ends[:-1]
+        byte = data[np.where(own, at, 0)] if len(data) else np.zeros(len(words), dtype=np.uint8)
+        crc = np.where(own, _TABLE[(crc ^ byte) & 0xFF] ^ (crc >> np.uint32(8)), crc)
+    return ((crc ^ np.uint32(0xFFFFFFFF)) % CLASSES).astype(np.int64)
 
 
 def counts(train: DataFrame, text_col: str) -> DataFrame:
     """(token, c) over all texts; the end token is the empty string. Each task adds up before the shuffle."""
 
     def run(batches):
-        held: dict[bytes, int] = {}
+        held: dict[str, int] = {}
 
         def out():
-            keys = list(held)
-            table = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).cast(pa.string()), pa.array([held[k] for k in keys], pa.int64())], ["token", "n"])
+            table = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["token", "n"])
             held.clear()
             return [table.slice(k, 20_000) for k in range(0, table.num_rows, 20_000)]
 
         get = held.get
         for batch in batches:
-            for part in slices(batch, text_col):
-                held[b""] = get(b"", 0) + part.num_rows
-                for text in texts_of(part, text_col):
-                    for w in words(text):
-                        held[w] = get(w, 0) + 1
+            for part in slices(batch, text_col, PART):
+                words, at, _ = tokenised(part.column(text_col))
+                held[""] = get("", 0) + part.num_rows
+                for w, n in zip(words.to_numpy(zero_copy_only=False).tolist(), np.bincount(at, minlength=len(words)).tolist()):
+                    held[w] = get(w, 0) + n
                 if len(held) >= HELD:
                     yield from out()
         yield from out()
@@ -76,26 +106,31 @@ class Vocabulary:
     """What a task needs to turn words into outputs: the local words with their counts, and the classes' totals."""
 
     def __init__(self, local: list[tuple[str, int]], totals: np.ndarray):
-        n = len(local)
-        self.index = {t.encode(): k for k, (t, _) in enumerate(local)}
+        self.n = len(local)
+        self.words = pa.array([t for t, _ in local], pa.string())
         self.logc = np.append(np.log10(np.array([c for _, c in local], dtype=np.float64) + 1), 0.0)
-        self.out = np.array([k if k < WORDS else WORDS + class_of(t.encode()) for k, (t, _) in enumerate(local)] + [0], dtype=np.int16)
+        self.out = np.append(np.where(np.arange(self.n) < WORDS, np.arange(self.n), WORDS + classes_of(self.words)), 0)
         self.logz = np.log10(totals)
-        self.n = n
-        self.rare = None
 
-    def place(self, found: list[bytes]) -> np.ndarray:
-        """Index of local words; ``n + 1 + class`` for the others. The end token closes the text."""
-        if self.rare is None:
-            self.rare = Memory(lambda w: self.n + 1 + class_of(w))
-        index, rare = self.index, self.rare
-        return np.array([index[w] if w in index else rare[w] for w in found] + [self.end()], dtype=np.int64)
-
-    def end(self) -> int:
-        return self.index.get(b"", self.n + 1 + class_of(b""))
+    def place(self, words: pa.Array) -> np.ndarray:
+        """Index of local words; ``n + 1 + class`` for the others."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        rare = np.flatnonzero(at < 0)
+        at[rare] = self.n + 1 + classes_of(words.take(pa.array(rare)))
+        return at
 
     def outputs(self, place: np.ndarray) -> np.ndarray:
-        return np.where(place > self.n, WORDS + place - self.n - 1, self.out[np.minimum(place, self.n)]).astype(np.int64)
+        return np.where(place > self.n, WORDS + place - self.n - 1, self.out[np.minimum(place, self.n)])
+
+    def read(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """Places of all tokens of the texts, one text after another, each closed by its end token; the texts' first positions;
+        the distinct words (the end token last) and the word at each position."""
+        words, at, sizes = tokenised(column)
+        words = pa.concat_arrays([words, pa.array([""], words.type)])
+        starts = np.concatenate([[0], np.cumsum(sizes + 1)])
+        word = np.full(starts[-1], len(words) - 1, dtype=np.int64)
+        word[np.arange(len(at)) + np.repeat(np.arange(len(sizes)), sizes)] = at
+        return self.place(words)[word], starts[:-1], words, word
 
 
 def contexts(out: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,14 +150,12 @@ def start(unigram: np.ndarray, seed: int = 3) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
-def _into(rows: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Sum of the value rows at each index, as a dense matrix."""
-    order = np.argsort(at, kind="stable")
+def _summed(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct indices, and the sum of the value rows of each."""
+    order = np.argsort(at.astype(np.int16), kind="stable")
     at = at[order]
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    out = np.zeros((rows, values.shape[1]), dtype=np.float32)
-    out[at[first]] = np.add.reduceat(values[order], first, axis=0)
-    return out
+    return at[first], np.add.reduceat(values[order], first, axis=0)
 
 
 class Trainer:
@@ -146,19 +179,21 @@ class Trainer:
         eg = -1 / (1 + np.exp(np.clip(good, -30, 30)))
         eb = 1 / (1 + np.exp(-np.clip(bad, -30, 30)))
         dq = eg[:, None] * qw + eb @ p["Q"][noise]
-        g = {
-            "Q": _into(OUT, np.concatenate([w, noise]), np.concatenate([eg[:, None] * q, eb.T @ q])),
-            "b": np.bincount(np.concatenate([w, noise]), np.concatenate([eg, eb.sum(0)]), minlength=OUT),
-            "R": _into(OUT + 1, np.concatenate([one, two]), np.concatenate([dq * p["c"][0], dq * p["c"][1]])),
-            "c": np.stack([(dq * r1).sum(0), (dq * r2).sum(0)]),
-        }
-        for k, v in g.items():
-            v = v.astype(np.float32) / m
-            self.seen[k] += v * v
-            p[k] -= rate * v / np.sqrt(self.seen[k])
+        some = np.concatenate([w, noise])
+        self.move("Q", *_summed(some, np.concatenate([eg[:, None] * q, eb.T @ q])), m, rate)
+        self.move("R", *_summed(np.concatenate([one, two]), np.concatenate([dq * p["c"][0], dq * p["c"][1]])), m, rate)
+        self.move("b", slice(None), np.bincount(some, np.concatenate([eg, eb.sum(0)]), minlength=OUT), m, rate)
+        self.move("c", slice(None), np.stack([(dq * r1).sum(0), (dq * r2).sum(0)]), m, rate)
         self.tokens += m
 
 
+    def move(self, name: str, rows, slope: np.ndarray, m: int, rate: float) -> None:
+        slope = slope.astype(np.float32) / m
+        seen = self.seen[name][rows] + slope * slope
+        self.seen[name][rows] = seen
+        self.p[name][rows] -= rate * slope / np.sqrt(seen)
+
+
 def train(docs: DataFrame, vocabulary, unigram: np.ndarray, text_col: str, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """Parameters after ``rounds`` passes over all texts, averaged over tasks. One row for each parameter comes to the driver."""
     p = start(unigram)
@@ -171,8 +206,9 @@ def train(docs: DataFrame, vocabulary, unigram: np.ndarray, text_col: str, round
             t = Trainer(sent.value, unigram, 1000 * k + TaskContext.get().partitionId())
             kept = [np.zeros(0, dtype=np.int64)] * 3
             for batch in batches:
-                for part in slices(batch, text_col):
-                    out, starts = _outputs(v, texts_of(part, text_col))[1:3]
+                for part in slices(batch, text_col, PART):
+                    place, starts, _, _ = v.read(part.column(text_col))
+                    out = v.outputs(place)
                     kept = [np.concatenate(x) for x in zip(kept, (out, *contexts(out, starts)))]
                     full = len(kept[0]) // BATCH * BATCH
                     for at in range(0, full, BATCH):
@@ -194,14 +230,6 @@ def train(docs: DataFrame, vocabulary, unigram: np.ndarray, text_col: str, round
     return p
 
 
-def _outputs(v: Vocabulary, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Places, outputs, first positions and words of all texts, one after another."""
-    found = [words(t) for t in texts]
-    place = np.concatenate([v.place(f) for f in found]) if found else np.zeros(0, dtype=np.int64)
-    starts = np.concatenate([[0], np.cumsum([len(f) + 1 for f in found])[:-1]]).astype(np.int64)
-    return place, v.outputs(place), starts, found
-
-
 class Scorer:
     """Normalised log10 probabilities; the normaliser of each context met is kept (``(OUT + 1) ** 2`` numbers at most)."""
 
@@ -225,6 +253,17 @@ class Scorer:
         return result / np.log(10)
 
 
+_scorers: dict[str, Scorer] = {}
+
+
+def scorer_of(name: str, model) -> Scorer:
+    """One scorer per Python worker and model, so its normalisers serve all tasks of the worker."""
+    if name not in _scorers:
+        _scorers.clear()
+        _scorers[name] = Scorer(model.value)
+    return _scorers[name]
+
+
 def score(docs: DataFrame, keep, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) of every row, learned from the rows for which ``keep`` holds.
 
@@ -251,14 +290,15 @@ def score(docs: DataFrame, keep, id_col: str = "doc_id", text_col: str = "text")
     unigram /= unigram.sum()
     vocabulary = spark.sparkContext.broadcast(Vocabulary(local, totals))
     model = spark.sparkContext.broadcast(train(training, vocabulary, unigram, text_col))
-    kind = id_type(docs, id_col)
+    kind, name = id_type(docs, id_col), uuid.uuid4().hex
 
     def run(batches):
-        v, scorer = vocabulary.value, Scorer(model.value)
+        v, scorer = vocabulary.value, scorer_of(name, model)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part in slices(batch, text_col, 1 << 20):
-                place, out, starts, found = _outputs(v, texts_of(part, text_col))
+            for part in slices(batch, text_col, PART):
+                place, starts, words, word = v.read(part.column(text_col))
+                out = v.outputs(place)
                 sizes = np.diff(np.append(starts, len(place)))
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 logs = scorer.logs(out, *contexts(out, starts))
@@ -273,24 +313,12 @@ def score(docs: DataFrame, keep, id_col: str = "doc_id", text_col: str = "text")
                     [pa.array(ids), part.column(id_col), none.cast(pa.string()), none.cast(pa.int64()), pa.array(sizes), pa.array(add(here).astype(np.int64)), pa.array(add(logc)), pa.array(add(logs + inner))],
                     ["row", id_col, "token", "n", "n_tokens", "known", "logc", "model"],
                 )
-                owners, tokens, times = [], [], []
-                for k, f in enumerate(found):
-                    if here[starts[k] : starts[k] + sizes[k]].all():
-                        continue
-                    seen: dict[bytes, int] = {}
-                    for w in f:
-                        if w not in v.index:
-                            seen[w] = seen.get(w, 0) + 1
-                    if b"" not in v.index:
-                        seen[b""] = 1
-                    owners += [ids[k]] * len(seen)
-                    tokens += seen.keys()
-                    times += seen.values()
-                for at in range(0, len(tokens), 20_000):
-                    m = len(tokens[at : at + 20_000])
-                    none = pa.nulls(m)
+                rare, times = np.unique((owner * len(words) + word)[~here], return_counts=True)
+                for at in range(0, len(rare), 50_000):
+                    some = rare[at : at + 50_000]
+                    none = pa.nulls(len(some))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(owners[at : at + m], pa.int64()), none.cast(part.column(id_col).type), pa.array(tokens[at : at + m], pa.binary()).cast(pa.string()), pa.array(times[at : at + m], pa.int64()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.float64()), none.cast(pa.float64())],
+                        [pa.array(ids[some // len(words)]), none.cast(part.column(id_col).type), words.take(pa.array(some % len(words))), pa.array(times[at : at + 50_000].astype(np.int64)), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.float64()), none.cast(pa.float64())],
                         ["row", id_col, "token", "n", "n_tokens", "known", "logc", "model"],
                     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -15,7 +16,10 @@ from millrace.runtime import load, scratch_path
 
 R = Registry()
 
-STAR = {"region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6}
+ALL = {
+    "region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6, "documents": 5, "embeddings": 3, "pages": 3,
+    "benchmark": 2, "labels": 3, "conversations": 4,
+}
 
 
 def _tables(spark, d, names):
@@ -24,10 +28,21 @@ def _tables(spark, d, names):
 
 @R.add(
     "crawl_catalog",
-    "\nUNION ALL\n".join(f"SELECT 'files' AS source, '{t}' AS table_name, {n}::BIGINT AS n_columns, count(*) AS row_count FROM {t}" for t, n in STAR.items()),
+    "\nUNION ALL\n".join(f"SELECT 'catalog' AS source, '{t}' AS table_name, {n}::BIGINT AS n_columns, count(*) AS row_count FROM {t}" for t, n in ALL.items())
+    + "\nUNION ALL SELECT 'failed', 'broken', NULL, NULL",
 )
 def crawl_catalog(spark, d):
-    return B.crawl_tables(_tables(spark, d, STAR), "files")
+    """All given tables as a database of the session, with a view whose table is gone."""
+    db = f"crawl_{uuid.uuid4().hex[:12]}"
+    spark.sql(f"CREATE DATABASE {db}")
+    for t in ALL:
+        spark.catalog.createTable(f"{db}.{t}", path=f"{d}/{t}.parquet", source="parquet")
+    spark.catalog.createTable(f"{db}.gone", path=f"{d}/region.parquet", source="parquet")
+    spark.sql(f"CREATE VIEW {db}.broken AS SELECT * FROM {db}.gone")
+    spark.sql(f"DROP TABLE {db}.gone")
+    found, failed = B.crawl(spark, [db, "information_schema"])
+    lost = spark.createDataFrame([("failed", t, None, None) for t in failed], "source string, table_name string, n_columns bigint, row_count bigint")
+    return found.unionByName(lost).withColumn("table_name", F.element_at(F.split("table_name", r"\."), -1))
 
 
 CUST = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]

@@ -70,18 +70,30 @@ def _carried(rows: DataFrame, side: DataFrame) -> DataFrame:
 
 
 def with_previous(
-    df: DataFrame, keys: list[str], order: list[str], chunk: Column, columns: dict[str, str], share: float = 0.001
+    df: DataFrame, keys: list[str], order: list[str], chunk: Column | None, columns: dict[str, str], share: float = 0.001, parts: int = 256
 ) -> DataFrame:
     """Add, for every row, values of the preceding row of its key. ``columns`` maps new name to source column.
 
     Only keys with at least ``share`` of the rows are cut, by ``chunk``, which must not decrease along ``order`` (for
-    example the hour of the first order column). The last row of each of their chunks is carried into the next one.
+    example the hour of the first order column). Without ``chunk`` each such key is cut at quantiles of its own values of the
+    first order column (a number or a time), so that its ``parts`` hold about as many rows each, however its rows lie. The
+    last row of each chunk is carried into the next one.
     """
+    by_rows, chunk = chunk is None, F.lit(None) if chunk is None else chunk
     picked = F.struct(*[F.col(src).alias(new) for new, src in columns.items()])
     keyed = _keyed(df, keys, chunk)
     hot = hot_keys(keyed, ["__key"], share).select(F.col("__key").alias("__h_key"), F.lit(True).alias("__hot"))
     # at most 1/share keys
     cut = keyed.join(F.broadcast(hot), F.col("__key") == F.col("__h_key"), "left")
+    if by_rows:
+        kind = df.schema[order[0]].dataType.typeName()
+        place = micros(F.col(order[0])) if kind.startswith(("timestamp", "date")) else F.col(order[0])
+        cut = cut.withColumn("__place", place.cast("double"))
+        # at most 1/share keys with ``parts`` numbers each
+        points = cut.filter("__hot").groupBy("__key").agg(F.percentile_approx("__place", [k / parts for k in range(1, parts)], 10000).alias("__points"))
+        points = F.broadcast(points.withColumnRenamed("__key", "__p_key"))
+        cut = cut.join(points, F.col("__key") == F.col("__p_key"), "left")
+        cut = cut.withColumn("__chunk", F.size(F.filter("__points", lambda p: p < F.col("__place"))))
     cut = cut.withColumn("__chunk", F.when(F.col("__hot"), F.col("__chunk")))
     inside = Window.partitionBy("__key", "__chunk").orderBy(*order)
     rows = cut.withColumn("__prev", F.lag(picked).over(inside))

@@ -70,17 +70,19 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def enforce_order(
-    df: DataFrame, keys: list[str], seq: str, chunk_size: int = 100_000, order: list[str] | None = None
+    df: DataFrame, keys: list[str], seq: str, chunk_size: int | None = None, order: list[str] | None = None
 ) -> DataFrame:
-    """Per key, the preceding sequence value and the number of missing values before the row."""
-    chunk = F.floor(F.col(seq) / F.lit(chunk_size))
+    """Per key, the preceding sequence value and the number of missing values before the row. A frequent key is cut at
+    quantiles of its rows, or, with ``chunk_size``, at multiples of it."""
+    chunk = F.floor(F.col(seq) / F.lit(chunk_size)) if chunk_size else None
     out = with_previous(df, keys, order or [seq], chunk, {"previous": seq})
     return out.withColumn("missing", F.coalesce(F.col(seq) - F.col("previous") - 1, F.lit(0)))
 
 
-def gaps(df: DataFrame, keys: list[str], ts: str, seconds: int, tie: str, chunk: str = "hour") -> DataFrame:
-    """Rows that follow a silence of their key longer than ``seconds``."""
-    cut = F.date_trunc(chunk, F.col(ts).cast("timestamp"))
+def gaps(df: DataFrame, keys: list[str], ts: str, seconds: int, tie: str, chunk: str | None = None) -> DataFrame:
+    """Rows that follow a silence of their key longer than ``seconds``. A frequent key is cut at quantiles of its rows, or,
+    with ``chunk``, by that unit of time."""
+    cut = F.date_trunc(chunk, F.col(ts).cast("timestamp")) if chunk else None
     out = with_previous(df, keys, [ts, tie], cut, {"previous_ts": ts})
     idle = (micros(F.col(ts)) - micros(F.col("previous_ts"))) / F.lit(float(MICROS))
     return out.withColumn("idle_seconds", idle).filter(F.col("idle_seconds") > seconds)

@@ -69,7 +69,7 @@ def latest_version(spark, d):
     WINDOW w AS (PARTITION BY event_type ORDER BY event_id)""",
 )
 def enforce_order(spark, d):
-    return W.enforce_order(load(spark, d, "events").select("event_type", "event_id"), ["event_type"], "event_id", chunk_size=1000)
+    return W.enforce_order(load(spark, d, "events").select("event_type", "event_id"), ["event_type"], "event_id")
 
 
 @R.add(
@@ -79,7 +79,7 @@ def enforce_order(spark, d):
     WHERE epoch_us(ts) - epoch_us(previous_ts) > 6 * 3600 * 1000000::BIGINT""",
 )
 def inactivity_gaps(spark, d):
-    out = W.gaps(load(spark, d, "events").select("event_id", "user_id", "ts"), ["user_id"], "ts", 6 * 3600, "event_id", chunk="day")
+    out = W.gaps(load(spark, d, "events").select("event_id", "user_id", "ts"), ["user_id"], "ts", 6 * 3600, "event_id")
     return out.drop("ts")
 
 

@@ -100,3 +100,17 @@ def test_salted_lookup_equals_lookup(skewed, spark):
     dim = spark.createDataFrame([("hot", 1), ("k3", 2), (None, 9)], "k string, w int")
     same(J.lookup(skewed, dim, ["k"], ["w"], {"w": -1}, salted=True), J.lookup(skewed, dim, ["k"], ["w"], {"w": -1}))
     assert J.lookup(skewed, dim, ["k"], ["w"], salted=True).filter("k is null and matched").isEmpty()
+
+
+def test_a_frequent_key_is_cut_by_its_own_rows(spark):
+    """A third of all rows in one key: within one minute, and with sparse sequence values."""
+    rows = spark.range(6000).selectExpr(
+        "id", "CASE WHEN id % 3 = 0 THEN -1 ELSE id % 500 END AS k", "CASE WHEN id % 3 = 0 THEN timestamp_micros(id * 1000) ELSE timestamp_seconds(id * 60) END AS ts",
+        "CASE WHEN id < 3000 THEN id ELSE id * 1000000 END AS seq",
+    )
+    for order in (["ts", "id"], ["seq"]):
+        got = O.with_previous(rows, ["k"], order, None, {"before": "id"})
+        want = rows.withColumn("before", F.lag("id").over(Window.partitionBy("k").orderBy(*order)))
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "percentile_approx" in plan

@@ -22,14 +22,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, map_slices, quoted, texts_of
+from .common import id_type, map_slices, picked, quoted, texts_of
 
 #: The word patterns of the two tokenizer files (the first is that of the library's byte-level splitter).
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE_BEFORE = regex.compile(r"[\s\x1c-\x1f] ")
 #: Entries of each of a memory's two generations, and the longest key kept.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 REMEMBERED_CHARS = 48
 #: Fragments up to this length find the next merge in a list of the neighbours' ranks, longer ones with a heap; the order is the same.
 SHORT = 256
@@ -114,12 +114,12 @@ class Codec:
             ranks = [get(p, never) for p in zip(ids, ids[1:])]
             while ranks and (rank := min(ranks)) < never:
                 k = ranks.index(rank)
-                ids[k : k + 2] = [made[rank]]
-                del ranks[k]
+                new = ids[k] = made[rank]
+                del ids[k + 1], ranks[k]
                 if k:
-                    ranks[k - 1] = get((ids[k - 1], ids[k]), never)
+                    ranks[k - 1] = get((ids[k - 1], new), never)
                 if k < len(ranks):
-                    ranks[k] = get((ids[k], ids[k + 1]), never)
+                    ranks[k] = get((new, ids[k + 1]), never)
             return ids
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(merge[p], k) for k, p in enumerate(zip(ids, ids[1:])) if p in merge]
@@ -142,10 +142,13 @@ class Codec:
     def piece(self, piece: str) -> bytes:
         raw = piece.encode()
         if self.words:
-            ids = self.merged([*(self.first[b] for b in raw[:-1]), self.last[raw[-1]]])
-        else:
-            ids = [i for part in self.fragments(raw) for i in self.merged([self.first[b] for b in part])]
-        return np.array(ids, dtype="<u4").tobytes()
+            ids = list(map(self.first.__getitem__, raw))
+            ids[-1] = self.last[raw[-1]]
+            return array("I", self.merged(ids)).tobytes()
+        parts = self.fragments(raw)
+        if len(parts) == 1:
+            return array("I", self.merged(list(map(self.first.__getitem__, raw)))).tobytes()
+        return array("I", [i for part in parts for i in self.merged(list(map(self.first.__getitem__, part)))]).tobytes()
 
     def run(self, text: str) -> bytes:
         """Ids of a word run: of its only piece, or of its pieces (remembered like runs; a piece alone matches as itself)."""
@@ -176,7 +179,7 @@ class Codec:
         rest = [None if k in own else self.normal(t) if self.words else t.replace(" ", "\x01 ") for k, t in enumerate(texts)]
         lists = pc.ascii_split_whitespace(pa.array(rest, pa.string())) if self.words else pc.split_pattern(pa.array(rest, pa.string()), "\x01")
         runs = lists.flatten().dictionary_encode()
-        packed = [self.runs[r] for r in runs.dictionary.to_pylist()]
+        packed = [self.runs[r] for r in runs.dictionary.to_numpy(zero_copy_only=False).tolist()]
         size = np.array([len(x) // 4 for x in packed] or [0], dtype=np.int64)
         pool = np.frombuffer(b"".join(packed), dtype="<u4")
         first = np.concatenate([[0], np.cumsum(size)])[:-1]
@@ -225,7 +228,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
         return run
 
-    return map_slices(docs.select(quoted(id_col), quoted(text_col)), text_col, f"{quoted(id_col)} {id_type(docs, id_col)}, n_tokens long, ids binary", make)
+    return map_slices(picked(docs, id_col, text_col), text_col, f"{quoted(id_col)} {id_type(docs, id_col)}, n_tokens long, ids binary", make)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -258,7 +261,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
         return run
 
-    return map_slices(docs.select(quoted(id_col), quoted(text_col)), text_col, f"{quoted(id_col)} {id_type(docs, id_col)}, n_tokens long, ids binary, decoded string", make)
+    return map_slices(picked(docs, id_col, text_col), text_col, f"{quoted(id_col)} {id_type(docs, id_col)}, n_tokens long, ids binary, decoded string", make)
 
 
 def op2(spark, docs: DataFrame, path: str) -> DataFrame:

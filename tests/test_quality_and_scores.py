@@ -87,7 +87,7 @@ def test_confidence(spark):
     assert (out["good"]["overall_score"], out["good"]["level"]) == (1.0, "green")
     assert out["cols"]["overall_score"] == 0.875 and out["cols"]["level"] == "amber"
     assert out["failed"]["overall_score"] == 0.8 and "Layer run failed for this table" in out["failed"]["recommendations"]
-    assert out["many"]["overall_score"] == 0.8 and out["unknown"]["overall_score"] == 0.8
+    assert out["many"]["overall_score"] == 0.8 and out["unknown"]["overall_score"] == 1.0
 
 
 def test_workspace(spark):

@@ -35,14 +35,34 @@ def id_type(df: DataFrame, id_col: str) -> str:
     return df.schema[id_col].dataType.simpleString()
 
 
+#: Spark's own option to remove the shuffle files of a query when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` stored once on the shared folder and read back: it survives lost executors and is not computed again."""
+    """``df`` stored once on the shared folder and read back: it survives lost executors and is not computed again.
+
+    The shuffle files of the write are removed with it; the session's setting is put back.
+    """
     spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
+    path, before = scratch_path(spark, label), spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a stored table that no later step reads."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def slices(batch: pa.RecordBatch, column: str, budget: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch cut into runs of rows whose texts hold about ``budget`` bytes (one row at least)."""
     n = batch.num_rows

@@ -26,18 +26,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_view, id_type, picked, quoted, slices, texts_of, written
+from .common import byte_view, discard, id_type, picked, quoted, slices, texts_of, written
 
 SHINGLE = 5
 #: Bands and min-hashes of a band (they only choose who is compared first), and the overlap that makes a family.
 BANDS, ROWS = 8, 4
 FAMILY = 0.4
-#: Shingles held by a task before it reports those met ``SEEN`` times; the most frequent ``HOT`` go to the end of the order.
-HELD, SEEN, HOT, HOT_DF = 2_000_000, 16, 200_000, 128
+#: Shingles of different sets that a task holds before it reports those met ``SEEN`` times; the ``HOT`` most frequent ones go
+#: to the end of the order (any order gives the same links; this one keeps the lists short).
+HELD, SEEN, HOT = 3_000_000, 3, 300_000
 #: Shingles of one block of a family, and bits of the bitmap that chooses texts to read (both bound memory).
 BLOCK = 200_000
 MOST_BITS = 1 << 28
-BITMAP = 16
+#: Bits of a parity bitmap: a power of two, at least this and twice the set's size.
+BITMAP = 1024
 _P = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -107,18 +109,19 @@ def _seeds() -> np.ndarray:
     return mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _P)
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (sets x BANDS) and parity bitmaps (sets x BITMAP words) of non-empty sets."""
+def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Band keys (sets x BANDS), and the words of the parity bitmaps of all (non-empty) sets with the place where each begins."""
     size = np.array([len(s) for s in sets])
     flat, first = np.concatenate(sets), np.concatenate([[0], np.cumsum(size)[:-1]])
     low = np.stack([np.minimum.reduceat((flat ^ seed) * _P ^ (flat >> np.uint64(17)), first) for seed in _seeds()], axis=1)
-    keys = np.zeros((len(sets), BANDS), dtype=np.uint64)
-    for k in range(ROWS):
-        keys = mixed(keys * _P + low[:, k::ROWS] if k else low[:, 0::ROWS])
-    bit = (flat * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(54)).astype(np.int64)
-    owner = np.repeat(np.arange(len(sets)), size)
-    odd = (np.bincount(owner * (64 * BITMAP) + bit, minlength=len(sets) * 64 * BITMAP) & 1).astype(np.uint8)
-    return keys, np.packbits(odd.reshape(len(sets), -1), axis=1, bitorder="little").view("<u8")
+    keys = low[:, 0::ROWS].copy()
+    for k in range(1, ROWS):
+        keys = mixed(keys * _P + low[:, k::ROWS])
+    bits = np.maximum(BITMAP, 2 ** np.ceil(np.log2(2 * size)).astype(np.int64))
+    start = np.concatenate([[0], np.cumsum(bits)])
+    bit = (flat * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(20)).astype(np.int64) & np.repeat(bits - 1, size)
+    odd = (np.bincount(np.repeat(start[:-1], size) + bit, minlength=start[-1]) & 1).astype(np.uint8)
+    return keys, np.packbits(odd, bitorder="little").view("<i8"), start >> 6
 
 
 def described(docs: DataFrame, id_col: str, text_col: str, salt: int) -> DataFrame:
@@ -127,7 +130,7 @@ def described(docs: DataFrame, id_col: str, text_col: str, salt: int) -> DataFra
     names = [id_col, "n", "node", "check", "bands", "bitmap", "shingle", "seen"]
 
     def run(batches):
-        held, size, kind = [], 0, None
+        held, names_held, size, kind = [], set(), 0, None
 
         def frequent():
             value, times = np.unique(np.concatenate(held), return_counts=True)
@@ -143,21 +146,25 @@ def described(docs: DataFrame, id_col: str, text_col: str, salt: int) -> DataFra
                 kind = part.column(id_col).type
                 sets = shingle_sets(texts_of(part, text_col))
                 full = [s for s in sets if len(s)]
-                keys, maps = signatures(full) if full else (None, None)
+                keys, maps, begin = signatures(full) if full else (None, None, None)
                 at = np.cumsum([len(s) > 0 for s in sets]) - 1
                 node = [_node(s, salt) if len(s) else (None, None) for s in sets]
                 none = pa.nulls(len(sets)).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(id_col), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in node], pa.int64()), pa.array([x[1] for x in node], pa.binary()),
-                        pa.array([keys[k].view(np.int64) if len(s) else None for k, s in zip(at, sets)], pa.list_(pa.int64())), pa.array([maps[k].view(np.int64) if len(s) else None for k, s in zip(at, sets)], pa.list_(pa.int64())), none, none,
+                        pa.array([keys[k].view(np.int64) if len(s) else None for k, s in zip(at, sets)], pa.list_(pa.int64())), pa.array([maps[begin[k] : begin[k + 1]] if len(s) else None for k, s in zip(at, sets)], pa.list_(pa.int64())), none, none,
                     ],
                     names,
                 )
-                held += full
-                size += sum(map(len, full))
+                for s, x in zip(sets, node):
+                    if len(s) and x[0] not in names_held:
+                        names_held.add(x[0])
+                        held.append(s)
+                        size += len(s)
                 if size >= HELD:
                     yield from frequent()
+                    names_held.clear()
                     size = 0
         if held:
             yield from frequent()
@@ -374,12 +381,18 @@ def classified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     links = written(links.unionByName(inside), "jaccard-links")
 
     # 2. index lists for pairs of different families
-    hot = table.where("shingle is not null").groupBy("shingle").agg(F.sum("seen").alias("seen")).where(f"seen >= {HOT_DF}").orderBy(F.desc("seen"), "shingle").limit(HOT)
+    hot = table.where("shingle is not null").groupBy("shingle").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "shingle").limit(HOT)
     late = spark.sparkContext.broadcast(hot.select("shingle").toArrow().column("shingle").to_numpy().view(np.uint64))  # HOT numbers at most
-    pairs = listed_pairs(written(entries(texts, text_col, late, salt), "jaccard-entries"), family)
+    listed = written(entries(texts, text_col, late, salt), "jaccard-entries")
+    pairs = written(listed_pairs(listed, family), "jaccard-candidates")
+    discard(listed)
     maps = nodes.select("node", "bitmap")
     pairs = pairs.join(maps.select(F.col("node").alias("a"), F.col("bitmap").alias("_x")), "a").join(maps.select(F.col("node").alias("b"), F.col("bitmap").alias("_y")), "b")
-    apart = F.aggregate(F.zip_with("_x", "_y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    # sizes differ by a quarter at most, so bitmaps by one doubling; the halves of the longer one make one of the other's length
+    halved = lambda c, n: F.zip_with(F.slice(c, 1, n), F.slice(c, n + 1, n), lambda x, y: x.bitwiseXOR(y))
+    alike = lambda c, n: F.when(F.size(c) > n, halved(c, n)).otherwise(F.col(c))
+    short = F.least(F.size("_x"), F.size("_y"))
+    apart = F.aggregate(F.zip_with(alike("_x", short), alike("_y", short), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     pairs = written(pairs.withColumn("_most", F.floor((F.col("na") + F.col("nb") - apart) / 2)).where("9 * _most >= 4 * (na + nb)").select("a", "b"), "jaccard-pairs")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "doc"), "node")
     across = overlaps(pairs, sets_of(texts, wanted, id_col, text_col, salt)).where(LINK).select("a", "b")

@@ -23,10 +23,10 @@ def lookup(
     """
     side = dim.select(*keys, *cols).dropna(subset=keys)
     if check_unique:
-        first = [F.first(c).alias(c) for c in cols]
-        side = side.groupBy(*keys).agg(*first, F.count(F.lit(1)).alias("__n"))
-        guard = F.when(F.col("__n") > 1, F.raise_error(F.lit("lookup key is not unique")).cast("boolean"))
-        side = side.withColumn("matched", F.coalesce(guard, F.lit(True))).drop("__n")
+        # counts of the keys alone; the table itself is joined as it is
+        repeated = side.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").agg(F.count(F.lit(1)).alias("d")).scalar()
+        guard = F.when(repeated > 0, F.raise_error(F.lit("lookup key is not unique")).cast("boolean"))
+        side = side.withColumn("matched", F.coalesce(guard, F.lit(True)))
     else:
         side = side.withColumn("matched", F.lit(True))
     out = skew_join(df, side, keys) if salted else df.join(side, keys, "left")

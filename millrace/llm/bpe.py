@@ -13,7 +13,6 @@ import json
 import sys
 import unicodedata
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +21,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, map_slices, picked, quoted, texts_of
+from .common import id_type, map_slices, per_worker, picked, quoted, texts_of
 
 #: The word patterns of the two tokenizer files (the first is that of the library's byte-level splitter).
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE_BEFORE = regex.compile(r"[\s\x1c-\x1f] ")
+#: Texts looked up at once, in bytes: equal words among them are looked up once.
+PART = 4 << 20
 #: Entries of each of a memory's two generations, and the longest key kept.
-REMEMBERED = 600_000
+REMEMBERED = 350_000
 REMEMBERED_CHARS = 48
 #: Fragments up to this length find the next merge in a list of the neighbours' ranks, longer ones with a heap; the order is the same.
 SHORT = 256
@@ -198,10 +199,9 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def codec(spec: str) -> Codec:
-    """One codec per Python worker; tasks of the same worker share its cache."""
-    return Codec(spec)
+    """One codec per Python worker; tasks of the same worker share its memory."""
+    return per_worker(f"codec {hash(spec)}", lambda: Codec(spec))
 
 
 def spec_of(spark, path: str):
@@ -261,7 +261,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
         return run
 
-    return map_slices(picked(docs, id_col, text_col), text_col, f"{quoted(id_col)} {id_type(docs, id_col)}, n_tokens long, ids binary, decoded string", make)
+    return map_slices(picked(docs, id_col, text_col), text_col, f"{quoted(id_col)} {id_type(docs, id_col)}, n_tokens long, ids binary, decoded string", make, PART)
 
 
 def op2(spark, docs: DataFrame, path: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from millrace.runtime import scratch_path
 
 #: Texts are handled in slices of about this many bytes, so a task's memory does not follow the batch or the file.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def fold(id_col: str, parts: int) -> Column:
@@ -83,13 +83,26 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
-def map_slices(df: DataFrame, text_col: str, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
+_state: dict[str, object] = {}
+
+
+def per_worker(name: str, make: Callable[[], object] = dict):
+    """State that the tasks of one Python worker share. A worker holds one at a time: the next operator's state replaces it, so
+    the memory of a worker does not add up over the steps of a job."""
+    if name not in _state:
+        _state.clear()
+        pa.default_memory_pool().release_unused()
+        _state[name] = make()
+    return _state[name]
+
+
+def map_slices(df: DataFrame, text_col: str, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], budget: int = SLICE_BYTES) -> DataFrame:
     """``make()`` builds, once per task, the function that turns a slice into result rows."""
 
     def run(batches):
         fn = make()
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, budget):
                 yield fn(part)
 
     return df.mapInArrow(run, schema)

@@ -26,7 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_view, discard, id_type, picked, quoted, slices, texts_of, written
+from millrace.operators.ordered import skew_join
+
+from .common import byte_view, discard, id_type, per_worker, picked, quoted, slices, texts_of, written
 
 SHINGLE = 5
 #: Bands and min-hashes of a band (they only choose who is compared first), and the overlap that makes a family.
@@ -34,7 +36,7 @@ BANDS, ROWS = 8, 4
 FAMILY = 0.4
 #: Shingles of different sets that a task holds before it reports those met ``SEEN`` times; the ``HOT`` most frequent ones go
 #: to the end of the order (any order gives the same links; this one keeps the lists short).
-HELD, SEEN, HOT = 3_000_000, 3, 300_000
+HELD, SEEN, HOT = 2_000_000, 3, 300_000
 #: Shingles of one block of a family, and bits of the bitmap that chooses texts to read (both bound memory).
 BLOCK = 200_000
 MOST_BITS = 1 << 28
@@ -130,6 +132,7 @@ def described(docs: DataFrame, id_col: str, text_col: str, salt: int) -> DataFra
     names = [id_col, "n", "node", "check", "bands", "bitmap", "shingle", "seen"]
 
     def run(batches):
+        per_worker("jaccard")
         held, names_held, size, kind = [], set(), 0, None
 
         def frequent():
@@ -176,6 +179,7 @@ def entries(docs: DataFrame, text_col: str, hot, salt: int) -> DataFrame:
     """(shingle, node, n, pos) of the prefixes of all sets; a task enters a set that it has met lately only once."""
 
     def run(batches):
+        per_worker("jaccard")
         late = np.sort(hot.value)
         met: set[int] = set()
         for batch in batches:
@@ -413,7 +417,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     table, found, _ = classified(docs, id_col, text_col)
     own = F.col(quoted(id_col))
-    out = table.join(found, "node", "left")
+    out = skew_join(table, found, ["node"])  # a third of the documents may be copies of one text
     return out.select(own, F.col("n").alias("n_shingles"), F.when(own.isNotNull(), F.coalesce("_class", own)).alias("component_id"))
 
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, id_type, picked, quoted, slices, written
+from .common import fold, id_type, per_worker, picked, quoted, slices, written
 
 ORDER = 2
 DIM = 32
@@ -253,17 +253,6 @@ class Scorer:
         return result / np.log(10)
 
 
-_scorers: dict[str, Scorer] = {}
-
-
-def scorer_of(name: str, model) -> Scorer:
-    """One scorer per Python worker and model, so its normalisers serve all tasks of the worker."""
-    if name not in _scorers:
-        _scorers.clear()
-        _scorers[name] = Scorer(model.value)
-    return _scorers[name]
-
-
 def score(docs: DataFrame, keep, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) of every row, learned from the rows for which ``keep`` holds.
 
@@ -293,7 +282,7 @@ def score(docs: DataFrame, keep, id_col: str = "doc_id", text_col: str = "text")
     kind, name = id_type(docs, id_col), uuid.uuid4().hex
 
     def run(batches):
-        v, scorer = vocabulary.value, scorer_of(name, model)
+        v, scorer = vocabulary.value, per_worker(f"scorer {name}", lambda: Scorer(model.value))  # its normalisers serve all tasks of the worker
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in slices(batch, text_col, PART):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import codec, spec_of
+from .bpe import PART, codec, spec_of
 from .common import id_type, map_slices, picked, quoted, texts_of, written
 
 GROUP = 16_384
@@ -95,7 +95,7 @@ def pieces(docs: DataFrame, path: str, tokens: int = 2048, end_id: int = 0, id_c
 
         return run
 
-    return map_slices(picked(docs, id_col, text_col), text_col, f"{quoted(id_col)} {id_type(docs, id_col)}, piece int, start long, length long, ids_crc32 long", make)
+    return map_slices(picked(docs, id_col, text_col), text_col, f"{quoted(id_col)} {id_type(docs, id_col)}, piece int, start long, length long, ids_crc32 long", make, PART)
 
 
 def pack_pieces(cut: DataFrame, cap: Capacity = Capacity(), id_col: str = "doc_id", group: int = GROUP) -> DataFrame:

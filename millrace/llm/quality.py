@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_view, fold, id_type, map_slices, picked, quoted, texts_of, written
+from .common import byte_view, fold, id_type, map_slices, per_worker, picked, quoted, slices, texts_of, written
 
 PASSAGE = 512
 HIDDEN = 24
@@ -137,6 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, keep, label: str = "quality", id_col
     rows = rows.where(F.octet_length(F.coalesce("_t", F.lit(""))) <= sample_passages * PASSAGE).select("_id", "_y", "_t")
 
     def make():
+        per_worker("quality")
+
         def bags(part):
             x, count = passages(texts_of(part, "_t"))
             first = np.concatenate([[0], np.cumsum(count)])
@@ -167,6 +169,8 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
     schema = f"{quoted(id_col)} {id_type(docs, id_col)}, score double, n_passages int, top_passage int"
 
     def make():
+        per_worker("quality")
+
         def scored(part):
             x, count = passages(texts_of(part, text_col))
             if model is None:
@@ -188,8 +192,7 @@ def keep_rows(docs: DataFrame, model: dict | None, text_col: str = "text", thres
         return docs
 
     def run(batches):
-        from .common import slices
-
+        per_worker("quality")
         for batch in batches:
             for part in slices(batch, text_col):
                 y, _ = forward(model, *passages(texts_of(part, text_col)))

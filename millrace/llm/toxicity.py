@@ -9,13 +9,14 @@ without evidence scores 0 however long it is. The sentences with the largest p(s
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, id_type, map_slices, picked, quoted, slices, texts_of, written
+from .common import fold, id_type, map_slices, per_worker, picked, quoted, slices, texts_of, written
 from .quality import label_sample
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -26,7 +27,7 @@ STARTS = (4, 5, 6, 7)
 SAMPLE_DOCS = 8000
 SAMPLE_ENTRIES = 6_000_000
 #: Bound of the word cache of a task.
-CACHE = 300_000
+CACHE = 150_000
 
 
 def features(word: str) -> list[str]:
@@ -68,6 +69,8 @@ def fit(docs: DataFrame, labels: DataFrame, keep, label: str = "toxic", id_col:
     rows = picked(docs, id_col, text_col).toDF("_id", "_t").join(F.broadcast(ids), "_id").select("_id", "_y", "_t")
 
     def make():
+        per_worker("toxicity counts")
+
         def counted(part):
             keys, ys, names, times = [], [], [], []
             for key, y, text in zip(part.column("_id").cast(pa.string()).to_pylist(), part.column("_y").to_pylist(), texts_of(part, "_t")):
@@ -140,10 +143,11 @@ def score(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", te
     NULL and empty texts, and texts without a word, score 0 and have worst_start and worst_end -1. Repeated rows stay
     repeated. Columns other than id and text are not looked at.
     """
+    name = uuid.uuid4().hex
     schema = f"{quoted(id_col)} {id_type(docs, id_col)}, score double, n_offending int, worst_start int, worst_end int, worst_score double"
 
     def make():
-        rates = Rates(weights)
+        rates = per_worker(f"rates {name}", lambda: Rates(weights))
 
         def scored(part):
             got = [judged(t, rates) for t in texts_of(part, text_col)]
@@ -156,9 +160,10 @@ def score(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", te
 
 def keep_rows(docs: DataFrame, weights: dict[str, float], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose score stays under the threshold."""
+    name = uuid.uuid4().hex
 
     def run(batches):
-        rates = Rates(weights)
+        rates = per_worker(f"rates {name}", lambda: Rates(weights))
         for batch in batches:
             for part in slices(batch, text_col):
                 yield part.filter(pa.array([judged(t, rates)[0] < threshold for t in texts_of(part, text_col)], pa.bool_()))

@@ -39,16 +39,16 @@ def id_type(df: DataFrame, id_col: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, *by: str) -> DataFrame:
     """``df`` stored once on the shared folder and read back: it survives lost executors and is not computed again.
 
-    The shuffle files of the write are removed with it; the session's setting is put back.
+    One folder for each value of the last columns ``by``, if there are any. The shuffle files of the write are removed with it; the session's setting is put back.
     """
     spark = df.sparkSession
     path, before = scratch_path(spark, label), spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

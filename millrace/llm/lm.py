@@ -3,11 +3,14 @@
 Tokens are counted over the whole training fold. The most frequent words are outputs of the network, all others fall into
 classes by a hash of their last bytes; the network predicts word or class from the ``ORDER`` outputs before it, and a word
 within its class has the probability (c + 1) / Z of its exact corpus count (one unit of Z is kept for unseen words), so every
-text has a normalised probability. Training reads every token of the fold: each task runs stochastic gradient steps over its
-texts from common parameters, and the parameters are averaged over tasks by a shuffle, weighted by tokens.
+text has a normalised probability. Training reads every token of the fold once. The tokens are dealt at random into shards of
+about ``SHARD`` tokens, whatever files or partitions the texts come in, and ``ROUND_SHARDS`` shards make a round: each shard runs
+stochastic gradient steps from the common parameters, which are then averaged, with their step sizes, weighted by tokens. The
+number of rounds follows the number of tokens, so a larger corpus takes proportionally more steps one after another.
 
 Scoring looks counts up locally for the ``LOCAL`` most frequent words (a fixed number, broadcast); every other word of every
-text goes through a join with the table of all counts. Normalisers are batched matrix products over distinct contexts.
+text goes through a join with the table of all counts. The exponential of a sum is a product, so the normalisers of all contexts
+after one output are one matrix product.
 """
 
 from __future__ import annotations
@@ -22,17 +25,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, id_type, per_worker, picked, quoted, slices, written
+from .common import discard, fold, id_type, per_worker, picked, quoted, slices, written
 
 ORDER = 2
 DIM = 32
-WORDS = 960
-CLASSES = 64
+WORDS = 3968
+CLASSES = 128
 OUT = WORDS + CLASSES
 LOCAL = 200_000
 NOISE = 24
 BATCH = 1024
-ROUNDS = 1
+#: Tokens of a shard, shards of a round, and tokens of the longest stored piece of a text.
+SHARD = 1 << 20
+ROUND_SHARDS = 12
+PIECE = 1 << 16
 #: Distinct words that a task counts before it passes the counts on.
 HELD = 300_000
 #: Texts of one step of a task, in bytes.
@@ -161,9 +167,9 @@ def _summed(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class Trainer:
     """NCE steps (Adagrad): each token against ``NOISE`` outputs drawn from the unigram distribution, shared by the batch."""
 
-    def __init__(self, p: dict, unigram: np.ndarray, seed: int):
+    def __init__(self, p: dict, unigram: np.ndarray, seed: int, seen: dict | None = None):
         self.p = {k: v.copy() for k, v in p.items()}
-        self.seen = {k: np.full_like(v, 1e-3) for k, v in p.items()}
+        self.seen = {k: v.copy() for k, v in seen.items()} if seen else {k: np.full_like(v, 1e-3) for k, v in p.items()}
         self.cum, self.logn = np.cumsum(unigram), np.log(unigram * NOISE).astype(np.float32)
         self.rng = np.random.default_rng(seed)
         self.tokens = 0
@@ -194,55 +200,107 @@ class Trainer:
         self.p[name][rows] -= rate * slope / np.sqrt(seen)
 
 
-def train(docs: DataFrame, vocabulary, unigram: np.ndarray, text_col: str, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Parameters after ``rounds`` passes over all texts, averaged over tasks. One row for each parameter comes to the driver."""
-    p = start(unigram)
-    names, shapes = list(p), [p[k].shape for k in p]
+def pieces(out: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The texts' outputs as little-endian 16-bit numbers, in pieces of at most ``PIECE``, each after its two context outputs."""
+    one, two = contexts(out, starts)
+    sizes = np.diff(np.append(starts, len(out)))
+    parts = -(-sizes // PIECE)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin = np.repeat(starts, parts) + nth * PIECE
+    length = np.minimum(np.repeat(sizes, parts) - nth * PIECE, PIECE)
+    ends = np.cumsum(length + 2)
+    first = ends - length - 2
+    data = np.empty(ends[-1], dtype="<u2")
+    data[np.arange(len(out)) + 2 * np.repeat(np.arange(1, len(begin) + 1), length)] = out
+    data[first], data[first + 1] = two[begin], one[begin]
+    return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(np.append(0, 2 * ends).astype(np.int32)), pa.py_buffer(data)])
+
+
+def dealt(docs: DataFrame, vocabulary, text_col: str, shards: int, rounds: int) -> DataFrame:
+    """(shard, at, outs, round): all pieces of all texts, stored, each in a shard drawn at random; ``at`` orders a shard's pieces."""
+
+    def run(batches):
+        v, task = vocabulary.value, TaskContext.get().partitionId()
+        rng, row = np.random.default_rng(task), task << 33
+        for batch in batches:
+            for part in slices(batch, text_col, PART):
+                place, starts, _, _ = v.read(part.column(text_col))
+                outs = pieces(v.outputs(place), starts)
+                shard = rng.integers(0, shards, len(outs))
+                yield pa.RecordBatch.from_arrays([pa.array(shard // rounds, pa.int32()), pa.array(np.arange(row, row + len(outs))), outs, pa.array(shard % rounds, pa.int32())], ["shard", "at", "outs", "round"])
+                row += len(outs)
+
+    found = picked(docs, text_col).mapInArrow(run, "shard int, at long, outs binary, round int")
+    return written(found.repartition("round", "shard"), "lm-shards", "round")
+
+
+def train(docs: DataFrame, vocabulary, unigram: np.ndarray, text_col: str, tokens: int) -> dict[str, np.ndarray]:
+    """Parameters after every one of the ``tokens`` tokens was trained on. One row for each shard of a round comes to the driver."""
+    p, seen = start(unigram), None
+    if not tokens:
+        return p
+    shards = -(-tokens // SHARD)
+    rounds = -(-shards // ROUND_SHARDS)
+    stored = dealt(docs, vocabulary, text_col, shards, rounds)
+    names = list(p)
+
+    def steps(sent, k):
+        def run(key, table):
+            t = Trainer(sent.value[0], unigram, ROUND_SHARDS * k + key[0].as_py(), sent.value[1])
+            rows = [np.frombuffer(x, dtype="<u2").astype(np.int64) for x in table.sort_by("at").column("outs").to_pylist()]
+            kept = [np.concatenate(x) for x in zip(*((r[2:], r[1:-1], r[:-2]) for r in rows))]
+            for at in range(0, len(kept[0]), BATCH):
+                t.step(*(x[at : at + BATCH] for x in kept))
+            made = [b"".join(x[name].tobytes() for name in names) for x in (t.p, t.seen)]
+            return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([t.tokens], pa.int64()), "p": pa.array(made[:1], pa.binary()), "seen": pa.array(made[1:], pa.binary())})
+
+        return run
+
     for k in range(rounds):
-        sent = docs.sparkSession.sparkContext.broadcast(p)
-
-        def run(batches, sent=sent, k=k):
-            v = vocabulary.value
-            t = Trainer(sent.value, unigram, 1000 * k + TaskContext.get().partitionId())
-            kept = [np.zeros(0, dtype=np.int64)] * 3
-            for batch in batches:
-                for part in slices(batch, text_col, PART):
-                    place, starts, _, _ = v.read(part.column(text_col))
-                    out = v.outputs(place)
-                    kept = [np.concatenate(x) for x in zip(kept, (out, *contexts(out, starts)))]
-                    full = len(kept[0]) // BATCH * BATCH
-                    for at in range(0, full, BATCH):
-                        t.step(*(x[at : at + BATCH] for x in kept))
-                    kept = [x[full:] for x in kept]
-            if len(kept[0]):
-                t.step(*kept)
-            flat = np.concatenate([t.p[name].ravel() for name in names]).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * t.tokens), pa.array(np.full(len(flat), float(t.tokens)))], ["i", "v", "n"])
-
-        sums = picked(docs, text_col).mapInArrow(run, "i int, v double, n double").groupBy("i").agg((F.sum("v") / F.nullif(F.sum("n"), F.lit(0.0))).alias("v")).where("v is not null")
-        got = sums.toArrow()
+        sent = docs.sparkSession.sparkContext.broadcast((p, seen))
+        got = stored.where(F.col("round") == k).select("shard", "at", "outs").groupBy("shard").applyInArrow(steps(sent, k), "shard int, n long, p binary, seen binary").toArrow().sort_by("shard")
+        sent.unpersist()
         if not got.num_rows:
-            return p
-        flat = np.zeros(sum(int(np.prod(s)) for s in shapes), dtype=np.float32)
-        flat[got.column("i").to_numpy()] = got.column("v").to_numpy()
-        cuts = np.cumsum([int(np.prod(s)) for s in shapes])[:-1]
-        p = {name: x.reshape(s).astype(np.float32) for name, s, x in zip(names, shapes, np.split(flat, cuts))}
+            continue
+        n = got.column("n").to_numpy().astype(np.float64)
+        mean = lambda name: sum(np.frombuffer(x.as_buffer(), dtype=np.float32) * w for x, w in zip(got.column(name), n / n.sum()))
+        cuts = np.cumsum([v.size for v in p.values()])[:-1]
+        shaped = lambda flat: {name: x.reshape(v.shape).astype(np.float32) for (name, v), x in zip(p.items(), np.split(flat, cuts))}
+        p, seen = shaped(mean("p")), shaped(mean("seen"))
+    discard(stored)
     return p
 
 
 class Scorer:
-    """Normalised log10 probabilities; the normaliser of each context met is kept (``(OUT + 1) ** 2`` numbers at most)."""
+    """Normalised log10 probabilities; the normalisers of the contexts met are kept (``(OUT + 1) ** 2`` numbers at most)."""
 
     def __init__(self, p: dict):
         self.a = [p["c"][i] * p["R"] for i in range(ORDER)]
         self.Q, self.b = p["Q"], p["b"]
         self.norm = np.full((OUT + 1) * (OUT + 1), np.nan, dtype=np.float32)
+        self.met = np.zeros(OUT + 1, dtype=bool)
+        far = self.a[1] @ self.Q.T
+        self.top = far.max(1)
+        self.far = np.exp(far - self.top[:, None])
+
+    def fill(self, ones: np.ndarray) -> None:
+        """Normalisers of all contexts whose last output is one of ``ones``; those too small for the product stay NaN."""
+        near = self.a[0][ones] @ self.Q.T + self.b
+        top = near.max(1)
+        z = np.exp(near - top[:, None]) @ self.far.T
+        z[z < 1e-20] = np.nan
+        self.norm.reshape(OUT + 1, OUT + 1)[ones] = np.log(z) + top[:, None] + self.top
+        self.met[ones] = True
 
     def logs(self, out: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        ones = np.unique(one)
+        ones = ones[~self.met[ones]]
+        for at in range(0, len(ones), 512):
+            self.fill(ones[at : at + 512])
         code = one * (OUT + 1) + two
         new = np.unique(code[np.isnan(self.norm[code])])
-        for at in range(0, len(new), 2048):
-            c = new[at : at + 2048]
+        for at in range(0, len(new), 1024):
+            c = new[at : at + 1024]
             s = (self.a[0][c // (OUT + 1)] + self.a[1][c % (OUT + 1)]) @ self.Q.T + self.b
             top = s.max(1)
             self.norm[c] = top + np.log(np.exp(s - top[:, None]).sum(1))
@@ -278,7 +336,7 @@ def score(docs: DataFrame, keep, id_col: str = "doc_id", text_col: str = "text")
     unigram[len(top) : WORDS] = 1e-6
     unigram /= unigram.sum()
     vocabulary = spark.sparkContext.broadcast(Vocabulary(local, totals))
-    model = spark.sparkContext.broadcast(train(training, vocabulary, unigram, text_col))
+    model = spark.sparkContext.broadcast(train(training, vocabulary, unigram, text_col, N))
     kind, name = id_type(docs, id_col), uuid.uuid4().hex
 
     def run(batches):

@@ -240,6 +240,26 @@ def test_model_is_normalised(spark):
     assert abs((10 ** s.logs(out, np.full(lm.OUT, 5), np.full(lm.OUT, lm.OUT))).sum() - 1) < 1e-3
 
 
+def test_pieces_hold_every_token_with_its_context(monkeypatch):
+    monkeypatch.setattr(lm, "PIECE", 3)
+    out, starts = np.arange(12), np.array([0, 1, 8])
+    rows = [np.frombuffer(x, dtype="<u2").astype(np.int64) for x in lm.pieces(out, starts).to_pylist()]
+    assert [len(r) - 2 for r in rows] == [1, 3, 3, 1, 3, 1]
+    got = [np.concatenate(x) for x in zip(*((r[2:], r[1:-1], r[:-2]) for r in rows))]
+    assert all((x == y).all() for x, y in zip(got, (out, *lm.contexts(out, starts))))
+
+
+def test_gain_does_not_follow_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD", 30_000)
+    monkeypatch.setattr(lm, "ROUND_SHARDS", 2)
+    docs = load(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    gains = []
+    for parts in (4, 400):
+        held = [r for r in lm.op3(spark, docs.repartition(parts, "doc_id")).collect() if r.held_out]
+        gains.append(sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held))
+    assert gains[0] > 0.05 and abs(gains[0] - gains[1]) < 0.15 * gains[0]
+
+
 def test_rare_words_come_by_the_join(spark, monkeypatch):
     docs = load(spark, "/root/testdata/sf0.001", "documents")
     one = {r.doc_id: r for r in lm.op3(spark, docs).collect()}

@@ -55,6 +55,20 @@ def test_written_shards_hold_all_rows(spark):
     assert Counter((r.doc_id, r.text, r.shard) for r in back.collect()) == Counter((i, t, "own") for i, t in ODD)
 
 
+def test_written_pages_of_a_hot_id_fit(spark):
+    rows = [(5, f"{k} repeated row " * 20) for k in range(300)] + [(6, "same row " * 30)] * 200 + [(None, "no id " * 30)] * 100 + [(i, "t" * (i % 50)) for i in range(100, 400)]
+    path = scratch_path(spark, "shards")
+    sharding.write(docs_of(spark, rows).repartition(5), path, 4_000)
+    back = spark.read.option("basePath", path).parquet(path).withColumn("file", F.input_file_name()).collect()
+    assert Counter((r.doc_id, r.text) for r in back) == Counter(rows)
+    sizes, files = Counter(), defaultdict(set)
+    for r in back:
+        place = r.file.rsplit("/", 1)[0]
+        sizes[place] += len(r.text.encode())
+        files[place].add(r.file)
+    assert max(sizes.values()) <= 4_000 and all(len(f) == 1 for f in files.values())
+
+
 # nearest neighbours
 
 

@@ -116,13 +116,13 @@ def train(x: np.ndarray, count: np.ndarray, y: np.ndarray, epochs: int = 30, see
     return p
 
 
-def label_sample(labels: DataFrame, label: str, id_col: str, keep, limit: int) -> DataFrame:
-    """At most ``limit`` labelled ids of the training fold, in the order of a hash of the id: (id, label).
+def label_sample(labels: DataFrame, label: str, id_col: str, keep, limit: int, having: str = "true") -> DataFrame:
+    """At most ``limit`` labelled ids of the training fold ``having`` such a label (_y), in the order of a hash of the id: (id, label).
 
     Labels of a repeated id are averaged; NULL ids and NULL labels are left out. The result is bounded by ``limit`` rows.
     """
     one = picked(labels, id_col, label).toDF("_id", "_y").withColumn("_y", F.col("_y").cast("double")).where("_id is not null and _y is not null")
-    one = one.where(keep("_id")).groupBy("_id").agg(F.avg("_y").alias("_y"))
+    one = one.where(keep("_id")).groupBy("_id").agg(F.avg("_y").alias("_y")).where(having)
     return one.orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(limit)
 
 

@@ -13,7 +13,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold, id_type, map_slices, per_worker, picked, quoted, slices, texts_of, written
@@ -23,7 +23,8 @@ WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
 THRESHOLD = 0.7
 STARTS = (4, 5, 6, 7)
-#: Bounds of the training sample: documents, and (document, feature) entries. Labelled rows are taken in the order of a hash of the id.
+#: Bounds of the training sample: documents, and (document, feature) entries. Labelled rows are taken in the order of a hash of the id,
+#: toxic and clean ones in turn while there are both.
 SAMPLE_DOCS = 8000
 SAMPLE_ENTRIES = 6_000_000
 #: Bound of the word cache of a task.
@@ -61,11 +62,13 @@ def train(doc: np.ndarray, feat: np.ndarray, times: np.ndarray, y: np.ndarray, n
 def fit(docs: DataFrame, labels: DataFrame, keep, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_entries: int = SAMPLE_ENTRIES) -> dict[str, float]:
     """Feature weights, learned from at most ``sample_docs`` labelled documents for which ``keep(id column)`` holds.
 
-    The executors count features; features seen in fewer than two toxic sample documents, or in a clean one more often than
-    in a toxic one, are dropped there by one aggregation, and at most ``sample_entries`` (document, feature) counts come to
-    the driver, in the order of a hash of the id. Empty if there is nothing to learn from.
+    The executors count features; those seen in fewer than two toxic sample documents, or in no larger share of the toxic than
+    of the clean ones, are dropped there by one aggregation. At most ``sample_entries`` (document, feature) counts come to the
+    driver: a document that would pass the bound is left out whole. Empty if there is nothing to learn from.
     """
-    ids = label_sample(labels, label, id_col, keep, sample_docs)
+    sides = [label_sample(labels, label, id_col, keep, sample_docs, having) for having in ("_y > 0", "_y <= 0")]
+    turn = F.row_number().over(Window.partitionBy(F.col("_y") > 0).orderBy(F.xxhash64(F.col("_id").cast("string")), "_id"))  # 2 * sample_docs rows at most
+    ids = sides[0].unionByName(sides[1]).withColumn("_k", turn).orderBy("_k", F.desc("_y")).limit(sample_docs).drop("_k")
     rows = picked(docs, id_col, text_col).toDF("_id", "_t").join(F.broadcast(ids), "_id").select("_id", "_y", "_t")
 
     def make():
@@ -86,15 +89,31 @@ def fit(docs: DataFrame, labels: DataFrame, keep, label: str = "toxic", id_col:
     found = written(map_slices(rows, "_t", "id string, y double, f string, n int", make), "toxicity-counts")
     bags = found.groupBy("id").agg(F.max("y").alias("y"))
     sums = found.groupBy("f").agg(F.sum(F.when(F.col("y") > 0, 1).otherwise(0)).alias("yes"), F.sum(F.when(F.col("y") > 0, 0).otherwise(1)).alias("no"))
-    useful = sums.where("f != '' and yes >= 2 and yes > 4 * no")
-    entries = found.join(useful.select("f"), "f", "left_semi").groupBy("id", "f").agg(F.max("n").alias("n")).orderBy(F.xxhash64("id"), "id", "f").limit(sample_entries)
-    label_of = {r.id: r.y for r in bags.limit(sample_docs).collect()}
-    got = entries.toPandas()
-    if not len(got) or not label_of:
+    of = bags.agg(F.count_if(F.col("y") > 0).alias("yes"), F.count_if(F.col("y") <= 0).alias("no")).first()
+    useful = sums.where(F.expr(f"f != '' and yes >= 2 and (no = 0 or yes * {of.no}L > no * {of.yes}L)"))
+    entries = written(found.join(useful.select("f"), "f", "left_semi").groupBy("id", "f").agg(F.max("n").alias("n")), "toxicity-entries")
+    sizes = bags.join(entries.groupBy("id").agg(F.count("*").alias("c")), "id", "left").select("id", "y", F.coalesce("c", F.lit(0)).alias("c"))
+    taken, y, room = [], [], sample_entries
+    for r in sizes.orderBy(F.xxhash64("id"), "id").limit(sample_docs).collect():
+        if r.c <= room:
+            room -= r.c
+            taken.append((r.id, len(taken)))
+            y.append(r.y)
+    if room == sample_entries:
         return {}
-    order = {d: k for k, d in enumerate(label_of)}
-    names, feat = np.unique(got.f.to_numpy(dtype=object), return_inverse=True)
-    w = train(got.id.map(order).to_numpy(), feat, got.n.to_numpy(dtype=np.float64), np.array(list(label_of.values())), len(names))
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(taken, "id string, k int"))
+    got = entries.join(chosen, "id").select("k", "f", "n").toArrow()
+    f = got.column("f").combine_chunks().dictionary_encode()
+    names, at = np.unique(f.dictionary.to_numpy(zero_copy_only=False).astype(object), return_inverse=True)
+    key, times = got.column("k").to_numpy().astype(np.int64) * len(names) + at[f.indices.to_numpy()], got.column("n").to_numpy().astype(np.float32)
+    del got, f, at  # the driver holds the counts once
+    pa.default_memory_pool().release_unused()
+    by = np.argsort(key, kind="stable")
+    key, times = key[by], times[by]
+    del by
+    doc, feat = (key // len(names)).astype(np.int32), (key % len(names)).astype(np.int32)
+    del key
+    w = train(doc, feat, times, np.array(y), len(names))
     return {str(f): float(x) for f, x in zip(names, w) if x > 1e-3}
 
 

@@ -95,6 +95,14 @@ def test_noisy_or_finds_the_words():
     assert "Fine here. You BLERG now! Fine."[start:end].strip() == "You BLERG now"
 
 
+def test_rare_toxic_words_with_ordinary_use_are_learned(spark):
+    rows = [(i, f"w{i % 37} plain words." + " Some blerg here." * (i % 100 == 0 or i % 20 == 1)) for i in range(1000)]
+    labels = spark.createDataFrame([(i, int(i % 100 == 0)) for i in range(1000)], "doc_id long, toxic int")
+    for bound in ({}, {"sample_docs": 20}, {"sample_docs": 20, "sample_entries": 100}):
+        weights = toxicity.fit(docs_of(spark, rows), labels, lambda c: F.lit(True), **bound)
+        assert toxicity.judged("A blerg.", toxicity.Rates(weights))[0] > 0 and toxicity.judged("plain words", toxicity.Rates(weights))[0] == 0
+
+
 @pytest.mark.parametrize("label,part", [("quality", quality), ("toxic", toxicity)])
 def test_classifiers_take_any_rows(spark, odd, none, label, part):
     labels = spark.createDataFrame([(4, 1, 0, "x"), (4, 0, 0, "y"), (5, 1, 1, None), (7, None, None, None), (None, 1, 1, "z"), (99, 1, 1, "")], "doc_id long, quality int, toxic int, text string")

@@ -7,7 +7,7 @@ from public_tokenizers import path as tokenizer
 from millrace.queries.base import Registry
 from millrace.runtime import load
 
-from . import sharding
+from . import audit, sharding
 
 R = Registry()
 
@@ -78,3 +78,22 @@ def op4_jaccard(spark, folder):
     from .jaccard import op4
 
     return op4(spark, load(spark, folder, "documents"))
+
+
+@R.add("op11_audit", audit.SQL)
+def op11_audit(spark, folder):
+    return audit.op11(spark, load(spark, folder, "documents"), load(spark, folder, "labels"))
+
+
+@R.add("op12_neardup")
+def op12_neardup(spark, folder):
+    from .neardup import op12
+
+    return op12(spark, load(spark, folder, "embeddings"))
+
+
+@R.add("op13_repair")
+def op13_repair(spark, folder):
+    from .repair import op13
+
+    return op13(spark, load(spark, folder, "conversations"))

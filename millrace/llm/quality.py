@@ -18,10 +18,14 @@ PASSAGE = 512
 HIDDEN = 24
 ATTENTION = 12
 BUCKETS = 96
+#: Hash values of byte trigrams; ten share a bucket.
+TRIGRAMS = BUCKETS * 10
 THRESHOLD = 0.7
-#: Bounds of the training sample: documents, and passages in all. Labelled rows are taken in the order of a hash of the id.
+#: Bounds of the training sample: documents, passages in all, and the share of the passages that one document may take.
+#: Labelled rows are taken in the order of a hash of the id.
 SAMPLE_DOCS = 3000
 SAMPLE_PASSAGES = 40_000
+SAMPLE_SHARE = 16
 
 
 def _classes() -> np.ndarray:
@@ -57,11 +61,11 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             wide = data.astype(np.uint32)
             gram = (wide[:-2] * np.uint32(0x9E3779B1) + wide[1:-1] * np.uint32(0x85EBCA77) + wide[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(7)
             keep = at[2:] == at[:-2]
-            fine = (at[:-2] * 1024 + (gram % 1024).astype(np.int64))[keep]
-            fine = np.bincount(fine, minlength=n * 1024).reshape(n, 1024)
+            fine = (at[:-2] * TRIGRAMS + (gram % TRIGRAMS).astype(np.int64))[keep]
+            fine = np.bincount(fine, minlength=n * TRIGRAMS).reshape(n, TRIGRAMS)
             total = np.maximum(1, fine.sum(1))
-            out[:, N_CLASS * N_CLASS : WIDTH - 2] = fine[:, : BUCKETS * 10].reshape(n, BUCKETS, 10).sum(2) / total[:, None]
-            out[:, WIDTH - 2] = (fine > 0).sum(1) / np.minimum(total, 1024)
+            out[:, N_CLASS * N_CLASS : WIDTH - 2] = fine.reshape(n, BUCKETS, -1).sum(2) / total[:, None]
+            out[:, WIDTH - 2] = (fine > 0).sum(1) / np.minimum(total, TRIGRAMS)
             out[:, WIDTH - 1] = fine.max(1) / total
         total = np.maximum(1, out[:, : N_CLASS * N_CLASS].sum(1))
         out[:, : N_CLASS * N_CLASS] /= total[:, None]
@@ -82,6 +86,30 @@ def forward(p: dict, x: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, dict
     return y, {"h": h, "t": t, "s": s, "a": a, "z": z, "owner": owner, "first": first}
 
 
+def _fixed(x: np.ndarray, bits: int, limit: float) -> np.ndarray:
+    """Multiples of 2**-bits within +-limit, as doubles: sums of their products have no rounding, whatever their order."""
+    return np.clip(np.rint(x.astype(np.float64) * 2.0**bits), -limit * 2.0**bits, limit * 2.0**bits) * 2.0**-bits
+
+
+def judged(p: dict, x: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Document probabilities and, for each document, its passage of the largest attention weight (the first among equals).
+
+    The same network as ``forward``, with every factor of a sum rounded to so few bits that the sum is exact in a double. So a
+    score depends on the text alone, not on what else is in the batch. (For documents of up to 2**18 passages.)
+    """
+    first = np.concatenate([[0], np.cumsum(count)[:-1]])
+    owner = np.repeat(np.arange(len(count)), count)
+    weight = lambda name: _fixed(p[name], 16, 16)
+    h = np.tanh(_fixed((x.astype(np.float64) - p["mean"]) / p["std"], 12, 1024) @ weight("W") + weight("b"))
+    fine = _fixed(h, 20, 1)
+    e = _fixed(np.tanh(fine @ weight("V")) / (1 + np.exp(-(fine @ weight("U")))), 20, 1) @ weight("w")
+    a = _fixed(np.exp(e - np.maximum.reduceat(e, first)[owner]), 20, 1)
+    z = np.add.reduceat(a[:, None] * _fixed(h, 14, 1), first, axis=0) / np.add.reduceat(a, first)[:, None]
+    y = 1 / (1 + np.exp(-np.clip(_fixed(z, 20, 1) @ weight("c") + weight("d"), -30, 30)))
+    best = np.lexsort((np.arange(len(e)), -e, owner))[first]
+    return y, best - first
+
+
 def train(x: np.ndarray, count: np.ndarray, y: np.ndarray, epochs: int = 30, seed: int = 11) -> dict:
     """Adam on the cross entropy of the document labels; ``y`` may lie between 0 and 1 where labels of a document differ."""
     rng = np.random.default_rng(seed)
@@ -129,12 +157,16 @@ def label_sample(labels: DataFrame, label: str, id_col: str, keep, limit: int, h
 def fit(docs: DataFrame, labels: DataFrame, keep, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_passages: int = SAMPLE_PASSAGES) -> dict | None:
     """The model, from at most ``sample_docs`` labelled documents for which ``keep(id column)`` holds.
 
-    Passage vectors are made on the executors; the driver gets at most ``sample_docs`` bags and stops taking them, in the
-    same hash order, when ``sample_passages`` passages are reached. None if there is no labelled document.
+    Labels of absent documents take no place in the sample. Passage vectors are made on the executors; documents of more than one
+    ``SAMPLE_SHARE``-th of ``sample_passages`` are passed over. The driver gets at most ``sample_docs`` bags and takes them in the same hash
+    order, passing over those that no longer fit into ``sample_passages``. None if there is no labelled document.
     """
-    ids = label_sample(labels, label, id_col, keep, sample_docs)
+    there = picked(docs, id_col).toDF("_there").where(F.col("_there").isNotNull())
+    known = picked(labels, id_col, label).toDF(id_col, label)
+    known = known.join(there, F.col(quoted(id_col)) == F.col("_there"), "left_semi")
+    ids = label_sample(known, label, id_col, keep, sample_docs)
     rows = picked(docs, id_col, text_col).toDF("_id", "_t").join(F.broadcast(ids), "_id")
-    rows = rows.where(F.octet_length(F.coalesce("_t", F.lit(""))) <= sample_passages * PASSAGE).select("_id", "_y", "_t")
+    rows = rows.where(F.octet_length(F.coalesce("_t", F.lit(""))) <= sample_passages // SAMPLE_SHARE * PASSAGE).select("_id", "_y", "_t")
 
     def make():
         per_worker("quality")
@@ -151,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep, label: str = "quality", id_col
     for r in found.orderBy(F.xxhash64("id"), "id", "bag").limit(sample_docs).collect():
         bag = np.frombuffer(r.bag, dtype=np.float16).astype(np.float32).reshape(-1, WIDTH)
         if total + len(bag) > sample_passages:
-            break
+            continue
         total += len(bag)
         x.append(bag)
         y.append(r.y)
@@ -176,9 +208,7 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
             if model is None:
                 y, top = np.full(len(count), 0.5), np.zeros(len(count), dtype=np.int32)
             else:
-                y, c = forward(model, x, count)
-                best = np.lexsort((np.arange(len(c["a"])), -c["a"], c["owner"]))[c["first"]]
-                top = best - c["first"]
+                y, top = judged(model, x, count)
             return pa.RecordBatch.from_arrays([part.column(id_col), pa.array(y.astype(np.float64)), pa.array(count.astype(np.int32)), pa.array(top.astype(np.int32))], [id_col, "score", "n_passages", "top_passage"])
 
         return scored
@@ -195,7 +225,7 @@ def keep_rows(docs: DataFrame, model: dict | None, text_col: str = "text", thres
         per_worker("quality")
         for batch in batches:
             for part in slices(batch, text_col):
-                y, _ = forward(model, *passages(texts_of(part, text_col)))
+                y, _ = judged(model, *passages(texts_of(part, text_col)))
                 yield part.filter(pa.array(y >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -120,9 +120,37 @@ def test_classifiers_take_any_rows(spark, odd, none, label, part):
 
 def test_equal_texts_score_alike_in_any_batch():
     p = quality.train(*quality.passages(["Good text here, it is fine. " * 30, "!! !! JUNK!! " * 60] * 4), np.array([1.0, 0.0] * 4), epochs=3)
-    one, _ = quality.forward(p, *quality.passages(["some text of its own " * 90]))
-    many, _ = quality.forward(p, *quality.passages(["a b", "some text of its own " * 90, ""]))
-    assert abs(one[0] - many[1]) < 1e-5
+    texts = ["a b", "some text of its own " * 90, "", "x" * 5000, *("line %d of JUNK! " % k * k for k in range(1, 60)), LONG]
+    many, top = quality.judged(p, *quality.passages(texts))
+    for k, t in enumerate(texts):
+        one, first = quality.judged(p, *quality.passages([t]))
+        assert one[0] == many[k] and first[0] == top[k]
+        # the same network, passage by passage, without rounding
+        h = [np.tanh(sum((float(v) - float(m)) / float(d) * p["W"][i].astype(float) for i, (v, m, d) in enumerate(zip(row, p["mean"], p["std"]))) + p["b"]) for row in quality.passages([t])[0][:40]]
+        if len(h) == quality.passages([t])[1][0]:
+            e = np.array([float(np.dot(np.tanh(x @ p["V"]) / (1 + np.exp(-(x @ p["U"]))), p["w"])) for x in h])
+            a = np.exp(e) / np.exp(e).sum()
+            plain = 1 / (1 + np.exp(-float(np.dot(sum(w * x for w, x in zip(a, h)), p["c"]) + p["d"])))
+            assert abs(plain - one[0]) < 1e-3 and a[first[0]] >= a.max() - 1e-3
+    network, _ = quality.forward(p, *quality.passages(texts))
+    assert np.abs(network - many).max() < 1e-3
+
+
+@pytest.mark.parametrize("label,part", [("quality", quality), ("toxic", toxicity)])
+def test_scores_depend_on_the_text_alone(spark, label, part):
+    docs = load(spark, "/root/testdata/sf0.001", "documents")
+    model = part.fit(docs, load(spark, "/root/testdata/sf0.001", "labels"), lambda c: F.lit(True), label=label)
+    docs = docs.unionByName(docs)
+    got = [{(r.doc_id, r.score) for r in part.score(docs.repartition(n), model).collect()} for n in (1, 4, 400)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 200
+
+
+def test_long_documents_do_not_end_the_sample(spark):
+    rows = [(i, ("Good text number %d stays fine. " if i % 2 else "JUNK!! %d ## ") % i * (20_000 if i % 5 == 0 else 20)) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(i, 0) for i in range(1000, 3000)], "doc_id long, quality int")
+    model = quality.fit(docs_of(spark, rows), labels, lambda c: F.lit(True), sample_docs=60, sample_passages=3000)
+    got = {r.doc_id: r.score for r in quality.score(docs_of(spark, rows), model).collect()}
+    assert all((got[i] >= 0.5) == bool(i % 2) for i in range(60))
 
 
 # codec and packing

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.runtime import cut_lineage
+from millrace.runtime import cut_lineage, stored
 
 
 class NotConverged(Exception):
@@ -126,12 +126,89 @@ def _spread_min(edges: DataFrame, max_rounds: int) -> DataFrame:
     raise NotConverged(f"colors still spread after {max_rounds} rounds")
 
 
+def _into_single(edges: DataFrame, salt: int) -> DataFrame:
+    """(v, u, a): nodes v with u as their only neighbour on an incoming edge (of weight a), such that no u is a v itself.
+
+    Of a chain of such nodes about a third is chosen, by a hash that changes with ``salt``; a node that hangs on one with other
+    incoming edges is chosen at once.
+    """
+    single = edges.groupBy("dst").agg(F.min("src").alias("u"), F.max("src").alias("__last"), F.max("weight").alias("a")).filter("u = __last and u <> dst")
+    single = single.select(F.col("dst").alias("v"), "u", "a")
+    h = lambda c: F.xxhash64(F.lit(salt), F.col(c))
+    above = single.select(F.col("v").alias("__u"))
+    eager = single.join(above, F.col("u") == F.col("__u"), "left").select("v", "u", "a", (F.col("__u").isNull() | (h("v") > h("u"))).alias("eager"))
+    before = eager.filter("eager").select(F.col("v").alias("__u"))
+    return eager.filter("eager").join(before, F.col("u") == F.col("__u"), "left_anti").select("v", "u", "a")
+
+
+def _turned(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+
+
+def _without(edges: DataFrame, taken: DataFrame) -> DataFrame:
+    """Edges after every taken node v went into its u: what left v leaves u, the longest of parallel edges stays."""
+    gone = taken.select(F.col("v").alias("__dst"))
+    moved = edges.join(gone, F.col("dst") == F.col("__dst"), "left_anti").join(taken, F.col("src") == F.col("v"), "left")
+    out = moved.select(F.coalesce("u", "src").alias("src"), "dst", (F.col("weight") + F.coalesce("a", F.lit(0))).alias("weight"))
+    return out.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+
+
+def _weighted(edges: DataFrame) -> DataFrame:
+    return _pairs(edges).withColumn("weight", F.lit(1).cast("bigint"))
+
+
 def cycles(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(node, component): nodes on a cycle of at least two nodes, component = smallest node of the strongly connected part.
 
-    No pairs of nodes are formed: every node takes the smallest color that reaches it, and what reaches the owner of a
-    color from inside that color is one component. Colors are ordered by a hash, so few sweeps suffice.
+    Nodes with a single neighbour on one side go into it, so that chains and rings of any length shrink by a constant factor a
+    round. What is left has branches everywhere; there, every node takes the smallest color that reaches it, and what reaches the owner
+    of a color from inside that color is one component. Then the shrunk nodes come back, last ones first: such a node is
+    on a cycle with its neighbour exactly if one of its own edges leads into the neighbour's component.
     """
+    now = stored(_weighted(edges).filter("src <> dst"), "graph-edges")
+    steps: list[tuple[DataFrame, DataFrame]] = []
+    # a node gets an edge to itself when a ring has shrunk to it
+    rings = [now.limit(0).select(F.col("src").alias("node"))]
+    size = now.count()
+    for _ in range(max_rounds):
+        if not size:
+            break
+        stage = now
+        for _ in range(2):  # nodes with one predecessor, then nodes with one successor
+            taken = stored(_into_single(stage, len(steps)), "graph-taken")
+            steps.append((stage, taken))
+            after = stored(_turned(_without(stage, taken)), "graph-edges")
+            rings.append(after.filter("src = dst").select(F.col("src").alias("node")))
+            stage = after.filter("src <> dst")
+        # edges of nodes without a way in or out lie on no cycle
+        now = stored(stage.join(_ends(stage, "dst", "src"), "src", "left_semi").join(_ends(stage, "src", "dst"), "dst", "left_semi").select("src", "dst", "weight"), "graph-edges")
+        before, size = size, now.count()
+        if size > 0.9 * before:
+            break
+    parts = _colored(now.select("src", "dst"), max_rounds) if size else now.limit(0).select(F.col("src").alias("node"), F.col("src").alias("component"))
+    loops = stored(_union(rings).distinct(), "graph-rings")
+    gone = _union([t.select(F.col("v").alias("node")) for _, t in steps]) if steps else loops.limit(0)
+    alone = loops.join(parts, "node", "left_anti").join(gone, "node", "left_anti")
+    known = stored(parts.unionByName(alone.select("node", F.col("node").alias("component"))), "graph-parts")
+    for k, (stage, taken) in reversed(list(enumerate(steps))):
+        of_u = known.select(F.col("node").alias("u"), "component")
+        of_w = known.select(F.col("node").alias("dst"), F.col("component").alias("__c"))
+        back = taken.join(of_u, "u").join(stage.select(F.col("src").alias("v"), "dst"), "v").join(of_w, "dst").filter("component = __c")
+        back = back.select(F.col("v").alias("node"), "component").distinct()
+        ring = loops.join(taken.select(F.col("v").alias("node")), "node", "left_semi").select("node", F.col("node").alias("component"))
+        # of the two answers for a node the one from its neighbour counts
+        both = back.withColumn("__own", F.lit(0)).unionByName(ring.withColumn("__own", F.lit(1))).groupBy("node").agg(F.min_by("component", "__own").alias("component"))
+        known = known.unionByName(both) if k % 2 else stored(known.unionByName(both), "graph-parts")
+    least = known.groupBy("component").agg(F.min("node").alias("__least"))
+    return known.join(least, "component").select("node", F.col("__least").alias("component"))
+
+
+def _ends(edges: DataFrame, side: str, name: str) -> DataFrame:
+    return edges.select(F.col(side).alias(name)).distinct()
+
+
+def _colored(edges: DataFrame, max_rounds: int) -> DataFrame:
+    """(node, component) of the strongly connected parts of at least two nodes; ``component`` is one of the nodes."""
     rest = trim(edges, max_rounds)
     members = []
     for _ in range(max_rounds):
@@ -159,24 +236,47 @@ def cycles(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
 def levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(id, level): length of the longest path that ends at the node; NULL for nodes on or behind a cycle.
 
-    Peels the nodes whose predecessors are all done; ``nodes`` has ``id``.
+    ``nodes`` has ``id``. In every round the nodes without incoming edges are done and hand their level on, and nodes with a single
+    predecessor go into it, their edges joined to longer ones with weights, so that chains of any length shrink by a constant factor.
+    Afterwards these nodes get their levels from their predecessors, last ones first.
     """
-    rest_e = cut_lineage(_pairs(edges))
-    rest_n = cut_lineage(nodes.select("id").distinct())
-    done = []
-    for level in range(max_rounds):
-        blocked = rest_e.select(F.col("dst").alias("id")).distinct()
-        free = cut_lineage(rest_n.join(blocked, "id", "left_anti").withColumn("level", F.lit(level)))
-        if free.isEmpty():
+    now = stored(_weighted(edges), "graph-edges")
+    # base: the level a node has at least, from predecessors already done
+    base = stored(nodes.select("id").distinct().withColumn("base", F.lit(0).cast("bigint")), "graph-base")
+    steps = []
+    size = now.count()
+    for salt in range(max_rounds):
+        if not size:
             break
-        done.append(free)
-        rest_n = cut_lineage(rest_n.join(free, "id", "left_anti"))
-        if rest_n.isEmpty():
+        free = stored(base.join(_ends(now, "dst", "id"), "id", "left_anti"), "graph-free")
+        rest_e = now.join(free, F.col("src") == F.col("id"), "left_anti")
+        n_free, n_base = free.count(), base.count()
+        # where peeling alone gets on, nothing has to be shrunk
+        shrink = 2 * n_free < n_base
+        taken = stored(_into_single(rest_e, salt).join(base.withColumnsRenamed({"id": "v"}), "v"), "graph-taken") if shrink else None
+        # both kinds of nodes leave; their edges tell the next nodes what they have at least
+        out = free.unionByName(taken.select(F.col("v").alias("id"), "base")) if shrink else free
+        told = now.join(out, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.max(F.col("base") + F.col("weight")).alias("__b"))
+        rest = base.join(out.select("id"), "id", "left_anti").join(told, "id", "left")
+        base = stored(rest.select("id", F.greatest("base", F.coalesce("__b", F.lit(0))).alias("base")), "graph-base")
+        now = stored(_without(rest_e, taken) if shrink else rest_e, "graph-edges")
+        steps.append((free, taken))
+        before, size = size, now.count()
+        if shrink and size == before and not n_free and taken.isEmpty():
             break
-        rest_e = cut_lineage(rest_e.join(free.select(F.col("id").alias("src")), "src", "left_anti").select("src", "dst"))
     else:
-        raise NotConverged(f"nodes left after {max_rounds} levels")
-    return _union([*done, rest_n.withColumn("level", F.lit(None).cast("int"))])
+        raise NotConverged(f"nodes left after {max_rounds} rounds")
+    # what still has incoming edges is on or behind a cycle
+    open_ = _ends(now, "dst", "id").withColumn("__open", F.lit(True))
+    known = base.join(open_, "id", "left").select("id", F.when(F.col("__open").isNull(), F.col("base")).alias("level"))
+    for free, taken in reversed(steps):
+        known = known.unionByName(free.select("id", F.col("base").alias("level")))
+        if taken is None:
+            continue
+        up = known.select(F.col("id").alias("u"), "level")
+        mine = taken.join(up, "u", "left").select(F.col("v").alias("id"), F.when(F.col("level").isNotNull(), F.greatest("base", F.col("level") + F.col("a"))).alias("level"))
+        known = stored(known.unionByName(mine), "graph-levels")
+    return known.select("id", F.col("level").cast("int").alias("level"))
 
 
 # Order of roles among nodes that are free at the same time.

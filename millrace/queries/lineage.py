@@ -88,6 +88,24 @@ def cycles(spark, d):
     return G.cycles(_rings(spark, d))
 
 
+# all customers as one ring, and the same without its last step
+def _ring(spark, d):
+    n = load(spark, d, "customer").agg(F.max("c_custkey").alias("n"))
+    keys = load(spark, d, "customer").select(F.col("c_custkey").alias("src"))
+    return keys.select("src", F.when(F.col("src") == n.scalar(), keys.agg(F.min("src")).scalar()).otherwise(F.col("src") + 1).alias("dst"))
+
+
+@R.add("cycles_long", "SELECT c_custkey AS node, (SELECT min(c_custkey) FROM customer) AS component FROM customer")
+def cycles_long(spark, d):
+    return G.cycles(_ring(spark, d))
+
+
+@R.add("topo_levels_long", "SELECT c_custkey AS id, (c_custkey - (SELECT min(c_custkey) FROM customer))::INT AS level FROM customer")
+def topo_levels_long(spark, d):
+    ring = _ring(spark, d)
+    return G.levels(ring.select(F.col("src").alias("id")), ring.filter("dst > src"))
+
+
 @R.add(
     "cyclic_reachability",
     f"""WITH RECURSIVE e AS (SELECT src, dst FROM {RINGS} WHERE dst IS NOT NULL), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)

@@ -1,5 +1,6 @@
 """Text operators, attribute functions, graphs, sources and streams on small fixtures."""
 
+import random
 from datetime import datetime
 
 import pytest
@@ -201,3 +202,45 @@ def test_gate_holds_until_signals_arrive(spark, tmp_path):
         assert out == (0 if step == 0 else 2)
         sig.write.mode("append").parquet(signals)
         row.write.mode("append").parquet(feed)
+
+
+def _plain_parts(n, pairs):
+    """Node -> smallest node of its cyclic part, and node -> level, by following all paths."""
+    after = {v: {b for a, b in pairs if a == v and b != v} for v in range(n)}
+    reach = {v: set(after[v]) for v in range(n)}
+    for _ in range(n):
+        for v in range(n):
+            reach[v] |= {x for w in reach[v] for x in after[w]}
+    parts = {v: min(w for w in reach[v] if v in reach[w]) for v in range(n) if v in reach[v]}
+    level = {}
+    before = {v: {a for a, b in pairs if b == v} for v in range(n)}
+    while ready := [v for v in range(n) if v not in level and before[v] <= set(level)]:
+        level.update({v: max((level[p] + 1 for p in before[v]), default=0) for v in ready})
+    return parts, {v: level.get(v) for v in range(n)}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_cycles_and_levels_of_random_graphs(spark, seed):
+    rng = random.Random(seed)
+    n = rng.randrange(12, 26)
+    pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(n + seed)]
+    pairs = [(min(p), max(p)) for p in pairs] if seed == 1 else pairs + [(k, k + 1) for k in range(n - 1)] if seed == 2 else pairs
+    pairs += [(k, (k + 1) % 7) for k in range(7)] if seed == 3 else []
+    e = spark.createDataFrame([*pairs, (None, 1), (1, None)], "src long, dst long")
+    parts, level = _plain_parts(n, pairs)
+    assert {r["node"]: r["component"] for r in G.cycles(e).collect()} == parts
+    assert {r["id"]: r["level"] for r in G.levels(spark.range(n), e).collect()} == level
+
+
+def test_long_rings_and_chains_take_few_rounds(spark, monkeypatch):
+    n, written = 500, []
+    keep = G.stored
+    monkeypatch.setattr(G, "stored", lambda df, label: written.append(label) or keep(df, label))
+    ring = spark.range(n).select(F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"))
+    tail = ring.select((F.col("src") + n).alias("src"), (F.col("src") + n + 1).alias("dst"))
+    got = G.cycles(ring.unionByName(tail)).collect()
+    assert len(got) == n and {r["component"] for r in got} == {0}
+    assert written.count("graph-taken") <= 40
+    written.clear()
+    out = G.levels(spark.range(n), ring.filter("dst > 0"))
+    assert out.filter("level = id").count() == n and written.count("graph-taken") <= 40

@@ -21,7 +21,7 @@ HEADLINE = [
     "group_sum_count", "lookup_record", "lookup_salted", "fk_assign", "ip_range_enrich", "dedup_keep_first", "detect_duplicates",
     "top_k_per_group", "rolling_window_avg", "inactivity_gaps", "enforce_order", "cdc_apply", "upsert_merge", "route_on_attribute",
     "validate_record_split", "expectations", "quarantine", "silver_conform", "generate_table", "gen_integer", "ks_distance",
-    "fidelity_table", "split_text", "html_extract", "content_findings", "phi_values", "near_duplicates", "reachability",
+    "fidelity_table", "split_text", "html_extract", "content_findings", "phi_values", "fuzzy_groups", "near_duplicates", "reachability",
     "topo_levels", "stream_tumbling", "stream_session", "stream_medallion",
 ]
 

@@ -157,6 +157,30 @@ def _weighted(edges: DataFrame) -> DataFrame:
     return _pairs(edges).withColumn("weight", F.lit(1).cast("bigint"))
 
 
+def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(node, label) for the nodes of undirected edges (src, dst); label = smallest node of the connected part.
+
+    Every round each node goes into its smallest neighbour and the edges are renamed; the sizes of parts do not matter, since
+    a task sees one smallest neighbour for each node. Names without order, such as hashes, need few rounds.
+    """
+    now = stored(_pairs(edges).filter("src <> dst"), "graph-edges")
+    names: list[DataFrame] = []
+    while not now.isEmpty():
+        if len(names) == max_rounds:
+            raise NotConverged(f"parts still grow after {max_rounds} rounds")
+        seen = now.unionByName(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        into = stored(seen.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("to")).select("node", F.least("node", "to").alias("to")), "graph-into")
+        names.append(into)
+        moved = now.join(into.withColumnsRenamed({"node": "src", "to": "__a"}), "src").join(into.withColumnsRenamed({"node": "dst", "to": "__b"}), "dst")
+        now = stored(moved.filter("__a <> __b").select(F.col("__a").alias("src"), F.col("__b").alias("dst")).distinct(), "graph-edges")
+    if not names:
+        return now.select(F.col("src").alias("node"), F.col("src").alias("label"))
+    out = names[0].withColumnRenamed("to", "label")
+    for into in names[1:]:
+        out = out.join(into.withColumnsRenamed({"node": "label", "to": "__next"}), "label", "left").select("node", F.coalesce("__next", "label").alias("label"))
+    return stored(out, "graph-parts")
+
+
 def cycles(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(node, component): nodes on a cycle of at least two nodes, component = smallest node of the strongly connected part.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions.grok import grok
 from millrace.operators import project as P
 from millrace.operators import text as X
+from millrace.operators.similar import near_groups
 from millrace.operators.route import route_regex
 from millrace.queries.base import Registry
 from millrace.runtime import load
@@ -263,11 +264,24 @@ def mime_from_name(spark, d):
 FUZZY = r"substr(sha256(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'))), 1, 16)"
 
 
-@R.add("near_duplicates", f"SELECT {FUZZY} AS _fuzzy_hash, count(*) AS copies, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY 1 HAVING count(*) > 1")
-def near_duplicates(spark, d):
+@R.add("fuzzy_groups", f"SELECT {FUZZY} AS _fuzzy_hash, count(*) AS copies, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+def fuzzy_groups(spark, d):
     return X.fuzzy_groups(load(spark, d, "documents"), "doc_id", "text")
 
 
+NEAR_SQL = r"""WITH RECURSIVE t AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS plain FROM documents), w AS (SELECT doc_id, plain, string_split(plain, ' ') AS w FROM t WHERE plain <> ''),
+  s AS (SELECT doc_id, CASE WHEN len(w) < 5 THEN [plain] ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS g FROM w),
+  x AS (SELECT doc_id, unnest(g) AS k FROM s), o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM x a JOIN x b USING (k) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+  l AS (SELECT a, b FROM o JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b WHERE n / (len(p.g) + len(q.g) - n) >= 0.8::DOUBLE),
+  r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), m AS (SELECT a AS doc_id, min(b) AS group_id, count(*) AS copies FROM r GROUP BY 1)
+SELECT doc_id, group_id, copies, len(list_intersect(p.g, q.g)) / len(list_distinct(p.g || q.g))::DOUBLE AS similarity FROM m JOIN s p USING (doc_id) JOIN s q ON q.doc_id = group_id"""
+
+
+@R.add("near_duplicates", NEAR_SQL)
+def near_duplicates(spark, d):
+    return near_groups(load(spark, d, "documents"), "doc_id", "text")
+
+
 @R.add("fuzzy_hash", f"SELECT doc_id, {FUZZY} AS _fuzzy_hash FROM documents")
 def fuzzy_hash(spark, d):
     return X.fuzzy_hash(load(spark, d, "documents"), "text").select("doc_id", "_fuzzy_hash")

@@ -1,6 +1,9 @@
 """Text operators, attribute functions, graphs, sources and streams on small fixtures."""
 
+import itertools
 import random
+import re
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -11,6 +14,7 @@ from millrace.functions.attr import attr
 from millrace.functions.grok import expand
 from millrace.operators import graph as G
 from millrace.operators import joins as J
+from millrace.operators import similar
 from millrace.operators import text as X
 from millrace.operators import windows as W
 from millrace.sources import files, jdbc, kafka
@@ -244,3 +248,50 @@ def test_long_rings_and_chains_take_few_rounds(spark, monkeypatch):
     written.clear()
     out = G.levels(spark.range(n), ring.filter("dst > 0"))
     assert out.filter("level = id").count() == n and written.count("graph-taken") <= 40
+
+
+def _plain_groups(rows, threshold=0.8):
+    sets = {}
+    for i, t in rows:
+        w = re.sub(r"[^\w]|_", " ", (t or "").lower()).split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    group = {i: i for i, s in sets.items() if s}
+    for a, b in itertools.combinations(group, 2):
+        if group[a] != group[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold:
+            lo, hi = sorted((group[a], group[b]))
+            group = {i: lo if g == hi else g for i, g in group.items()}
+    sizes = Counter(group.values())
+    return {i: (g, sizes[g], len(sets[i] & sets[g]) / len(sets[i] | sets[g])) for i, g in group.items() if sizes[g] > 1}
+
+
+def test_similar_texts_are_grouped(spark):
+    rng = random.Random(8)
+    word = lambda: "w%d" % rng.randrange(5000)
+    base = [[word() for _ in range(80)] for _ in range(12)]
+    rows = [(k, " ".join(base[k % 12])) for k in range(12)]
+    for k in range(60):  # some words changed, some cut, other case and punctuation
+        w = list(base[k % 12])
+        for _ in range(k % 4):
+            w[rng.randrange(80)] = word()
+        rows.append((100 + k, ", ".join(w[: 80 - k % 9]).upper() + "!"))
+    shared = base[0][:30]  # a passage of many texts that are not similar
+    rows += [(200 + k, " ".join(shared + [word() for _ in range(50)])) for k in range(40)]
+    rows += [(300 + k, "Copy of one text, in a third of all rows.") for k in range(60)]
+    rows += [(400, None), (401, ""), (402, " .,;"), (403, "few words"), (404, "Few, words"), (405, "other"), (406, "one two three four five"), (407, "日本語 テキスト")]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(5)
+    got = similar.near_groups(df, "id", "text").collect()
+    want = _plain_groups(rows)
+    assert len(got) == len(want) and {r["id"]: (r["group_id"], r["copies"], r["similarity"]) for r in got} == want
+    one = " ".join(base[3]).replace(base[3][40], "changed")
+    pair = spark.createDataFrame([(1, " ".join(base[3])), (2, one)], "id long, text string")
+    assert {r["id"]: r["group_id"] for r in similar.near_groups(pair, "id", "text").collect()} == {1: 1, 2: 1}
+    assert similar.near_groups(df.limit(0), "id", "text").isEmpty()
+
+
+def test_connected_parts(spark):
+    chain = [((k * 7919) % 1009, ((k + 1) * 7919) % 1009) for k in range(300)]
+    e = spark.createDataFrame([*chain, (2000, 2001), (2001, 2000), (3000, 3000), (None, 1)], "src long, dst long")
+    got = {r["node"]: r["label"] for r in G.connected(e).collect()}
+    nodes = {x for p in chain for x in p}
+    assert got == {**{x: min(nodes) for x in nodes}, 2000: 2000, 2001: 2000}
+    assert G.connected(e.limit(0)).isEmpty()

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.operators.ordered import with_running_sum
+from millrace.operators.ordered import chunk_of, with_running_sum
 from millrace.operators.windows import sample_rows
+from millrace.runtime import stored
 from millrace.spec import DEFAULTS, is_numeric, is_temporal
 
 PERCENTILES = (0.25, 0.5, 0.75, 0.95, 0.99)
@@ -112,9 +113,11 @@ def statistics(
 def exact_percentiles(df: DataFrame, cols: list[str], probs: tuple[float, ...] = PERCENTILES, accuracy: int = 10000) -> DataFrame:
     """(column_name, probability, value): the smallest value with at least that share of the non-null rows up to it.
 
-    A sketch brackets every percentile; a second scan counts the rows below each bracket and a third ranks only the
-    values inside (about 4 in 10,000 rows each). Counts on the driver: a few numbers per column.
+    Two scans for any number of columns. The first makes a sketch of every column, which brackets each percentile. In the second
+    every column of a row gives one entry: its value if that lies in a bracket (about 4 in 10,000 for each), else only the number of
+    bracket ends below it. Entries are counted in the tasks, stored, and ranked. The driver holds a few numbers per column.
     """
+    spark = df.sparkSession
     margin = 2.0 / accuracy
     asked = [b for p in probs for b in (max(p - margin, 0.0), min(p + margin, 1.0))]
     x = {c: _q(c).cast("double") for c in cols}
@@ -122,38 +125,30 @@ def exact_percentiles(df: DataFrame, cols: list[str], probs: tuple[float, ...] =
         *[F.percentile_approx(x[c], asked, accuracy).alias(f"q{i}") for i, c in enumerate(cols)],
         *[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(cols)],
     ).first()
-    done, open_ = [], []
+    done, spots, entries = [], [], []
     for i, c in enumerate(cols):
-        for j, p in enumerate(probs):
-            n, q = sketch[f"n{i}"], sketch[f"q{i}"]
-            if n and q[2 * j] == q[2 * j + 1]:
-                done.append((c, float(p), q[2 * j]))
-            elif n:
-                open_.append((c, float(p), q[2 * j], q[2 * j + 1], max(1, math.ceil(round(p * n, 6)))))
-    result = "column_name string, probability double, value double"
-    known = df.sparkSession.createDataFrame(done, result)
-    if not open_:
+        n, q = sketch[f"n{i}"], sketch[f"q{i}"]
+        if not n:
+            continue
+        done += [(c, float(p), q[2 * j]) for j, p in enumerate(probs) if q[2 * j] == q[2 * j + 1]]
+        brackets = [(float(p), q[2 * j], q[2 * j + 1]) for j, p in enumerate(probs) if q[2 * j] != q[2 * j + 1]]
+        if not brackets:
+            continue
+        ends = sorted({e for _, lo, hi in brackets for e in (lo, hi)})
+        spots += [(len(spots) + k, i, c, p, lo, hi, ends.index(lo), max(1, math.ceil(round(p * n, 6)))) for k, (p, lo, hi) in enumerate(brackets)]
+        inside = reduce(Column.__or__, [x[c].between(lo, hi) for _, lo, hi in brackets])
+        entries.append(F.when(x[c].isNotNull(), F.struct(F.lit(i).alias("c"), F.when(inside, x[c]).alias("v"), F.when(~inside, chunk_of(x[c], ends)).alias("r"))))
+    known = spark.createDataFrame(done, "column_name string, probability double, value double")
+    if not spots:
         return known
-    below = df.agg(*[F.count_if(x[c] < lo).alias(f"b{k}") for k, (c, _, lo, _, _) in enumerate(open_)]).first()
-
-    def inside(c: str) -> DataFrame:
-        """(k, v, n): values of one column inside its brackets, with their counts."""
-        v = F.col("v")
-        mine = [(k, lo, hi) for k, (name, _, lo, hi, _) in enumerate(open_) if name == c]
-        hits = F.array_compact(F.array(*[F.when(v.between(lo, hi), F.lit(k)) for k, lo, hi in mine]))
-        near = reduce(Column.__or__, [v.between(lo, hi) for _, lo, hi in mine])
-        counts = df.select(x[c].alias("v")).filter(near).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-        return counts.select(F.explode(hits).alias("k"), "v", "n")
-
-    counts = reduce(DataFrame.unionAll, [inside(c) for c in dict.fromkeys(s[0] for s in open_)])
-    spots = df.sparkSession.createDataFrame(
-        [(k, c, p, lo, hi, rank - below[f"b{k}"]) for k, (c, p, lo, hi, rank) in enumerate(open_)],
-        "k int, column_name string, probability double, lo double, hi double, need bigint",
-    )
+    counts = stored(df.select(F.inline(F.array_compact(F.array(*entries)))).groupBy("c", "v", "r").agg(F.count(F.lit(1)).alias("n")), "percentile-entries")
     # one row per asked percentile
-    placed = counts.join(F.broadcast(spots), "k")
+    asked_rows = F.broadcast(spark.createDataFrame(spots, "k int, c int, column_name string, probability double, lo double, hi double, j int, rank bigint"))
+    placed = counts.join(asked_rows, "c")
+    below = placed.groupBy("k").agg(F.sum(F.when((F.col("v") < F.col("lo")) | (F.col("r") <= F.col("j")), F.col("n")).otherwise(0)).alias("before"))
+    near = placed.filter(F.col("v").between(F.col("lo"), F.col("hi"))).join(F.broadcast(below), "k")
     chunk = F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 1024)
-    running = with_running_sum(placed, ["k"], "v", chunk, {"c": "n"}).filter("c >= need")
+    running = with_running_sum(near, ["k"], "v", chunk, {"upto": "n"}).filter("before + upto >= rank")
     found = running.groupBy("k", "column_name", "probability").agg(F.min("v").alias("value"))
     return known.unionByName(found.drop("k"))
 

@@ -302,8 +302,10 @@ def fuzzy_groups(df: DataFrame, id_col: str, col: str) -> DataFrame:
 
 
 # --- SQL texts and resources ---
-#: Names (with dots, quotes and ${variables}), separators and operators of a statement without comments and literals.
-SQL_TOKEN = r"""(?:[A-Za-z_][\w$]*|"[^"]+"|`[^`]+`|\$\{[^}]+\})(?:\.(?:[A-Za-z_][\w$]*|"[^"]+"|`[^`]+`|\$\{[^}]+\}|\*))*|[(),;]|[-+*/|<>=!%]+"""
+#: One part of a name: plain, in quotes, in brackets (not behind a name, where brackets hold an index), or a ${variable}.
+SQL_NAME = r"""(?:[A-Za-z_][\w$]*|"[^"]+"|`[^`]+`|\$\{[^}]+\}|(?<![\w\])"`])\[[A-Za-z_#@][^\]]*\])"""
+#: Names with dots, separators and operators of a statement without comments and literals.
+SQL_TOKEN = SQL_NAME + r"(?:\.(?:" + SQL_NAME + r"|\*))*|[(),;]|[-+*/|<>=!%]+"
 SQL_NOISE = r"(?s)--[^\n]*|/\*.*?\*/|'(?:[^']++|'')*+'"
 WITH_FROM_INSIDE = ("EXTRACT", "TRIM", "SUBSTRING", "OVERLAY", "POSITION")
 KEPT_BEFORE_NAME = ("IF", "NOT", "EXISTS", "ONLY", "RECURSIVE")
@@ -320,7 +322,7 @@ def _tokens(sql_col: str) -> Column:
 
 
 def _plain_name(name: Column) -> Column:
-    return F.regexp_replace(name, r"""["`]""", "")
+    return F.regexp_replace(name, r"""["`\[\]]""", "")
 
 
 class _Scan:
@@ -332,7 +334,7 @@ class _Scan:
         self.stack, self.want, self.last, self.out = (state[k] for k in ("stack", "want", "last", "out"))
         self.top = F.element_at(self.stack, -1)
         self.inner = F.slice(self.stack, 1, F.greatest(F.size(self.stack) - 1, F.lit(1)))
-        self.is_name = token.rlike(r"""^[A-Za-z_"`$]""")
+        self.is_name = token.rlike(r"""^[A-Za-z_"`$\[]""")
 
     def clause(self, name) -> Column:
         return F.concat(F.slice(self.stack, 1, F.size(self.stack) - 1), F.array(F.lit(name) if isinstance(name, str) else name))
@@ -362,7 +364,8 @@ def _table_step(x: _Scan) -> Column:
         .when(u == ")", x.to(x.inner))
         .when(u == ",", x.to(want=F.when(top == "FROM", "read").when(top == "WITH", "cte").otherwise("")))
         .when(u == ";", x.to(F.array(F.lit(""))))
-        .when((u == "FROM") & (top == "FN"), x.to())
+        # EXTRACT(a FROM b), a IS [NOT] DISTINCT FROM b
+        .when((u == "FROM") & ((top == "FN") | (last == "DISTINCT")), x.to())
         .when(u == "FROM", x.to(x.clause("FROM"), F.when(last == "DELETE", "write").otherwise("read")))
         .when(u == "JOIN", x.to(x.clause("FROM"), "read"))
         .when(u == "USING", x.to(x.clause("FROM"), F.when(top == "MERGE", "read").otherwise("")))
@@ -391,7 +394,7 @@ def sql_lineage(df: DataFrame, id_col: str, sql_col: str) -> DataFrame:
 def _column_step(x: _Scan) -> Column:
     u, last, want, top = x.u, x.last, x.want, x.top
     name = F.element_at(F.split(x.t, r"\."), -1)
-    after_name = last.rlike(r"""^["`A-Z_$]""") & ~last.isin("SELECT", "AS", *WORDS_IN_EXPRESSIONS)
+    after_name = last.rlike(r"""^["`A-Z_$\[]""") & ~last.isin("SELECT", "AS", *WORDS_IN_EXPRESSIONS)
     named = last.isin("SELECT", ",", "DISTINCT", "ALL", "AS", ")", "END") | after_name
     ended = F.when(want != "", x.found(F.lit("select"), want)).otherwise(x.out)
     filters = ("WHERE", "HAVING", "(WHERE")
@@ -401,7 +404,9 @@ def _column_step(x: _Scan) -> Column:
         .when(u == ")", x.to(x.inner, out=F.when(top == "SELECT", ended).otherwise(x.out)))
         .when(u == ";", x.to(F.array(F.lit("")), out=F.when(top == "SELECT", ended).otherwise(x.out)))
         .when(u == "SELECT", x.to(x.clause("SELECT")))
+        .when((top == "SELECT") & (u == "FROM") & (last == "DISTINCT"), x.to())
         .when((top == "SELECT") & ((u == ",") | u.isin("FROM", "INTO", ";", "UNION", "EXCEPT", "INTERSECT", "WHERE")), x.to(F.when(u == ",", x.stack).otherwise(x.clause(u)), out=ended))
+        .when((u == "FROM") & (last == "DISTINCT"), x.to())
         .when(u.isin("FROM", "INTO", "OVERWRITE", "UPDATE", *CLAUSES), x.to(x.clause(F.when(u == "OVERWRITE", "INTO").otherwise(u))))
         .when(top == "SELECT", x.to(want=F.when(u == "AS", want).when(x.is_name & ~u.isin(*WORDS_IN_EXPRESSIONS) & named & (name != "*"), name).otherwise("")))
         .when((top == "COLUMNS") & x.is_name, x.to(out=x.found(F.lit("insert"), name)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from functools import reduce
+from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,53 +135,107 @@ def statistic_drift(previous: DataFrame, current: DataFrame, tolerance: float =
     return both.withColumn("nulls_moved", F.abs(F.col("new_nulls") - F.col("old_nulls")) > 0.01).filter("mean_moved or nulls_moved")
 
 
-def infer_keys(tables: dict[str, DataFrame], pk_only: bool = False) -> DataFrame:
-    """Candidate keys: (kind, table_name, column_name, references_table, references_column).
+# classes of types whose values can be compared; floating point numbers make no keys
+KEY_KINDS = {"tinyint": "n", "smallint": "n", "int": "n", "bigint": "n", "string": "s", "date": "d", "timestamp": "t", "timestamp_ntz": "t"}
+#: Values of a column (or tuples of a column set) that the first, refuting look takes in, about.
+LOOK = 100_000
 
-    A primary key is an integral or text column without NULLs in which no value repeats. A foreign key is a column of
-    the same type all of whose values occur in a primary key of another table; pairs are first pruned by minimum,
-    maximum and size. Sketches choose the columns worth an exact check.
+
+def _key_kind(data_type: str) -> str | None:
+    return "m" if data_type.startswith("decimal") else KEY_KINDS.get(data_type)
+
+
+def _key_text(col: str, kind: str) -> Column:
+    """A value as a text that is equal exactly for equal values of a kind."""
+    v = F.col(f"`{col}`").cast("string")
+    if kind == "m":  # decimals of any scale
+        return F.when(v.contains("."), F.regexp_replace(F.regexp_replace(v, "0+$", ""), r"\.$", "")).otherwise(v)
+    return F.unix_micros(F.col(f"`{col}`").cast("timestamp")).cast("string") if kind == "t" else v
+
+
+def infer_keys(tables: dict[str, DataFrame], pk_only: bool = False, composite: int = 1) -> DataFrame:
+    """Candidate keys: (kind, table_name, column_name, references_table, references_column); columns of a key are joined by commas.
+
+    A primary key is an integral, decimal, date, time or text column without NULLs in which no value repeats. Tables that have none
+    are searched for keys of up to ``composite`` columns, level by level; the first level with a key ends the search, so all keys found are
+    minimal. A foreign key is a column (or for a key of several columns a tuple of columns) of the same kind all of whose values
+    occur in a primary key of another table; tuples are built only from columns that are included one by one.
+
+    Everything is decided exactly. A first look at the values whose hash falls into a share of about ``LOOK`` rows a table keeps all
+    rows of each value it looks at, so what it refutes is refuted; only the rest is shuffled whole. Ranges prune inclusions.
     """
     spark = next(iter(tables.values())).sparkSession
-    integral = ("tinyint", "smallint", "int", "bigint")
-    stats = {t: {r["column_name"]: r for r in statistics(df, accuracy=0, text_range=True).collect()} for t, df in tables.items()}
-    columns = [(t, c) for t, own in stats.items() for c, s in own.items() if s["data_type"] in (*integral, "string") and s["non_null_count"] > 0]
-
-    def kind(t: str, c: str) -> str:
-        return "n" if stats[t][c]["data_type"] in integral else "s"
-
-    def values(chosen: list[tuple[str, str]]) -> DataFrame:
-        """(tag, kind, v) of the given columns, one after another; a columnar source reads each once."""
-        parts = [
-            tables[t].select(F.lit(columns.index((t, c))).alias("tag"), F.lit(kind(t, c)).alias("kind"), F.col(f"`{c}`").cast("string").alias("v")).filter("v is not null")
-            for t, c in chosen
-        ]
-        return reduce(DataFrame.unionAll, parts)
-
-    def whole(t: str, c: str) -> bool:
-        s = stats[t][c]
-        return s["null_count"] == 0 and s["distinct_count"] >= 0.8 * s["row_count"]
-
-    near = [x for x in columns if whole(*x)]
-    repeated = {r.tag for r in values(near).groupBy("tag", "v").count().filter("count > 1").select("tag").distinct().collect()} if near else set()
-    keys = [x for x in near if columns.index(x) not in repeated]
-    found = [("primary_key", t, c, None, None) for t, c in keys]
-    pairs = []
-    for t, c in columns if not pk_only else ():
-        for pt, pc in keys:
-            s, p = stats[t][c], stats[pt][pc]
-            lo, hi = ("min_number", "max_number") if kind(t, c) == "n" else ("min_value", "max_value")
-            # the sketch errs by some 5 %: a column with clearly more values than the key has rows cannot be included
-            if pt != t and kind(t, c) == kind(pt, pc) and s[lo] >= p[lo] and s[hi] <= p[hi] and s["distinct_count"] <= 1.3 * p["row_count"]:
-                pairs.append((columns.index((t, c)), columns.index((pt, pc))))
-    if pairs:
-        # every column's distinct values meet the keys once; a column is included where all its values met
-        child = values([columns[k] for k in sorted({a for a, _ in pairs})]).distinct()
-        parent = values([columns[k] for k in sorted({b for _, b in pairs})]).withColumnRenamed("tag", "key")
-        asked = F.broadcast(spark.createDataFrame(pairs, "tag int, key int"))
-        met = child.join(parent, ["kind", "v"]).join(asked, ["tag", "key"], "left_semi").groupBy("tag", "key").agg(F.count(F.lit(1)).alias("n"))
-        inside = met.join(child.groupBy("tag").agg(F.count(F.lit(1)).alias("all")), "tag").filter("n = all").select("tag", "key").collect()
-        found += [("foreign_key", *columns[r.tag], *columns[r.key]) for r in sorted(inside)]
+    stats = {t: {r["column_name"]: r for r in statistics(df, accuracy=0, distinct=False, text_range=True).collect()} for t, df in tables.items()}
+    kinds = {(t, c): _key_kind(s["data_type"]) for t, own in stats.items() for c, s in own.items() if s["non_null_count"] > 0}
+    columns = [x for x, k in kinds.items() if k]
+    rows = {t: max([s["row_count"] for s in own.values()], default=0) for t, own in stats.items()}
+    share = max(1, max(rows.values(), default=0) // LOOK)
+
+    def cells(sets: list[tuple[str, tuple[str, ...]]], part: int) -> DataFrame:
+        """(tag, v, w): the values of column sets as two hashes, from one scan of each table; only one value in ``part``. Rows with a NULL in the set are left out."""
+        parts = []
+        for t in dict.fromkeys(t for t, _ in sets):
+            mine = []
+            for k, (_, cols) in enumerate(sets):
+                if sets[k][0] == t:
+                    text = [_key_text(c, kinds[t, c]) for c in cols]
+                    there = reduce(Column.__and__, [F.col(f"`{c}`").isNotNull() for c in cols])
+                    mine.append(F.when(there, F.struct(F.lit(k).alias("tag"), F.xxhash64(*text).alias("v"), F.xxhash64(F.lit(1), *text).alias("w"))))
+            parts.append(tables[t].select(F.inline(F.array_compact(F.array(*mine)))))
+        every = reduce(DataFrame.unionAll, parts)
+        return every.filter(F.pmod("v", F.lit(part)) == 0) if part > 1 else every
+
+    def unique(sets: list[tuple[str, tuple[str, ...]]]) -> list[tuple[str, tuple[str, ...]]]:
+        """The column sets in which nothing repeats."""
+        for part in dict.fromkeys((share, 1)):
+            if sets:
+                twice = cells(sets, part).groupBy("tag", "v", "w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+                gone = {r.tag for r in twice.select("tag").distinct().collect()}
+                sets = [x for k, x in enumerate(sets) if k not in gone]
+        return sets
+
+    def included(pairs: list[tuple]) -> list[tuple]:
+        """The pairs (column set, column set) of which all values of the first occur in the second."""
+        for part in dict.fromkeys((share, 1)):
+            if pairs:
+                sets = list(dict.fromkeys(x for p in pairs for x in p))
+                asked = F.broadcast(spark.createDataFrame([(sets.index(a), sets.index(b)) for a, b in pairs], "tag int, key int"))
+                values = cells(sets, part).distinct()
+                child = values.join(asked.select("tag").distinct(), "tag", "left_semi")
+                parent = values.withColumnRenamed("tag", "key").join(asked.select("key").distinct(), "key", "left_semi")
+                met = child.join(parent, ["v", "w"]).join(asked, ["tag", "key"], "left_semi").groupBy("tag", "key").agg(F.count(F.lit(1)).alias("n"))
+                all_of = {r.tag: r.n for r in child.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).collect()}
+                got = {(r.tag, r.key): r.n for r in met.collect()}
+                pairs = [(a, b) for a, b in pairs if got.get((sets.index(a), sets.index(b)), 0) == all_of.get(sets.index(a), 0)]
+        return pairs
+
+    def possible(a: tuple[str, str], b: tuple[str, str]) -> bool:
+        if a[0] == b[0] or kinds[a] != kinds[b]:
+            return False
+        s, p = stats[a[0]][a[1]], stats[b[0]][b[1]]
+        lo, hi = ("min_number", "max_number") if kinds[a] in "nm" else ("min_value", "max_value")
+        return s[lo] >= p[lo] and s[hi] <= p[hi]
+
+    full = {x for x in columns if stats[x[0]][x[1]]["null_count"] == 0}
+    keys = unique([(t, (c,)) for t, c in columns if (t, c) in full])
+    for size in range(2, composite + 1):
+        bare = [t for t in tables if t not in {k[0] for k in keys}]
+        keys += unique([(t, cols) for t in bare for cols in combinations([c for x, c in columns if x == t and (x, c) in full], size)])
+    found = [("primary_key", t, ",".join(cols), None, None) for t, cols in keys]
+    if not pk_only:
+        targets = dict.fromkeys((t, c) for t, cols in keys for c in cols)
+        single = included([((a[0], (a[1],)), (b[0], (b[1],))) for a in columns for b in targets if possible(a, b)])
+        tuples = []
+        for pt, cols in keys:
+            if len(cols) == 1:
+                tuples += [(a, b) for a, b in single if b == (pt, cols)]
+                continue
+            for t in tables:
+                options = [[a[1][0] for a, b in single if a[0] == t and b == (pt, (c,))] for c in cols]
+                tuples += [((t, x), (pt, cols)) for x in product(*options) if len(set(x)) == len(x)]
+        done = [x for x in tuples if len(x[1][1]) == 1]
+        done += included([x for x in tuples if len(x[1][1]) > 1])
+        found += [("foreign_key", t, ",".join(x), pt, ",".join(cols)) for (t, x), (pt, cols) in done]
     return spark.createDataFrame(
         found, "kind string, table_name string, column_name string, references_table string, references_column string"
     )

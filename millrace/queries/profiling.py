@@ -184,6 +184,20 @@ def key_inference(spark, d):
     return B.infer_keys(_tables(spark, d, KEYED))
 
 
+_LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate"]
+_LINE_NUMBERS = _LINE[:4]
+COMPOSITE_SQL = "\nUNION ALL\n".join(
+    [f"SELECT 'primary_key' AS kind, 'orders' AS table_name, '{c}' AS column_name, NULL AS references_table, NULL AS references_column FROM orders HAVING count(DISTINCT {c}) = count(*)" for c in ("o_orderkey", "o_custkey", "o_orderdate")]
+    + [f"SELECT 'primary_key', 'lineitem', '{a},{b}', NULL, NULL FROM lineitem HAVING count(DISTINCT ({a}, {b})) = count(*)" for k, a in enumerate(_LINE) for b in _LINE[k + 1 :]]
+    + [f"SELECT 'foreign_key', 'lineitem', '{c}', 'orders', 'o_orderkey' FROM lineitem HAVING bool_and({c} IN (SELECT o_orderkey FROM orders))" for c in _LINE_NUMBERS]
+)
+
+
+@R.add("composite_key_inference", COMPOSITE_SQL)
+def composite_key_inference(spark, d):
+    return B.infer_keys(_tables(spark, d, ("orders", "lineitem")), composite=2)
+
+
 KINDS = ["int", "bigint", "varchar(30)", "decimal(8,2)", "date", "boolean", "timestamp", "double", "uuid"]
 
 

@@ -332,6 +332,18 @@ def sql_table_lineage(spark, d):
     return X.sql_lineage(_statements(spark, d), "event_id", "sql")
 
 
+@R.add(
+    "sql_lineage_names",
+    """SELECT event_id, 'dbo.t ' || event_type AS table_name, 'read' AS role FROM events UNION ALL SELECT event_id, 's.u_' || (user_id % 10), 'read' FROM events
+    UNION ALL SELECT event_id, 'app.log', 'write' FROM events""",
+)
+def sql_lineage_names(spark, d):
+    """Names in brackets, and comparisons by IS [NOT] DISTINCT FROM."""
+    text = _concat("INSERT INTO [app].log SELECT x.[a b], arr[i] FROM [dbo].[t ", "$event_type", "] x, s.[u_", "$mod", "] AS y WHERE x.k IS NOT DISTINCT FROM y.k AND (y.z IS DISTINCT FROM w OR w > 1)")
+    df = load(spark, d, "events").withColumn("mod", (F.col("user_id") % 10).cast("string"))
+    return X.sql_lineage(df.select("event_id", text.alias("sql")), "event_id", "sql")
+
+
 @R.add(
     "sql_columns",
     """SELECT event_id, unnest(CASE event_id % 4 WHEN 0 THEN ['a', 'total'] WHEN 1 THEN ['y', 'c', 'd'] WHEN 2 THEN ['a', 'k'] ELSE ['id', 'a'] END) AS column_name FROM events""",

@@ -168,6 +168,27 @@ def test_key_inference(spark):
     assert ("foreign_key", "child", "pid", "parent", "id") in rows
 
 
+def test_typed_and_composite_keys(spark, monkeypatch):
+    monkeypatch.setattr(B, "LOOK", 50)
+    day = "date_add(date'2024-01-01', cast(%s as int))"
+    prices = spark.range(300).selectExpr("cast(id / 4 as decimal(20,2)) AS price", f"{day % 'id'} AS day", "timestamp_micros(id * 7) AS at", "cast(id as double) AS f", "if(id = 9, null, id) AS holes")
+    shelf = spark.range(600).selectExpr("cast(id div 30 as int) AS house", "cast(id % 30 as smallint) AS slot", "id % 7 AS kind", "cast((id % 100) / 4 as decimal(9,3)) AS price", f"{day % 'id % 200'} AS day")
+    moves = spark.range(900).selectExpr("cast(id % 20 as bigint) AS from_house", "cast((id * 7) % 30 as int) AS from_slot", "if(id % 5 = 0, null, timestamp_ntz'1970-01-01 00:00:00.000007') AS at", "'x' AS c")
+    found = {tuple(r) for r in B.infer_keys({"prices": prices, "shelf": shelf, "moves": moves}, composite=2).collect()}
+    keys = {(t, c) for k, t, c, _, _ in found if k == "primary_key"}
+    seen = shelf.collect()
+    pairs = [(a, b) for k, a in enumerate(shelf.columns) for b in shelf.columns[k + 1 :]]
+    plain = {("shelf", f"{a},{b}") for a, b in pairs if len({(r[a], r[b]) for r in seen}) == len(seen)}
+    assert ("shelf", "house,slot") in plain and keys == {("prices", "price"), ("prices", "day"), ("prices", "at")} | plain
+    links = {x[1:] for x in found if x[0] == "foreign_key"}
+    assert ("shelf", "price", "prices", "price") in links and ("shelf", "day", "prices", "day") in links and ("moves", "at", "prices", "at") in links
+    assert ("moves", "from_house,from_slot", "shelf", "house,slot") in links and ("moves", "from_slot,from_house", "shelf", "house,slot") not in links
+    assert all("holes" not in c and c != "f" for _, c in keys)
+    more = moves.unionByName(moves.limit(1).selectExpr("19L AS from_house", "30 AS from_slot", "at", "c"))
+    again = {tuple(r)[1:] for r in B.infer_keys({"shelf": shelf, "moves": more}, composite=2).collect()}
+    assert ("moves", "from_house,from_slot", "shelf", "house,slot") not in again and ("shelf", "house,slot", None, None) in again
+
+
 def test_profile_does_not_scan_per_column(spark, people):
     plan = P.statistics(people)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan") == 1

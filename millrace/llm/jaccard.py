@@ -39,6 +39,8 @@ FAMILY = 0.4
 HELD, SEEN, HOT = 2_000_000, 3, 300_000
 #: Shingles of one block of a family, and bits of the bitmap that chooses texts to read (both bound memory).
 BLOCK = 200_000
+#: Shingles of the smallest blocks into which a family is cut.
+LEAST_BLOCK = 25_000
 MOST_BITS = 1 << 28
 #: Bits of a parity bitmap: a power of two, at least this and twice the set's size.
 BITMAP = 1024
@@ -303,22 +305,34 @@ def answer_block(x: list[np.ndarray], y: list[np.ndarray], cx: np.ndarray, cy: n
     return out
 
 
-def answered_families(members: DataFrame) -> DataFrame:
-    """Links (a, b) within families, from ``members`` (fam, node, comp, hashes).
+def answered_families(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) within families, from ``members`` (fam, node, comp, main, n) and the sets (node, hashes) of the nodes.
 
     The members of a family outside its main component (its least label) are compared with all, those inside only with them.
-    Both sides are dealt in blocks of about ``BLOCK`` shingles; every block outside meets every block of the family once.
+    Both sides are dealt in blocks; every block outside meets every block of the family once, in a cell of its own. Members are
+    dealt without their sets, which join by node afterwards, and cells are shuffled by one name of their own, so the cells of a
+    large family spread over all tasks. A block holds at most about ``BLOCK`` shingles; smaller families are cut too, outside
+    into up to four blocks and inside into blocks as large as those, ``LEAST_BLOCK`` at least, which copies no set more than a
+    few times on average.
     """
     members = members.withColumn("out", (F.col("comp") != F.col("main")).cast("int"))
-    load = members.groupBy("fam", "out").agg(F.sum(F.size("hashes")).alias("_s"))
-    blocks = load.groupBy("fam").agg(*[F.ceil(F.coalesce(F.max(F.when(F.col("out") == k, F.col("_s"))), F.lit(0)) / BLOCK).cast("int").alias(f"_b{k}") for k in (0, 1)]).where("_b1 > 0")
-    rows = members.join(blocks, "fam").withColumn("_k", F.pmod(F.xxhash64("node"), F.when(F.col("out") == 1, F.col("_b1")).otherwise(F.col("_b0"))).cast("int"))
+    load = members.groupBy("fam").agg(*[F.sum(F.when(F.col("out") == k, F.col("n")).otherwise(0)).alias(f"_s{k}") for k in (0, 1)]).where("_s1 > 0")
+    size = F.least(F.lit(BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.col("_s1") / 4))
+    blocks = load.select("fam", F.ceil(F.col("_s1") / size).cast("int").alias("_b1"), F.ceil(F.col("_s0") / size).cast("int").alias("_b0"))
+    rows = skew_join(members.select("fam", "node", "comp", "out"), blocks, ["fam"], "inner")
+    rows = rows.withColumn("_k", F.pmod(F.xxhash64("node"), F.when(F.col("out") == 1, F.col("_b1")).otherwise(F.col("_b0"))).cast("int"))
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    one, many = F.col("_b1"), F.col("_b0")
-    # the outer block i meets inner blocks (0, j) and outer blocks (1, j), i <= j
-    left = rows.where("out = 1").withColumn("_m", F.explode(F.concat(F.transform(upto(many), lambda j: F.struct(F.lit(0).alias("t"), F.col("_k").alias("i"), j.alias("j"))), F.transform(F.filter(upto(one), lambda j: j >= F.col("_k")), lambda j: F.struct(F.lit(1).alias("t"), F.col("_k").alias("i"), j.alias("j"))))))
-    right = rows.withColumn("_m", F.explode(F.when(F.col("out") == 0, F.transform(upto(one), lambda i: F.struct(F.lit(0).alias("t"), i.alias("i"), F.col("_k").alias("j")))).otherwise(F.transform(F.filter(upto(one), lambda i: i <= F.col("_k")), lambda i: F.struct(F.lit(1).alias("t"), i.alias("i"), F.col("_k").alias("j"))))))
-    shape = lambda df, role: df.select("fam", "_m.t", "_m.i", "_m.j", F.lit(role).alias("role"), "node", "comp", "hashes")
+    cell = lambda role, t, i, j: F.struct(F.lit(role).alias("role"), F.lit(t).alias("t"), i.alias("i"), j.alias("j"))
+    one, many, own = F.col("_b1"), F.col("_b0"), F.col("_k")
+    # the outer block i meets inner blocks (0, j) and outer blocks (1, j), i <= j; it is the left side (role 0) of both
+    inner = F.transform(upto(one), lambda i: cell(1, 0, i, own))
+    outer = F.concat(
+        F.transform(upto(many), lambda j: cell(0, 0, own, j)),
+        F.transform(F.filter(upto(one), lambda j: j >= own), lambda j: cell(0, 1, own, j)),
+        F.transform(F.filter(upto(one), lambda i: i <= own), lambda i: cell(1, 1, i, own)),
+    )
+    dealt = rows.withColumn("_m", F.explode(F.when(F.col("out") == 0, inner).otherwise(outer)))
+    dealt = dealt.select(F.concat_ws("/", "fam", "_m.t", "_m.i", "_m.j").alias("cell"), "_m.role", "node", "comp")
 
     def run(key, table):
         table = table.sort_by("node")
@@ -332,7 +346,7 @@ def answered_families(members: DataFrame) -> DataFrame:
         got = answer_block([sets[k] for k in x], [sets[k] for k in y], comp[x], comp[y]) if len(x) and len(y) else []
         return pa.table({"a": pa.array([int(node[x[i]]) for i, _ in got], pa.int64()), "b": pa.array([int(node[y[j]]) for _, j in got], pa.int64())})
 
-    return shape(left, 0).unionByName(shape(right, 1)).groupBy("fam", "t", "i", "j").applyInArrow(run, "a long, b long")
+    return dealt.join(sets, "node").groupBy("cell").applyInArrow(run, "a long, b long")
 
 
 def listed_pairs(listed: DataFrame, family: DataFrame) -> DataFrame:
@@ -381,7 +395,8 @@ def classified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     members = family.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     # the main component of a family: the one with most members, the least label among equals
     main = members.groupBy("fam", "comp").count().groupBy("fam").agg(F.max_by("comp", F.struct(F.col("count"), -F.xxhash64("comp").bitwiseAND(F.lit(0xFFFFFF)))).alias("main"))
-    inside = answered_families(members.join(main, "fam").join(sets, "node"))
+    members = skew_join(members.join(nodes.select("node", "n"), "node"), main, ["fam"], "inner")
+    inside = answered_families(written(members, "jaccard-members"), sets)
     links = written(links.unionByName(inside), "jaccard-links")
 
     # 2. index lists for pairs of different families

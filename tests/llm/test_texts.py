@@ -356,6 +356,34 @@ def test_classes_equal_the_plain_version(spark, odd, monkeypatch):
     assert got == plain_classes(rows)
 
 
+def test_blocks_of_one_family_are_cells_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LEAST_BLOCK", 200)
+    rng = np.random.default_rng(11)
+    base = [f"b{k}" for k in range(60)]
+    sets = {k: {f"n{k}-{j}" if rng.random() < 0.06 else w for j, w in enumerate(base)} for k in range(90)}
+    word = {w: k for k, w in enumerate(sorted(set().union(*sets.values())))}
+    comp = {k: 0 if k < 50 else k for k in sets}
+    members = spark.createDataFrame([(7, k, comp[k], 0, len(s)) for k, s in sets.items()], "fam long, node long, comp long, main long, n int")
+    hashes = spark.createDataFrame([(k, sorted(word[w] for w in s)) for k, s in sets.items()], "node long, hashes array<long>")
+    got = jaccard.answered_families(members, hashes)
+    assert "hashpartitioning(cell" in got._jdf.queryExecution().executedPlan().toString()
+    up = dict(comp)
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for r in got.collect():
+        assert 5 * len(sets[r.a] & sets[r.b]) >= 4 * len(sets[r.a] | sets[r.b])
+        a, b = root(comp[r.a]), root(comp[r.b])
+        up[max(a, b)] = min(a, b)
+    for a in sets:
+        for b in sets:
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and (comp[a] or comp[b]):
+                assert root(comp[a]) == root(comp[b])
+
+
 def test_one_of_each_class_stays(spark, none):
     rows = [(100 + k, t) for k, t in enumerate(family(5, 12, 2) + ["", "", "a b c"])] + [(100, family(5, 12, 2)[0]), (None, "a b c"), (3, "a b c")]
     docs = docs_of(spark, rows)

@@ -3,8 +3,10 @@
 Headers (digest, size, id) are shuffled by payload digest, payloads are not: of records with equal payloads the one with the
 largest id is the response, the others become revisit records that refer to it and carry no payload. Digests held by several
 records are few beside all records; their table is broadcast only if it has at most ``BROADCAST_ROWS`` rows (some 10 MB),
-otherwise joined by a shuffle. Archives are written by Spark's text writer, whose line separator is the end of a WARC record,
-so they land on whatever store the path names, and are read back as whole files of bounded size.
+otherwise headers alone are joined by a shuffle that deals the rows of hot digests over many tasks, and records then take their
+answer by id and digest, a key that no group of copies makes hot. Archives are written by Spark's text writer, whose line separator is
+the end of a WARC record, so they land on whatever store the path names. The reader takes archives of any number of gzip
+members (one for the whole file, or one for each record, as most crawlers write them) and inflates them piece by piece.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.ordered import skew_join
 from millrace.runtime import scratch_path
 
 from .common import picked, quoted, written
@@ -24,6 +27,8 @@ LEAST = 1000
 BROADCAST_ROWS = 100_000
 #: Records of one archive file.
 RECORDS = 1_000
+#: Bytes that the reader inflates at a time, and bytes of payload that it passes on at a time.
+PIECE = 1 << 20
 END = "\r\n\r\n"
 
 
@@ -43,8 +48,14 @@ def resolve(records: DataFrame, least: int = LEAST) -> DataFrame:
     """
     groups = records.where(F.col("_bytes") >= least).groupBy("_digest", "_id").agg(F.lit(1).alias("_one")).groupBy("_digest").agg(F.max("_id").alias("_largest"), F.count("_one").alias("_ids"))
     shared = written(groups.where("_ids > 1").select("_digest", "_largest"), "warc-shared")
-    small = shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    found = records.join(F.broadcast(shared) if small else shared, "_digest", "left")
+    if shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        found = records.join(F.broadcast(shared), "_digest", "left")
+    else:  # headers alone meet the shared digests; a repeated id and digest has one answer, so it comes back once
+        heads = records.where(F.col("_bytes") >= least).select("_digest", "_id")
+        known = skew_join(heads, shared, ["_digest"], "inner").distinct()
+        own = F.when(F.col("_bytes") >= least, F.struct(F.col("_id"), F.col("_digest")))
+        answers = known.select(F.struct("_id", "_digest").alias("_own"), "_largest")
+        found = records.withColumn("_own", own).join(answers, "_own", "left").drop("_own")
     return found.withColumn("_response", F.when(F.col("_largest").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_largest")), F.col("_largest"))).drop("_largest")
 
 
@@ -74,21 +85,52 @@ def write(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", re
     resolved.select(record(date).alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
 
 
-def parse(data: bytes):
-    """(type, id, refers to, digest, block) of the records of one archive, in order. Blocks are found by their length."""
-    at = 0
-    while at < len(data):
-        stop = data.index(b"\r\n\r\n", at)
-        first, *lines = data[at:stop].split(b"\r\n")
+def inflated(data: bytes, piece: int = PIECE):
+    """The content of all gzip members of ``data``, one after another, in pieces of at most ``piece`` bytes.
+
+    Empty data has no content. A member that ends too early, and bytes behind the last member that are neither a member nor
+    zeros (padding), are errors.
+    """
+    rest = data
+    while rest.strip(b"\0"):
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            got = member.decompress(rest, piece)
+            rest = member.unconsumed_tail
+            if got:
+                yield got
+            elif not member.eof and not rest:
+                raise ValueError("a gzip member is cut off")
+        rest = member.unused_data
+
+
+def parse(pieces):
+    """(type, id, refers to, digest, block) of the records of one archive, in order, from its content in pieces. Blocks are found
+    by their length; only the record at hand is held. An archive without content has no records."""
+    source, held = iter(pieces), bytearray()
+
+    def filled(enough) -> bool:
+        while not enough():
+            more = next(source, None)
+            if more is None:
+                return False
+            held.extend(more)
+        return True
+
+    while filled(lambda: bool(held)):
+        if not filled(lambda: b"\r\n\r\n" in held):
+            raise ValueError("a WARC header is cut off")
+        stop = held.index(b"\r\n\r\n")
+        first, *lines = bytes(held[:stop]).split(b"\r\n")
         if first != b"WARC/1.1":
             raise ValueError("not a WARC record")
         fields = {k.lower(): v for k, _, v in (x.partition(b": ") for x in lines)}
         start = stop + 4
         end = start + int(fields[b"content-length"])
-        if data[end : end + 4] != b"\r\n\r\n":
+        if not filled(lambda: len(held) >= end + 4) or held[end : end + 4] != b"\r\n\r\n":
             raise ValueError("a WARC record does not end where its length says")
-        yield fields[b"warc-type"].decode(), _page(fields[b"warc-record-id"]), _page(fields.get(b"warc-refers-to")), fields[b"warc-payload-digest"].partition(b":")[2].decode(), data[start:end]
-        at = end + 4
+        yield fields[b"warc-type"].decode(), _page(fields[b"warc-record-id"]), _page(fields.get(b"warc-refers-to")), fields[b"warc-payload-digest"].partition(b":")[2].decode(), bytes(held[start:end])
+        del held[: end + 4]
 
 
 def _page(urn: bytes | None) -> int | None:
@@ -96,17 +138,30 @@ def _page(urn: bytes | None) -> int | None:
     return None if name == b"none" else int(name)
 
 
-def read(spark, path: str) -> DataFrame:
+def parts(records):
+    """Records in lists of at most 200, closed when their blocks hold ``PIECE`` bytes."""
+    part, held = [], 0
+    for row in records:
+        part.append(row)
+        held += len(row[4])
+        if len(part) == 200 or held >= PIECE:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
+def read(spark, path: str, glob: str = "*.gz") -> DataFrame:
     """(record_type, id, refers_to, digest, payload, payload_bytes, payload_digest) of all records under ``path``.
 
     A response's payload size and digest are those of the bytes read; a revisit's are NULL until ``expand`` finds its response.
+    A folder without archives, and empty archives, give no rows; what is no WARC/1.1 record, or is cut off, is an error.
     """
+
     def run(batches):
         for batch in batches:
             for content in batch.column("content"):
-                rows = list(parse(zlib.decompress(content.as_py(), 31)))
-                for k in range(0, len(rows), 200):
-                    part = rows[k : k + 200]
+                for part in parts(parse(inflated(content.as_py()))):
                     own = [r[0] == "response" for r in part]
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -117,7 +172,7 @@ def read(spark, path: str) -> DataFrame:
                         ["record_type", "id", "refers_to", "digest", "payload", "payload_bytes", "payload_digest"],
                     )
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("content")
     return files.mapInArrow(run, "record_type string, id long, refers_to long, digest string, payload binary, payload_bytes long, payload_digest string")
 
 

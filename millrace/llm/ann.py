@@ -150,9 +150,11 @@ def _ratio(index: Index, sample: np.ndarray, rng, k: int = 20) -> float:
 
 
 def clean(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(_id, _v): vectors that take part. NULL ids, NULL or zero vectors, vectors with NULL or non-finite components, and
-    vectors whose length is not the most frequent one (the longest among equals) take none."""
-    v = F.col(quoted(vec_col)).cast("array<float>")
+    """(_id, _v): vectors that take part, in their own precision (float stays float, any other number is a double). NULL ids,
+    NULL or zero vectors, vectors with NULL or non-finite components, and vectors whose length is not the most frequent one (the
+    longest among equals; no inner product with the others is defined) take none."""
+    own = table.schema[table.columns.index(vec_col)].dataType.simpleString()
+    v = F.col(quoted(vec_col)).cast(own if own == "array<float>" else "array<double>")
     rows = picked(table, id_col, vec_col).select(F.col(quoted(id_col)).cast("long").alias("_id"), v.alias("_v")).where("_id is not null and _v is not null")
     bad = F.exists("_v", lambda x: F.coalesce(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(True)))
     rows = rows.where(~bad & F.exists("_v", lambda x: x != 0))
@@ -188,7 +190,7 @@ def _assigned(rows: DataFrame, index, queries: bool) -> DataFrame:
                 found = own.probes(np.hstack([x, np.zeros((len(x), 1))])) if queries else own.lists(widened(x, own.largest))
                 yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_v"), pa.array([f.tolist() for f in found], pa.list_(pa.int32()))], ["_id", "_v", "_lists"])
 
-    return rows.mapInArrow(run, "_id long, _v array<float>, _lists array<int>")
+    return rows.mapInArrow(run, f"_id long, _v {rows.schema['_v'].dataType.simpleString()}, _lists array<int>")
 
 
 def _opened(asked: DataFrame, stored: DataFrame, sizes: dict[int, int], k: int) -> DataFrame:
@@ -237,7 +239,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found for each query, from all ``rows`` but those with the query's id.
 
     Both have (_id, _v) as ``clean`` gives them. Rows that repeat an id and a vector count once. The nearest lists are opened
-    first; they give each query a bar (its k-th score so far), and the other lists return only what reaches the bar.
+    first; they give each query a bar (its k-th score so far), and the other lists return only what reaches the bar. A query whose
+    lists hold fewer than ``k`` others opens all lists.
     """
     spark = rows.sparkSession
     model = fit(rows)
@@ -247,14 +250,18 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     index = spark.sparkContext.broadcast(model)  # at most CENTROIDS centroids
     stored = written(_assigned(rows, index, False).select("_id", "_v", F.explode("_lists").alias("_list")), "ann-lists")
     sizes = {r._list: r.n for r in stored.groupBy("_list").agg(F.count("*").alias("n")).collect()}  # a row for each centroid at most
-    asked = written(_assigned(queries, index, True), "ann-queries")
-    asked = asked.select("_id", "_v", F.posexplode("_lists").alias("_pos", "_list")).where(F.col("_list").isin(list(sizes)))
+    queried = written(_assigned(queries, index, True), "ann-queries")
+    asked = queried.select("_id", "_v", F.posexplode("_lists").alias("_pos", "_list")).where(F.col("_list").isin(list(sizes)))
     nearest = asked.where(F.col("_pos") < FIRST_LISTS).withColumn("_bar", F.lit(float("-inf")))
     first = written(_best(_opened(nearest, stored, sizes, k), k), "ann-first")
     bars = first.where(F.col("rank") == k).select(F.col("query_id").alias("_id"), F.col("score").alias("_bar"))
     rest = asked.where(F.col("_pos") >= FIRST_LISTS).join(bars, "_id", "left").withColumn("_bar", F.coalesce("_bar", F.lit(float("-inf"))))
-    found = first.drop("rank").unionByName(_opened(rest, stored, sizes, k))
-    return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = written(_best(first.drop("rank").unionByName(_opened(rest, stored, sizes, k)), k), "ann-found")
+    short = queried.join(found.where(F.col("rank") == k).select(F.col("query_id").alias("_id")).distinct(), "_id", "left_anti")
+    if not short.isEmpty():
+        everywhere = short.select("_id", "_v", F.explode(F.array(*[F.lit(c) for c in sorted(sizes)])).alias("_list"), F.lit(float("-inf")).alias("_bar"))
+        found = _best(found.drop("rank").unionByName(_opened(everywhere, stored, sizes, k)), k)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op9(spark, table: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 """Shards, nearest neighbours, archives and the pipeline against plain versions, and on unusual rows."""
 
+import gzip
 import hashlib
 import math
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -110,6 +112,24 @@ def test_few_vectors(spark):
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(20, 1, 1, 0.5), (20, 2, 3, 0.5)]
 
 
+def test_doubles_keep_their_precision(spark):
+    near = [(k, [1.0 + k * 1e-12, 0.0]) for k in range(1, 30)]
+    table = spark.createDataFrame([(100, [1.0, 0.0])] + near, "vec_id long, embedding array<double>")
+    got = ann.op9(spark, table).where("query_id = 100").orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(k, 1.0 + k * 1e-12) for k in range(29, 9, -1)]
+
+
+def test_queries_of_small_lists_still_get_all_nearest(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PER_CENTROID", 4)
+    monkeypatch.setattr(ann, "RECALL", 0.0)
+    monkeypatch.setattr(ann, "FIRST_LISTS", 1)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(30, 16)) * 40
+    rows = [(k, (centres[k % 30] + rng.normal(size=16) * 0.01).tolist()) for k in range(240)]
+    found = Counter(r.query_id for r in ann.op9(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert found == {k: 20 for k in range(0, 240, 20)}
+
+
 def test_recall(spark, monkeypatch):
     monkeypatch.setattr(ann, "LIST", 64)
     monkeypatch.setattr(ann, "QUERIES", 8)
@@ -147,6 +167,38 @@ def test_archives(spark):
     assert warc.op10(spark, pages_of(spark, [])).count() == 0
 
 
+def crawled(k, body):
+    return (f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{k}>\r\nWARC-Payload-Digest: sha1:{hashlib.sha1(body).hexdigest()}\r\nContent-Length: {len(body)}\r\n\r\n").encode() + body + b"\r\n\r\n"
+
+
+def test_archives_with_a_member_for_each_record(spark, tmp_path):
+    bodies = [b"", b"a", b"x\r\n\r\nWARC/1.1\r\n" * 90_000, "größer".encode() * 500] + [str(k).encode() * k for k in range(300)]
+    records = [crawled(k, b) for k, b in enumerate(bodies)]
+    one = gzip.compress(b"".join(records[:3]))
+    many = b"".join(gzip.compress(r) for r in records[3:])
+    cut = gzip.compress(b"".join(records[:40])[:700]) + gzip.compress(b"".join(records[:40])[700:])
+    for name, data in (("one", one), ("many", many + b"\0" * 512), ("empty", b""), ("nothing", gzip.compress(b""))):
+        (tmp_path / f"{name}.warc.gz").write_bytes(data)
+    seen = warc.read(spark, str(tmp_path)).collect()
+    assert sorted(r.id for r in seen) == list(range(len(bodies)))
+    assert all(bytes(r.payload) == bodies[r.id] and r.payload_digest == r.digest for r in seen)
+    assert [r[4] for r in warc.parse(warc.inflated(cut, 64))] == bodies[:40]
+    assert [r[4] for r in warc.parse(warc.inflated(many, 100))] == bodies[3:]
+    for broken in (one[:-20], many + b"x", gzip.compress(records[3][:-2]), gzip.compress(b"HTTP/1.1 200\r\n\r\n"), gzip.compress(b"WARC/1.1\r\n")):
+        with pytest.raises((ValueError, zlib.error)):
+            list(warc.parse(warc.inflated(broken)))
+
+
+def test_a_shared_digest_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    rows = [(k, "u", LONG) for k in range(1, 300)] + [(None, "u", LONG), (None, "u", LONG), (5, "u", LONG), (5, "u", LONG + "y"), (400, "u", LONG + "y"), (401, "u", "s"), (402, "u", "s"), (403, "u", None)]
+    got = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.op10(spark, pages_of(spark, rows)).collect())
+    n = len(LONG.encode())
+    want = Counter((i, n, "response" if i == 299 else "revisit", None if i == 299 else 299) for i, _, h in rows if h == LONG)
+    want += Counter([(5, n + 1, "revisit", 400), (400, n + 1, "response", None), (401, 1, "response", None), (402, 1, "response", None), (403, 0, "response", None)])
+    assert n >= 1000 and got == want
+
+
 def test_archive_payloads_come_back(spark, monkeypatch):
     monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
     pages = load(spark, "/root/testdata/sf0.001", "pages")

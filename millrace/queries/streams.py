@@ -177,7 +177,7 @@ def stream_rate_control(spark, d):
     part = F.expr("CASE WHEN ts < TIMESTAMP_NTZ '2024-01-10 12:00:00' THEN 0 WHEN ts < TIMESTAMP_NTZ '2024-01-20 12:00:00' THEN 1 ELSE 2 END")
     for k in range(3):
         events.filter(part == k).coalesce(1).write.mode("append").parquet(landed)
-    S.throttled(S.stream_files(spark, landed, events.schema, max_files=1), ["user_id"], "ts", "1 day", 2, ["ts", "event_id"], sink, checkpoint)
+    S.throttled(S.stream_files(spark, landed, events.schema, max_files=1), ["user_id"], "ts", "1 day", 2, ["ts", "event_id"], sink, checkpoint, "1 day")
     return spark.read.parquet(sink).select("event_id")
 
 
@@ -201,6 +201,7 @@ def stream_cdc_apply(spark, d):
     )
     sink, checkpoint = _paths(spark, "cdc")
     S.apply_changes_stream(feed, ["o_orderkey"], [*SEQ, "flag"], sink, checkpoint)
+    S.fold_changes(spark, sink, ["o_orderkey"], [*SEQ, "flag"])
     return S.current_table(target, sink, ["o_orderkey"], [*SEQ, "flag"], "op")
 
 

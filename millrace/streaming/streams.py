@@ -185,10 +185,53 @@ def apply_changes_stream(df: DataFrame, keys: list[str], seq: list[str], sink: s
     return for_each_batch(df, run, checkpoint)
 
 
+def _folded(spark: SparkSession, sink: str) -> tuple[int, str | None, int]:
+    """(version, folder, last batch) of the newest fold of a change log; version 0 holds nothing."""
+    versions = f"{sink}-folds"
+    path = spark._jvm.org.apache.hadoop.fs.Path(versions)
+    if not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+        return 0, None, -1
+    last = spark.read.schema("version bigint, folder string, upto bigint").parquet(versions).orderBy(F.desc("version")).first()
+    return (last["version"], last["folder"], last["upto"]) if last else (0, None, -1)
+
+
+def _switch(spark: SparkSession, sink: str, version: int, folder: str, upto: int) -> None:
+    """Make a fold the one that counts: one row in one file, visible when it is complete."""
+    row = spark.range(1).select(F.lit(version).cast("bigint").alias("version"), F.lit(folder).alias("folder"), F.lit(upto).cast("bigint").alias("upto"))
+    row.coalesce(1).write.mode("append").parquet(f"{sink}-folds")
+
+
+def stored_changes(spark: SparkSession, sink: str) -> DataFrame:
+    """The newest fold and the batches after it."""
+    _, folder, upto = _folded(spark, sink)
+    later = spark.read.parquet(sink).filter(F.col("batch_id") > upto).drop("batch_id")
+    return later if folder is None else spark.read.schema(later.schema).parquet(folder).unionByName(later)
+
+
+def fold_changes(spark: SparkSession, sink: str, keys: list[str], seq: list[str]) -> None:
+    """Bring all batches but the last one, which may still be retried, into one table with the last change of each key.
+
+    Deletions and the order columns stay in it, so a change that comes later but is older still loses. A reader sees the former
+    fold until the new one is written and switched to; a fold that fails before that is written again by the next one. Folders
+    of folded batches and of former folds are not read any more and may be removed once no reader is at work. The stream may run.
+    """
+    version, folder, upto = _folded(spark, sink)
+    log = spark.read.parquet(sink)
+    last = log.agg(F.max("batch_id").cast("bigint").alias("b")).first()["b"]
+    if last is None or last - 1 <= upto:
+        return
+    changes = log.filter((F.col("batch_id") > upto) & (F.col("batch_id") < last)).drop("batch_id")
+    if folder is not None:
+        changes = spark.read.schema(changes.schema).parquet(folder).unionByName(changes)
+    target = f"{sink}-fold/version={version + 1}"
+    latest_changes(changes, keys, seq).write.mode("overwrite").parquet(target)
+    _switch(spark, sink, version + 1, target, last - 1)
+
+
 def current_table(target: DataFrame, sink: str, keys: list[str], seq: list[str], op: str) -> DataFrame:
-    """The base table with all stored changes applied; write it out as a new base to fold the changes in."""
-    stored = target.sparkSession.read.parquet(sink).drop("batch_id")
-    return apply_changes(target, stored, keys, seq, op)
+    """The base table with all stored changes applied. What is read is bounded by the keys and the batches since the last
+    :func:`fold_changes`."""
+    return apply_changes(target, stored_changes(target.sparkSession, sink), keys, seq, op)
 
 
 def route_sinks(df: DataFrame, routes: dict[str, Column | str], sink: str, checkpoint: str) -> StreamingQuery:
@@ -215,26 +258,47 @@ def dead_letter_stream(df: DataFrame, rules: list[Rule], source: str, good: str,
     return for_each_batch(df, run, checkpoint)
 
 
-def throttled(df: DataFrame, keys: list[str], ts: str, interval: str, n: int, order: list, sink: str, checkpoint: str) -> StreamingQuery:
+def throttled(df: DataFrame, keys: list[str], ts: str, interval: str, n: int, order: list, sink: str, checkpoint: str, delay: str | None = None) -> StreamingQuery:
     """At most ``n`` records per key and interval over the whole stream, the first ones as they come.
 
-    Each batch stores how many records of a key and interval it let through; what earlier batches have used up is taken off.
+    Each batch leaves a state for the next one: how many records of a key and interval went through, and the greatest time seen.
+    A batch reads its own rows and the state of the batch before it, nothing older, and a retried batch reads the same state.
+    With ``delay`` an interval that ended that long before the greatest time of the earlier batches leaves the state; records that
+    still come for it are not throttled but written to ``sink``-late. Without ``delay`` every interval is kept. Records without a
+    time have no interval and do not go through. A task passes on ``n`` records of a key and interval, so a hot key is no large group.
     """
-    used = f"{sink}-used"
+    used, seen, late = f"{sink}-used", f"{sink}-seen", f"{sink}-late"
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        first = rate_limit(batch, keys, ts, interval, n, order).withColumn("__w", F.window(ts, interval)["start"].cast("timestamp"))
         slot = [*keys, "__w"]
+        schema = T.StructType([*(batch.schema[k] for k in keys), T.StructField("__w", T.TimestampType()), T.StructField("__n", T.LongType())])
+        before = spark.createDataFrame([], schema) if batch_id == 0 else spark.read.schema(schema).parquet(batch_folder(used, batch_id - 1))
+        ends = lambda start: start.cast("timestamp") + F.expr(f"INTERVAL {interval}")
+        batch.persist()
+        bound = None
         if batch_id > 0:
-            schema = T.StructType([*(batch.schema[k] for k in keys), T.StructField("__w", T.TimestampType()), T.StructField("__n", T.LongType()), T.StructField("batch_id", T.IntegerType())])
-            before = spark.read.schema(schema).parquet(used).filter(F.col("batch_id") < batch_id).groupBy(*slot).agg(F.sum("__n").alias("__used"))
-            rank = F.row_number().over(Window.partitionBy(*slot).orderBy(*order))  # n rows of a slot at most
-            first = join_on(first.withColumn("__rn", rank), before, slot).filter(F.col("__rn") + F.coalesce("__used", F.lit(0)) <= n).drop("__rn", "__used")
+            bound = spark.read.schema("ts timestamp").parquet(batch_folder(seen, batch_id - 1)).agg(F.max("ts").alias("m")).first()["m"]
+        rows = batch
+        if delay:
+            limit = F.lit(bound).cast("timestamp") - F.expr(f"INTERVAL {delay}")
+            gone = F.coalesce(ends(F.window(ts, interval)["start"]) <= limit, F.lit(False)) if bound else F.lit(False)
+            before = before.filter(ends(F.col("__w")) > limit) if bound else before
+            marked = batch.withColumn("__gone", gone)
+            marked.filter("__gone").drop("__gone").write.mode("overwrite").parquet(batch_folder(late, batch_id))
+            rows = marked.filter("NOT __gone").drop("__gone")
+        first = rate_limit(rows, keys, ts, interval, n, order).withColumn("__w", F.window(ts, interval)["start"].cast("timestamp"))
+        rank = F.row_number().over(Window.partitionBy(*slot).orderBy(*order))  # n rows of a slot at most
+        first = join_on(first.withColumn("__rn", rank), before.withColumnRenamed("__n", "__used"), slot)
+        first = first.filter(F.col("__rn") + F.coalesce("__used", F.lit(0)) <= n).drop("__rn", "__used")
         first.persist()
-        first.groupBy(*slot).agg(F.count(F.lit(1)).alias("__n")).write.mode("overwrite").parquet(batch_folder(used, batch_id))
         first.drop("__w").write.mode("overwrite").parquet(batch_folder(sink, batch_id))
+        now = first.groupBy(*slot).agg(F.count(F.lit(1)).alias("__n"))
+        now.unionByName(before).groupBy(*slot).agg(F.sum("__n").alias("__n")).write.mode("overwrite").parquet(batch_folder(used, batch_id))
+        greatest = F.greatest(F.max(F.col(ts).cast("timestamp")), F.lit(bound).cast("timestamp"))
+        batch.agg(greatest.alias("ts")).write.mode("overwrite").parquet(batch_folder(seen, batch_id))
         first.unpersist()
+        batch.unpersist()
 
     return for_each_batch(df, run, checkpoint)
 

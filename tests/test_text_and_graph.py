@@ -208,6 +208,59 @@ def test_gate_holds_until_signals_arrive(spark, tmp_path):
         row.write.mode("append").parquet(feed)
 
 
+def test_throttle_over_batches_with_expiry(spark, tmp_path):
+    feed, sink, ckpt = (str(tmp_path / n) for n in ("feed", "sink", "ckpt"))
+    schema = spark.createDataFrame([], "id int, k string, ts timestamp").schema
+    at = lambda d, h: datetime(2024, 1, d, h)
+    batches = [
+        [(1, "a", at(1, 1)), (2, "a", at(1, 2)), (3, "a", at(1, 3)), (4, None, at(1, 4)), (5, "b", None)],
+        [(6, "a", at(1, 5)), (7, "b", at(1, 6)), (8, None, at(1, 7)), (9, None, at(1, 8)), (10, "a", at(3, 1))],
+        [(11, "b", at(1, 9)), (12, "a", at(3, 2)), (13, "a", at(3, 3)), (14, "b", at(2, 23))],
+        [],
+        [(15, "a", at(3, 4)), (16, "b", at(2, 1)), (17, "b", at(2, 2)), (18, "c", at(9, 1))],
+        [(19, "a", at(3, 5)), (20, "c", at(9, 2)), (21, "c", at(9, 3))],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(feed)
+        S.throttled(S.stream_files(spark, feed, schema), ["k"], "ts", "1 day", 2, ["ts", "id"], sink, ckpt, "1 day")
+    went = {r["id"] for r in spark.read.parquet(sink).collect()}
+    late = {r["id"] for r in spark.read.parquet(f"{sink}-late").collect()}
+    # the greatest time is 3 January, 1 h, after two batches: the first day ended before 2 January, 1 h
+    assert went == {1, 2, 4, 7, 8, 10, 12, 14, 16, 18, 20} and late == {11, 19}
+    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "sink-used").iterdir() if p.name.startswith("batch_id="))
+    state = spark.read.parquet(f"{sink}-used/batch_id={last}")
+    assert [(r["k"], r["__n"]) for r in state.collect()] == [("c", 2)]
+
+
+def test_change_log_folds(spark, tmp_path, monkeypatch):
+    feed, sink, ckpt = (str(tmp_path / n) for n in ("feed", "sink", "ckpt"))
+    schema = spark.createDataFrame([], "k int, v string, op string, seq int").schema
+    target = spark.createDataFrame([(1, "old"), (2, "old"), (9, "old")], "k int, v string")
+    batches = [[(1, "a", "update", 5), (2, None, "delete", 7)], [(1, "b", "update", 4), (3, "c", "insert", 1)], [(2, "late", "update", 6), (3, "d", "update", 2)], [(4, "e", "insert", 1)], [(3, None, "delete", 3)]]
+    want = [{(1, "a"), (9, "old")}, {(1, "a"), (9, "old"), (3, "c")}, {(1, "a"), (9, "old"), (3, "d")}, {(1, "a"), (9, "old"), (3, "d"), (4, "e")}, {(1, "a"), (9, "old"), (4, "e")}]
+    table = lambda: {(r["k"], r["v"]) for r in S.current_table(target, sink, ["k"], ["seq"], "op").collect()}
+    switch = S._switch
+    for step, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(feed)
+        S.apply_changes_stream(S.stream_files(spark, feed, schema), ["k"], ["seq"], sink, ckpt)
+        assert table() == want[step]
+        if step in (2, 4):  # written, but never switched to
+
+            def lost(*_):
+                raise OSError("lost")
+
+            monkeypatch.setattr(S, "_switch", lost)
+            with pytest.raises(OSError):
+                S.fold_changes(spark, sink, ["k"], ["seq"])
+            assert table() == want[step]
+            monkeypatch.setattr(S, "_switch", switch)
+        S.fold_changes(spark, sink, ["k"], ["seq"])
+        S.fold_changes(spark, sink, ["k"], ["seq"])
+        assert table() == want[step]
+    read = S.stored_changes(spark, sink).select(F.input_file_name().alias("f")).distinct().collect()
+    assert {r["f"].split("/")[-2] for r in read} == {"version=4", "batch_id=4"}
+
+
 def _plain_parts(n, pairs):
     """Node -> smallest node of its cyclic part, and node -> level, by following all paths."""
     after = {v: {b for a, b in pairs if a == v and b != v} for v in range(n)}

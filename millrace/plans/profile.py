@@ -156,6 +156,23 @@ def exact_percentiles(df: DataFrame, cols: list[str], probs: tuple[float, ...] =
 LONG_TEXT = 256
 
 
+def _is_long(df: DataFrame, c: str) -> Column:
+    if not isinstance(df.schema[c].dataType, T.StringType):
+        return F.lit(False)
+    return F.coalesce(F.length(_q(c)) > LONG_TEXT, F.lit(False))
+
+
+def _key(df: DataFrame, c: str) -> Column:
+    if not isinstance(df.schema[c].dataType, T.StringType):
+        return _q(c)
+    return F.when(_is_long(df, c), F.sha2(_q(c), 256)).otherwise(_q(c))
+
+
+def _counted(df: DataFrame, c: str) -> DataFrame:
+    grouped = df.select(_key(df, c).alias("value"), _is_long(df, c).alias("is_long")).groupBy("value", "is_long")
+    return grouped.agg(F.count(F.lit(1)).alias("n")).select(F.lit(c).alias("column_name"), F.col("value").cast("string"), "is_long", "n")
+
+
 def value_counts(df: DataFrame, cols: list[str] | None = None, one_pass: bool = False) -> DataFrame:
     """(column_name, value, is_long, n) over all columns; a text of more than 256 characters is counted, and shuffled, as
     its SHA-256 (see :func:`restore`).
@@ -164,26 +181,62 @@ def value_counts(df: DataFrame, cols: list[str] | None = None, one_pass: bool =
     multiplied. ``one_pass`` unpivots instead, for an input that is costly to compute and not stored.
     """
     cols = cols or grouped_columns(df)
-    text = {c: isinstance(df.schema[c].dataType, T.StringType) for c in cols}
-    n = F.count(F.lit(1)).alias("n")
-
-    def long(c: str) -> Column:
-        return F.coalesce(F.length(_q(c)) > LONG_TEXT, F.lit(False)) if text[c] else F.lit(False)
-
-    def key(c: str) -> Column:
-        return F.when(long(c), F.sha2(_q(c), 256)).otherwise(_q(c)) if text[c] else _q(c)
-
     if one_pass:
         cells = [
-            F.struct(F.lit(c).alias("column_name"), key(c).cast("string").alias("value"), long(c).alias("is_long")) for c in cols
+            F.struct(F.lit(c).alias("column_name"), _key(df, c).cast("string").alias("value"), _is_long(df, c).alias("is_long")) for c in cols
         ]
-        return df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").groupBy("column_name", "value", "is_long").agg(n)
-    parts = [
-        df.select(key(c).alias("value"), long(c).alias("is_long")).groupBy("value", "is_long").agg(n)
-        .select(F.lit(c).alias("column_name"), F.col("value").cast("string"), "is_long", "n")
-        for c in cols
-    ]
-    return reduce(DataFrame.unionAll, parts)
+        return df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").groupBy("column_name", "value", "is_long").agg(F.count(F.lit(1)).alias("n"))
+    return reduce(DataFrame.unionAll, [_counted(df, c) for c in cols])
+
+
+BUCKETS = 65536
+
+
+def frequent(df: DataFrame, cols: list[str], k: int) -> DataFrame:
+    """(column_name, value, is_long, n, rank): what ``top_of(value_counts(df, cols), k)`` gives, without shuffling all values.
+
+    One scan estimates how many values each column has. Columns of no more than 65,536 are counted as they are, which shuffles no more
+    than that many counts a task. The values of the others are hashed into buckets, and the rows of a bucket bound the count of each of its values from above. First the rows of
+    every bucket are counted, at most 65,536 counts a task and column. Then the values of the 4 k fullest buckets are
+    counted exactly; the k-th of these counts is a lower bound for the k-th of all. Last, the values of the other buckets with at
+    least that many rows are counted; no other value can be among the first k, ties included. Only where the bound does not
+    decide, as in a column of almost unique values, are those all of them. What is broadcast are bucket numbers. The estimate
+    chooses the way only; both give the same rows.
+    """
+    about = df.agg(*[F.approx_count_distinct(_q(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    few = [c for i, c in enumerate(cols) if about[f"d{i}"] <= BUCKETS]
+    many = [c for c in cols if c not in few]
+    parts = [top_of(value_counts(df, few), k)] if few else []
+    return reduce(DataFrame.unionByName, parts + ([_frequent_of_many(df, many, k)] if many else []))
+
+
+def _frequent_of_many(df: DataFrame, cols: list[str], k: int) -> DataFrame:
+    """:func:`frequent` by buckets."""
+
+    def bucket(c: str) -> Column:
+        # zeros of both signs are one value
+        v = _q(c) + F.lit(0.0).cast(df.schema[c].dataType) if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)) else _q(c)
+        return F.pmod(F.xxhash64(v), F.lit(BUCKETS)).cast("int")
+
+    def sizes_of(c: str) -> DataFrame:
+        rows = df.filter(_q(c).isNotNull()).groupBy(bucket(c).alias("b")).agg(F.count(F.lit(1)).alias("size"))
+        return rows.select(F.lit(c).alias("column_name"), "b", "size")
+
+    def counted_in(buckets: DataFrame) -> DataFrame:
+        parts = []
+        for c in cols:
+            chosen = buckets.filter(F.col("column_name") == c).select(F.col("b").alias("__b"))
+            rows = df.select(_q(c)).filter(_q(c).isNotNull())
+            parts.append(_counted(rows.join(F.broadcast(chosen), bucket(c) == F.col("__b"), "left_semi"), c))
+        return reduce(DataFrame.unionAll, parts)
+
+    fullest = F.row_number().over(Window.partitionBy("column_name").orderBy(F.desc("size"), "b"))
+    sizes = stored(reduce(DataFrame.unionAll, [sizes_of(c) for c in cols]).withColumn("place", fullest), "bucket-sizes")
+    first = stored(top_of(counted_in(sizes.filter(F.col("place") <= 4 * k)), k), "frequent-first")
+    bound = first.filter(F.col("rank") == k).select(F.col("column_name").alias("__c"), F.col("n").alias("__least"))
+    others = sizes.filter(F.col("place") > 4 * k).join(F.broadcast(bound), F.col("column_name") == F.col("__c"), "left")
+    rest = counted_in(others.filter(F.col("size") >= F.coalesce("__least", F.lit(1))))
+    return top_of(first.drop("rank").unionByName(rest), k)
 
 
 def top_of(counts: DataFrame, k: int) -> DataFrame:
@@ -211,7 +264,7 @@ def top_values(df: DataFrame, k: int = DEFAULTS.top_values, cols: list[str] | No
     """(column_name, rank, value, n, frequency); frequency is the share of all rows, NULLs included."""
     cols = cols or grouped_columns(df)
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    tops = restore(top_of(value_counts(df, cols), k), df, cols)
+    tops = restore(frequent(df, cols, k), df, cols)
     return tops.select("column_name", "rank", "value", "n").withColumn("frequency", F.col("n") / total)
 
 
@@ -243,13 +296,14 @@ def profile(
     entry = F.struct("rank", "value", "n")
     able = _countable(df, cols)
     if able:
-        counts = value_counts(df, able)
-        listed = top_of(counts, max(k, domain + 1 if domain else 0))
+        most = max(k, domain + 1 if domain else 0)
+        counts = value_counts(df, able) if exact else None
+        listed = top_of(counts, most) if exact else frequent(df, able, most)
         if domain:  # a few rows per column
             whole = F.max("rank").over(Window.partitionBy("column_name")) <= domain
             listed = listed.withColumn("__whole", whole).filter((F.col("rank") <= k) | F.col("__whole")).drop("__whole")
         tops = restore(listed, df, able).groupBy("column_name").agg(F.array_sort(F.collect_list(entry)).alias("__top"))
-        distinct = counts.groupBy("column_name").agg(F.count("value").alias("distinct_count"))
+        distinct = counts.groupBy("column_name").agg(F.count("value").alias("distinct_count")) if exact else None
     else:
         tops = df.sparkSession.createDataFrame([], "column_name string, __top array<struct<rank:int,value:string,n:bigint>>")
         distinct = df.sparkSession.createDataFrame([], "column_name string, distinct_count bigint")

@@ -148,3 +148,19 @@ def test_registry_keeps_check_sql():
     r = Registry()
     r.add("a", " SELECT 1 ")(lambda s, d: None)
     assert r.sql == {"a": "SELECT 1"}
+
+
+@pytest.mark.parametrize("buckets", [8, 1024])
+def test_frequent_values_without_all_counts(spark, monkeypatch, buckets):
+    """Skewed, even, unique, constant, empty and signed-zero columns: the same rows as from the counts of all values."""
+    monkeypatch.setattr(P, "BUCKETS", buckets)
+    df = spark.range(6000).selectExpr(
+        "id AS unique_", "CAST(pow(2, id % 13) * 10 AS INT) + id % 7 AS mixed", "CAST(sqrt(id) AS INT) AS steps", "id % 400 AS even",
+        "'x' AS one", "CAST(NULL AS STRING) AS none", "IF(id % 3 = 0, 0D, IF(id % 3 = 1, -0D, CAST(id AS DOUBLE))) AS zeros",
+        "IF(id % 5 = 0, NULL, repeat(char(97 + CAST(id % 40 AS INT)), CAST(250 + id % 11 AS INT))) AS long_", "id % 2 = 0 AS flag",
+        "date_add(DATE '2024-01-01', CAST(id % 90 AS INT)) AS day", "CAST(id % 33 AS DECIMAL(8, 2)) AS amount",
+    )
+    rows = lambda x: sorted(map(tuple, x.select("column_name", "rank", "value", "is_long", "n").collect()))
+    for k in (1, 7):
+        assert rows(P.frequent(df, df.columns, k)) == rows(P.top_of(P.value_counts(df), k))
+    assert P.frequent(df.limit(0), df.columns, 3).count() == 0

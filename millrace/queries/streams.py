@@ -144,6 +144,25 @@ def stream_medallion(spark, d):
     return gold.unionByName(held.select(F.lit("quarantine").alias("layer"), "event_id", "value", "event_type", F.array_join("_failed_rules", ",").alias("failed")))
 
 
+@R.add(
+    "stream_unique_rules",
+    """WITH t AS (SELECT event_id, user_id, event_type, ts < TIMESTAMP '2024-01-11' AS early, ts >= TIMESTAMP '2024-01-21' AS late, event_type <> 'error' AS ok FROM events),
+    r AS (SELECT *, ok AND row_number() OVER (PARTITION BY user_id, event_type, ok ORDER BY CASE WHEN early THEN 0 WHEN late THEN 2 ELSE 1 END, event_id) > 1 AS again FROM t)
+    SELECT event_id, CASE WHEN NOT ok THEN 'known' WHEN again THEN 'once' ELSE '' END AS failed FROM r""",
+)
+def stream_unique_rules(spark, d):
+    """Events in three batches by time; one row of a user and type is kept, the first one to come."""
+    root, checkpoint = _paths(spark, "stream-unique")
+    landed, events = scratch_path(spark, "unique-events"), load(spark, d, "events").select("event_id", "user_id", "event_type", "ts")
+    early, late = F.expr("ts < TIMESTAMP_NTZ '2024-01-11 00:00:00'"), F.expr("ts >= TIMESTAMP_NTZ '2024-01-21 00:00:00'")
+    rules = [Rule("once", action="drop", keys=("user_id", "event_type")), Rule("known", "event_type <> 'error'", "drop")]
+    for part in (early, ~early & ~late, late):
+        events.filter(part).write.mode("append").parquet(landed)
+        S.stream_layers(S.stream_files(spark, landed, events.schema), TableSpec("events", []), rules, root, "files", checkpoint, ["event_id"])
+    gold = spark.read.parquet(f"{root}/gold").select("event_id", F.lit("").alias("failed"))
+    return gold.unionByName(spark.read.parquet(f"{root}/quarantine").select("event_id", F.array_join("_failed_rules", ",").alias("failed")))
+
+
 GATE_SQL = "SELECT o_orderkey FROM orders JOIN (SELECT user_id FROM events WHERE event_type = 'purchase' GROUP BY user_id HAVING count(*) >= 12) ON o_custkey = user_id"
 
 

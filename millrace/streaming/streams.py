@@ -7,6 +7,7 @@ own output.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,11 +16,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from millrace.operators.joins import lookup
 from millrace.operators.ordered import join_on
-from millrace.operators.route import route, to_dead_letter
-from millrace.operators.windows import rate_limit
+from millrace.operators.route import failed_rules, route, to_dead_letter
+from millrace.operators.windows import dedup, rate_limit
 from millrace.plans.layers import silver_rows, to_bronze
 from millrace.plans.quality import Rule, keep, quarantine
-from millrace.runtime import scratch_path
+from millrace.runtime import scratch_path, stored
 from millrace.sources.changes import apply_changes, latest_changes
 from millrace.spec import TableSpec
 
@@ -303,20 +304,91 @@ def throttled(df: DataFrame, keys: list[str], ts: str, interval: str, n: int, or
     return for_each_batch(df, run, checkpoint)
 
 
-def stream_layers(df: DataFrame, spec: TableSpec, rules: list[Rule], root: str, source: str, checkpoint: str) -> StreamingQuery:
-    """Bronze, silver, quarantine and gold folders from one stream."""
+ROW_ID = ["__file", "__row"]
+FOLD_EVERY = 50
+
+
+def _keys_before(spark: SparkSession, index: str, schema: T.StructType, batch_id: int) -> DataFrame:
+    """Keys that batches before ``batch_id`` brought: the newest fold and the batches after it."""
+    _, folder, upto = _folded(spark, index)
+    paths = ([folder] if folder else []) + [batch_folder(index, b) for b in range(upto + 1, batch_id)]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def _fold_keys(spark: SparkSession, index: str, schema: T.StructType, batch_id: int) -> None:
+    """Bring the keys of all batches before ``batch_id`` into one sorted table. They are complete, so a retry changes nothing."""
+    version, _, upto = _folded(spark, index)
+    if batch_id - 1 - upto < FOLD_EVERY:
+        return
+    target = f"{index}-fold/version={version + 1}"
+    _keys_before(spark, index, schema, batch_id).sort(*schema.names).write.mode("overwrite").parquet(target)
+    _switch(spark, index, version + 1, target, batch_id - 1)
+
+
+def first_of_stream(rows: DataFrame, keys: list[str], index: str, batch_id: int, order: list | None = None) -> DataFrame:
+    """Identities (``ROW_ID``) of the rows whose key came first: first in this batch, by ``order`` and then by place in the file,
+    and in none of the earlier batches. NULL is a key like others.
+
+    ``index`` holds every key once, in a folder per batch; each batch overwrites its own and reads those before it, so a retry
+    decides the same. A batch reads key columns only, and of a first key that is a whole number or a text only the range of
+    the batch: folds are sorted, so rising keys meet few row groups. Every 50 batches they are folded into one table. A task
+    passes on one row of a key, so a hot key is no large group; what is joined is the batch's distinct keys.
+    """
+    spark = rows.sparkSession
+    schema = T.StructType([T.StructField(k, rows.schema[k].dataType) for k in keys])
+    _fold_keys(spark, index, schema, batch_id)
+    first = dedup(rows, keys, [*(order or []), *ROW_ID]).select(*keys, *ROW_ID)
+    if batch_id > 0:
+        first = stored(first, "batch-keys")
+        before = _keys_before(spark, index, schema, batch_id)
+        if isinstance(schema[0].dataType, (T.IntegralType, T.StringType)):
+            lo, hi = first.agg(F.min(keys[0]), F.max(keys[0])).first()
+            before = before.filter(F.col(keys[0]).isNull() if lo is None else F.col(keys[0]).isNull() | F.col(keys[0]).between(lo, hi))
+        first = join_on(first, join_on(before, first.select(*keys), keys, "left_semi"), keys, "left_anti")
+    first.write.mode("overwrite").parquet(batch_folder(index, batch_id))
+    return spark.read.schema(first.schema).parquet(batch_folder(index, batch_id)).select(*ROW_ID)
+
+
+def _layer_rows(rows: DataFrame, rules: list[Rule], index: str, batch_id: int, order: list | None) -> tuple[DataFrame, DataFrame]:
+    """(silver rows, quarantined rows with ``_failed_rules``) of a batch, unique rules over the whole stream."""
+    simple = [r for r in rules if r.expression]
+    kept, failed = keep(rows, simple), []
+    for i, r in enumerate(rules):
+        if not r.expression and r.parent is None:
+            first = first_of_stream(kept, list(r.keys), f"{index}/{r.name}", batch_id, order)
+            failed.append(kept.join(first, ROW_ID, "left_anti").select(*ROW_ID, F.struct(F.lit(i).alias("i"), F.lit(r.name).alias("name")).alias("__rule")))
+            kept = kept.join(first, ROW_ID, "left_semi") if r.action == "drop" else kept
+        elif not r.expression:
+            kept = keep(kept, [r])
+    repeated = reduce(DataFrame.unionByName, failed).groupBy(*ROW_ID).agg(F.array_sort(F.collect_list("__rule"))["name"].alias("__repeats"))
+    broken = rows.withColumn("_failed_rules", failed_rules({r.name: r.expression for r in simple})).join(repeated, ROW_ID, "left")
+    broken = broken.withColumn("_failed_rules", F.concat("_failed_rules", F.coalesce("__repeats", F.array().cast("array<string>"))))
+    return kept.drop(*ROW_ID), broken.filter(F.size("_failed_rules") > 0).drop("__repeats", *ROW_ID)
+
+
+def stream_layers(
+    df: DataFrame, spec: TableSpec, rules: list[Rule], root: str, source: str, checkpoint: str, order: list | None = None
+) -> StreamingQuery:
+    """Bronze, silver, quarantine and gold folders from one stream. Unique rules hold over the whole stream: of the rows that
+    satisfy the predicates, those that repeat a key of an earlier batch, or of an earlier row of the batch in ``order``, are
+    quarantined, and with the action ``drop`` kept out of silver; see :func:`first_of_stream`."""
+    over_stream = any(not r.expression and r.parent is None for r in rules)
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         bronze = to_bronze(batch, source, str(batch_id))
         bronze.write.mode("overwrite").parquet(batch_folder(f"{root}/bronze", batch_id))
-        rows = silver_rows(batch.sparkSession.read.parquet(batch_folder(f"{root}/bronze", batch_id)), spec.columns)
-        silver = keep(rows, rules).withColumn("_processed_at", F.current_timestamp())
-        silver.write.mode("overwrite").parquet(batch_folder(f"{root}/silver", batch_id))
-        quarantine(rows, rules).write.mode("overwrite").parquet(batch_folder(f"{root}/quarantine", batch_id))
-        stored = batch.sparkSession.read.parquet(batch_folder(f"{root}/silver", batch_id))
-        gold = stored.drop("_processed_at").withColumn("_published_at", F.current_timestamp())
+        landed = spark.read.parquet(batch_folder(f"{root}/bronze", batch_id))
+        if over_stream:
+            landed = landed.withColumns({"__file": F.col("_metadata.file_name"), "__row": F.col("_metadata.row_index")})
+            kept, broken = _layer_rows(silver_rows(landed, spec.columns), rules, f"{root}/keys", batch_id, order)
+        else:
+            rows = silver_rows(landed, spec.columns)
+            kept, broken = keep(rows, rules), quarantine(rows, rules)
+        kept.withColumn("_processed_at", F.current_timestamp()).write.mode("overwrite").parquet(batch_folder(f"{root}/silver", batch_id))
+        broken.write.mode("overwrite").parquet(batch_folder(f"{root}/quarantine", batch_id))
+        silver = spark.read.parquet(batch_folder(f"{root}/silver", batch_id))
+        gold = silver.drop("_processed_at").withColumn("_published_at", F.current_timestamp())
         gold.write.mode("overwrite").parquet(batch_folder(f"{root}/gold", batch_id))
 
     return for_each_batch(df, run, checkpoint)
-
-

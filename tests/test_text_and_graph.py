@@ -17,7 +17,9 @@ from millrace.operators import joins as J
 from millrace.operators import similar
 from millrace.operators import text as X
 from millrace.operators import windows as W
+from millrace.plans.quality import Rule
 from millrace.sources import files, jdbc, kafka
+from millrace.spec import TableSpec
 from millrace.streaming import streams as S
 
 
@@ -261,6 +263,50 @@ def test_change_log_folds(spark, tmp_path, monkeypatch):
     assert {r["f"].split("/")[-2] for r in read} == {"version=4", "batch_id=4"}
 
 
+def test_unique_rules_hold_over_the_whole_stream(spark, tmp_path, monkeypatch):
+    feed, root, ckpt = (str(tmp_path / n) for n in ("feed", "root", "ckpt"))
+    schema = spark.createDataFrame([], "id int, k int, m string, v int").schema
+    batches = [
+        [(1, 1, "a", 1), (2, 1, "b", 1), (3, 2, "c", -1), (4, None, "d", 1)],
+        [(5, 2, "a", 1), (6, 2, "e", 1), (7, None, "f", 1), (8, 1, "g", 1), (9, 9, "h", 1), (10, 9, "h", 1)],
+        [],
+        [(11, 9, "i", 1), (12, 3, "h", 1), (13, 4, "j", 1), (14, 4, "j", -1)],
+        [(15, 3, "k", 1), (16, 3, "l", 1), (17, 5, "m", 1), (18, 4, "n", 1)],
+    ]
+    rules = [Rule("m_once", action="warn", keys=("m",)), Rule("k_once", action="drop", keys=("k",)), Rule("positive", "v > 0", "drop")]
+    silver, held, keys, warned = set(), {}, set(), set()
+    for n, k, m, v in (r for b in batches for r in b):
+        names = [] if v > 0 else ["positive"]
+        if v > 0:
+            names += ["m_once"] * (m in warned) + ["k_once"] * (k in keys)
+            silver |= set() if k in keys else {n}
+            warned.add(m)
+            keys.add(k)
+        if names:
+            held[n] = names
+    monkeypatch.setattr(S, "FOLD_EVERY", 2)
+    folder = S.batch_folder
+    for step, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(feed)
+        run = lambda: S.stream_layers(S.stream_files(spark, feed, schema), TableSpec("t", []), rules, root, "feed", ckpt, ["id"])
+        if step in (1, 3):  # fails after silver and keys are written, and runs again
+
+            def lost(sink, batch_id):
+                if sink.endswith("gold"):
+                    raise OSError("lost")
+                return folder(sink, batch_id)
+
+            monkeypatch.setattr(S, "batch_folder", lost)
+            with pytest.raises(Exception, match="lost"):
+                run()
+            monkeypatch.setattr(S, "batch_folder", folder)
+        run()
+    gold = [r["id"] for r in spark.read.parquet(f"{root}/gold").collect()]
+    got = {r["id"]: r["_failed_rules"] for r in spark.read.parquet(f"{root}/quarantine").collect()}
+    assert sorted(gold) == sorted(silver) and got == held
+    assert (tmp_path / "root" / "keys" / "k_once-fold").exists()
+
+
 def _plain_parts(n, pairs):
     """Node -> smallest node of its cyclic part, and node -> level, by following all paths."""
     after = {v: {b for a, b in pairs if a == v and b != v} for v in range(n)}

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.operators.joins import lookup
-from millrace.operators.ordered import join_on
+from millrace.operators.ordered import join_on, skew_join
 from millrace.operators.route import failed_rules, route, to_dead_letter
 from millrace.operators.windows import dedup, rate_limit
 from millrace.plans.layers import silver_rows, to_bronze
@@ -150,23 +150,81 @@ def notify(signals: DataFrame, path: str) -> None:
     signals.write.mode("append").parquet(path)
 
 
-def gate_stream(df: DataFrame, signals: str, key: str, signal: str, target: int, sink: str, checkpoint: str) -> StreamingQuery:
-    """Release and hold: rows of open gates go to ``sink``; rows still waiting are kept in ``sink``-waiting and tried
-    again with every batch. The signal table is a stream too: new signals make a batch of their own, also without new rows."""
-    waiting = f"{sink}-waiting"
+def gate_stream(
+    df: DataFrame, signals: str, key: str, signal: str, target: int, sink: str, checkpoint: str, consume: bool = False,
+    ts: str | None = None, wait: str | None = None,
+) -> StreamingQuery:
+    """Release and hold: a row goes to ``sink`` once its key has been signalled ``target`` times; till then it waits. The signal
+    table is a stream too: new signals make a batch of their own, also without new rows.
+
+    Without ``consume`` an open gate stays open. With it, every ``target`` signals open the gate for the rows that came up to that
+    batch and are used up; later rows need new ones. With ``wait`` a row whose time ``ts`` lies that long before the greatest time
+    of earlier batches has expired: it goes to ``sink``-expired and no signal releases it. Rows without a time do not
+    expire; rows without a key, and signals without one, meet nothing.
+
+    Nothing that waits is written again: rows are appended to ``sink``-waiting with the number of openings before them, totals
+    of the batch's keys to ``sink``-given. What waits is read when a gate opens, by key, and when rows fall due, by time.
+    Every 50 batches both logs are folded. A retried batch reads what it read before.
+    """
+    waiting, totals, seen, expired = (f"{sink}-{n}" for n in ("waiting", "given", "seen", "expired"))
+    cols = df.columns
+    kind = df.schema[key].dataType
     given = stream_files(df.sparkSession, signals, df.sparkSession.read.parquet(signals).schema)
-    both = df.withColumn("__signal", F.lit(False)).unionByName(given.select(F.lit(True).alias("__signal")), allowMissingColumns=True)
+    named = given.select(F.col(signal).cast(kind).alias("__signal"), F.lit(True).alias("__given"))
+    both = df.withColumns({"__signal": F.lit(None).cast(kind), "__given": F.lit(False)}).unionByName(named, allowMissingColumns=True)
+    total_schema = T.StructType([T.StructField(key, kind), T.StructField("__total", T.LongType())])
+    held_schema = T.StructType([*df.schema, T.StructField("__base", T.LongType()), T.StructField("__due", T.TimestampType())])
+
+    def openings(total: str) -> Column:
+        n = F.coalesce(F.col(total), F.lit(0).cast("bigint"))
+        return F.floor(n / target) if consume else (n >= target).cast("bigint")
+
+    def of_keys(log: DataFrame, keys: DataFrame) -> DataFrame:
+        return log.join(keys.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.max("__total").alias("__total"))
+
+    def still(held: DataFrame, log: DataFrame) -> DataFrame:
+        return held.join(of_keys(log, held), key, "left").filter(F.col("__base") == openings("__total")).drop("__total")
+
+    def greatest(spark: SparkSession, batch_id: int):
+        if wait is None or batch_id < 0:
+            return None
+        return spark.read.schema("ts timestamp").parquet(batch_folder(seen, batch_id)).first()["ts"]
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.filter(~F.col("__signal")).drop("__signal")
-        rows = batch
-        if batch_id > 0:
-            rows = spark.read.schema(batch.schema).parquet(batch_folder(waiting, batch_id - 1)).unionByName(batch)
-        given = spark.read.parquet(signals)
-        gate(rows, given, key, signal, target).write.mode("overwrite").parquet(batch_folder(sink, batch_id))
-        ready = given.groupBy(F.col(signal).alias("__s")).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= target)
-        rows.join(ready, F.col(key) == F.col("__s"), "left_anti").write.mode("overwrite").parquet(batch_folder(waiting, batch_id))
+        bound, former = greatest(spark, batch_id - 1), greatest(spark, batch_id - 2)
+        before = _log_before(spark, totals, total_schema, batch_id)
+        # what was still to come for the fold's last batch is what is due now
+        alive = F.lit(True) if former is None else F.col("__due").isNull() | (F.col("__due") > F.lit(former))
+        _fold_log(spark, waiting, held_schema, batch_id, lambda held: still(held.filter(alive), before))
+        _fold_log(spark, totals, total_schema, batch_id, lambda log: log.filter("__total > 0").groupBy(key).agg(F.max("__total").alias("__total")))
+        before, held = _log_before(spark, totals, total_schema, batch_id), _log_before(spark, waiting, held_schema, batch_id)
+
+        batch.persist()
+        rows = batch.filter("NOT __given").select(*cols)
+        now = batch.groupBy(F.when(F.col("__given"), F.col("__signal")).otherwise(F.col(key)).alias(key)).agg(F.count_if("__given").alias("__new"))
+        now = now.filter(F.col(key).isNotNull())
+        old = of_keys(before, now).withColumnRenamed("__total", "__old")
+        now = now.join(old, key, "left").withColumn("__old", F.coalesce("__old", F.lit(0).cast("bigint")))
+        now = now.select(key, (F.col("__old") + F.col("__new")).alias("__total"), "__old")
+        now.write.mode("overwrite").parquet(batch_folder(totals, batch_id))
+        now = spark.read.schema(now.schema).parquet(batch_folder(totals, batch_id))
+
+        due = F.col(ts).cast("timestamp") + F.expr(f"INTERVAL {wait}") if wait else F.lit(None).cast("timestamp")
+        late = F.coalesce(F.col("__due") <= F.lit(bound), F.lit(False)) if bound is not None else F.lit(False)
+        base = openings("__old") if consume else F.lit(0).cast("bigint")
+        placed = skew_join(rows, now, [key]).withColumns({"__base": base, "__due": due})
+        goes = ~late & (openings("__total") > F.col("__base"))
+        opened = now.filter(openings("__total") > openings("__old")).select(key, openings("__old").alias("__base"))
+        released = held.filter(~late).join(opened, [key, "__base"], "left_semi").select(*cols)
+        placed.filter(goes).select(*cols).unionByName(released).write.mode("overwrite").parquet(batch_folder(sink, batch_id))
+        if wait:
+            fallen = still(held.filter(late & alive), before).select(*cols) if bound is not None else held.select(*cols).limit(0)
+            placed.filter(late).select(*cols).unionByName(fallen).write.mode("overwrite").parquet(batch_folder(expired, batch_id))
+            latest = F.greatest(F.max(F.col(ts).cast("timestamp")), F.lit(bound).cast("timestamp"))
+            rows.agg(latest.alias("ts")).write.mode("overwrite").parquet(batch_folder(seen, batch_id))
+        placed.filter(~late & ~goes).select(*held_schema.names).write.mode("overwrite").parquet(batch_folder(waiting, batch_id))
+        batch.unpersist()
 
     return for_each_batch(both, run, checkpoint)
 
@@ -308,21 +366,21 @@ ROW_ID = ["__file", "__row"]
 FOLD_EVERY = 50
 
 
-def _keys_before(spark: SparkSession, index: str, schema: T.StructType, batch_id: int) -> DataFrame:
-    """Keys that batches before ``batch_id`` brought: the newest fold and the batches after it."""
+def _log_before(spark: SparkSession, index: str, schema: T.StructType, batch_id: int) -> DataFrame:
+    """What batches before ``batch_id`` brought: the newest fold and the batches after it."""
     _, folder, upto = _folded(spark, index)
     paths = ([folder] if folder else []) + [batch_folder(index, b) for b in range(upto + 1, batch_id)]
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
-def _fold_keys(spark: SparkSession, index: str, schema: T.StructType, batch_id: int) -> None:
-    """Bring the keys of all batches before ``batch_id`` into one sorted table. They are complete, so a retry changes nothing."""
-    version, _, upto = _folded(spark, index)
+def _fold_log(spark: SparkSession, log: str, schema: T.StructType, batch_id: int, shrink: Callable[[DataFrame], DataFrame]) -> None:
+    """Bring all batches before ``batch_id`` into one table, every 50 batches. They are complete, so a retry changes nothing."""
+    version, _, upto = _folded(spark, log)
     if batch_id - 1 - upto < FOLD_EVERY:
         return
-    target = f"{index}-fold/version={version + 1}"
-    _keys_before(spark, index, schema, batch_id).sort(*schema.names).write.mode("overwrite").parquet(target)
-    _switch(spark, index, version + 1, target, batch_id - 1)
+    target = f"{log}-fold/version={version + 1}"
+    shrink(_log_before(spark, log, schema, batch_id)).write.mode("overwrite").parquet(target)
+    _switch(spark, log, version + 1, target, batch_id - 1)
 
 
 def first_of_stream(rows: DataFrame, keys: list[str], index: str, batch_id: int, order: list | None = None) -> DataFrame:
@@ -336,11 +394,11 @@ def first_of_stream(rows: DataFrame, keys: list[str], index: str, batch_id: int,
     """
     spark = rows.sparkSession
     schema = T.StructType([T.StructField(k, rows.schema[k].dataType) for k in keys])
-    _fold_keys(spark, index, schema, batch_id)
+    _fold_log(spark, index, schema, batch_id, lambda seen: seen.sort(*keys))
     first = dedup(rows, keys, [*(order or []), *ROW_ID]).select(*keys, *ROW_ID)
     if batch_id > 0:
         first = stored(first, "batch-keys")
-        before = _keys_before(spark, index, schema, batch_id)
+        before = _log_before(spark, index, schema, batch_id)
         if isinstance(schema[0].dataType, (T.IntegralType, T.StringType)):
             lo, hi = first.agg(F.min(keys[0]), F.max(keys[0])).first()
             before = before.filter(F.col(keys[0]).isNull() if lo is None else F.col(keys[0]).isNull() | F.col(keys[0]).between(lo, hi))

@@ -210,6 +210,56 @@ def test_gate_holds_until_signals_arrive(spark, tmp_path):
         row.write.mode("append").parquet(feed)
 
 
+@pytest.mark.parametrize("consume", [False, True])
+def test_gate_with_late_repeated_and_expired(spark, tmp_path, monkeypatch, consume):
+    """Against a plain replay of the batches, with folds and failed batches on the way."""
+    monkeypatch.setattr(S, "FOLD_EVERY", 2)
+    feed, signals, sink, ckpt = (str(tmp_path / n) for n in ("feed", "signals", "sink", "ckpt"))
+    row, sig = (spark.createDataFrame([], t).schema for t in ("id int, k string, t timestamp", "name string"))
+    at = lambda d: datetime(2024, 1, d)
+    batches = [
+        ([(1, "a", at(1)), (2, "b", at(1)), (3, None, at(1)), (4, "c", None)], ["a", None]),
+        ([(5, "a", at(2))], ["a", "a", "z"]),
+        ([(6, "a", at(6)), (7, "d", at(1)), (8, "c", at(2))], []),
+        ([(9, "d", at(6))], ["b", "b", "c", "a"]),
+        ([(10, "b", at(7)), (11, "z", at(7))], ["c", "z", "d", "d", "d", "d"]),
+        ([(12, "d", at(7)), (13, "e", at(3)), (14, "c", at(20))], ["d"]),
+        ([(15, "e", at(20))], ["e", "e"]),
+    ]
+    held, counts, bound, out, gone = [], Counter(), None, [], []
+    for rows, names in batches:
+        old = counts.copy()
+        counts.update(n for n in names if n is not None)
+        level = lambda c, k: c[k] // 2 if consume else int(c[k] >= 2)
+        over = lambda t: bound is not None and t is not None and (bound - t).days >= 3  # noqa: E731, B023
+        here = [(*r, level(old, r[1]) if consume else 0) for r in rows]
+        gone += [r[0] for r in held + here if over(r[2])]
+        live = [r for r in held + here if not over(r[2])]
+        out += [r[0] for r in live if level(counts, r[1]) > r[3]]
+        held = [r for r in live if level(counts, r[1]) <= r[3]]
+        bound = max([r[2] for r in rows if r[2]] + ([bound] if bound else []))
+    folder = S.batch_folder
+    for step, (rows, names) in enumerate(batches):
+        spark.createDataFrame(rows, row).coalesce(1).write.mode("append").parquet(feed)
+        spark.createDataFrame([(n,) for n in names], sig).coalesce(1).write.mode("append").parquet(signals)
+        run = lambda: S.gate_stream(S.stream_files(spark, feed, row), signals, "k", "name", 2, sink, ckpt, consume, "t", "3 days")
+        if step in (3, 5):
+
+            def lost(path, batch_id):
+                if path.endswith("-seen") and batch_id == step:  # noqa: B023
+                    raise OSError("lost")
+                return folder(path, batch_id)
+
+            monkeypatch.setattr(S, "batch_folder", lost)
+            with pytest.raises(Exception, match="lost"):
+                run()
+            monkeypatch.setattr(S, "batch_folder", folder)
+        run()
+    ids = lambda path: sorted(r["id"] for r in spark.read.parquet(path).collect())
+    assert ids(sink) == sorted(out) and ids(f"{sink}-expired") == sorted(gone)
+    assert out and gone and (tmp_path / "sink-waiting-fold").exists()
+
+
 def test_throttle_over_batches_with_expiry(spark, tmp_path):
     feed, sink, ckpt = (str(tmp_path / n) for n in ("feed", "sink", "ckpt"))
     schema = spark.createDataFrame([], "id int, k string, ts timestamp").schema

@@ -93,7 +93,10 @@ def with_previous(
         points = cut.filter("__hot").groupBy("__key").agg(F.percentile_approx("__place", [k / parts for k in range(1, parts)], 10000).alias("__points"))
         points = F.broadcast(points.withColumnRenamed("__key", "__p_key"))
         cut = cut.join(points, F.col("__key") == F.col("__p_key"), "left")
-        cut = cut.withColumn("__chunk", F.size(F.filter("__points", lambda p: p < F.col("__place"))))
+        # how many points lie below, as a binary search
+        steps = F.array(*[F.lit(2**b) for b in reversed(range(parts.bit_length()))])
+        below = F.aggregate(steps, F.lit(0), lambda at, s: at + F.when(F.get("__points", at + s - 1) < F.col("__place"), s).otherwise(0))
+        cut = cut.withColumn("__chunk", below)
     cut = cut.withColumn("__chunk", F.when(F.col("__hot"), F.col("__chunk")))
     inside = Window.partitionBy("__key", "__chunk").orderBy(*order)
     rows = cut.withColumn("__prev", F.lag(picked).over(inside))

@@ -110,10 +110,15 @@ def convert(df: DataFrame, path: str, fmt: str = "parquet", codec: str | None =
 
 
 def compact(spark: SparkSession, path: str, target: str, target_bytes: int = 128 * 1024 * 1024, max_records: int = 0) -> int:
-    """Rewrite many small Parquet files as few of about ``target_bytes``; returns the number of partitions written."""
+    """Rewrite many small Parquet files as few of about ``target_bytes``; returns the number of partitions written.
+
+    Spark packs small files into read partitions and these are put together without a shuffle. A file that is larger than
+    the target already is not divided.
+    """
     total = list_files(spark, path, "*.parquet").agg(F.sum("length").alias("b")).first()["b"] or 0
-    parts = max(1, math.ceil(total / target_bytes))
-    writer = spark.read.parquet(path).repartition(parts).write.mode("overwrite")
+    rows = spark.read.parquet(path)
+    parts = min(max(1, math.ceil(total / target_bytes)), max(1, rows.rdd.getNumPartitions()))
+    writer = rows.coalesce(parts).write.mode("overwrite")
     if max_records:
         writer = writer.option("maxRecordsPerFile", max_records)
     writer.parquet(target)

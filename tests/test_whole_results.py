@@ -100,6 +100,24 @@ def test_wide_ddl(spark):
     assert (got["c7"].fk_table, got["c7"].fk_column, got["c7"].num_precision, got["c7"].num_scale, got["c7"].default_value) == ("other", "id", 10, 2, "7")
 
 
+def test_ddl_columns_are_not_shuffled(spark, capsys):
+    rows = [("f", "CREATE TABLE t (id INT, b INT, not null, unique INT, x BIGSERIAL, y INT IDENTITY, z INT NOT NULL, \n , v  DECIMAL ( 9 , 2 ));"), ("f", "ALTER TABLE t ADD PRIMARY KEY (id); ALTER TABLE t ADD UNIQUE (b);"),
+            ("f", "CREATE TABLE t (id INT REFERENCES own (o), c INT, FOREIGN KEY (c) REFERENCES p (q))"), ("g", "CREATE TABLE t (id INT, b INT)"),
+            (None, "CREATE TABLE t (id INT, PRIMARY KEY (id))"), ("h", None), ("i", "ALTER TABLE t ADD FOREIGN KEY (b) REFERENCES s (a)")]
+    out = B.ddl_inventory(spark.createDataFrame(rows, "file string, value string"))
+    out.explain()
+    plan = capsys.readouterr().out
+    # one join, of statements with the keys of their tables, before any column stands in a row of its own
+    assert plan.count("Join") == 1 and plan.index("Generate posexplode") < plan.index("Join")
+    got = {(r.file, r.column_name, r.position): (r.data_type, r.nullable, r.is_primary_key, r.is_unique, r.fk_table, r.fk_column) for r in out.collect()}
+    assert got == {
+        ("f", "id", 0): ("int", False, True, False, got["f", "id", 0][4], got["f", "id", 0][5]), ("f", "b", 1): ("int", True, False, True, None, None), ("f", "not", 2): ("null", False, False, False, None, None),
+        ("f", "x", 4): (got["f", "x", 4][0], False, False, False, None, None), ("f", "y", 5): ("int", False, False, False, None, None), ("f", "z", 6): ("int", False, False, False, None, None),
+        ("f", "v", 8): ("decimal", True, False, False, None, None), ("f", "c", 1): ("int", True, False, False, "p", "q"), ("g", "id", 0): ("int", True, False, False, None, None),
+        ("g", "b", 1): ("int", True, False, False, None, None), (None, "id", 0): ("int", True, False, False, None, None),
+    }
+
+
 STATEMENTS = [
     ("INSERT OVERWRITE TABLE x SELECT extract(year FROM d) y, count(*) FROM t, u z JOIN (SELECT q.k FROM deep q WHERE s = 'FROM nowhere') w ON t.a = w.k -- FROM c", {("x", "write"), ("t", "read"), ("u", "read"), ("deep", "read")}, {"y", "k"}),
     ("WITH a AS (SELECT 1 one FROM base), b(c) AS (SELECT x FROM a) SELECT b.c, coalesce(a, b) AS c2, d + e, d * e f FROM b, series(1, 2) g", {("base", "read")}, {"one", "x", "c", "c2", "f"}),

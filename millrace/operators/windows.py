@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,26 +27,52 @@ def tumbling(
 
 
 def rolling(
-    df: DataFrame, keys: list[str], ts: str, seconds: int, aggs: dict[str, Column], chunk_seconds: int = 3600
+    df: DataFrame, keys: list[str], ts: str, seconds: int, aggs: dict[str, Column], chunk_seconds: int = 3600,
+    merge: dict[str, Callable[[Column, Column], Column]] | None = None,
 ) -> DataFrame:
     """For each row, aggregates over the rows of its key in the last ``seconds`` (both ends included). Rows without a time are
     each other's peers, as in a RANGE frame: they get the aggregates over all such rows of their key.
 
     A key is cut into time chunks, and rows that reach into the next chunk are copied there for looking back only, so
     a window partition is one (key, chunk) and not the whole key.
+
+    ``merge`` tells for each aggregate how its values over two parts of a window make the value over both: their sum for a sum or
+    a count, the smaller one for a minimum. With it the work grows with the rows; without it with the rows times the rows of a window,
+    since Spark goes over each window anew. A value that is NULL over one part (a sum without values) is left to the other.
     """
+    timeless = df.filter(F.col(ts).isNull())
+    peers = skew_join(timeless, timeless.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()]), keys)
+    t = df.withColumn("__t", micros(F.col(ts))).filter("__t is not null")
+    if merge and seconds > 0:
+        return _merged(t, keys, seconds * MICROS, aggs, merge).select(*df.columns, *aggs).unionByName(peers)
     size = max(chunk_seconds, seconds) * MICROS
-    t = df.withColumn("__t", micros(F.col(ts)))
     own = F.floor(F.col("__t") / F.lit(size))
     reach = F.floor((F.col("__t") + F.lit(seconds * MICROS)) / F.lit(size))
-    timeless = df.filter(F.col(ts).isNull())
-    peers = skew_join(timeless, timeless.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()]), keys)
-    spread = t.filter("__t is not null").withColumn("__own", own).withColumn("__chunk", F.explode(F.sequence(own, reach)))
+    spread = t.withColumn("__own", own).withColumn("__chunk", F.explode(F.sequence(own, reach)))
     w = Window.partitionBy(*keys, "__chunk").orderBy("__t").rangeBetween(-seconds * MICROS, 0)
     out = spread.withColumns({n: c.over(w) for n, c in aggs.items()})
     return out.filter(F.col("__own") == F.col("__chunk")).drop("__t", "__own", "__chunk").unionByName(peers)
 
 
+def _merged(t: DataFrame, keys: list[str], size: int, aggs: dict[str, Column], merge: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
+    """Chunks as long as a window: a window is the first rows of its chunk and the last rows of the chunk before. The aggregates
+    over all first rows and over all last rows grow row by row, and each row meets the two that are its own."""
+    chunk = F.col("__t") - F.pmod("__t", F.lit(size))
+    # copy 1 of a row stands in the next chunk, at the time when it leaves the window
+    rows = t.withColumn("__copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumns({"__chunk": chunk + F.col("__copy") * size, "__at": F.col("__t") + F.col("__copy") * size})
+    rows = rows.repartition(*keys, "__chunk")
+    side = Window.partitionBy(*keys, "__chunk", "__copy")
+    first = side.orderBy("__at").rangeBetween(Window.unboundedPreceding, 0)
+    last = side.orderBy(F.desc("__at")).rangeBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"__first_{n}": c.over(first) for n, c in aggs.items()}).withColumns({f"__last_{n}": c.over(last) for n, c in aggs.items()})
+    # the copy that leaves next
+    left = F.when(F.col("__copy") == 1, F.struct(*[F.col(f"__last_{n}").alias(n) for n in aggs]))
+    back = Window.partitionBy(*keys, "__chunk").orderBy(F.desc("__at"), F.desc("__copy")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__past", F.last(left, ignorenulls=True).over(back)).filter("__copy = 0")
+    own, past = {n: F.col(f"__first_{n}") for n in aggs}, {n: F.col("__past").getField(n) for n in aggs}
+    return rows.withColumns({n: F.when(past[n].isNull(), own[n]).when(own[n].isNull(), past[n]).otherwise(merge[n](past[n], own[n])) for n in aggs})
+
+
 def dedup(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key. Spark keeps one row per key and task before it shuffles (WindowGroupLimit)."""
     return top_k(df, keys, order, 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from operator import add
+
 from pyspark.sql import functions as F
 
 from millrace.operators import windows as W
@@ -29,7 +31,7 @@ def tumbling_window_avg(spark, d):
 def rolling_window_avg(spark, d):
     # values have two decimals: the rounded sum is exact, and its quotient does not depend on how an engine rounds halves
     events = load(spark, d, "events").withColumn("ts", F.when(F.col("event_id") % 10 > 0, F.col("ts")))  # some without a time
-    out = W.rolling(events, ["event_type"], "ts", 3600, {"total": F.sum("value"), "n": F.count(F.lit(1))})
+    out = W.rolling(events, ["event_type"], "ts", 3600, {"total": F.sum("value"), "n": F.count(F.lit(1))}, merge={"total": add, "n": add})
     return out.select("event_id", (F.round("total", 2) / F.col("n")).alias("rolling_avg"), "n")
 
 

@@ -45,6 +45,17 @@ def test_rolling_equals_range_window(skewed):
     same(got, skewed.withColumns({"s": F.sum("v").over(w), "n": F.count(F.lit(1)).over(w)}))
 
 
+def test_rolling_by_merged_parts_equals_range_window(skewed, capsys):
+    # times on both edges of a window, many rows of one time, values and keys that are NULL, rows without a time
+    rows = skewed.withColumns({"ts": F.when(F.col("id") % 40 > 0, F.date_trunc("minute", "ts")), "v": F.when(F.col("id") % 3 > 0, F.col("v"))})
+    aggs = {"s": F.sum("v"), "n": F.count(F.lit(1)), "low": F.min("v")}
+    got = W.rolling(rows, ["k"], "ts", 1800, aggs, merge={"s": lambda a, b: a + b, "n": lambda a, b: a + b, "low": F.least})
+    w = Window.partitionBy("k").orderBy(F.unix_micros("ts")).rangeBetween(-1_800_000_000, 0)
+    same(got, rows.withColumns({n: c.over(w) for n, c in aggs.items()}))
+    got.explain()
+    assert "-1800000000" not in capsys.readouterr().out  # no frame that Spark goes over anew for each row
+
+
 def test_skew_join_equals_join(skewed, spark):
     dim = skewed.filter("k is not null").groupBy("k").agg(F.max("v").alias("top"))
     same(O.skew_join(skewed, dim, ["k"], share=0.1), skewed.join(dim, "k", "left").select(*skewed.columns, "top"))

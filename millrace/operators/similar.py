@@ -1,13 +1,16 @@
 """Groups of similar texts: bands of min-hashes choose who meets, the shared shingles decide.
 
-All steps are DataFrame expressions. Texts with the same shingles are one node, so a text that stands in a third of all rows costs one.
+All steps are DataFrame expressions, but for the min-hashes, which numpy takes over many rows at once. Texts with the same shingles are one node, so a text that stands in a third of all rows costs one.
 The nodes of a band are not paired with each other: they meet the band's first node, and what that connects is one part. Only nodes of
 different parts of a band are compared after that.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.graph import connected
@@ -33,10 +36,32 @@ def shingle_codes(text: Column, words: int = 5) -> Column:
     return F.when(F.coalesce(text, F.lit("")).rlike(r"[\p{L}\p{N}]"), F.sort_array(F.array_distinct(found))).otherwise(F.array().cast("array<bigint>"))
 
 
+def minima(salts: list[int], codes: Column) -> Column:
+    """For each salt the smallest code after an XOR with it. Rows are taken together, some 100,000 codes at a time."""
+
+    @F.arrow_udf("array<bigint>")
+    def run(lists: pa.Array) -> pa.Array:
+        mins = np.empty((len(lists), len(salts)), dtype=np.int64)
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        values = lists.flatten().to_numpy(zero_copy_only=False)
+        row = 0
+        while row < len(lists):
+            start = ends[row - 1] if row else 0
+            stop = max(row + 1, int(np.searchsorted(ends, start + 100_000, side="right")))
+            part, first = values[start : ends[stop - 1]], np.concatenate(([0], ends[row : stop - 1] - start))
+            for k, salt in enumerate(salts):
+                mins[row:stop, k] = np.minimum.reduceat(part ^ np.int64(salt), first)
+            row = stop
+        return pa.ListArray.from_arrays(np.arange(len(lists) + 1, dtype=np.int32) * len(salts), mins.ravel())
+
+    return run(codes)
+
+
 def bands(codes: Column, n: int = BANDS, rows: int = ROWS) -> Column:
-    """``n`` longs, each the hash of ``rows`` min-hashes. Codes are random, so a code combined with a constant by XOR is a random order of them."""
-    salts = F.transform(F.sequence(F.lit(1), F.lit(n * rows)), lambda k: F.xxhash64(k))
-    mins = F.transform(salts, lambda s: F.array_min(F.transform(codes, lambda c: c.bitwiseXOR(s))))
+    """``n`` longs, each the hash of ``rows`` min-hashes of codes that are not empty. Codes are random, so a code combined with a constant
+    by XOR is a random order of them."""
+    salts = SparkSession.active().range(1, n * rows + 1).select(F.collect_list(F.xxhash64(F.col("id").cast("int"))).alias("s"), F.collect_list("id").alias("k")).first()
+    mins = minima([s for _, s in sorted(zip(salts["k"], salts["s"]))], codes)
     joined = lambda m: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda b: F.xxhash64(b, F.slice(m, b * rows + 1, rows)))
     return F.get(F.transform(F.array(mins), joined), F.lit(0))
 
@@ -69,7 +94,7 @@ def near_groups(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.
     # min-hashing is work on few bytes: as many tasks as the session has shuffle partitions, whatever the size
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     nodes = stored(dedup(rows.repartition(parts, "node"), ["node"], ["id"]).select("node", "codes"), "similar-nodes")
-    entries = stored(nodes.select("node", F.size("codes").alias("n"), F.explode(bands(F.col("codes"))).alias("band")), "similar-bands")
+    entries = stored(nodes.select("node", F.size("codes").alias("n"), F.explode_outer(bands(F.col("codes"))).alias("band")), "similar-bands")
     first = entries.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("__last")).filter("lead < __last").drop("__last")
     met = skew_join(entries, first, ["band"], "inner").filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
     links = _links(met, nodes, threshold)

@@ -45,20 +45,30 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+# rounds of a search kept as tables of their own before they are written as one
+ROUNDS_KEPT = 8
+
+
 def _search(seeds: DataFrame, edges: DataFrame, first_hop: int, max_rounds: int) -> DataFrame:
-    """Breadth-first rounds from (start, node). Every round is stored once; what was seen is the union of the rounds, so
-    no round is written again."""
-    walk = edges.select(F.col("src").alias("node"), F.col("dst").alias("__to"))
-    parts = [cut_lineage(seeds.withColumn("hops", F.lit(first_hop)))]
+    """Breadth-first rounds from (start, node). What was seen is the union of the rounds; it is written as one table now and then, so
+    that a round does not read ever more of them. Rounds are files, which few tasks read together while they are small, and what
+    was seen is merged with the new pairs by sorting: neither grows into work or messages for the driver."""
+    walk = stored(edges.select(F.col("src").alias("node"), F.col("dst").alias("__to")), "search-edges")
+    now = stored(seeds.withColumn("hops", F.lit(first_hop)), "search-round")
+    parts = [now]
+
+    def fresh(hop: int) -> DataFrame:
+        step = now.hint("merge").join(walk, "node").select("start", F.col("__to").alias("node")).distinct()
+        return step.join(_union(parts).hint("merge"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop))
+
     for hop in range(first_hop + 1, first_hop + max_rounds + 1):
-        step = parts[-1].join(walk, "node").select("start", F.col("__to").alias("node")).distinct()
-        fresh = step.join(_union(parts), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop))
-        fresh = cut_lineage(fresh)
-        if fresh.isEmpty():
+        now = stored(fresh(hop), "search-round")
+        if now.isEmpty():
             return _union(parts)
-        parts.append(fresh)
-    step = parts[-1].join(walk, "node").select("start", F.col("__to").alias("node"))
-    if step.join(_union(parts), ["start", "node"], "left_anti").isEmpty():
+        parts.append(now)
+        if len(parts) > ROUNDS_KEPT:
+            parts = [stored(_union(parts), "search-seen")]
+    if fresh(first_hop + max_rounds + 1).isEmpty():
         return _union(parts)
     raise NotConverged(f"nodes left to visit after {max_rounds} rounds")
 

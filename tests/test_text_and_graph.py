@@ -444,3 +444,11 @@ def test_connected_parts(spark):
     nodes = {x for p in chain for x in p}
     assert got == {**{x: min(nodes) for x in nodes}, 2000: 2000, 2001: 2000}
     assert G.connected(e.limit(0)).isEmpty()
+
+
+def test_a_long_search_reads_few_tables(spark, capsys):
+    chain = spark.range(12).selectExpr("id AS src", "id + 1 AS dst")
+    out = G.closure(chain)
+    assert out.count() == 78 and out.agg(F.max("hops")).first()[0] == 12
+    out.explain()
+    assert 0 < capsys.readouterr().out.count("Scan ") <= G.ROUNDS_KEPT

@@ -118,6 +118,25 @@ def test_ddl_columns_are_not_shuffled(spark, capsys):
     }
 
 
+def test_ddl_keys_of_a_text_are_found_in_it(spark, capsys, monkeypatch):
+    one = "CREATE TABLE t (\n  id INT ,\n  a\tDECIMAL( 9,\n 2 ) DEFAULT 1,, \n,  b INT,\n PRIMARY  KEY (id), UNIQUE (a)\n);\nALTER TABLE t ADD FOREIGN KEY (b) REFERENCES z (k); ALTER TABLE t ADD FOREIGN KEY (b) REFERENCES p (q);"
+    key = {"id": ("int", None, None, True, False, None), "a": ("decimal", 9, 2, False, True, None), "b": ("int", None, None, False, False, "p")}
+    want = {("t", c, at, *key[c]) for c, at in (("id", 0), ("a", 1), ("b", 3))}
+    # further tables in the text: a column of the same name with no key, a table made twice
+    more = one + "CREATE TABLE u (id INT); CREATE TABLE t (b INT, UNIQUE (b))"
+    key["b"] = ("int", None, None, False, True, "p")
+    both = {("t", c, at, *key[c]) for c, at in (("id", 0), ("a", 1), ("b", 3), ("b", 0))} | {("u", "id", 0, "int", None, None, False, False, None)}
+    row = lambda r: (r.table_name, r.column_name, r.position, r.data_type, r.max_len, r.num_scale, r.is_primary_key, r.is_unique, r.fk_table)
+    for most in (1 << 16, 1):  # a text may be long
+        monkeypatch.setattr(B, "OWN_BYTES", most)
+        out = B.ddl_inventory(spark.createDataFrame([("f", one), ("g", more)], "file string, value string"))
+        out.explain()
+        # texts of their own are neither shuffled nor joined
+        assert capsys.readouterr().out.count("Join") == (most == 1)
+        rows = out.collect()
+        assert {row(r) for r in rows if r.file == "f"} == want and {row(r) for r in rows if r.file == "g"} == both and len(rows) == 8
+
+
 STATEMENTS = [
     ("INSERT OVERWRITE TABLE x SELECT extract(year FROM d) y, count(*) FROM t, u z JOIN (SELECT q.k FROM deep q WHERE s = 'FROM nowhere') w ON t.a = w.k -- FROM c", {("x", "write"), ("t", "read"), ("u", "read"), ("deep", "read")}, {"y", "k"}),
     ("WITH a AS (SELECT 1 one FROM base), b(c) AS (SELECT x FROM a) SELECT b.c, coalesce(a, b) AS c2, d + e, d * e f FROM b, series(1, 2) g", {("base", "read")}, {"one", "x", "c", "c2", "f"}),

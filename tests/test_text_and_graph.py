@@ -1,6 +1,7 @@
 """Text operators, attribute functions, graphs, sources and streams on small fixtures."""
 
 import itertools
+import os
 import random
 import re
 from collections import Counter
@@ -18,6 +19,7 @@ from millrace.operators import similar
 from millrace.operators import text as X
 from millrace.operators import windows as W
 from millrace.plans.quality import Rule
+from millrace.runtime import storage_root
 from millrace.sources import files, jdbc, kafka
 from millrace.spec import TableSpec
 from millrace.streaming import streams as S
@@ -437,6 +439,32 @@ def test_similar_texts_are_grouped(spark):
     assert similar.near_groups(df.limit(0), "id", "text").isEmpty()
 
 
+def test_shingles_are_kept_only_of_texts_that_meet(spark, monkeypatch):
+    monkeypatch.setattr(similar, "SENT_NODES", 0)
+    rng = random.Random(3)
+    rows = [(k, " ".join("w%d" % rng.randrange(10**6) for _ in range(40))) for k in range(80)]
+    rows += [(100, rows[5][1] + " end"), (101, "start " + rows[5][1]), (102, rows[7][1]), (103, None), (104, " ... ")]
+    folder = storage_root(spark) + "/millrace"
+    old = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    got = similar.near_groups(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()
+    assert {r["id"]: (r["group_id"], r["copies"], r["similarity"]) for r in got} == _plain_groups(rows)
+    made = [spark.read.parquet(f"{folder}/{x}") for x in set(os.listdir(folder)) - old if x.startswith("similar-")]
+    coded = [t.count() for t in made if "codes" in t.columns]
+    assert coded and max(coded) <= 3
+
+
+def test_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK_CODES", 40)
+    rng = random.Random(4)
+    sets = {k: set(range(100 * (k % 4), 100 * (k % 4) + 20)) - {100 * (k % 4) + rng.randrange(20)} for k in range(1, 25)}
+    nodes = spark.createDataFrame([(k, sorted(s)) for k, s in sets.items()], "node long, codes array<long>")
+    part = {k: 1 if k % 4 == 1 else k for k in sets}  # the parts known so far: one of the first node, and others of one node
+    open_ = [(b, k, part[k], len(sets[k]), 1, 1) for b in (7, 8) for k in sets] + [(9, k, part[k], len(sets[k]), 2, 2) for k in (2, 3, 6)]
+    got = similar._block_links(spark.createDataFrame(open_, "band long, node long, part long, n int, lead long, own long"), nodes, 0.8).collect()
+    alike = {(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8 and part[a] != part[b]}
+    assert {tuple(sorted(r)) for r in got} == alike and len(got) == len(alike)
+
+
 def test_connected_parts(spark):
     chain = [((k * 7919) % 1009, ((k + 1) * 7919) % 1009) for k in range(300)]
     e = spark.createDataFrame([*chain, (2000, 2001), (2001, 2000), (3000, 3000), (None, 1)], "src long, dst long")
